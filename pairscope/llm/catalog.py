@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import exact_dedup, quality, simhash
+from pairscope.llm import byte_bpe, exact_dedup, quality, simhash, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
             exact_dedup.op3_exact_dedup,
             simhash.op4_simhash_near_dedup,
             quality.op5_quality_classifier,
+            token_files.op6_token_files,
+            byte_bpe.op10_byte_bpe,
         )
     }
 
