@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Writes the files below ``folder`` (a URI of a shared store) and returns the manifest, bases included, by part."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInArrow(_write(tokenizer, folder, end_id), "part int, name string, n_docs long, n_tokens long, width int")
+    manifest = rows.mapInArrow(_write(tokenizer, folder, end_id), "part long, name string, n_docs long, n_tokens long, width long")
     found = sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["part"])  # a row per partition
     bases = itertools.accumulate((r["n_tokens"] for r in found), initial=0)
     return [r | {"base": b} for r, b in zip(found, bases)]
@@ -125,7 +125,7 @@ def _mapped(store, path: str, kind: str) -> np.ndarray:
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list[dict], each, schema: str) -> DataFrame:
     """Runs ``each`` over (doc ids, global starts, local starts, mapped ids) of every partition's files."""
-    shape = "part int, name string, n_docs long, n_tokens long, width int, base long"
+    shape = "part long, name string, n_docs long, n_tokens long, width long, base long"
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
