@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import byte_bpe, exact_dedup, quality, simhash, token_files
+from pairscope.llm import byte_bpe, exact_dedup, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -13,10 +13,12 @@ def queries() -> dict:
             simhash.op4_simhash_near_dedup,
             quality.op5_quality_classifier,
             token_files.op6_token_files,
+            substring_dedup.op7_substring_dedup,
+            suffix_dedup.op9_suffix_dedup,
             byte_bpe.op10_byte_bpe,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}
