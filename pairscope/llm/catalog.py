@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pairscope.llm import byte_bpe, exact_dedup, quality, simhash, substring_dedup, suffix_dedup, token_files
+from pairscope.llm import byte_bpe, decontaminate, exact_dedup, licenses, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            decontaminate.op1_decontamination,
+            licenses.op2_license_scan,
             exact_dedup.op3_exact_dedup,
             simhash.op4_simhash_near_dedup,
             quality.op5_quality_classifier,
             token_files.op6_token_files,
             substring_dedup.op7_substring_dedup,
+            pseudonyms.op8_pii_pseudonyms,
             suffix_dedup.op9_suffix_dedup,
             byte_bpe.op10_byte_bpe,
         )
@@ -21,4 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}
+    return {
+        "op2_license_scan": licenses.OP2_SQL,
+        "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op7_substring_dedup": substring_dedup.OP7_SQL,
+    }
