@@ -2,14 +2,508 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pairscope.functions import vectors as V
+from pairscope.operators import clustering, extraction, histograms, profile, reports, thresholds, tile_plans, validation
+from pairscope.plans import strategies, tiled
+from pairscope.sources import samples as sources
+
+BINS = V.BINS
+FS = thresholds.FPIRS
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.raw(spark, f"{sf_dir}/embeddings.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# common parts of the SQL statements
+E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+P = f"""WITH {E},
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS id_i, b.label AS id_j, a.label = b.label AS is_pos,
+             greatest(-1e0, least(1e0, list_inner_product(a.v, b.v))) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id)"""
+GRID = "least(199999, CAST(floor((sim + 1) * 100000) AS BIGINT))"
+
+
+def _hist(grid: str = GRID) -> str:
+    return f"""{P},
+h AS (SELECT {grid} AS bin, CAST(count(*) FILTER (is_pos) AS BIGINT) AS n_pos, CAST(count(*) FILTER (NOT is_pos) AS BIGINT) AS n_neg FROM p GROUP BY 1)"""
+
+
+H = _hist()
+C = f"""{H},
+c AS (SELECT bin, n_pos, n_neg, sum(n_pos) OVER d AS s_pos, sum(n_neg) OVER d AS s_neg, sum(n_pos) OVER () AS tp, sum(n_neg) OVER () AS tn
+      FROM h WINDOW d AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
+f(f) AS (VALUES ({'), ('.join(f'{f:e}' for f in FS)}))"""
+HIST_OUT = "SELECT bin, n_pos, n_neg FROM h"
+PAIR_OUT = "i, j, CAST(id_i AS BIGINT) AS id_i, CAST(id_j AS BIGINT) AS id_j, is_pos, round(sim, 6) AS sim"
+
+
+def _shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select("i", "j", "id_i", "id_j", "is_pos", F.round("sim", 6).alias("sim"))
+
+
+# counts and profiles
+
+
+@_query("""WITH g AS (SELECT label, count(*) AS c FROM embeddings GROUP BY 1), t AS (SELECT sum(c) AS n, count(*) AS g, sum(c * (c - 1) // 2) AS pos FROM g)
+SELECT CAST(n AS BIGINT) AS n_samples, CAST(g AS BIGINT) AS n_identities, CAST(n * (n - 1) // 2 AS BIGINT) AS n_pairs, CAST(pos AS BIGINT) AS n_pos, CAST(n * (n - 1) // 2 - pos AS BIGINT) AS n_neg FROM t""")
+def pair_counts(spark, sf_dir):
+    return profile.pair_counts(_samples(spark, sf_dir))
+
+
+@_query(f"WITH {E}, n AS (SELECT sqrt(list_inner_product(v, v)) AS n FROM e) SELECT round(min(n), 6) AS norm_min, round(max(n), 6) AS norm_max, round(avg(n), 6) AS norm_mean, round(stddev_pop(n), 6) AS norm_std FROM n")
+def norm_stats(spark, sf_dir):
+    return profile.norm_stats(_samples(spark, sf_dir))
+
+
+@_query("""WITH g AS (SELECT label, count(*) AS c FROM embeddings GROUP BY 1)
+SELECT count(*) AS n_identities, min(c) AS size_min, max(c) AS size_max, round(avg(c), 6) AS size_mean, round(median(c), 6) AS size_median FROM g""")
+def identity_stats(spark, sf_dir):
+    return profile.identity_stats(_samples(spark, sf_dir))
+
+
+@_query(f"""{P} SELECT is_pos, count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std, round(min(sim), 6) AS min, round(max(sim), 6) AS max,
+{', '.join(f'round(quantile_cont(sim, {q}), 6) AS p{int(q * 100):02d}' for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))} FROM p GROUP BY 1""")
+def score_summary(spark, sf_dir):
+    return profile.score_summary(strategies.hof_pairs(_samples(spark, sf_dir)))
+
+
+@_query(f"""{P}, m AS (SELECT avg(sim) FILTER (is_pos) - avg(sim) FILTER (NOT is_pos) AS d FROM p)
+SELECT round(d, 6) AS separation, CASE WHEN d > 0.3 THEN 'excellent' WHEN d > 0.2 THEN 'good' WHEN d > 0.1 THEN 'fair' ELSE 'poor' END AS grade FROM m""")
+def separation(spark, sf_dir):
+    return profile.separation(strategies.hof_pairs(_samples(spark, sf_dir)))
+
+
+@_query("SELECT count(*) AS n_rows, 0::BIGINT AS null_vectors, 0::BIGINT AS not_finite, 0::BIGINT AS zero_vectors, 0::BIGINT AS too_short, max(len(embedding)) - min(len(embedding)) AS ragged, count(*) FILTER (label IS NULL) AS null_identities, count(*) FILTER (vec_id IS NULL) AS null_ids, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings")
+def sample_problems(spark, sf_dir):
+    return sources.problems(_samples(spark, sf_dir))
+
+
+@_query("SELECT vec_id AS sample_id, dense_rank() OVER (ORDER BY label) - 1 AS identity FROM embeddings")
+def compact_identities(spark, sf_dir):
+    return sources.compact_identities(_samples(spark, sf_dir)).select("sample_id", "identity")
+
+
+@_query("SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS identity FROM embeddings WHERE vec_id < 100")
+def head_samples(spark, sf_dir):
+    return sources.load(spark, f"{sf_dir}/embeddings.parquet", max_n=100).select("sample_id", "identity")
+
+
+# histograms
+
+
+@_query(f"{H} {HIST_OUT}")
+def pair_histogram(spark, sf_dir):
+    return tiled.histogram(_samples(spark, sf_dir))
+
+
+@_query(f"{H} {HIST_OUT}")
+def pair_histogram_joined(spark, sf_dir):
+    return strategies.pair_histogram(_samples(spark, sf_dir), "hof")
+
+
+@_query(f"{H} SELECT bin, n_pos FROM h WHERE n_pos > 0")
+def positive_histogram(spark, sf_dir):
+    return strategies.pair_histogram(_samples(spark, sf_dir), "group").select("bin", "n_pos")
+
+
+@_query(f"{H} {HIST_OUT}")
+def negatives_by_subtraction(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    full = tiled.histogram(s).select("bin", (F.col("n_pos") + F.col("n_neg")).alias("n"))
+    return histograms.negatives_by_subtraction(full, strategies.pair_histogram(s, "group"))
+
+
+@_query(f"{H} SELECT bin // 100 AS bin, CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg FROM h GROUP BY 1")
+def rebinned_histogram(spark, sf_dir):
+    return histograms.rebinned(tiled.histogram(_samples(spark, sf_dir)), 100)
+
+
+@_query(f"{_hist('CAST(round_even((sim + 1) * 20000, 0) AS BIGINT)')} {HIST_OUT}")
+def nearest_grid_histogram(spark, sf_dir):
+    return tiled.histogram(_samples(spark, sf_dir), 40_000, policy="nearest")
+
+
+@_query(f"{_hist('CAST(floor((sim + 1) / 2 * 199999) AS BIGINT)')} {HIST_OUT}")
+def wide_grid_histogram(spark, sf_dir):
+    return tiled.histogram(_samples(spark, sf_dir), policy="wide")
+
+
+@_query(f"""{P}, g AS (SELECT 'coarse' AS grid, least(4095, CAST(floor((sim + 1) * 2048) AS BIGINT)) AS bin, is_pos FROM p
+UNION ALL SELECT 'fine', least(65535, CAST(floor((sim - 2e-1) / (8e-1 / 65536)) AS BIGINT)), is_pos FROM p WHERE sim >= 2e-1)
+SELECT grid, bin, count(*) FILTER (is_pos) AS n_pos, count(*) FILTER (NOT is_pos) AS n_neg FROM g GROUP BY 1, 2""")
+def two_level_histogram(spark, sf_dir):
+    return histograms.two_level(strategies.hof_pairs(_samples(spark, sf_dir)))
+
+
+@_query(f"{H}, t AS (SELECT sum(n_pos) AS tp, sum(n_neg) AS tn FROM h) SELECT bin, round((bin + 5e-1) * 1e-5 - 1, 6) AS centre, round(n_pos / tp / 1e-5, 6) AS density_pos, round(n_neg / tn / 1e-5, 6) AS density_neg FROM h, t")
+def density(spark, sf_dir):
+    return histograms.density(tiled.histogram(_samples(spark, sf_dir)))
+
+
+@_query(f"{H} SELECT round(sum(((bin + 5e-1) * 1e-5 - 1) * n_pos) / sum(n_pos), 6) AS mean_pos, round(sum(((bin + 5e-1) * 1e-5 - 1) * n_neg) / sum(n_neg), 6) AS mean_neg FROM h")
+def histogram_means(spark, sf_dir):
+    return histograms.means(tiled.histogram(_samples(spark, sf_dir)))
+
+
+@_query(f"""{H}, u AS (SELECT bin, sum(n_pos) OVER d AS u_pos, sum(n_neg) OVER d AS u_neg, sum(n_pos) OVER () AS tp, sum(n_neg) OVER () AS tn FROM h WINDOW d AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+q(q) AS (VALUES (1e-2), (2.5e-1), (5e-1), (9.9e-1))
+SELECT q, round(min(bin) FILTER (u_pos >= q * tp) * 1e-5 - 1, 6) AS pos, round(min(bin) FILTER (u_neg >= q * tn) * 1e-5 - 1, 6) AS neg FROM u, q GROUP BY q""")
+def histogram_quantiles(spark, sf_dir):
+    return histograms.quantiles(tiled.histogram(_samples(spark, sf_dir)), [0.01, 0.25, 0.5, 0.99])
+
+
+@_query(f"{H} SELECT CAST(sum(n_neg) FILTER (bin >= 130000) AS BIGINT) AS neg_high, CAST(sum(n_pos) FILTER (bin < 90000) AS BIGINT) AS pos_low FROM h")
+def tail_counts(spark, sf_dir):
+    return histograms.tails(tiled.histogram(_samples(spark, sf_dir)), 130_000, 90_000)
+
+
+@_query(f"""{H}, t(threshold) AS (VALUES (1.234567e-1), (3e-1)), w AS (SELECT threshold, n_pos, n_neg, greatest(0e0, least(1e0, ((bin + 1) * 1e-5 - 1 - threshold) * 100000)) AS part FROM h, t)
+SELECT threshold, round(sum(n_pos * part), 4) AS pos_above, round(sum(n_neg * part), 4) AS neg_above FROM w GROUP BY 1""")
+def fractional_above(spark, sf_dir):
+    return histograms.above(tiled.histogram(_samples(spark, sf_dir)), [0.1234567, 0.3])
+
+
+@_query(f"{C} SELECT bin, round(bin * 1e-5 - 1, 6) AS threshold, round(s_neg / tn, 9) AS fpir, round(s_pos / tp, 9) AS tpir FROM c")
+def roc_curve(spark, sf_dir):
+    return histograms.curve(tiled.histogram(_samples(spark, sf_dir)))
+
+
+@_query(f"{C} SELECT bin, round(bin * 1e-5 - 1, 6) AS threshold, round(s_neg / tn, 9) AS fpir, round(s_pos / tp, 9) AS tpir FROM c WHERE bin % 100 = 0")
+def sampled_curve(spark, sf_dir):
+    return histograms.sampled_curve(tiled.histogram(_samples(spark, sf_dir)), 100)
+
+
+@_query(f"""{C}, g AS (SELECT id, pow(1e1, -6 + id * (6e0 / 99)) AS f FROM range(100) AS r(id)),
+k AS (SELECT id, least(200000, coalesce(max(CASE WHEN s_neg > CAST(floor(f * tn + 1e-6) AS BIGINT) THEN bin END) + 1, 0)) AS k FROM c, g GROUP BY id)
+SELECT id, k, CAST(sum(CASE WHEN bin >= k THEN n_pos ELSE 0 END) AS BIGINT) AS pos_above FROM h, k GROUP BY id, k""")
+def log_grid_curve(spark, sf_dir):
+    return thresholds.log_grid(tiled.histogram(_samples(spark, sf_dir)))
+
+
+# true positive rate at false positive rates, by convention
+
+LAST = "max(CASE WHEN {} THEN bin END)"
+RULES = {
+    "canonical": ("least(199999, coalesce(" + LAST.format("s_neg > greatest(1, CAST(ceil(f * tn) AS BIGINT))") + " + 1, 0))", "bin > k", "k * 1e-5 - 1"),
+    "plain": ("nullif(least(200000, coalesce(" + LAST.format("s_neg / tn > f") + " + 1, 0)), 200000)", "bin >= k", "k * 1e-5 - 1"),
+    "strict": ("least(199999, coalesce(" + LAST.format("s_neg / tn >= f") + " + 1, 0))", "exact", "k * 1e-5 - 1"),
+    "floor": ("least(200000, coalesce(" + LAST.format("s_neg > CAST(floor(f * tn) AS BIGINT)") + " + 1, 0))", "bin >= k", "k * 1e-5 - 1"),
+    "rank": (LAST.format("s_neg >= f * tn"), "exact", "k * 1e-5 - 1"),
+    "rank_bins": (LAST.format("s_neg >= f * tn"), "bin >= k", "k * 1e-5 - 1"),
+    "centre": (LAST.format("s_neg >= CAST(ceil(f * tn) AS BIGINT)"), "bin >= k", "(k + 5e-1) * 1e-5 - 1"),
+    "canonical_exact": ("least(199999, coalesce(" + LAST.format("s_neg > greatest(1, CAST(ceil(f * tn) AS BIGINT))") + " + 1, 0))", "exact", "k * 1e-5 - 1"),
+}
+
+
+def _tpir_sql(rule: str) -> str:
+    k, counted, at = RULES[rule]
+    pos = "(SELECT count(*) FROM p WHERE is_pos AND sim > round(k * 1e-5 - 1, 6))" if counted == "exact" else f"coalesce((SELECT sum(n_pos) FROM h WHERE {counted}), 0)"
+    return f"""{C}, k AS (SELECT f, {k} AS k, max(tp) AS tp, max(tn) AS tn FROM c, f GROUP BY f),
+r AS (SELECT f, k, tp, tn, coalesce((SELECT sum(n_neg) FROM h WHERE bin >= k), 0) AS fa, {pos} AS pa FROM k)
+SELECT f AS fpir_target, k, round({at}, 6) AS threshold, CAST(fa AS BIGINT) AS false_accepts, round(fa / tn, 9) AS fpir, CAST(pa AS BIGINT) AS pos_above, round(pa / tp, 9) AS tpir FROM r"""
+
+
+def _tpir(rule: str):
+    def query(spark, sf_dir):
+        s = _samples(spark, sf_dir)
+        positives = strategies.positive_pairs(s) if RULES[rule][1] == "exact" else None
+        return thresholds.tpir(tiled.histogram(s), rule, positives=positives)
+
+    query.__name__ = "tpir_at_fpir" if rule == "canonical" else f"tpir_{rule}"
+    return query
+
+
+for _rule in RULES:
+    _query(_tpir_sql(_rule))(_tpir(_rule))
+
+
+@_query(f"""{C.replace(GRID, 'least(39999, CAST(floor((sim + 1) * 20000) AS BIGINT))').replace(GRID, '')}, k AS (SELECT f, least(40000, coalesce(max(CASE WHEN s_neg > f * tn THEN bin END) + 1, 0)) AS k, max(tp) AS tp, max(tn) AS tn FROM c, f GROUP BY f),
+r AS (SELECT f, k, tp, tn, coalesce((SELECT sum(n_neg) FROM h WHERE bin >= k), 0) AS fa, coalesce((SELECT sum(n_pos) FROM h WHERE bin >= k), 0) AS pa FROM k)
+SELECT f AS fpir_target, k, round(k * 5e-5 - 1, 6) AS threshold, CAST(fa AS BIGINT) AS false_accepts, round(fa / tn, 9) AS fpir, CAST(pa AS BIGINT) AS pos_above, round(pa / tp, 9) AS tpir FROM r""".replace("least(39999, CAST(floor((sim + 1) * 20000) AS BIGINT))", "CAST(round_even((sim + 1) * 20000, 0) AS BIGINT)"))
+def tpir_nearest(spark, sf_dir):
+    return thresholds.tpir(tiled.histogram(_samples(spark, sf_dir), 40_000, policy="nearest"), "nearest", bins=40_000)
+
+
+@_query(f"""{C}, b AS (SELECT f, max(bin) AS bin FROM c, f WHERE s_neg >= f * tn GROUP BY f), x AS (SELECT f, c.*, (f * tn - (s_neg - n_neg)) / n_neg AS part FROM b JOIN c ON b.bin = c.bin)
+SELECT f AS fpir_target, bin AS k, round(bin * 1e-5 - 1 + (1 - part) * 1e-5, 9) AS threshold, round((s_pos - n_pos + part * n_pos) / tp, 9) AS tpir FROM x""")
+def tpir_inside(spark, sf_dir):
+    return thresholds.tpir(tiled.histogram(_samples(spark, sf_dir)), "inside")
+
+
+ORDER_SQL = {
+    "order_ceil": ("CAST(n - greatest(0, least(n - 1, ceil((1 - f) * n) - 1)) AS BIGINT)", ">"),
+    "order_floor": ("greatest(1, CAST(floor(f * n) AS BIGINT))", ">"),
+    "order_round": ("greatest(1, CAST(round_even(f * n, 0) AS BIGINT))", ">"),
+    "order_next": ("least(n, CAST(floor(f * n) AS BIGINT) + 1)", ">="),
+}
+
+
+def _order_sql(rule: str) -> str:
+    rank, op = ORDER_SQL[rule]
+    return f"""{C}, s AS (SELECT sim, row_number() OVER (ORDER BY sim DESC) AS r FROM p WHERE NOT is_pos), n AS (SELECT count(*) AS n FROM s),
+k AS (SELECT f, {rank} AS r FROM f, n), t AS (SELECT f, sim AS t FROM k JOIN s ON k.r = s.r)
+SELECT f AS fpir_target, round(t, 6) AS threshold, count(*) FILTER (sim {op} t) AS pos_above, round(count(*) FILTER (sim {op} t) / count(*), 9) AS tpir FROM t, (SELECT sim FROM p WHERE is_pos) GROUP BY f, t"""
+
+
+def _by_order(rule: str):
+    def query(spark, sf_dir):
+        s = _samples(spark, sf_dir)
+        return thresholds.tpir_by_order(s, tiled.histogram(s), rule)
+
+    query.__name__ = f"tpir_{rule}"
+    return query
+
+
+for _rule in ORDER_SQL:
+    _query(_order_sql(_rule))(_by_order(_rule))
+
+
+@_query(f"""{C}, t AS (SELECT f, quantile_cont(sim, [1 - f for f in [{', '.join(f'{f:e}' for f in FS)}]])[row_number] AS t FROM (SELECT f, row_number() OVER (ORDER BY f) AS row_number FROM f), (SELECT sim FROM p WHERE NOT is_pos) GROUP BY f, row_number)
+SELECT f AS fpir_target, round(t, 6) AS threshold, count(*) FILTER (sim > t) AS pos_above, round(count(*) FILTER (sim > t) / count(*), 9) AS tpir FROM t, (SELECT sim FROM p WHERE is_pos) GROUP BY f, t""")
+def tpir_percentile(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return thresholds.tpir_by_percentile(s, tiled.histogram(s))
+
+
+@_query(f"""{P}, s AS (SELECT sim, row_number() OVER (ORDER BY sim) - 1 AS r FROM p WHERE is_pos), m AS (SELECT count(*) AS m FROM s), g(tpir_target) AS (VALUES (5e-1), (9e-1), (9.9e-1))
+SELECT tpir_target, round(sim, 6) AS threshold FROM g, m JOIN s ON s.r = least(m - 1, greatest(1, CAST(round_even((1 - tpir_target) * m, 0) AS BIGINT)))""")
+def threshold_at_tpir(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return thresholds.threshold_at_tpir(s, tiled.histogram(s), [0.5, 0.9, 0.99])
+
+
+# extraction
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos ORDER BY p.sim DESC, i, j LIMIT 100")
+def hard_negatives(spark, sf_dir):
+    return _shown(extraction.top(_samples(spark, sf_dir), "neg", 100))
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE is_pos ORDER BY p.sim, i, j LIMIT 100")
+def hard_positives(spark, sf_dir):
+    return _shown(extraction.top(_samples(spark, sf_dir), "pos", 100, highest=False))
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos AND sim >= 3e-1 ORDER BY p.sim DESC, i, j LIMIT 50")
+def top_negatives_from(spark, sf_dir):
+    return _shown(extraction.top(_samples(spark, sf_dir), "neg", 50, True, ">=", 0.3))
+
+
+def _beyond(side: str, op: str, t: float, name: str):
+    def query(spark, sf_dir):
+        return _shown(extraction.beyond(_samples(spark, sf_dir), side, op, t))
+
+    query.__name__ = name
+    test = {"pos": "is_pos AND ", "neg": "NOT is_pos AND ", "all": ""}[side]
+    _query(f"{P} SELECT {PAIR_OUT} FROM p WHERE {test}sim {op} {t:e}")(query)
+
+
+for _side in ("all", "pos", "neg"):
+    _beyond(_side, ">", 0.35, f"pairs_above_{_side}")
+    _beyond(_side, "<", -0.35, f"pairs_below_{_side}")
+
+
+@_query(f"{P} SELECT CASE WHEN is_pos AND sim > 1e-1 THEN 'true_accept' WHEN sim > 1e-1 THEN 'false_accept' WHEN is_pos THEN 'false_reject' ELSE 'true_reject' END AS pair_type, count(*) AS n FROM p GROUP BY 1")
+def confusion_counts(spark, sf_dir):
+    return extraction.four_classes(_samples(spark, sf_dir), 0.1)
+
+
+@_query(f"""{P}, x AS (SELECT *, CASE WHEN is_pos AND sim > 1e-1 THEN 'true_accept' WHEN sim > 1e-1 THEN 'false_accept' WHEN is_pos THEN 'false_reject' ELSE 'true_reject' END AS pair_type FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY abs(sim - 1e-1), i, j) AS at FROM x)
+SELECT pair_type, at, i, j, is_pos, round(sim, 6) AS sim FROM r WHERE at <= 25""".replace(" AS at", " AS nr").replace(", at,", ", nr,").replace("WHERE at", "WHERE nr"))
+def four_class_examples(spark, sf_dir):
+    return extraction.class_examples(_samples(spark, sf_dir), 0.1, 25).select("pair_type", F.col("at").cast("long").alias("nr"), "i", "j", "is_pos", F.round("sim", 6).alias("sim"))
+
+
+@_query(f"""{P} (SELECT {PAIR_OUT} FROM p WHERE NOT is_pos AND sim > 2e-1 ORDER BY p.sim, i, j LIMIT 40) UNION ALL (SELECT {PAIR_OUT} FROM p WHERE is_pos AND sim <= 2e-1 ORDER BY p.sim DESC, i, j LIMIT 40)""")
+def nearest_to_threshold(spark, sf_dir):
+    return _shown(extraction.nearest(_samples(spark, sf_dir), 0.2, 40))
+
+
+@_query(f"{P}, t(threshold) AS (VALUES (0e0), (1e-1), (2.5e-1)) SELECT threshold, count(*) FILTER (is_pos AND sim > threshold) AS pos_above, count(*) FILTER (NOT is_pos AND sim > threshold) AS neg_above FROM p, t GROUP BY 1")
+def count_above(spark, sf_dir):
+    return extraction.counts_beyond(_samples(spark, sf_dir), [0.0, 0.1, 0.25])
+
+
+@_query(f"{P} SELECT i, j, 'vec_' || i AS path_i, 'vec_' || j AS path_j, round(sim, 6) AS sim FROM p WHERE NOT is_pos ORDER BY p.sim DESC, i, j LIMIT 30")
+def pairs_with_paths(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return extraction.with_paths(extraction.top(s, "neg", 30), s).select("i", "j", "path_i", "path_j", F.round("sim", 6).alias("sim"))
+
+
+@_query(f"""{C}, k AS (SELECT least(199999, coalesce(max(CASE WHEN s_neg > greatest(1, CAST(ceil(1e-4 * tn) AS BIGINT)) THEN bin END) + 1, 0)) AS k FROM c)
+SELECT {PAIR_OUT} FROM p, k WHERE NOT is_pos AND sim > round(k * 1e-5 - 1, 6)""")
+def negatives_above_fpir(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    t = thresholds.tpir(tiled.histogram(s), "canonical", [1e-4]).first()["threshold"]  # one number
+    return _shown(extraction.beyond(s, "neg", ">", t))
+
+
+@_query(f"{P} SELECT i, j, CAST(round_even(sim * 1000000, 0) AS BIGINT) AS sim_fixed FROM p WHERE is_pos AND sim > 3e-1")
+def fixed_point_scores(spark, sf_dir):
+    return extraction.beyond(_samples(spark, sf_dir), "pos", ">", 0.3).select("i", "j", V.fixed_point(F.col("sim")).alias("sim_fixed"))
+
+
+@_query()
+def random_low_negatives(spark, sf_dir):
+    return _shown(extraction.random_low(_samples(spark, sf_dir), -0.1, 0.05))
+
+
+@_query()
+def sampled_pairs(spark, sf_dir):
+    return profile.sampled_pairs(_samples(spark, sf_dir)).select("id", "i", "j", "is_pos", F.round("sim", 6).alias("sim"))
+
+
+@_query()
+def generated_samples(spark, sf_dir):
+    made = sources.generate(spark, 50, 4, 32)
+    return made.select("vec_id", "label", "path")
+
+
+# clustering
+
+NEAR = f"""{P}, n AS (SELECT i, j, sim FROM p WHERE sim >= 3e-1 UNION ALL SELECT j, i, sim FROM p WHERE sim >= 3e-1 UNION ALL SELECT vec_id, vec_id, least(1e0, list_inner_product(v, v)) FROM e),
+c AS (SELECT i AS c FROM n GROUP BY i ORDER BY count(*) DESC, round(sum(sim), 6) DESC, i LIMIT 1),
+m AS (SELECT j AS sample_id, c FROM n, c WHERE i = c),
+d AS (SELECT vec_id AS sample_id, CASE WHEN c IS NULL THEN -1 ELSE 0 END AS cluster, coalesce(vec_id = c, false) AS is_centre FROM e LEFT JOIN m ON vec_id = sample_id)"""
+
+
+@_query(f"{NEAR} SELECT sample_id, cluster, is_centre FROM d")
+def density_centre(spark, sf_dir):
+    return clustering.density_centre(_samples(spark, sf_dir), 0.3)
+
+
+@_query(f"""{NEAR}, x AS (SELECT pos, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e JOIN d ON vec_id = sample_id WHERE cluster = 0) GROUP BY pos),
+g AS (SELECT list(x ORDER BY pos) AS g FROM x), u AS (SELECT g, sqrt(list_inner_product(g, g)) AS len FROM g)
+SELECT sample_id, 'main' AS how FROM d WHERE cluster = 0 UNION ALL SELECT sample_id, 'matched' FROM d JOIN e ON vec_id = sample_id, u WHERE cluster <> 0 AND list_inner_product(v, g) / len >= 2.5e-1""")
+def centroid_absorb(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return clustering.absorbed(s, clustering.density_centre(s, 0.3).select("sample_id", "cluster"), 0.25)
+
+
+@_query(f"{P} SELECT least(49, CAST(floor((sim - 4e-1) / (6e-1 / 50)) AS BIGINT)) AS bin, count(*) FILTER (is_pos) AS n_pos, count(*) FILTER (NOT is_pos) AS n_neg FROM p WHERE sim BETWEEN 4e-1 AND 1e0 GROUP BY 1")
+def matrix_histogram(spark, sf_dir):
+    return clustering.matrix_histogram(_samples(spark, sf_dir))
+
+
+# plans
+
+
+@_query("""WITH b AS (SELECT b, b * 64 AS lo, least(500, b * 64 + 64) AS hi FROM range(8) AS r(b))
+SELECT i.b AS bi, j.b AS bj, i.hi - i.lo AS n_rows, j.hi - j.lo AS n_columns, CASE WHEN i.b = j.b THEN (i.hi - i.lo) * (i.hi - i.lo - 1) // 2 ELSE (i.hi - i.lo) * (j.hi - j.lo) END AS n_pairs FROM b i JOIN b j ON i.b <= j.b""")
+def tile_plan(spark, sf_dir):
+    return tile_plans.tile_plan(spark, 500, 64)
+
+
+@_query("SELECT DISTINCT a.vec_id // 16 AS bi, b.vec_id // 16 AS bj FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 16 <= b.vec_id // 16 AND a.vec_id <> b.vec_id")
+def positive_tiles(spark, sf_dir):
+    return tile_plans.positive_tiles(_samples(spark, sf_dir), 16)
+
+
+@_query("SELECT vec_id // 16 AS b, CAST(min(label) AS BIGINT) AS least, CAST(max(label) AS BIGINT) AS most FROM embeddings GROUP BY 1")
+def identity_ranges(spark, sf_dir):
+    return tile_plans.identity_ranges(_samples(spark, sf_dir), 16)
+
+
+@_query("SELECT part, min(r) AS first_row FROM range(501) AS a(r), range(7) AS b(part) WHERE ((500 - r) * (500 - r - 1) // 2) * 7 <= 124750 * (7 - part) GROUP BY part")
+def row_splits(spark, sf_dir):
+    return tile_plans.row_splits(spark, 500, 7)
+
+
+@_query("SELECT k, CAST(floor(500 * (1 - sqrt(1 - k / 7)) + 5e-1) AS BIGINT) AS bound FROM range(8) AS r(k)")
+def equal_area_bounds(spark, sf_dir):
+    return tile_plans.equal_area_bounds(spark, 500, 7)
+
+
+# validation, comparison, reports
+
+
+@_query(f"""{H}, g AS (SELECT label, count(*) AS c FROM embeddings GROUP BY 1), t AS (SELECT CAST(sum(c * (c - 1) // 2) AS BIGINT) AS n_pos, CAST(sum(c) * (sum(c) - 1) // 2 AS BIGINT) AS n_all FROM g), s AS (SELECT CAST(sum(n_pos) AS BIGINT) AS gp, CAST(sum(n_neg) AS BIGINT) AS gn FROM h)
+SELECT gp AS got_pos, gn AS got_neg, n_pos, n_all - n_pos AS n_neg, gp - n_pos AS delta_pos, gn - (n_all - n_pos) AS delta_neg, 0::BIGINT AS bad_bins, gp = n_pos AND gn = n_all - n_pos AS strict_ok, gp = n_pos AND gn = n_all - n_pos AS ok FROM s, t""")
+def validated_histogram(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return validation.conserved(tiled.histogram(s), s)
+
+
+@_query("SELECT 0::BIGINT AS l1_pos, 0::BIGINT AS l1_neg, 0::BIGINT AS bins_differ")
+def histogram_difference(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return validation.histogram_difference(tiled.histogram(s, size=100), strategies.hof_histogram(s))
+
+
+@_query(f"""{P}, a AS (SELECT * FROM p WHERE sim > 3e-1), b AS (SELECT * FROM p WHERE sim > 3.2e-1 AND is_pos)
+SELECT count(*) FILTER (a.i IS NOT NULL AND b.i IS NOT NULL) AS in_both, count(*) FILTER (b.i IS NULL) AS only_a, count(*) FILTER (a.i IS NULL) AS only_b, round(max(abs(a.sim - b.sim)), 6) AS score_gap FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j""")
+def pair_set_difference(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return validation.pair_set_difference(extraction.beyond(s, "all", ">", 0.3), extraction.beyond(s, "pos", ">", 0.32))
+
+
+@_query(f"""WITH a AS ({_tpir_sql('canonical')}), b AS ({_tpir_sql('plain')})
+SELECT a.fpir_target, CAST(round(abs(a.threshold - b.threshold) * 100000) AS BIGINT) AS bins_off, round(abs(a.tpir - b.tpir), 9) AS tpir_gap, round(abs(a.threshold - b.threshold) * 100000) <= 10 AND abs(a.tpir - b.tpir) < 1e-3 AS ok FROM a JOIN b ON a.fpir_target = b.fpir_target""")
+def metric_difference(spark, sf_dir):
+    h = tiled.histogram(_samples(spark, sf_dir))
+    return validation.metric_difference(thresholds.tpir(h, "canonical"), thresholds.tpir(h, "plain"))
+
+
+@_query(f"WITH a AS ({_tpir_sql('canonical')}) SELECT fpir_target, tpir, fpir_target AS expected, abs(tpir - fpir_target) <= 5e-2 AS in_range FROM a")
+def expected_range(spark, sf_dir):
+    metrics = thresholds.tpir(tiled.histogram(_samples(spark, sf_dir)))
+    return validation.expected_range(metrics, {f: f for f in FS})
+
+
+RUNS = [("small", "base", True, 10.5, 19_999_900_000, 60.0), ("small", "a", True, 6.66, 19_999_900_000, 60.0), ("small", "b", True, 61.0, 19_999_900_000, 60.0), ("small", "c", False, 9.14, 19_999_900_000, 60.0), ("large", "base", True, 47.89, 1_999_999_000_000, 1800.0), ("large", "a", True, 36.44, 1_999_999_000_000, 1800.0)]
+
+
+@_query(f"""WITH r(stage, model, success, wall_s, pairs, timeout_s) AS (VALUES {', '.join(f"('{a}', '{b}', {c}, {d:e}, {e}, {f:e})" for a, b, c, d, e, f in RUNS)})
+SELECT r.stage, r.model, row_number() OVER (PARTITION BY r.stage ORDER BY r.success DESC, r.wall_s, r.model) AS place, round(r.pairs / r.wall_s / 1e9, 4) AS gpairs_s, round(r.wall_s / b.wall_s, 4) AS ratio, r.success AND r.wall_s <= r.timeout_s AS qualified
+FROM r LEFT JOIN r b ON b.stage = r.stage AND b.model = 'base'""")
+def stage_ranking(spark, sf_dir):
+    return reports.ranking(spark.createDataFrame(RUNS, "stage string, model string, success boolean, wall_s double, pairs long, timeout_s double"), "base")
+
+
+@_query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def daily_rollup(spark, sf_dir):
+    return reports.daily_rollup(_events(spark, sf_dir))
+
+
+@_query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 3) AS span_s FROM events GROUP BY 1")
+def session_rollup(spark, sf_dir):
+    return reports.session_rollup(_events(spark, sf_dir))
+
+
+@_query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events)
+SELECT user_id, round(sum(CASE WHEN gap <= 6e2 THEN gap ELSE 0 END), 3) AS effective_s, count(*) FILTER (gap > 6e2) AS breaks FROM g GROUP BY 1""")
+def effective_time(spark, sf_dir):
+    return reports.effective_time(_events(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["tpir_at_fpir"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
