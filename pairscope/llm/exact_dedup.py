@@ -182,11 +182,65 @@ def groups_of_equal(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     )
 
 
+def _keep(names: list[str], text: str, id_column: str, budget: int):
+    """As ``_match``, with all columns: of each content the row that stays; rows that do not fit come back not yet kept."""
+    text_at, id_at, rest = names.index(text), names.index(id_column), [k for k, n in enumerate(names) if n != text]
+
+    def run(batches):
+        table, best, place, none, held, base = ContentTable(), [], [], [], [], 0
+        for batch in batches:
+            ids, rows, hashes = batch.column(id_at).cast(pa.int64()).to_pylist(), *(batch.column(c).to_pylist() for c in ("row__", "hash__"))
+            over, won = [], {}
+            for j, t in enumerate(batch.column(text_at).to_pylist()):
+                k = table.find(hashes[j] & (1 << 64) - 1, (t or "").encode(), budget)
+                if k < 0:
+                    over.append(j)
+                    continue
+                mine = (LEAST if ids[j] is None else ids[j], rows[j])
+                if k == len(best):
+                    best.append(mine)
+                    place.append(0)
+                    none.append(t is None)
+                elif mine > best[k]:
+                    best[k], none[k] = mine, t is None
+                else:
+                    continue
+                won[k] = j
+            if over:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(over)).columns, pa.array([False] * len(over))], names=[*batch.schema.names, "kept__"])
+            if won:
+                held.append(pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=[str(k) for k in rest]).take(pa.array(list(won.values()))))
+                for k in won:
+                    place[k], base = base, base + 1
+        others = pa.Table.from_batches(held) if held else None
+        for lo in range(0, len(best), 5_000):
+            some = range(lo, min(lo + 5_000, len(best)))
+            part = others.take(pa.array([place[k] for k in some])).combine_chunks() if rest else None
+            texts = pa.array([None if none[k] else table.contents[k].decode() for k in some], pa.string())
+            columns = [texts if n == text else part.column(str(k)).combine_chunks() for k, n in enumerate(names)]
+            zero = pa.array(np.zeros(len(some), np.int64))
+            yield pa.RecordBatch.from_arrays([*columns, zero, zero, pa.array([True] * len(some))], names=[*names, "row__", "hash__", "kept__"])
+
+    return run
+
+
 def dedup(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
-    """One row of each group of equal texts, with all columns as they came."""
-    rows, found = _groups(df, text, id_column, budget)
-    stay = found.where("row__ = keep_row__").select("row__")
-    return rows.where("n__ > 0").join(stay, "row__", "left_semi").select(*df.columns)
+    """One row of each group of equal texts, with all columns as they came. Texts are shuffled once a level."""
+    spark, names = df.sparkSession, df.columns
+    schema = plus(df.schema, "row__ long, stand__ long, n__ long, sha__ binary, hash__ long")
+    # of a task's equal rows the one that stands for them is the one that would stay
+    left = df.mapInArrow(_merge_in_task(names, names.index(text), names.index(id_column), budget), schema).where("n__ > 0").select(*names, "row__", "hash__")
+    kept, level = None, 0
+    while True:
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = left.repartition(parts, F.xxhash64("hash__", F.lit(level)))
+        done = as_table(dealt.mapInArrow(_keep(names, text, id_column, budget), plus(df.schema, "row__ long, hash__ long, kept__ boolean")), f"kept{level}")
+        stay = done.where("kept__").select(*names)
+        kept = stay if kept is None else kept.unionByName(stay)
+        left = done.where("not kept__").drop("kept__")
+        level += 1
+        if left.isEmpty():
+            return kept
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
