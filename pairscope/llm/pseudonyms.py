@@ -63,21 +63,20 @@ def permuted(x: Column, a: int | Column, b: int | Column, key: str, kind: str) -
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * b + s["r"])
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
 def _luhn(digits: Column, double_first: bool) -> Column:
     """Luhn sum of the digits from the last one on; double_first: the last is already doubled."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(digits)),
-        F.lit(0),
-        lambda s, i: s + F.when((i % 2 == 0) != F.lit(double_first), _doubled(_digit(digits, i))).otherwise(_digit(digits, i)),
-    )
-
-
-def _digit(digits: Column, from_end: Column) -> Column:
-    return F.substring(F.reverse(digits), from_end, F.lit(1)).cast("int")
+    even = lambda i: (i % 2 == 0) != F.lit(double_first)
+    each = lambda s, d, i: s + F.when(even(i), _doubled(d)).otherwise(d)
+    return _let(F.reverse(digits), lambda r: F.aggregate(F.sequence(F.lit(1), F.length(r)), F.lit(0), lambda s, i: each(s, F.substring(r, i, F.lit(1)).cast("int"), i)))
 
 
 def _doubled(d: Column) -> Column:
@@ -86,9 +85,10 @@ def _doubled(d: Column) -> Column:
 
 def _filled(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced in order."""
-    put = lambda i: F.substring(digits, F.length(_digits(F.substring(form, F.lit(1), i))), F.lit(1))
     sign = lambda i: F.substring(form, i, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(sign(i).rlike("[0-9]"), put(i)).otherwise(sign(i))), "")
+    put = lambda d, i: F.substring(d, F.length(_digits(F.substring(form, F.lit(1), i))), F.lit(1))
+    places = F.sequence(F.lit(1), F.length(form))
+    return _let(digits, lambda d: F.array_join(F.transform(places, lambda i: F.when(sign(i).rlike("[0-9]"), put(d, i)).otherwise(sign(i))), ""))
 
 
 def _ten(n: Column) -> Column:
@@ -109,8 +109,8 @@ def _long_number(digits: Column, key: str, kind: str) -> Column:
 def _card(s: Column, key: str) -> Column:
     digits = _digits(s)
     body = _long_number(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    last = F.pmod(10 - _luhn(body, True) % 10, F.lit(10)).cast("string")
-    return F.when(_luhn(digits, False) % 10 == 0, _filled(s, F.concat(body, last)))
+    whole = _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn(b, True) % 10, F.lit(10)).cast("string")))
+    return F.when(_luhn(digits, False) % 10 == 0, _filled(s, whole))
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -125,18 +125,21 @@ def _ssn(s: Column, key: str) -> Column:
     area, group, serial = (F.substring(s, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     x = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
-    y = permuted(F.when(valid, x), 898, 99 * 9999, key, "ssn")
-    area, rest = F.floor(y / (99 * 9999)), y % (99 * 9999)
-    area = area + F.when(area >= 665, 2).otherwise(1)
-    return F.when(valid, F.concat_ws("-", _padded(area, F.lit(3)), _padded(F.floor(rest / 9999) + 1, F.lit(2)), _padded(rest % 9999 + 1, F.lit(4))))
+
+    def shown(y: Column) -> Column:
+        area, rest = F.floor(y / (99 * 9999)), y % (99 * 9999)
+        area = area + F.when(area >= 665, 2).otherwise(1)
+        return F.concat_ws("-", _padded(area, F.lit(3)), _padded(F.floor(rest / 9999) + 1, F.lit(2)), _padded(rest % 9999 + 1, F.lit(4)))
+
+    return F.when(valid, _let(permuted(x, 898, 99 * 9999, key, "ssn"), shown))
 
 
 def _ip(s: Column, key: str) -> Column:
     part = lambda k: F.split_part(s, F.lit("."), F.lit(k)).cast("long")
     valid = (part(1) < 256) & (part(2) < 256) & (part(3) < 256) & (part(4) < 256)
     x = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
-    y = permuted(F.when(valid, x), 65536, 65536, key, "ip")
-    return F.when(valid, F.concat_ws(".", *((F.shiftright(y, k) % 256).cast("string") for k in (24, 16, 8, 0))))
+    shown = lambda y: F.concat_ws(".", *((F.shiftright(y, k) % 256).cast("string") for k in (24, 16, 8, 0)))
+    return F.when(valid, _let(permuted(x, 65536, 65536, key, "ip"), shown))
 
 
 def _date(s: Column, key: str) -> Column:
@@ -180,13 +183,15 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", found: str
     """All columns, with pseudonyms in ``text``; ``found``: kind and pseudonym of each value in order."""
     spot = F.col(text)
 
-    def replaced(s: Column) -> Column:
-        kind = kind_of(s)
+    def made(s: Column, kind: Column) -> Column:
         out = F.lit(None).cast("string")
         for k, make in MAKERS.items():
             out = F.when(kind == k, make(s, key)).otherwise(out)
         return F.struct(kind.alias("kind"), s.alias("old"), out.alias("new"))
 
+    def replaced(s: Column) -> Column:
+        return _let(kind_of(s), lambda kind: made(s, kind))
+
     maybe = spot.rlike("[0-9]{4}|[0-9]\\.[0-9]|@")
     matches = F.when(maybe, F.regexp_extract_all(spot, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     step = docs.withColumn("m__", matches).withColumn("r__", F.transform("m__", replaced))
