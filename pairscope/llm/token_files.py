@@ -28,7 +28,7 @@ from pairscope.llm.pretokens import split
 from pairscope.llm.store import documents, shared_path
 
 END = 0
-CACHE = 600_000  # words a worker remembers
+CACHE = 1_200_000  # words a worker remembers, about 200 bytes each
 NO_ID = -(1 << 63)
 
 
@@ -49,16 +49,35 @@ class Encoder:
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _learn(self, new: set[str]) -> None:
+        """Asks the library for new words. Words of a space and letters stay apart in a row, so many go in as one text."""
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        alone = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+        rows = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
+        for lo in range(0, len(rows), 100):
+            some = rows[lo : lo + 100]
+            for row, e in zip(some, self.tokenizer.encode_batch(["".join(r) for r in some], add_special_tokens=False)):
+                owner = np.array(e.word_ids, np.int64)
+                if not len(owner) or owner[-1] + 1 != len(row):  # the library sees other words
+                    alone += row
+                    continue
+                packed, size = self.pack(e.ids), self.kind.itemsize
+                ends = (np.flatnonzero(np.append(np.diff(owner), 1)) + 1) * size
+                start = 0
+                for w, end in zip(row, ends.tolist()):
+                    self.known[w] = packed[start:end]
+                    start = end
+        for lo in range(0, len(alone), 20_000):
+            some = alone[lo : lo + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[w] = self.pack(e.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
         words, counts = split(["" if k in whole else t for k, t in enumerate(texts)])
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = self.pack(e.ids)
+        self._learn(set(words).difference(self.known))
         found = map(self.known.__getitem__, words)
         out = [b"".join(itertools.islice(found, n)) for n in counts.tolist()]
         for k in whole:
