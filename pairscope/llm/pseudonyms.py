@@ -40,7 +40,11 @@ OCTETS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])
 DATE = r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2}|[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CARD = r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z-])"
-PHONE = r"(?:(?<![0-9A-Za-z+])\+1[ .-]?|(?<![0-9A-Za-z+.-]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9]{9,15}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z-])"
+PHONE = r"(?:(?<![0-9A-Za-z+])\+1[ .-]?|(?<![0-9A-Za-z+.-]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9]{9,15}(?![0-9A-Za-z-])"
+# after a country code: 8 to 15 digits in groups of any size; a lone digit ends a number only after "-", and a number with a decimal point is none
+ABROAD = r"(?<![0-9A-Za-z+])\+(?=[2-9][0-9]{0,2}(?:[ -]|[ .-]?\(|\.[0-9]{1,5}[.-][0-9(]|\.[0-9]{2,5} [0-9(]))[2-9](?:[ .-]?\(?[0-9]\)?){7,14}(?<![ .][0-9])(?![0-9A-Za-z-])"
+PHONE = f"{PHONE}|{ABROAD}"
+MAYBE = r"[0-9]{4}|[0-9]\.[0-9]|@|\+[0-9]"  # in every text with a match of ANY: each form has one of these
 FORMS = [("email", EMAIL), ("ip", OCTETS), ("date", DATE), ("ssn", SSN), ("card", CARD), ("phone", PHONE)]
 ANY = "|".join(p for _, p in FORMS)
 
@@ -192,7 +196,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", found: str
     def replaced(s: Column) -> Column:
         return _let(kind_of(s), lambda kind: made(s, kind))
 
-    maybe = spot.rlike("[0-9]{4}|[0-9]\\.[0-9]|@")
+    maybe = spot.rlike(MAYBE)
     matches = F.when(maybe, F.regexp_extract_all(spot, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     step = docs.withColumn("m__", matches).withColumn("r__", F.transform("m__", replaced))
     pieces = F.split(spot, ANY, -1)

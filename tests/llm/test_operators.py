@@ -224,6 +224,27 @@ def test_pseudonyms(spark, none):
     assert pseudonyms.pseudonymize(none).columns[:-1] == none.columns
 
 
+ALONE = [
+    ("phone", "+45 12 34 56 78"), ("phone", "+49 30 123 456"), ("phone", "+33 6 12 34 56 78"), ("phone", "+33.6.12.34.56.78"), ("phone", "+55 11 9 123-45-67"), ("phone", "+44 (0)20 794 609 58"), ("phone", "+49 89 123 45-0"),
+    ("phone", "+45 12345678"), ("phone", "+4512345678"), ("phone", "+1 988 555 2485"), ("phone", "(988) 555-2485"), ("phone", "988.555.2485"), ("card", "4041894974608795"), ("card", "4041 8949 7460 8795"), ("card", "4041-8949-7460-8795"),
+    ("ssn", "123-45-6789"), ("ip", "1.2.3.4"), ("date", "2001-02-28"), ("date", "2001/02/28"), ("date", "1.2.2001"), ("date", "2/1/2001"), ("email", "a@b.cd"),
+]
+
+
+def test_each_form_alone_in_a_text(spark):
+    rows = [(k, f"call {v} now") for k, (_, v) in enumerate(ALONE)] + [(k + 100, f"call {v} now, 2.5 at 1234") for k, (_, v) in enumerate(ALONE)]
+    rows += [(200, "+45 12 34 56 78 2 items"), (201, "+3.14159265 and +2.5 100 200 300 and +12 345")]
+    got = {r["doc_id"]: (r["text"], [tuple(f) for f in r["found__"]]) for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (kind, v) in enumerate(ALONE):
+        text, found = got[k]
+        assert [f[0] for f in found] == [kind] and v not in text and text == f"call {found[0][1]} now", v
+        assert got[k + 100] == (f"call {found[0][1]} now, 2.5 at 1234", found), v
+    tail = f"{feistel(2345678, 10**3, 10**4, 'phone'):07d}"
+    assert got[0][0] == f"call +45 1{tail[0]} {tail[1:3]} {tail[3:5]} {tail[5:]} now"
+    assert got[200][0] == got[0][0].removeprefix("call ").removesuffix(" now") + " 2 items"
+    assert got[201] == (rows[-1][1], [])
+
+
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
