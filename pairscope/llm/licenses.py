@@ -1,7 +1,8 @@
 """Operator 2, license scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A block is what stands between line ends and sentence ends. A template is found in a block that has at least
-``THRESHOLD`` of the template's distinct words. The join:
+``THRESHOLD`` of the template's distinct words, and in a stretch of as many words as the template has, across any line and
+sentence ends, that has them (wrapped lines, "v. 2.0"). The join:
 
 1. *Global order*: the words of all templates are counted over all documents and ordered from rare to frequent (their
    number is that of the templates' words, so it is the only thing that the driver ever sees).
@@ -13,6 +14,11 @@ A block is what stands between line ends and sentence ends. A template is found
    counted by their own match: only a pair's first common word goes on.
 5. The remaining pairs are counted exactly.
 
+Stretches go the same way: around each of the rarest words, the words that a window with it can reach are a block of their
+own if they cross a block's end, and of those that pass, each window is counted. ``n_blocks`` has the blocks that hold a
+template, and the places across ends that hold one which no block there holds (windows that overlap are one place).
+``OP2_SQL`` states the blocks alone; it is equal where no template stands across ends.
+
 The base labels come from phrases at any place of the text. Rows are numbered so that repeated rows stay apart.
 
 Defined cases: a null or empty text has no words and no labels, and score 0; first_word and last_word are null without base
@@ -73,7 +79,7 @@ def templates() -> list[dict]:
     out = []
     for k, (label, text) in enumerate(TEMPLATES):
         words = sorted(set(text.split()))
-        out.append({"template": k, "label": label, "words": words, "need": math.ceil(THRESHOLD * len(words))})
+        out.append({"template": k, "label": label, "words": words, "need": math.ceil(THRESHOLD * len(words)), "span": len(text.split())})
     return out
 
 
@@ -93,6 +99,44 @@ def word_order(docs: DataFrame, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (found.get(w, 0), w))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(text: Column, any_rare: str) -> Column:
+    """The blocks that have a rare word: lo (the block's number), block."""
+    each = F.transform(F.split(text, BLOCK_END), lambda b, i: F.struct(i.alias("lo"), b.alias("block")))
+    return F.filter(each, lambda x: x["block"].rlike(any_rare))
+
+
+def _stretches(text: Column, rare: list[str], reach: int) -> Column:
+    """Around each rare word, what windows of up to ``reach`` words can hold, if that crosses a block's end: at (the first
+    word's place in the text), own (word and number of the block of each)."""
+    words = lambda b, i: F.transform(F.regexp_extract_all(lowered(b), F.lit(WORD), 0), lambda w: F.struct(w.alias("w"), i.alias("i")))
+    spots = lambda all_: F.filter(F.transform(all_, lambda x, k: F.when(x["w"].isin(rare), k)), lambda k: k.isNotNull())
+
+    def around(all_: Column) -> Column:
+        def cut(k: Column) -> Column:
+            at = F.greatest(k - (reach - 1), F.lit(0))
+            return F.struct(at.alias("at"), F.slice(all_, at + 1, k - at + reach).alias("own"))
+
+        return F.filter(F.transform(spots(all_), cut), lambda s: F.element_at(s["own"], 1)["i"] < F.element_at(s["own"], -1)["i"])
+
+    return _let(F.flatten(F.transform(F.split(text, BLOCK_END), words)), around)
+
+
+def _places(hits: Column) -> Column:
+    """How many places the windows' hits are: those of a template that overlap the first of a place belong to it."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("template"), F.lit(0).alias("start"))
+
+    def step(s: Column, h: Column) -> Column:
+        new = (h["template"] != s["template"]) | (h["start"] - s["start"] >= h["span"])
+        return F.when(new, F.struct((s["n"] + 1).alias("n"), h["template"].alias("template"), h["start"].alias("start"))).otherwise(s)
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks of each row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -102,8 +146,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = []
     for t in known:
         words = sorted(t["words"], key=rank.get)
-        rows += [(words[p], t["template"], t["label"], p, words, t["need"]) for p in range(len(words) - t["need"] + 1)]
-    table = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, p int, words array<string>, need int")
+        rows += [(words[p], t["template"], t["label"], p, words, t["need"], t["span"]) for p in range(len(words) - t["need"] + 1)]
+    table = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, p int, words array<string>, need int, span int")
     rare = sorted({r[0] for r in rows})
 
     text = F.col("text")
@@ -116,7 +160,8 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         count(text).alias("n_words"),
         F.when(text.rlike("(?i)license|cc" + GAP + "by"), places).otherwise(F.array().cast("array<string>")).alias("places"),
-        F.when(text.rlike(any_rare), F.filter(F.split(text, BLOCK_END), lambda b: b.rlike(any_rare))).alias("blocks"),
+        F.when(text.rlike(any_rare), _blocks(text, any_rare)).alias("blocks"),
+        F.when(text.rlike(any_rare), _stretches(text, rare, max(t["span"] for t in known))).alias("stretches"),
         F.when(text.rlike("(?i)license|cc" + GAP + "by"), pieces).alias("pieces"),
     )
     some = F.size("places") > 0
@@ -128,33 +173,49 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(some, count(F.element_at("pieces", 1))).alias("first_word"),
         F.when(some, F.col("n_words") - count(F.element_at("pieces", -1)) - count(F.element_at("places", -1))).alias("last_word"),
         F.array_compact(F.array(*(F.when(_any_like("places", phrase_pattern(p)), label) for p, label in PHRASES.items()))).alias("base"),
-        F.explode_outer("blocks").alias("block"),
-    )
-    # a block's distinct words, and those of templates in the global order
-    words = F.array_distinct(F.regexp_extract_all(lowered(F.col("block")), F.lit(WORD), 0))
+        F.explode_outer(
+            F.concat(
+                F.transform("blocks", lambda b: F.struct(b["lo"].alias("lo"), b["block"].alias("block"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<struct<w:string,i:int>>").alias("seen"))),
+                F.transform("stretches", lambda s: F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("string").alias("block"), s["at"].alias("at"), s["own"].alias("seen"))),
+            )
+        ).alias("piece"),
+    ).select("*", "piece.*").drop("piece")
+    # a block's or stretch's distinct words, and those of templates in the global order
+    words = F.array_distinct(F.coalesce(F.transform("seen", lambda x: x["w"]), F.regexp_extract_all(lowered(F.col("block")), F.lit(WORD), 0)))
     met = base.withColumn("own", words).withColumn("common", F.array_intersect(_literal(order), "own")).withColumn("word", F.explode_outer(F.array_intersect(_literal(rare), "own")))
     pairs = met.join(F.broadcast(table), "word", "left")  # a row per word of a template's prefix
     follow = F.least(F.size("words") - F.col("p"), F.size("common") - F.array_position("common", F.col("word")) + 1)
     first = F.forall(F.slice("words", 1, F.col("p")), lambda w: ~F.array_contains("common", w))
     passed = (F.size("own") >= F.col("need")) & (follow >= F.col("need")) & first
     shared = F.when(passed, F.size(F.array_intersect("words", "common")))
-    share = F.when(shared >= F.col("need"), shared / F.size("words"))
+    shape = "array<struct<template:int,start:int,lo:int,hi:int,span:int,label:string,share:double>>"
+
+    def hit(start: Column, lo: Column, hi: Column, n: Column) -> Column:
+        return F.struct(F.col("template"), start.cast("int").alias("start"), lo.alias("lo"), hi.alias("hi"), F.col("span"), F.col("label"), (n / F.size("words")).alias("share"))
+
+    def window(k: Column) -> Column:
+        inside = lambda part: hit(F.col("at") + k, F.element_at(part, 1)["i"], F.element_at(part, -1)["i"], F.size(F.array_intersect("words", F.transform(part, lambda x: x["w"]))))
+        return _let(F.slice("seen", k + 1, F.col("span")), inside)
+
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("seen") - F.col("span"), F.lit(0))), window), lambda h: h["share"] * F.size("words") >= F.col("need") - 0.5)
+    found = F.when(shared >= F.col("need"), F.when(F.col("seen").isNull(), F.array(hit(F.lit(None), F.col("lo"), F.col("lo"), shared)).cast(shape)).otherwise(windows.cast(shape)))
     own_key = ["row__", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    return (
-        pairs.select(*own_key, F.when(share.isNotNull(), F.col("label")).alias("label"), share.alias("share"))
-        .groupBy(*own_key)
-        .agg(F.collect_set("label").alias("added"), F.max("share").alias("share"), F.count("share").alias("n_blocks"))
-        .select(
-            "doc_id",
-            "n_words",
-            "n_base",
-            "first_word",
-            "last_word",
-            F.array_join(F.sort_array(F.array_distinct("base")), ",").alias("base_labels"),
-            F.array_join(F.sort_array(F.array_union("base", "added")), ",").alias("labels"),
-            F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-            "n_blocks",
-        )
+    gathered = pairs.select(*own_key, found.alias("found")).groupBy(*own_key).agg(F.flatten(F.collect_list("found")).alias("found"))
+    whole = F.filter("found", lambda h: h["start"].isNull())
+    crossing = F.array_distinct(F.filter("found", lambda h: h["start"].isNotNull()))
+    apart = F.filter("crossing", lambda h: ~F.exists("whole", lambda b: (b["template"] == h["template"]) & b["lo"].between(h["lo"], h["hi"])))
+    split = gathered.select(*own_key, whole.alias("whole"), crossing.alias("crossing")).select(*own_key, "whole", apart.alias("apart"))
+    split = split.withColumn("hits", F.concat("whole", "apart"))
+    return split.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join(F.sort_array(F.array_distinct("base")), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union("base", F.transform("hits", lambda h: h["label"]))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0))).alias("score"),
+        (F.size("whole") + _places(F.col("apart"))).cast("long").alias("n_blocks"),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -190,6 +191,38 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+STANDARD = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_licenses_in_standard_text(spark):
+    texts = [(label, text) for label, text in STANDARD.items()] + licenses.TEMPLATES
+    rows = []
+    for k, (_, text) in enumerate(texts):
+        for width in (80, 30):
+            for sign in ("", " * "):
+                rows.append((k, "def main():\n\n" + "\n".join(sign + x for x in textwrap.wrap("Notice of the file. " + text, width)) + "\n\nimport os"))
+    rows += [(900, "all the rights\nof man are reserved"), (901, "\n".join(textwrap.wrap((STANDARD["isc"] + " x " * 30) * 3, 80)))]
+    rows += [(902, "a copy\n" + STANDARD["isc"] + "\nfor any purpose"), (903, "redistribution and use in source\n" * 200)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] < 900:
+            label = texts[r["doc_id"]][0]
+            assert label in r["labels"].split(",") and r["score"] >= 0.9 and (r["n_blocks"] >= 1 or r["n_base"]), r
+    see = {r["doc_id"]: (r["labels"], r["n_blocks"]) for r in got}
+    assert see[900] == ("", 0) and see[901] == ("isc", 3) and see[902] == ("isc", 1) and see[903] == ("", 0)
+
+
 def feistel(x, a, b, kind, key=pseudonyms.KEY):
     digest = lambda k, v: int(hashlib.sha256(f"{key}|{kind}|{k}|{v}".encode()).hexdigest()[:12], 16)
     left, right = divmod(x, b)
