@@ -167,7 +167,7 @@ def with_lists(docs: DataFrame, lists: DataFrame, names: list[str], how: str) ->
 
 
 def repeated_runs(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """key__, at, n, bits of the runs that hold repeated windows; bits: a byte 1 for each repeated one, null if all are.
+    """key__, at, n, bits of the runs that hold repeated windows, once for a key however many rows it has; bits: a byte 1 for each repeated one, null if all are.
 
     ``resolve`` gets the documents and, of anchors with several contents, each run once (anchor, run, n, off, places,
     key__, at); it returns anchor, run, bits.
@@ -181,7 +181,8 @@ def repeated_runs(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, D
     opened = resolve(docs, merged.join(several, "anchor"))
     whole = merged.where("places > 1").select("anchor", "run", F.lit(None).cast("binary").alias("bits"))
     decided = as_table(whole.unionByName(opened.select("anchor", "run", "bits")), "decided")
-    return some.join(decided, ["anchor", "run"]).select("key__", "at", "n", "bits")
+    # rows of equal id and text have one key: each of its marks once, dropped before the shuffle
+    return some.join(decided, ["anchor", "run"]).select("key__", "at", "n", "bits").distinct()
 
 
 def covered(found: list[dict] | None, symbols: int, window: int) -> np.ndarray:

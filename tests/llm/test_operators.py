@@ -124,6 +124,22 @@ def test_suffix_dedup(docs, none, most):
     assert suffix_dedup.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_lists_of_equal_rows_hold_one_row_s_runs(spark, operator, monkeypatch):
+    rows = [(7, SENTENCE * 20)] * 60 + [(k, SENTENCE * 20 + f"{k} ends here") for k in range(3)]
+    seen, gather = [], operator.with_lists
+
+    def with_lists(docs, lists, names, how):
+        out = gather(docs, lists, names, how)
+        seen.append((lists.count(), lists.select("key__", *names).distinct().count()))
+        return out
+
+    monkeypatch.setattr(operator, "with_lists", with_lists)
+    got = operator.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 63 and all(r["n_removed"] > 0 for r in got) and {r["n_removed"] for r in got if r["doc_id"] == 7} == {len((SENTENCE * 20).split()) if operator is substring_dedup else len(SENTENCE * 20)}
+    assert seen and all(n == own for n, own in seen)
+
+
 def test_interval_expansion_states_common_prefixes():
     for t in range(40):
         strings = [bytes(rng.choice(b"ab" + b"cdef" * (t % 3)) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
