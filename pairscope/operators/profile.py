@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
@@ -42,14 +42,24 @@ def separation(pairs: DataFrame) -> DataFrame:
     return m.select(F.round(d, 6).alias("separation"), F.when(d > 0.3, "excellent").when(d > 0.2, "good").when(d > 0.1, "fair").otherwise("poor").alias("grade"))
 
 
+def positions(samples: DataFrame, total: int, size: int = 50_000) -> DataFrame:
+    """All columns and at: each sample's own number from 0 to total - 1, without gaps. Samples are dealt by hash to buckets
+    of about ``size``; a number is the sum of the counts of the buckets before and the place in its own."""
+    buckets = max(1, -(-total // size))
+    dealt = samples.withColumn("bucket__", F.pmod(F.xxhash64("sample_id"), F.lit(buckets)))
+    before = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    bases = dealt.groupBy("bucket__").agg(F.count("*").alias("c")).select("bucket__", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base__"))
+    inside = F.row_number().over(Window.partitionBy("bucket__").orderBy("sample_id", F.xxhash64("identity", "v")))
+    return dealt.withColumn("in__", inside - 1).join(F.broadcast(bases), "bucket__").withColumn("at", F.col("base__") + F.col("in__")).drop("bucket__", "in__", "base__")
+
+
 def sampled_pairs(samples: DataFrame, n: int = 1000, seed: int = 7) -> DataFrame:
-    """n random pairs with replacement, without pairs of a sample with itself: two hash draws for each number."""
+    """n random pairs with replacement, without pairs of a sample with itself: two hash draws of positions for each number."""
     total = samples.count()
-    spots = samples.select("sample_id", "identity", "v", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(max(1, total))).alias("at"))
-    draws = samples.sparkSession.range(n).select("id", *(F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(max(1, total))).alias(f"at_{s}") for k, s in ((1, "a"), (2, "b"))))
-    out = draws
-    for s in "ab":
-        side = spots.groupBy("at").agg(F.min_by(F.struct("sample_id", "identity", "v"), "sample_id").alias(s)).withColumnRenamed("at", f"at_{s}")
-        out = out.join(side, f"at_{s}")
+    spots = positions(samples.select("sample_id", "identity", "v"), total)
+    draw = lambda s, k: F.struct(F.lit(s).alias("side"), F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(max(1, total))).alias("at"))
+    draws = samples.sparkSession.range(n).select("id", F.explode(F.array(draw("a", 1), draw("b", 2))).alias("draw")).select("id", "draw.*")
+    sample = F.struct("sample_id", "identity", "v")
+    sides = draws.join(spots, "at").groupBy("id").agg(*(F.max(F.when(F.col("side") == s, sample)).alias(s) for s in "ab"))
     sim = V.clamped(V.dot(F.col("a.v"), F.col("b.v")))
-    return out.where("a.sample_id <> b.sample_id").select("id", F.col("a.sample_id").alias("i"), F.col("b.sample_id").alias("j"), (F.col("a.identity") == F.col("b.identity")).alias("is_pos"), sim.alias("sim"))
+    return sides.where("a.sample_id <> b.sample_id").select("id", F.col("a.sample_id").alias("i"), F.col("b.sample_id").alias("j"), (F.col("a.identity") == F.col("b.identity")).alias("is_pos"), sim.alias("sim"))

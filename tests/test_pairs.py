@@ -169,3 +169,23 @@ def test_files_and_folders(spark, tmp_path):
         (tmp_path / p).write_bytes(b"1")
     assert sources.files(spark, str(tmp_path), ".jpg").count() == 2
     assert {(r["child"], r["parent"]) for r in sources.folder_parents(sources.files(spark, str(tmp_path))).collect()} == {("x", "b"), ("y", "a")}
+
+
+@pytest.mark.parametrize("size", [50_000, 7])
+def test_positions_have_no_gaps(spark, size):
+    rows = planted(shuffled=True)
+    got = profile.positions(frame(spark, rows).repartition(5), len(rows), size).collect()
+    assert sorted(r["at"] for r in got) == list(range(len(rows))) and {r["sample_id"] for r in got} == {r[0] for r in rows}
+
+
+def test_sampled_pairs_drop_only_pairs_of_a_sample_with_itself(spark):
+    rows = planted()
+    x, n = {r[0]: (r[1], np.array(r[2])) for r in rows}, 3000
+    got = profile.sampled_pairs(frame(spark, rows), n).collect()
+    assert {r["id"] for r in got} <= set(range(n)) and len({r["id"] for r in got}) == len(got)
+    assert abs(len(got) - n * (1 - 1 / len(rows))) < 6 * (n / len(rows)) ** 0.5
+    assert {r["i"] for r in got} == {r["j"] for r in got} == set(x)
+    for r in got:
+        (a, u), (b, v) = x[r["i"]], x[r["j"]]
+        assert r["i"] != r["j"] and r["is_pos"] == (a == b) and abs(r["sim"] - u @ v) < 1e-9
+    assert profile.sampled_pairs(frame(spark, [])).count() == 0
