@@ -1,9 +1,10 @@
-"""Operator 7, substring dedup by De Bruijn compaction.
+"""Operator 7, substring dedup by minimizer buckets of windows, in place of De Bruijn compaction.
 
-An edge of the graph is a window of ``WINDOW`` words (from its first words to its last); a document is a walk along
-edges. Walks are cut into runs of edges that share an anchor (see ``repeats``): inside a run a walk meets no branch of
-its own. Runs met more than once compact into one record by a grouping and a join on their content. Where walks with a
-common anchor part, their runs are opened into single edges, and a grouping tells which of them are met again.
+An edge is a window of ``WINDOW`` words; a document is a walk along edges. No graph is made: there are no nodes, degrees
+or joined paths, as which edges repeat needs only their counts. Walks are cut into runs of edges that share an anchor,
+their minimizer (see ``repeats``). Runs met more than once become one record by a grouping and a join on hashes of their
+content. Where walks with a common anchor part, their runs are opened into single edges, and a grouping of hashes tells
+which of them are met again.
 Source coordinates (document, first word) carry the verdicts back, and overlapping edges merge into the removed spans.
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all; repeated rows are places of
