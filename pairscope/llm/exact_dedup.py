@@ -3,15 +3,18 @@
 1. Every input task merges equal texts among its own rows in an open-addressing table (flushed when ``budget`` bytes of
    distinct texts are held) and writes each row with the row that stands for it. So a group that holds a third of all
    rows sends at most one text per flush of a task.
-2. The standing rows are partitioned by hash bits; each partition streams through an open-addressing table that compares
-   complete content. Texts beyond ``budget`` bytes of distinct content are passed on and partitioned again by other hash
-   bits, level after level, until all fit. A text is held or passed on as a whole, so no group is ever divided. What a
-   level reads and writes are tables in the shared folder, so a lost executor costs a task and nothing else.
+2. The standing rows are partitioned by hash bits into buckets of about half ``budget``; each bucket streams through an
+   open-addressing table that compares complete content. What a bucket holds beyond ``budget`` bytes of distinct content
+   is spilled; of each such bucket the spilled bytes are counted and it is partitioned again, by other hash bits, into
+   as many buckets as these need, and so on until all fit: the depth grows with the logarithm of the data at most. A
+   content is held or spilled as a whole, so no group is ever divided. Spill files are tables in the shared folder,
+   so a lost executor costs a task and nothing else.
 3. Rows find their group by the row that stands for them, a key with no more rows than one input task has.
 
-Defined cases: a null text equals an empty one; of equal texts the row with the largest ``doc_id`` stays (null is
-smallest; of repeated rows with that id exactly one); an empty table gives an empty result; other columns are kept by
-``dedup`` under any name.
+Defined cases: a null text equals an empty one; of equal texts the row with the largest ``doc_id`` (of any type with an
+order) stays, null being smallest; of repeated rows with that id exactly one; a text longer than ``budget`` has a bucket's
+table for itself and is compared whole; an empty table gives an empty result; other columns are kept by ``dedup`` under any
+name.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import as_table, documents, plus
+from pairscope.llm.store import as_table, documents, numbered, parts_for, plus
 
 BUDGET = 128 << 20
-LEAST = -(1 << 63)
+OVERHEAD = 200  # bytes of a content's entry, beside the content
 
 
 class ContentTable:
@@ -53,7 +56,7 @@ class ContentTable:
         slots[at] = k = len(self.contents)
         self.hashes.append(hashed)
         self.contents.append(content)
-        self.held += len(content) + 200
+        self.held += len(content) + OVERHEAD
         if 2 * len(self.contents) > len(slots):
             self._grow()
         return k
@@ -79,16 +82,16 @@ def _merge_in_task(names: list[str], text_at: int, id_at: int, budget: int):
         def flush():
             """best: of each content, the row that stays so far; its row number stands for the others."""
             count = np.bincount(np.concatenate([k for _, k, *_ in held]), minlength=len(best)) if held else []
-            stands = np.array([r for _, r in best], np.int64)
+            stands = np.array([b[-1] for b in best], np.int64)
             for batch, k, numbers, digests, hashes in held:
                 first = stands[k] == numbers
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(numbers), pa.array(stands[k]), pa.array(np.where(first, count[k], 0)), pa.array(digests, pa.binary()), pa.array(hashes)],
-                    names=[*names, "row__", "stand__", "n__", "sha__", "hash__"],
+                    names=[*names, "row", "stand", "n", "sha", "hash"],
                 )
 
         for batch in batches:
-            ids = batch.column(id_at).cast(pa.int64()).to_pylist()
+            ids = batch.column(id_at).to_pylist()
             groups, digests, hashes = np.empty(len(ids), np.int64), [], np.empty(len(ids), np.int64)
             for j, text in enumerate(batch.column(text_at).to_pylist()):
                 content = (text or "").encode()
@@ -96,7 +99,7 @@ def _merge_in_task(names: list[str], text_at: int, id_at: int, budget: int):
                 digests.append(hashlib.sha256(content).digest())
                 hashes[j] = hashed - (1 << 64) if hashed >> 63 else hashed
                 groups[j] = k = table.find(hashed, content, 1 << 62)
-                mine = (LEAST if ids[j] is None else ids[j], base + row + j)
+                mine = (*_ranked(ids[j]), base + row + j)
                 if k == len(best):
                     best.append(mine)
                 elif mine > best[k]:
@@ -112,20 +115,26 @@ def _merge_in_task(names: list[str], text_at: int, id_at: int, budget: int):
     return run
 
 
-def _match(budget: int):
-    """Streams the standing rows of a hash partition through one table; what does not fit goes on to the next level."""
+def _ranked(doc_id) -> tuple:
+    """Orders ids of any type; null is smallest."""
+    return (False, 0) if doc_id is None else (True, doc_id)
+
+
+def _match(id_type: pa.DataType, budget: int):
+    """Streams the standing rows of a bucket through one table; what does not fit is spilled with the bucket's number."""
 
     def run(batches):
+        bucket = TaskContext.get().partitionId()
         table, best, total, members = ContentTable(), [], [], []
         for batch in batches:
-            ids, rows, n, texts, hashes = (batch.column(c).to_pylist() for c in ("id__", "row__", "n__", "text__", "hash__"))
+            ids, rows, n, texts, hashes = (batch.column(c).to_pylist() for c in ("id", "row", "n", "text", "hash"))
             over = []
             for j, text in enumerate(texts):
                 k = table.find(hashes[j] & (1 << 64) - 1, text.encode(), budget)
                 if k < 0:
                     over.append(j)
                     continue
-                mine = (LEAST if ids[j] is None else ids[j], rows[j])
+                mine = (*_ranked(ids[j]), rows[j])
                 if k == len(best):
                     best.append(mine)
                     total.append(n[j])
@@ -136,67 +145,93 @@ def _match(budget: int):
                     members[k].append(rows[j])
             if over:
                 rest = batch.take(pa.array(over))
-                yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.nulls(len(over), pa.int64()) for _ in range(3))], names=[*rest.schema.names, "keep_row__", "keep_id__", "size__"])
+                yield pa.RecordBatch.from_arrays(
+                    [*rest.columns, pa.nulls(len(over), pa.int64()), pa.nulls(len(over), id_type), pa.nulls(len(over), pa.int64()), pa.array([bucket] * len(over), pa.int32())],
+                    names=[*rest.schema.names, "keep_row", "keep_id", "size", "bucket"],
+                )
         for lo in range(0, len(best), 20_000):
             some = range(lo, min(lo + 20_000, len(best)))
             stands = [r for k in some for r in members[k]]
             k = np.repeat(np.arange(some.start, some.stop), [len(members[k]) for k in some])
             keep = [best[x] for x in k]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(k), pa.int64()), pa.array(stands, pa.int64()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.string()), pa.nulls(len(k), pa.int64()),
-                 pa.array([r for _, r in keep], pa.int64()), pa.array([None if i == LEAST else i for i, _ in keep], pa.int64()), pa.array([total[x] for x in k], pa.int64())],
-                names=["id__", "row__", "n__", "text__", "hash__", "keep_row__", "keep_id__", "size__"],
+                [pa.nulls(len(k), id_type), pa.array(stands, pa.int64()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.string()), pa.nulls(len(k), pa.int64()),
+                 pa.array([b[-1] for b in keep], pa.int64()), pa.array([b[1] if b[0] else None for b in keep], id_type), pa.array([total[x] for x in k], pa.int64()), pa.nulls(len(k), pa.int32())],
+                names=["id", "row", "n", "text", "hash", "keep_row", "keep_id", "size", "bucket"],
             )
 
     return run
 
 
-def _groups(df: DataFrame, text: str, id_column: str, budget: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with what stands for them, and of each standing row the row that stays, its id and the group's size."""
-    spark, names = df.sparkSession, df.columns
-    schema = plus(df.schema, "row__ long, stand__ long, n__ long, sha__ binary, hash__ long")
-    rows = as_table(df.mapInArrow(_merge_in_task(names, names.index(text), names.index(id_column), budget), schema), "rows")
-    left = rows.where("n__ > 0").select(F.col(id_column).cast("long").alias("id__"), "row__", "n__", F.coalesce(F.col(text), F.lit("")).alias("text__"), "hash__")
-    shape = "id__ long, row__ long, n__ long, text__ string, hash__ long, keep_row__ long, keep_id__ long, size__ long"
-    found, level = None, 0
+def _size(text: str):
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
+
+
+def _deal_again(left: DataFrame, text: str, level: int, budget: int) -> DataFrame:
+    """Each spilled bucket into buckets of its own, as many as its bytes need."""
+    spilled = left.groupBy("bucket").agg(F.ceil(F.sum(_size(text)) / (budget / 2)).cast("int").alias("fan"))  # a row a bucket
+    parts = spilled.agg(F.sum("fan")).first()[0]
+    split = left.join(spilled, "bucket").withColumn("sub", F.pmod(F.xxhash64("hash", F.lit(level)), F.col("fan")))
+    return split.repartition(parts, "bucket", "sub").drop("bucket", "fan", "sub")
+
+
+def _levels(standing: DataFrame, text: str, parts: int, budget: int, match, schema, is_done: str) -> list[DataFrame]:
+    """Each level's table, spilled rows included, until nothing is spilled."""
+    dealt, out = standing.repartition(parts, F.xxhash64("hash", F.lit(0))), []
     while True:
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = left.repartition(parts, F.xxhash64("hash__", F.lit(level)))
-        done = as_table(dealt.mapInArrow(_match(budget), shape), f"level{level}")
-        matched = done.where("keep_row__ is not null").select("row__", "keep_row__", "keep_id__", "size__")
-        found = matched if found is None else found.unionByName(matched)
-        left = done.where("keep_row__ is null").drop("keep_row__", "keep_id__", "size__")
-        level += 1
+        out.append(as_table(dealt.mapInArrow(match, schema), f"level{len(out)}"))
+        left = out[-1].where(f"not ({is_done})").select(*standing.columns, "bucket")
         if left.isEmpty():
-            return rows, found
+            return out
+        dealt = _deal_again(left, text, len(out), budget)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def groups_of_equal(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row."""
-    rows, found = _groups(df.select(id_column, text), text, id_column, budget)
-    found = found.withColumnRenamed("row__", "stand__")
+    df = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    id_kind = df.schema["id"].dataType.simpleString()
+    rows = as_table(df.mapInArrow(_merge_in_task(["id", "text"], 1, 0, budget), plus(df.schema, "row long, stand long, n long, sha binary, hash long")), "rows")
+    standing = rows.where("n > 0").select("id", "row", "n", F.coalesce("text", F.lit("")).alias("text"), "hash")
+    shape = f"id {id_kind}, row long, n long, text string, hash long, keep_row long, keep_id {id_kind}, size long, bucket int"
+    parts = parts_for(standing, _size("text"), max(1, budget // 2))
+    levels = _levels(standing, "text", parts, budget, _match(_arrow(df, "id"), budget), shape, "keep_row is not null")
+    found = _union([done.where("keep_row is not null").select(F.col("row").alias("stand"), "keep_row", "keep_id", "size") for done in levels])
     return (
-        rows.select(F.col(id_column).alias("doc_id"), "row__", "stand__", "sha__")
-        .join(found, "stand__")
-        .select("doc_id", F.col("keep_id__").alias("keep_id"), F.col("size__").alias("group_size"), (F.col("row__") == F.col("keep_row__")).alias("kept"), F.lower(F.hex("sha__")).alias("text_sha256"))
+        rows.select("id", "row", "stand", "sha")
+        .join(found, "stand")
+        .select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     )
 
 
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def _keep(names: list[str], text: str, id_column: str, budget: int):
     """As ``_match``, with all columns: of each content the row that stays; rows that do not fit come back not yet kept."""
     text_at, id_at, rest = names.index(text), names.index(id_column), [k for k, n in enumerate(names) if n != text]
 
     def run(batches):
+        bucket = TaskContext.get().partitionId()
         table, best, place, none, held, base = ContentTable(), [], [], [], [], 0
         for batch in batches:
-            ids, rows, hashes = batch.column(id_at).cast(pa.int64()).to_pylist(), *(batch.column(c).to_pylist() for c in ("row__", "hash__"))
+            ids, rows, hashes = batch.column(id_at).to_pylist(), *(batch.column(c).to_pylist() for c in ("row", "hash"))
             over, won = [], {}
             for j, t in enumerate(batch.column(text_at).to_pylist()):
                 k = table.find(hashes[j] & (1 << 64) - 1, (t or "").encode(), budget)
                 if k < 0:
                     over.append(j)
                     continue
-                mine = (LEAST if ids[j] is None else ids[j], rows[j])
+                mine = (*_ranked(ids[j]), rows[j])
                 if k == len(best):
                     best.append(mine)
                     place.append(0)
@@ -207,7 +242,7 @@ def _keep(names: list[str], text: str, id_column: str, budget: int):
                     continue
                 won[k] = j
             if over:
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(over)).columns, pa.array([False] * len(over))], names=[*batch.schema.names, "kept__"])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(over)).columns, pa.array([False] * len(over)), pa.array([bucket] * len(over), pa.int32())], names=[*batch.schema.names, "kept", "bucket"])
             if won:
                 held.append(pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=[str(k) for k in rest]).take(pa.array(list(won.values()))))
                 for k in won:
@@ -219,28 +254,21 @@ def _keep(names: list[str], text: str, id_column: str, budget: int):
             texts = pa.array([None if none[k] else table.contents[k].decode() for k in some], pa.string())
             columns = [texts if n == text else part.column(str(k)).combine_chunks() for k, n in enumerate(names)]
             zero = pa.array(np.zeros(len(some), np.int64))
-            yield pa.RecordBatch.from_arrays([*columns, zero, zero, pa.array([True] * len(some))], names=[*names, "row__", "hash__", "kept__"])
+            yield pa.RecordBatch.from_arrays([*columns, zero, zero, pa.array([True] * len(some)), pa.nulls(len(some), pa.int32())], names=[*names, "row", "hash", "kept", "bucket"])
 
     return run
 
 
 def dedup(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """One row of each group of equal texts, with all columns as they came. Texts are shuffled once a level."""
-    spark, names = df.sparkSession, df.columns
-    schema = plus(df.schema, "row__ long, stand__ long, n__ long, sha__ binary, hash__ long")
+    own, names = numbered(df)
+    text, id_column, columns = own.columns[names.index(text)], own.columns[names.index(id_column)], own.columns
+    schema = plus(own.schema, "row long, stand long, n long, sha binary, hash long")
     # of a task's equal rows the one that stands for them is the one that would stay
-    left = df.mapInArrow(_merge_in_task(names, names.index(text), names.index(id_column), budget), schema).where("n__ > 0").select(*names, "row__", "hash__")
-    kept, level = None, 0
-    while True:
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = left.repartition(parts, F.xxhash64("hash__", F.lit(level)))
-        done = as_table(dealt.mapInArrow(_keep(names, text, id_column, budget), plus(df.schema, "row__ long, hash__ long, kept__ boolean")), f"kept{level}")
-        stay = done.where("kept__").select(*names)
-        kept = stay if kept is None else kept.unionByName(stay)
-        left = done.where("not kept__").drop("kept__")
-        level += 1
-        if left.isEmpty():
-            return kept
+    standing = own.mapInArrow(_merge_in_task(columns, columns.index(text), columns.index(id_column), budget), schema).where("n > 0").select(*columns, "row", "hash")
+    parts = parts_for(own, _size(text), max(1, budget // 2))
+    levels = _levels(standing, text, parts, budget, _keep(columns, text, id_column, budget), plus(own.schema, "row long, hash long, kept boolean, bucket int"), "kept")
+    return _union([done.where("kept").select(*columns) for done in levels]).toDF(*names)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

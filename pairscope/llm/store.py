@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ROOTS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
     """This application's folder below the shared one named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a folder of our own is set.
+    Only where the setting is absent and the master is local (single-machine tests) a folder of our own is set.
     """
     sc = spark.sparkContext
     if sc.applicationId in _ROOTS:
@@ -26,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     root = f"{base.rstrip('/')}/pairscope-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
@@ -51,7 +57,27 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: what follows no longer depends on how it was made."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables of ``as_table`` whose consumers have been written, so that nothing can be asked of them again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(t))
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... and the names they had: names of our own beside them never clash."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), df.columns
+
+
+def parts_for(df: DataFrame, n_bytes, most: int) -> int:
+    """Partitions of a shuffle so that each has at most about ``most`` bytes (a column's sum), and no fewer than the session's."""
+    total = df.agg(F.sum(n_bytes)).first()[0] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
