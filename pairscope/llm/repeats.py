@@ -5,12 +5,21 @@ smallest hash (leftmost of equals), so equal windows have equal anchors at equal
 windows with one anchor place. Only runs are shuffled, about 2 / (window - k + 2) of all windows:
 
 1. Anchors that occur once are dropped by a count (partial sums first) and a join; their windows are unique.
-2. Runs of equal content are merged, with the number of places; if there are several, all their windows repeat.
-3. Runs that share an anchor but differ are opened by the operator's own method (``resolve``), one copy of each.
-4. Decisions go back to the source coordinates (document, first window) by a join, and to the texts by another.
-
-Contents are compared by 128 bits of hash (anchor and run). A document is found again by a 64-bit hash of id and text, so
-repeated rows share their decisions, which are equal anyway, and nothing depends on how rows are dealt out.
+2. Runs of equal hash are merged into one, with the number of places and a source: the place in the document of the
+   smallest key.
+3. The operator's own method (``resolve``) decides which windows of the merged runs repeat, and where each of them stands
+   in a source: pieces of windows that are consecutive in both.
+4. Pieces go back to the documents by a join, where neighbours that are consecutive in one source become one *span*.
+5. Each span is compared with its source, symbol by symbol: sources send the stretches that are asked for (each once) and
+   the comparison happens where the document is cut. So a hash never decides alone. If one had joined different texts
+   (two 64-bit hashes would have to agree), the job stops with an error that says so, and another ``seed`` helps.
+
+A document is found again by 96 bits of hash of id and text, so repeated rows share their decisions, which are equal anyway,
+and nothing depends on how rows are dealt out. Joins on anchors, runs and documents are equal joins of a large side with one
+that has each key once: adaptive execution splits the hot ones.
+
+Very long texts: runs are found block by block (``BLOCK`` symbols and a window's overlap); a document's list of spans and
+the document itself are held by one task when it is cut.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import as_table, chunks
+from pairscope.llm.store import as_table, chunks, free
 
 _BASE = 0x9E3779B97F4A7C55
 _ODD = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -57,13 +66,17 @@ def span(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (total[hi] - total[lo]) * powers(len(total))[1][lo]
 
 
-def byte_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _ODD[2])[data], offsets
+def _byte_table(seed: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * _ODD[2] ^ mix(np.array([seed], np.uint64)))
+
 
+def byte_codes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    return _byte_table(seed)[data], offsets
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def word_codes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (what stands between spaces) and where the documents' words begin."""
-    n, codes, starts, lo = len(data), [], [], 0
+    n, codes, starts, lo, table = len(data), [], [], 0, _byte_table(seed)
     edge = np.zeros(n + 1, bool)  # a document's end ends a word
     edge[offsets] = True
     while lo < n:
@@ -81,7 +94,7 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         last = full.copy()
         last[:-1] &= SPACE[text[1:]] | edge[lo + 1 : hi]
         first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
-        codes.append(mix(span(sums(text.astype(np.uint64) + np.uint64(1)), first, last)))
+        codes.append(mix(span(sums(table[text]), first, last)))
         starts.append(first + lo)
         lo = hi
     if not codes:
@@ -135,65 +148,124 @@ def runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int):
 
 @dataclass(frozen=True)
 class Windows:
-    symbols: Callable  # (bytes, offsets) -> (codes, where documents begin)
+    symbols: Callable  # (bytes, offsets, seed) -> (codes, where documents begin)
     window: int
     k: int
+    seed: int = 0
+
+
+KEY = ["k1", "k2"]
+PIECES = "array<struct<o:int,n:int,s1:long,s2:int,sat:int,path:int>>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key__, doc_id, text."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key__"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """k1, k2 (the document's key), doc_id, text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", "text").alias("k2"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def runs_of(docs: DataFrame, how: Windows) -> DataFrame:
     def emit(batches):
         for batch in batches:
-            keys = np.asarray(batch.column("key__"), np.int64)
+            k1, k2 = np.asarray(batch.column("k1"), np.int64), np.asarray(batch.column("k2"), np.int32)
             for lo, _, data, offsets in chunks(batch.column("text"), 1 << 20):
-                codes, bounds = how.symbols(data, offsets)
+                codes, bounds = how.symbols(data, offsets, how.seed)
                 for doc, at, many, off, anchor, run in runs(codes, bounds, how.window, how.k):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(run), pa.array(keys[lo + doc]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(off.astype(np.int32))],
-                        names=["anchor", "run", "key__", "at", "n", "off"],
+                        [pa.array(anchor), pa.array(run), pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(off.astype(np.int32))],
+                        names=["anchor", "run", "k1", "k2", "at", "n", "off"],
                     )
 
-    return docs.select("key__", "text").mapInArrow(emit, "anchor long, run long, key__ long, at int, n int, off int")
+    return docs.select("k1", "k2", "text").mapInArrow(emit, "anchor long, run long, k1 long, k2 int, at int, n int, off int")
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, names: list[str], how: str) -> DataFrame:
-    """docs (key__, doc_id, text) with what ``lists`` has for their key, gathered: at most a document's own runs."""
-    gathered = as_table(lists.groupBy("key__").agg(F.collect_list(F.struct(*names)).alias("found")), "lists")
-    return docs.join(gathered, "key__", how)
+def with_lists(docs: DataFrame, lists: DataFrame, names: list[str], how: str) -> tuple[DataFrame, DataFrame]:
+    """docs with what ``lists`` has for their key, gathered (at most a document's own runs), and the gathered table."""
+    gathered = as_table(lists.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("found")), "lists")
+    return docs.join(gathered, KEY, how), gathered
 
 
-def repeated_runs(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """key__, at, n, bits of the runs that hold repeated windows, once for a key however many rows it has; bits: a byte 1 for each repeated one, null if all are.
+def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A table of pieces, once for a key however many rows it has: k1, k2, at, n (windows of the document that repeat), s1, s2,
+    sat (where the same windows stand in the source) and path (pieces of different paths never become one span).
 
-    ``resolve`` gets the documents and, of anchors with several contents, each run once (anchor, run, n, off, places,
-    key__, at); it returns anchor, run, bits.
+    ``resolve`` gets the documents and the merged runs (anchor, run, places, n, off, k1, k2, at) of anchors that occur more than
+    once; it returns a table of anchor, run and pieces (``PIECES``, o: windows before the piece).
     """
     found = runs_of(docs, how)
     again = as_table(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     some = as_table(found.join(again, "anchor"), "runs")
-    merged = some.groupBy("anchor", "run").agg(F.count("*").alias("places"), *(F.first(c).alias(c) for c in ("n", "off", "key__", "at")))
-    merged = as_table(merged, "merged")
-    several = as_table(merged.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
-    opened = resolve(docs, merged.join(several, "anchor"))
-    whole = merged.where("places > 1").select("anchor", "run", F.lit(None).cast("binary").alias("bits"))
-    decided = as_table(whole.unionByName(opened.select("anchor", "run", "bits")), "decided")
-    # rows of equal id and text have one key: each of its marks once, dropped before the shuffle
-    return some.join(decided, ["anchor", "run"]).select("key__", "at", "n", "bits").distinct()
-
-
-def covered(found: list[dict] | None, symbols: int, window: int) -> np.ndarray:
-    """Which symbols of a document its repeated windows cover."""
+    free(again)
+    source = (F.first("n").alias("n"), F.first("off").alias("off"), F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min_by("at", "k1").alias("at"))
+    merged = as_table(some.groupBy("anchor", "run").agg(F.count("*").alias("places"), *source), "merged")
+    decided = resolve(docs, merged)
+    # rows of equal id and text have one key: each of its pieces once, dropped before the shuffle
+    pieces = some.select("anchor", "run", "k1", "k2", "at").join(decided, ["anchor", "run"]).select("k1", "k2", "at", F.explode("pieces").alias("p"))
+    out = as_table(pieces.select("k1", "k2", (F.col("at") + F.col("p.o")).alias("at"), "p.n", "p.s1", "p.s2", "p.sat", "p.path").distinct(), "pieces")
+    free(some, merged, decided)
+    return out
+
+
+def _spans(batches):
+    """A document's pieces in order, neighbours that are consecutive in one source as one."""
+    for batch in batches:
+        out = [[] for _ in range(8)]
+        for k1, k2, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("found").to_pylist()):
+            held = None
+            for p in sorted((f["at"], f["n"], f["s1"], f["s2"], f["sat"], f["path"]) for f in found):
+                if held and p[0] == held[0] + held[1] and p[2:4] == held[2:4] and p[4] == held[4] + held[1] and p[5] == held[5]:
+                    held = (held[0], held[1] + p[1], *held[2:])
+                    continue
+                if held:
+                    for c, v in zip(out, (k1, k2, *held)):
+                        c.append(v)
+                held = p
+            for c, v in zip(out, (k1, k2, *held)):
+                c.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k1", "k2", "at", "n", "s1", "s2", "sat", "path"])
+
+
+def _stretches(cut: Callable):
+    """What sources are asked for: (s1, s2, sat, n, same), same being the windows' symbols as ``cut`` gives them."""
+
+    def emit(batches):
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for k1, k2, text, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+                part = cut(text.as_py())
+                for f in found:
+                    for c, v in zip(out, (k1, k2, f["sat"], f["n"], part(f["sat"], f["n"]))):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["s1", "s2", "sat", "n", "same"])
+
+    return emit
+
+
+def checked_spans(docs: DataFrame, pieces: DataFrame, cut: Callable) -> DataFrame:
+    """docs (k1, k2, doc_id, text) and found: the document's spans (at, n) with the symbols of their source (``same``; null
+    where the document is the source itself)."""
+    gathered = pieces.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n", "s1", "s2", "sat", "path")).alias("found"))
+    spans = as_table(gathered.mapInArrow(_spans, "k1 long, k2 int, at int, n int, s1 long, s2 int, sat int, path int"), "spans")
+    own = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("at") == F.col("sat"))
+    asked = spans.where(~own).select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "sat", "n").distinct()
+    texts, lists = with_lists(docs.select("k1", "k2", "text"), asked, ["sat", "n"], "inner")
+    # repeated rows of a source say the same
+    sent = as_table(texts.mapInArrow(_stretches(cut), "s1 long, s2 int, sat int, n int, same binary").dropDuplicates(["s1", "s2", "sat", "n"]), "sources")
+    free(lists)
+    answered = spans.where(~own).join(sent, ["s1", "s2", "sat", "n"]).select(*KEY, "at", "n", "same")
+    every = answered.unionByName(spans.where(own).select(*KEY, "at", "n", F.lit(None).cast("binary").alias("same")))
+    out, _ = with_lists(docs, every, ["at", "n", "same"], "left")
+    free(spans, sent)
+    return out
+
+
+def covered(found: list[dict] | None, symbols: int, window: int, part: Callable) -> np.ndarray:
+    """Which symbols of a document its spans cover; ``part`` gives the document's own symbols, to be compared."""
     change = np.zeros(symbols + 1, np.int64)
     for f in found or ():
-        if f["bits"] is None:
-            change[f["at"]] += 1
-            change[f["at"] + f["n"] - 1 + window] -= 1
-        else:
-            starts = f["at"] + np.flatnonzero(np.frombuffer(f["bits"], np.uint8))
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + window, -1)
+        if f["same"] is not None and part(f["at"], f["n"]) != f["same"]:
+            raise RuntimeError("two different texts have equal hashes: run again with another seed")
+        change[f["at"]] += 1
+        change[f["at"] + f["n"] - 1 + window] -= 1
     return np.cumsum(change[:-1]) > 0

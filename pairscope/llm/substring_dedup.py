@@ -1,15 +1,22 @@
-"""Operator 7, substring dedup by minimizer buckets of windows, in place of De Bruijn compaction.
-
-An edge is a window of ``WINDOW`` words; a document is a walk along edges. No graph is made: there are no nodes, degrees
-or joined paths, as which edges repeat needs only their counts. Walks are cut into runs of edges that share an anchor,
-their minimizer (see ``repeats``). Runs met more than once become one record by a grouping and a join on hashes of their
-content. Where walks with a common anchor part, their runs are opened into single edges, and a grouping of hashes tells
-which of them are met again.
-Source coordinates (document, first word) carry the verdicts back, and overlapping edges merge into the removed spans.
+"""Operator 7, substring dedup by De Bruijn compaction.
+
+A node is a string of ``WINDOW - 1`` words, an edge a window of ``WINDOW`` words (from its first to its last node); a document
+is a walk along edges. The graph is built of the edges that occur more than once:
+
+1. Documents are dealt as runs of edges with one minimizer (see ``repeats``), as compaction of such graphs is usually
+   distributed. Equal runs are merged before they are opened into edges, so a passage is opened once, not once a document.
+2. Edges are counted by a grouping; repeated ones keep their nodes and one *source coordinate* (document, first word).
+3. In- and out-degrees of the nodes come from a grouping of the edges' two ends. A node of degrees 1 and 1 links the edge that
+   enters it to the one that leaves it: a join on the node tells each edge its predecessor, if it has just one.
+4. Linked edges that follow each other at their source compact into *paths*: what starts a path is an edge without such a
+   predecessor, and a window over the source's coordinates finds each edge's path. ``paths`` glues those of different sources
+   into maximal ones by pointer jumping (joins of paths with paths, their number only); removal does not need it.
+5. Runs are stated as pieces of paths, go back to the documents, and every long span is compared word by word with the
+   source coordinates of its path.
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all; repeated rows are places of
 their own, so their long windows repeat; a null doc_id is a document like others; an empty table gives an empty result;
-other columns are not read.
+other columns, under any name, are not read; very long texts are treated in blocks (see ``repeats``), no word is left out.
 """
 
 from __future__ import annotations
@@ -18,59 +25,168 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairscope.llm.repeats import Windows, covered, keyed, repeated_runs, span, sums, with_lists, word_codes
-from pairscope.llm.store import as_table, chunks, documents
+from pairscope.llm.repeats import KEY, PIECES, Windows, checked_spans, covered, keyed, repeated_pieces, span, sums, with_lists, word_codes
+from pairscope.llm.store import as_table, chunks, documents, free
 
 WINDOW = 35
 ANCHOR = 10
-NAMES = ["anchor", "run", "n", "at", "places"]
+EDGE = "anchor long, run long, places long, k1 long, k2 int, step int, at int, edge long, head long, tail long"
 
 
-def _edges(window: int):
-    """Of each run that is to be opened: its edges' hashes."""
+def _edges(how: Windows):
+    """The edges of the listed runs, with their nodes."""
+    long = pa.int64()
 
     def emit(batches):
         for batch in batches:
-            found = batch.column("found").to_pylist()
+            found, k1, k2 = batch.column("found").to_pylist(), np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
             for lo, hi, data, offsets in chunks(batch.column("text"), 1 << 20):
-                codes, bounds = word_codes(data, offsets)
-                total, rows = sums(codes), [(f, int(bounds[d])) for d in range(hi - lo) for f in found[lo + d]]
+                codes, bounds = word_codes(data, offsets, how.seed)
+                total = sums(codes)
+                rows = [(f["anchor"], f["run"], f["places"], f["n"], f["at"], d) for d in range(hi - lo) for f in found[lo + d]]
                 for some in itertools.batched(rows, 20_000):
-                    n = np.array([f["n"] for f, _ in some])
+                    anchor, run, places, n, at, doc = (np.array(c) for c in zip(*some))
                     which = np.repeat(np.arange(len(some)), n)
                     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.array([f["at"] + b for f, b in some])[which] + step
-                    of = lambda name: pa.array(np.array([f[name] for f, _ in some], np.int64)[which])  # noqa: B023, E731
+                    first = at[which] + step
+                    start = first + bounds[doc][which]
+                    columns = [anchor[which], run[which], places[which], k1[lo + doc[which]], k2[lo + doc[which]], step, first]
+                    hashes = [span(total, start, start + how.window), span(total, start, start + how.window - 1), span(total, start + 1, start + how.window)]
+                    kinds = (long, long, long, long, pa.int32(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [of("anchor"), of("run"), of("places"), of("n"), pa.array(step.astype(np.int32)), pa.array(span(total, start, start + window).view(np.int64))],
-                        names=["anchor", "run", "places", "n", "step", "edge"],
+                        [*(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds)), *(pa.array(h.view(np.int64)) for h in hashes)],
+                        names=[c.split(" ")[0] for c in EDGE.split(", ")],
                     )
 
     return emit
 
 
-def _resolve(window: int):
-    def resolve(docs: DataFrame, opened: DataFrame) -> DataFrame:
-        texts = with_lists(docs.select("key__", "text"), opened, NAMES, "inner").select("text", "found")
-        edges = as_table(texts.mapInArrow(_edges(window), "anchor long, run long, places long, n long, step int, edge long"), "edges")
-        again = as_table(edges.groupBy("anchor", "edge").agg(F.sum("places").alias("c")).where("c > 1").select("anchor", "edge"), "again")
-        hit = edges.where("places = 1").join(again, ["anchor", "edge"]).groupBy("anchor", "run").agg(F.first("n").cast("int").alias("n"), F.collect_set("step").alias("steps"))
-        byte = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(F.array_contains("steps", k), "01").otherwise("00"))
-        return hit.select("anchor", "run", F.unhex(F.array_join(byte, "")).alias("bits"))
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """anchor, edge, head, tail, s1, s2, sat (the source coordinate) of each edge that occurs more than once."""
+    source = (F.min("k1").alias("s1"), F.min_by("k2", "k1").alias("s2"), F.min_by("at", "k1").alias("sat"))
+    ends = (F.first("head").alias("head"), F.first("tail").alias("tail"))
+    return edges.groupBy("anchor", "edge").agg(F.sum("places").alias("c"), *ends, *source).where("c > 1").drop("c")
+
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """Repeated edges with ``path``, where the path that they are part of starts in the source (a place of the same document),
+    and of each path's first edge the edge before it (b1, b2, bat), if a node of degrees 1 and 1 lies between them."""
+    place = F.struct("s1", "s2", "sat")
+    ends = F.explode(F.array(F.struct(F.col("head").alias("node"), F.lit(None).cast(place_type(repeated)).alias("into")), F.struct(F.col("tail").alias("node"), place.alias("into"))))
+    ends = repeated.select(ends.alias("e")).select("e.node", "e.into.*")
+    into = F.sum(F.col("s1").isNotNull().cast("int"))
+    out = F.sum(F.col("s1").isNull().cast("int"))
+    # of nodes with one edge in and one out the edge in is the only one: any aggregate gives it
+    nodes = ends.groupBy("node").agg(into.alias("i"), out.alias("o"), F.max("s1").alias("b1"), F.max("s2").alias("b2"), F.max("sat").alias("bat")).where("i = 1 and o = 1")
+    linked = repeated.join(nodes.select("node", "b1", "b2", "bat"), repeated["head"] == nodes["node"], "left").drop("node")
+    goes_on = F.coalesce((F.col("b1") == F.col("s1")) & (F.col("b2") == F.col("s2")) & (F.col("bat") + 1 == F.col("sat")), F.lit(False))
+    along = Window.partitionBy("s1", "s2").orderBy("sat")
+    path = F.max(F.when(~goes_on, F.col("sat"))).over(along)  # places of one source, in order: the last start so far
+    before = [F.when(~goes_on, F.col(c)).alias(c) for c in ("b1", "b2", "bat")]
+    return linked.select("anchor", "edge", "s1", "s2", "sat", path.alias("path"), *before)
+
+
+def place_type(repeated: DataFrame) -> str:
+    return "struct<s1:{},s2:{},sat:{}>".format(*(repeated.schema[c].dataType.simpleString() for c in ("s1", "s2", "sat")))
+
+
+def _pieces(batches):
+    """Of each run, its repeated edges as pieces of paths."""
+    shape = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int32()), ("sat", pa.int32()), ("path", pa.int32())]))
+    for batch in batches:
+        out = []
+        for found in batch.column("found").to_pylist():
+            pieces = []
+            for f in sorted(found, key=lambda f: f["step"]):
+                last = pieces[-1] if pieces else None
+                if last and f["step"] == last["o"] + last["n"] and (f["s1"], f["s2"], f["path"]) == (last["s1"], last["s2"], last["path"]) and f["sat"] == last["sat"] + last["n"]:
+                    last["n"] += 1
+                else:
+                    pieces.append({"o": f["step"], "n": 1, "s1": f["s1"], "s2": f["s2"], "sat": f["sat"], "path": f["path"]})
+            out.append(pieces)
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("run"), pa.array(out, shape)], names=["anchor", "run", "pieces"])
+
+
+def _graph(docs: DataFrame, merged: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
+    """The edges of the merged runs and the compacted graph, as tables."""
+    texts, lists = with_lists(docs.select(*KEY, "text"), merged, ["anchor", "run", "n", "at", "places"], "inner")
+    # repeated rows say the same: their edges count for each of them, as they repeat anyway
+    edges = as_table(texts.select(*KEY, "text", "found").mapInArrow(_edges(how), EDGE), "edges")
+    repeated = as_table(repeated_edges(edges), "repeated")
+    graph = as_table(compacted(repeated), "graph")
+    free(lists, repeated)
+    return edges, graph
+
+
+def _resolve(how: Windows):
+    def resolve(docs: DataFrame, merged: DataFrame) -> DataFrame:
+        edges, graph = _graph(docs, merged, how)
+        known = edges.select("anchor", "run", "step", "edge").join(graph.select("anchor", "edge", "s1", "s2", "sat", "path"), ["anchor", "edge"])
+        gathered = known.groupBy("anchor", "run").agg(F.collect_set(F.struct("step", "s1", "s2", "sat", "path")).alias("found"))  # a run's edges
+        decided = as_table(gathered.mapInArrow(_pieces, f"anchor long, run long, pieces {PIECES}"), "decided")
+        free(edges, graph)
+        return decided
 
     return resolve
 
 
+def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 0) -> DataFrame:
+    """The compacted graph: n_edges and n_words of each maximal nonbranching path of repeated edges, with doc_key and first_word
+    of the source where it starts. A ring without any branch is cut where its sources change."""
+    how, out = Windows(word_codes, window, anchor, seed), []
+
+    def resolve(docs: DataFrame, merged: DataFrame) -> DataFrame:
+        edges, graph = _graph(docs, merged, how)
+        out.append(glued(graph))
+        free(edges, graph)
+        return as_table(docs.sparkSession.createDataFrame([], f"anchor long, run long, pieces {PIECES}"), "decided")
+
+    free(repeated_pieces(keyed(docs), how, resolve))
+    return out[0].select(F.col("n").alias("n_edges"), (F.col("n") + window - 1).alias("n_words"), F.col("s1").alias("doc_key"), F.col("path").alias("first_word"))
+
+
+def glued(graph: DataFrame) -> DataFrame:
+    """s1, s2, path (where it starts) and n (edges) of maximal paths: each path learns by pointer jumping with which it begins."""
+    here = ["s1", "s2", "path"]
+    first = graph.groupBy(*here).agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("b1", "b2", "bat")))
+    before = graph.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("sat").alias("bat"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("path").alias("hp"))
+    # h: a path that comes earlier (a root names itself); done: h is a root
+    none = F.col("h1").isNull()
+    heads = (F.when(none, F.col(own)).otherwise(F.col(h)).alias(h) for own, h in zip(here, ("h1", "h2", "hp")))
+    jump = as_table(first.join(before, ["b1", "b2", "bat"], "left").select(*here, "n", *heads, none.alias("done")), "jump")
+    open_ = None
+    while True:
+        left = jump.where("not done").count()
+        if left == 0 or left == open_:  # what does not come nearer to a root goes round
+            break
+        open_ = left
+        ahead = jump.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("path").alias("hp"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("hp").alias("gp"), F.col("done").alias("far"))
+        moved = jump.where("not done").join(ahead, ["h1", "h2", "hp"]).select(*here, "n", F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("gp").alias("hp"), F.col("far").alias("done"))
+        new = as_table(moved.unionByName(jump.where("done")), "jump")
+        free(jump)
+        jump = new
+    root = [F.when(F.col("done"), F.col(h)).otherwise(F.col(own)).alias(own) for own, h in zip(here, ("h1", "h2", "hp"))]
+    return jump.select(*root, "n").groupBy(*here).agg(F.sum("n").alias("n"))
+
+
+def _part(window: int):
+    def of(text: str):
+        words = text.encode().split()  # at the six ASCII spaces
+        return lambda at, n: b" ".join(words[at : at + n + window - 1])
+
+    return of
+
+
 def _cut(window: int):
     def emit(batches):
         for batch in batches:
             out = []
             for text, found in zip(batch.column("text"), batch.column("found").to_pylist()):
-                words = text.as_py().encode().split()  # at the six ASCII spaces
-                gone = covered(found, len(words), window) if found else None
+                words = text.as_py().encode().split()
+                gone = covered(found, len(words), window, lambda at, n, words=words: b" ".join(words[at : at + n + window - 1])) if found else None
                 kept = words if gone is None else itertools.compress(words, (~gone).tolist())
                 out.append((len(words), 0 if gone is None else int(gone.sum()), b" ".join(kept)))
             n, removed, kept = zip(*out) if out else ((), (), ())
@@ -79,12 +195,14 @@ def _cut(window: int):
     return emit
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 0) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, UTF-8, joined by one space) of each row."""
-    docs = keyed(docs)
-    marks = repeated_runs(docs, Windows(word_codes, window, anchor), _resolve(window))
-    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_words long, n_removed long, kept binary"
-    return with_lists(docs, marks, ["at", "n", "bits"], "left").select("doc_id", "text", "found").mapInArrow(_cut(window), shape)
+    docs, how = keyed(docs), Windows(word_codes, window, anchor, seed)
+    pieces = repeated_pieces(docs, how, _resolve(how))
+    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ", 1) + ", n_words long, n_removed long, kept binary"
+    spans = checked_spans(docs, pieces, _part(window)).select("doc_id", "text", "found")
+    free(pieces)
+    return spans.mapInArrow(_cut(window), shape)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,13 @@ An anchor with more than ``MOST`` different runs (a line in very many documents)
 where their windows stand around the anchor and dealt by the text that all windows of a half share, merged again, and so
 on; halves of one window share all their text, so they merge. Each level is a table in the shared folder.
 
+Runs of equal hash are one string of the transform with its number of places; whether their bytes are equal is seen when
+each removed span is compared with its source (see ``repeats``).
+
 Defined cases: null or empty texts have no bytes; texts shorter than the window keep all; repeated rows are places of their
-own; a null doc_id is a document like others; an empty table gives an empty result; other columns are not read. Removal may
-cut inside a character: kept bytes are bytes.
+own; a null doc_id is a document like others; an empty table gives an empty result; other columns, under any name, are not
+read; very long texts are treated in blocks (see ``repeats``), no byte is left out. Removal may cut inside a character: kept
+bytes are bytes.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.repeats import Windows, byte_codes, covered, keyed, repeated_runs, with_lists
-from pairscope.llm.store import as_table, documents
+from pairscope.llm.repeats import KEY, PIECES, Windows, byte_codes, checked_spans, covered, keyed, repeated_pieces, with_lists
+from pairscope.llm.store import as_table, documents, free
 
 WINDOW = 200
 ANCHOR = 48
@@ -193,10 +197,11 @@ def _expand(window: int):
 
 
 def _resolve(window: int, anchor: int, most: int):
-    def resolve(docs: DataFrame, runs: DataFrame) -> DataFrame:
-        names = ["anchor", "run", "n", "off", "places", "at"]
-        parts = with_lists(docs.select("key__", "text"), runs, names, "inner").select("text", "found").mapInArrow(_slices(window, anchor), PART)
-        parts, verdicts = as_table(parts, "parts"), []
+    def resolve(docs: DataFrame, merged: DataFrame) -> DataFrame:
+        several = as_table(merged.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
+        runs = as_table(merged.join(several, "anchor"), "opened")
+        texts, lists = with_lists(docs.select(*KEY, "text"), runs, ["anchor", "run", "n", "off", "places", "at"], "inner")
+        parts, verdicts, old = as_table(texts.select("text", "found").mapInArrow(_slices(window, anchor), PART), "parts"), [], []
         while True:
             # one copy of each content under a key; several copies repeat as they are
             one = as_table(parts.groupBy("key", "same").agg(F.sum("places").alias("places"), *(F.first(c).alias(c) for c in ("anchor", "run", "o", "n", "off", "lo", "hi", "slice"))), "one")
@@ -213,29 +218,45 @@ def _resolve(window: int, anchor: int, most: int):
             copies = one.where("places > 1").select("key", "same")
             verdicts.append(each.join(hits.select("key", "same", "bits"), ["key", "same"]).select("anchor", "run", "o", "n", "bits"))
             verdicts.append(each.join(copies, ["key", "same"]).select("anchor", "run", "o", "n", F.lit(None).cast("binary").alias("bits")))
+            old += [parts, one, sizes, many, lone, hits]
             if many.isEmpty():
                 break
             parts = as_table(marked.where("many").select(*parts.columns).mapInArrow(_halve(window), PART), "halves")
         found = verdicts[0]
         for v in verdicts[1:]:
             found = found.unionByName(v)
-        whole = runs.where("places = 1").select("anchor", "run", F.col("n").alias("whole"))
-        shape = "anchor long, run long, bits binary"
-        gathered = found.join(whole, ["anchor", "run"]).groupBy("anchor", "run", "whole").agg(F.collect_list(F.struct("o", "n", "bits")).alias("some"))
-        return gathered.mapInArrow(_merged, shape)
+        source = [F.col(a).alias(b) for a, b in (("k1", "s1"), ("k2", "s2"), ("at", "sat"))]
+        once = runs.where("places = 1").select("anchor", "run", F.col("n").alias("whole"), *source)
+        gathered = found.join(once, ["anchor", "run"]).groupBy("anchor", "run", "whole", "s1", "s2", "sat").agg(F.collect_set(F.struct("o", "n", "bits")).alias("some"))
+        opened = gathered.mapInArrow(_merged, f"anchor long, run long, pieces {PIECES}")
+        all_ = F.array(F.struct(F.lit(0).alias("o"), "n", *source, F.lit(0).alias("path"))).cast(PIECES)
+        decided = as_table(merged.where("places > 1").select("anchor", "run", all_.alias("pieces")).unionByName(opened), "decided")
+        free(several, runs, lists, *old)
+        return decided
 
     return resolve
 
 
 def _merged(batches):
+    """Of each run, its repeated windows as pieces; the run is its own source."""
+    shape = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int32()), ("sat", pa.int32()), ("path", pa.int32())]))
     for batch in batches:
         out = []
-        for n, some in zip(batch.column("whole").to_pylist(), batch.column("some").to_pylist()):
-            bits = np.zeros(n, np.uint8)
-            for s in some:
-                bits[s["o"] : s["o"] + s["n"]] |= 1 if s["bits"] is None else np.frombuffer(s["bits"], np.uint8)
-            out.append(bits.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("run"), pa.array(out, pa.binary())], names=["anchor", "run", "bits"])
+        for r in batch.to_pylist():
+            bits = np.zeros(r["whole"] + 2, np.int8)
+            for s in r["some"]:
+                bits[s["o"] + 1 : s["o"] + s["n"] + 1] |= 1 if s["bits"] is None else np.frombuffer(s["bits"], np.int8)
+            starts, stops = np.flatnonzero(np.diff(bits) == 1), np.flatnonzero(np.diff(bits) == -1)
+            out.append([{"o": a, "n": b - a, "s1": r["s1"], "s2": r["s2"], "sat": r["sat"] + a, "path": 0} for a, b in zip(starts.tolist(), stops.tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("run"), pa.array(out, shape)], names=["anchor", "run", "pieces"])
+
+
+def _part(window: int):
+    def of(text: str):
+        data = text.encode()
+        return lambda at, n: data[at : at + n - 1 + window]
+
+    return of
 
 
 def _cut(window: int):
@@ -247,7 +268,7 @@ def _cut(window: int):
                 if not found:
                     out.append((len(data), 0, 0, data))
                     continue
-                gone = covered(found, len(data), window)
+                gone = covered(found, len(data), window, lambda at, n, data=data: data[at : at + n - 1 + window])
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             columns = zip(*out) if out else ((), (), (), ())
@@ -259,12 +280,14 @@ def _cut(window: int):
     return emit
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row."""
     docs = keyed(docs)
-    marks = repeated_runs(docs, Windows(byte_codes, window, anchor), _resolve(window, anchor, most))
-    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    return with_lists(docs, marks, ["at", "n", "bits"], "left").select("doc_id", "text", "found").mapInArrow(_cut(window), shape)
+    pieces = repeated_pieces(docs, Windows(byte_codes, window, anchor, seed), _resolve(window, anchor, most))
+    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ", 1) + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    spans = checked_spans(docs, pieces, _part(window)).select("doc_id", "text", "found")
+    free(pieces)
+    return spans.mapInArrow(_cut(window), shape)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

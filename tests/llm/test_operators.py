@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from pairscope.llm import byte_bpe, decontaminate, exact_dedup, licenses, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
+from pairscope.llm import byte_bpe, decontaminate, exact_dedup, licenses, pseudonyms, quality, repeats, simhash, substring_dedup, suffix_dedup, token_files
 from pairscope.llm import catalog as corpus
 
 SF = "/root/testdata/sf0.01"
@@ -70,6 +70,19 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.groups_of_equal(none).count() == exact_dedup.dedup(none).count() == 0
 
 
+def test_depth_of_exact_dedup(spark, monkeypatch):
+    """Buckets that do not fit are dealt again each for itself: the number of levels does not grow with the rows."""
+    levels = []
+    write = exact_dedup.as_table
+    monkeypatch.setattr(exact_dedup, "as_table", lambda df, name: levels.append(name) or write(df, name))
+    for n in (200, 800, 3200):
+        texts = [f"text {k} " + "x" * (k % 50) for k in range(n)]
+        levels.clear()
+        kept = exact_dedup.dedup(spark.createDataFrame(list(enumerate(texts + texts[:9])), "doc_id long, text string"), budget=5000)
+        assert kept.count() == n and kept.where(f"doc_id >= {n}").count() == 9
+        assert len(levels) <= 4
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
@@ -125,21 +138,69 @@ def test_suffix_dedup(docs, none, most):
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
-def test_lists_of_equal_rows_hold_one_row_s_runs(spark, operator, monkeypatch):
+def test_lists_of_equal_rows_hold_one_row_s_spans(spark, operator, monkeypatch):
     rows = [(7, SENTENCE * 20)] * 60 + [(k, SENTENCE * 20 + f"{k} ends here") for k in range(3)]
-    seen, gather = [], operator.with_lists
+    seen, gather = [], repeats.with_lists
 
     def with_lists(docs, lists, names, how):
-        out = gather(docs, lists, names, how)
-        seen.append((lists.count(), lists.select("key__", *names).distinct().count()))
-        return out
+        seen.append((lists.count(), lists.select("k1", "k2", *names).distinct().count()))
+        return gather(docs, lists, names, how)
 
-    monkeypatch.setattr(operator, "with_lists", with_lists)
+    for module in (operator, repeats):
+        monkeypatch.setattr(module, "with_lists", with_lists)
     got = operator.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == 63 and all(r["n_removed"] > 0 for r in got) and {r["n_removed"] for r in got if r["doc_id"] == 7} == {len((SENTENCE * 20).split()) if operator is substring_dedup else len(SENTENCE * 20)}
     assert seen and all(n == own for n, own in seen)
 
 
+def test_paths_of_the_graph(spark):
+    """Compaction against a graph built in plain Python."""
+    window = 5
+    say = random.Random(3)
+    parts = [" ".join(say.choice("abcdefghijklmnopqrstuvwxyz") + str(say.randint(0, 40)) for _ in range(n)) for n in (30, 12, 50, 8, 21, 40)]
+    texts = [parts[0] + " x " + parts[1], parts[1] + " " + parts[0], parts[2], "y " + parts[2] + " z", parts[3] + " " + parts[4], parts[4], parts[0] + " " + parts[2]]
+    texts += [" ".join(parts[5].split()[:25]), " ".join(parts[5].split()[10:]), parts[5].split()[0] + " " + " ".join(parts[5].split()[10:33]), "q q q q q q q q q q q q", "r s r s r s r s r s r s"]
+    count = Counter(tuple(w[k : k + window]) for w in map(str.split, texts) for k in range(len(w) - window + 1))
+    edges = {e for e, c in count.items() if c > 1}
+    into, out = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    linked = {v for v in into if into[v] == out[v] == 1}
+    after = {e[:-1]: e for e in edges}
+    want, seen = [], set()
+    for e in edges:
+        if e[:-1] not in linked:
+            n, seen_, x = 1, {e}, e
+            while x[1:] in linked:
+                x = after[x[1:]]
+                seen_.add(x)
+                n += 1
+            want.append(n)
+            seen |= seen_
+    rings = len(edges) - len(seen)  # edges on rings without a branch
+    got = [r["n_edges"] for r in substring_dedup.paths(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), window, 2).collect()]
+    assert sum(got) == len(edges) and rings == 3
+    for n in want:
+        got.remove(n)
+    assert sum(got) == rings
+
+
+def test_spans_are_compared_with_their_source(spark, monkeypatch):
+    """Words of one hash: what hashes say is equal is not, and the comparison sees it."""
+    docs = spark.createDataFrame([(1, "a1 b1 c1 d1 e1 f1"), (2, "a2 b2 c2 d2 e2 f2"), (3, "a1 b1 c1 d1 e1 f1")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.without_repeats(docs, 4, 2, seed=5).collect()) == [(1, 6), (2, 0), (3, 6)]
+
+    def blind(data, offsets, seed=0):
+        data = data.copy()
+        data[(data >= 49) & (data <= 50)] = 48
+        return repeats.word_codes(data, offsets, seed)
+
+    how = repeats.Windows(blind, 4, 2)
+    monkeypatch.setattr(substring_dedup, "word_codes", blind)
+    keyed = repeats.keyed(docs)
+    spans = repeats.checked_spans(keyed, repeats.repeated_pieces(keyed, how, substring_dedup._resolve(how)), substring_dedup._part(4))
+    with pytest.raises(Exception, match="another seed"):
+        spans.select("doc_id", "text", "found").mapInArrow(substring_dedup._cut(4), "doc_id long, n_words long, n_removed long, kept binary").collect()
+
+
 def test_interval_expansion_states_common_prefixes():
     for t in range(40):
         strings = [bytes(rng.choice(b"ab" + b"cdef" * (t % 3)) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
