@@ -112,7 +112,20 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int):
+def _visits(gram: np.ndarray, place: np.ndarray, first: np.ndarray, many: np.ndarray, window: int, k: int):
+    """The nodes (stretches of window - 1 symbols) that a walk enters and leaves by windows of other anchors than the node's
+    own: where they start, and that anchor's place."""
+    nxt = first[1:]
+    met = (nxt == first[:-1] + many[:-1]) & (place[first[:-1]] == nxt - 1) & (place[nxt] == nxt + window - k)
+    at = nxt[met]
+    if not len(at):
+        return at, at
+    inside = at[:, None] + np.arange(window - k)
+    least = ((gram[inside] & ~_LOW) | inside.astype(np.uint64)).min(1)
+    return at, (least & _LOW).astype(np.int64)
+
+
+def _runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int, visits: bool):
     n = len(codes)
     if n < window:
         return None
@@ -128,21 +141,28 @@ def _runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int):
         return None
     seen = np.cumsum(inside)
     many = np.append(seen[first[1:] - 1], seen[-1]) - seen[first] + 1
-    off = place[first].astype(np.int64) - first
+    place = place.astype(np.int64)
+    off = place[first] - first
     content = span(total, first, first + many + window - 1)
     run = mix(content ^ (many.astype(np.uint64) * _ODD[2]) ^ (off.astype(np.uint64) * _ODD[3]))
+    anchor = gram[place[first]]
+    if visits:
+        at, own = _visits(gram, place, first, many, window, k)
+        first, many, off = np.concatenate([first, at]), np.concatenate([many, np.zeros(len(at), np.int64)]), np.concatenate([off, own - at])
+        anchor, run = np.concatenate([anchor, gram[own]]), np.concatenate([run, mix(span(total, at, at + window - 1))])
     doc = np.searchsorted(bounds, first, "right") - 1
-    return doc, first - bounds[doc], many, off, gram[place[first].astype(np.int64)].view(np.int64), run.view(np.int64)
+    return doc, first - bounds[doc], many, off, anchor.view(np.int64), run.view(np.int64)
 
 
-def runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int):
-    """Yields (document, first window, windows, anchor's place in the run, anchor, run); long texts block by block."""
+def runs(codes: np.ndarray, bounds: np.ndarray, window: int, k: int, visits: bool = False):
+    """Yields (document, first window, windows, anchor's place in the run, anchor, run); long texts block by block. With
+    ``visits``, also nodes that belong to an anchor without a window of it around them, as runs of no windows."""
     if len(codes) <= 2 * BLOCK:
         pieces = [(0, codes, bounds, 0)]
     else:
         pieces = [(d, codes[lo : min(lo + BLOCK + window - 1, hi)], None, lo - bounds[d]) for d, hi in enumerate(bounds[1:]) for lo in range(int(bounds[d]), int(hi), BLOCK)]
     for d, part, own, skipped in pieces:
-        if (found := _runs(part, np.array([0, len(part)]) if own is None else own, window, k)) is not None:
+        if (found := _runs(part, np.array([0, len(part)]) if own is None else own, window, k, visits)) is not None:
             yield found[0] + d, found[1] + skipped, *found[2:]
 
 
@@ -152,6 +172,7 @@ class Windows:
     window: int
     k: int
     seed: int = 0
+    visits: bool = False
 
 
 KEY = ["k1", "k2"]
@@ -169,7 +190,7 @@ def runs_of(docs: DataFrame, how: Windows) -> DataFrame:
             k1, k2 = np.asarray(batch.column("k1"), np.int64), np.asarray(batch.column("k2"), np.int32)
             for lo, _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 codes, bounds = how.symbols(data, offsets, how.seed)
-                for doc, at, many, off, anchor, run in runs(codes, bounds, how.window, how.k):
+                for doc, at, many, off, anchor, run in runs(codes, bounds, how.window, how.k, how.visits):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor), pa.array(run), pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(off.astype(np.int32))],
                         names=["anchor", "run", "k1", "k2", "at", "n", "off"],

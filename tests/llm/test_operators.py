@@ -193,7 +193,7 @@ def test_spans_are_compared_with_their_source(spark, monkeypatch):
         data[(data >= 49) & (data <= 50)] = 48
         return repeats.word_codes(data, offsets, seed)
 
-    how = repeats.Windows(blind, 4, 2)
+    how = repeats.Windows(blind, 4, 2, visits=True)
     monkeypatch.setattr(substring_dedup, "word_codes", blind)
     keyed = repeats.keyed(docs)
     spans = repeats.checked_spans(keyed, repeats.repeated_pieces(keyed, how, substring_dedup._resolve(how)), substring_dedup._part(4))
