@@ -1,17 +1,21 @@
 """Operator 1, benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are compared in lower case with every row of spaces and ASCII punctuation as one space. An item of m bytes is found
-where a stretch of a document differs from it by at most e = floor(``RATE`` * m) edits. Such a stretch shares at least
-m - q + 1 - q * e q-grams with the item, on diagonals (place in the document less place in the item) that lie at most e
+Texts are compared in lower case with every row of spaces and ASCII punctuation as one space, and one space before and after
+each text, so that words are whole at the ends of an item. An item of m bytes is found where a stretch of a document differs
+from it by at most e = floor(``RATE`` * m) edits (its m + 2 bytes with the spaces count). Such a stretch shares at least
+m + 2 - q + 1 - q * e q-grams with the item, on diagonals (place in the document less place in the item) that lie at most e
 apart. So shared q-grams are counted in bands of 2e + 1 diagonals that start every e + 1 diagonals and overlap by e: one
 band holds all of them. Bands that reach the bound are aligned, a row of the item at a time for all of them together.
+q is ``Q``, or for an item too short for that the largest that leaves a bound of 1, (m + 2) // (e + 1): the method and
+the edits are the same at every length.
 
 The benchmark goes to the tasks in blocks of about ``BLOCK`` bytes (its hash decides a row's block), each against all
-documents, so what is broadcast has a bound whatever the benchmark's size, and no document is shuffled.
+documents, and no document is shuffled. A block's broadcast is released before the next one is made, so what tasks hold has a
+bound whatever the benchmark's size; a benchmark of n blocks costs n passes.
 
-Defined cases: null and empty texts and items match nothing; e is lowered for short items so that the bound stays at 1 or
-more, and items shorter than q are looked for as whole words without edits; repeated rows are answered each; other columns
-are neither read nor lost (``without_leaks``); an empty benchmark finds nothing.
+Defined cases: null and empty texts and items match nothing; repeated rows are answered each; other columns, under any name,
+are neither read nor lost (``without_leaks``); an empty benchmark finds nothing; a very long text is a chunk for itself, and is
+searched whole; very long items are aligned fewer at a time.
 """
 
 from __future__ import annotations
@@ -25,32 +29,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm.repeats import span, sums
-from pairscope.llm.store import chunks, documents
+from pairscope.llm.store import as_table, chunks, documents, free
 
 Q = 10
 RATE = 0.07
 BLOCK = 8 << 20
+CELLS = 1 << 21  # of the tables that are aligned together
 _MAP = np.array([c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as they are compared; texts begin and end without a space."""
-    data = _MAP[data]
-    space = data == 32
+    """Bytes as they are compared; each text begins and ends with one space (an empty one is a space)."""
+    n = len(offsets) - 1
+    starts = offsets + 2 * np.arange(n + 1)
+    wide = np.full(len(data) + 2 * n, 32, np.uint8)
+    body = np.ones(len(wide), bool)
+    body[starts[:-1]] = body[starts[1:] - 1] = False
+    wide[body] = _MAP[data]
+    space = wide == 32
     drop = space.copy()
     drop[1:] &= space[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    drop[first] = space[first]
-    last = offsets[1:][np.diff(offsets) > 0] - 1
+    drop[starts[:-1]] = False
     kept = np.concatenate([[0], np.cumsum(~drop)])
-    offsets, data = kept[offsets], data[~drop]
-    # at most one space is left at a text's end
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    ends = np.zeros(len(data), bool)
-    ends[last[data[last] == 32]] = True
-    kept = np.concatenate([[0], np.cumsum(~ends)])
-    return data[~ends], kept[offsets]
+    return wide[~drop], kept[starts]
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Of a block of the benchmark: q-grams in order with their items and places."""
+    """Of items with one q: q-grams in order with their items and places."""
 
     ids: list
     texts: list[bytes]
@@ -73,25 +75,29 @@ class Index:
     sizes: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
-    short: list[int]
 
     @classmethod
-    def of(cls, rows: list[tuple], q: int, rate: float) -> Index:
-        ids, texts = [], []
+    def of(cls, rows: list[tuple], q: int, rate: float) -> list[Index]:
+        """Of a block of the benchmark: an index for each q that its items need."""
+        groups: dict[int, list[tuple]] = {}
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
             own = normal(data, np.array([0, len(data)]))[0].tobytes()
-            if own:
-                ids.append(item_id)
-                texts.append(own)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        budget = np.maximum(0, np.minimum(np.floor(sizes * rate).astype(np.int64), sizes // q - 1))
+            if len(own) > 1:
+                budget = math.floor(rate * (len(own) - 2))
+                groups.setdefault(min(q, len(own) // (budget + 1)), []).append((item_id, own, budget))
+        return [cls._of(group, k) for k, group in sorted(groups.items())]
+
+    @classmethod
+    def _of(cls, group: list[tuple], q: int) -> Index:
+        ids, texts, budget = zip(*group)
+        sizes, budget = np.array([len(t) for t in texts], np.int64), np.array(budget, np.int64)
         found = [grams(np.frombuffer(t, np.uint8), q) for t in texts]
         item = np.repeat(np.arange(len(texts)), [len(g) for g in found])
-        place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
-        gram = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        place = np.concatenate([np.arange(len(g)) for g in found])
+        gram = np.concatenate(found)
         by = np.argsort(gram, kind="stable")
-        return cls(ids, texts, q, gram[by], item[by], place[by], sizes, budget, sizes - q + 1 - q * budget, np.flatnonzero(sizes < q).tolist())
+        return cls(list(ids), list(texts), q, gram[by], item[by], place[by], sizes, budget, sizes - q + 1 - q * budget)
 
     def marks(self) -> np.ndarray:
         """A table of bits that tells most q-grams which are in no item."""
@@ -166,9 +172,13 @@ def distances(items: list[bytes], data: np.ndarray, starts: np.ndarray, stops: n
     return out
 
 
-def leaks(index: Index, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, edits, shared q-grams) for a chunk of texts."""
+def leaks(indexes: list[tuple[Index, np.ndarray]], data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    """(document, item_id, edits, shared q-grams) for a chunk of texts."""
     data, offsets = normal(data, offsets)
+    return [(d, index.ids[k], x, c) for index, table in indexes for d, k, x, c in _leaks(index, table, data, offsets)]
+
+
+def _leaks(index: Index, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int]] = {}
     if len(found := _bands(index, table, data, offsets)):
         doc, item, first, count = found
@@ -182,68 +192,69 @@ def leaks(index: Index, table: np.ndarray, data: np.ndarray, offsets: np.ndarray
         doc, item, first, count = doc[~exact], item[~exact], first[~exact], count[~exact]
         for e in np.unique(index.budget[item]):
             own = np.flatnonzero(index.budget[item] == e)
-            for lo in range(0, len(own), 512):
-                some = own[lo : lo + 512]
+            together = int(min(512, max(1, CELLS // (4 * e + 1 + index.sizes[item[own]].max()))))
+            for lo in range(0, len(own), together):
+                some = own[lo : lo + together]
                 edits = distances([index.texts[k] for k in item[some]], data, offsets[doc[some]], offsets[doc[some] + 1], first[some], int(e))
                 for d, k, x, c in zip(doc[some].tolist(), item[some].tolist(), edits.tolist(), count[some].tolist()):
                     if x <= e:
                         best[d, k] = min(best.get((d, k), (x, -c)), (x, -c))
-    if index.short:
-        for d in range(len(offsets) - 1):
-            text = b" " + data[offsets[d] : offsets[d + 1]].tobytes() + b" "
-            for k in index.short:
-                if b" " + index.texts[k] + b" " in text:
-                    best[d, k] = (0, 0)
     return [(d, k, x, -c) for (d, k), (x, c) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, q: int, rate: float, block: int):
-    """Indexes of blocks of the benchmark."""
+    """The broadcast indexes of each block of the benchmark, and whether it is the last one."""
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / block))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
-        yield Index.of([tuple(r) for r in rows.collect()], q, rate)  # about ``block`` bytes
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.of([tuple(r) for r in rows.collect()], q, rate)), k == n - 1  # about ``block`` bytes
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, n_shared of each document and item that it holds."""
+    docs = docs.select("doc_id", "text")
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, edits long, n_shared long"
     out = None
-    for index in _blocks(benchmark, q, rate, block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared, _ in _blocks(benchmark, q, rate, block):
 
         def run(batches, shared=shared):
-            index, table = shared.value, shared.value.marks()
+            indexes = [(index, index.marks()) for index in shared.value]
             for batch in batches:
                 rows = []
                 for lo, _, data, offsets in chunks(batch.column("text"), 1 << 19):
-                    rows += [(lo + d, index.ids[k], x, c) for d, k, x, c in leaks(index, table, data, offsets)]
+                    rows += [(lo + d, *found) for d, *found in leaks(indexes, data, offsets)]
                 if rows:
                     at, ids, edits, count = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(ids), pa.array(edits, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "item_id", "edits", "n_shared"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, shape)
+        found = as_table(docs.mapInArrow(run, shape), "leaks")
+        shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    at = docs.columns.index("text")
-    for index in _blocks(benchmark, q, rate, block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows of ``docs`` that hold no item, with all their columns. Between two blocks the rows that are left are a table."""
+    at, held = docs.columns.index("text"), None
+    for shared, last in _blocks(benchmark, q, rate, block):
 
         def run(batches, shared=shared):
-            index, table = shared.value, shared.value.marks()
+            indexes = [(index, index.marks()) for index in shared.value]
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in chunks(batch.column(at), 1 << 19):
-                    clean[[lo + d for d, *_ in leaks(index, table, data, offsets)]] = False
+                    clean[[lo + d for d, *_ in leaks(indexes, data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = as_table(docs, "left")
+            shared.unpersist()
+            if held is not None:
+                free(held)
+            held = docs
     return docs
 
 

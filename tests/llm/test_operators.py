@@ -1,6 +1,7 @@
 """Small cases of every operator against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, no rows."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -223,7 +224,7 @@ def edits(item, text):
 
 
 def test_decontamination(spark, docs, none):
-    items = [(k, "".join(rng.choice("abcde fg") for _ in range(rng.choice([5, 13, 20, 60, 90, 140])))) for k in range(20)] + [(20, None), (21, ""), (22, "!?")]
+    items = [(k, "".join(rng.choice("abcde fg") for _ in range(rng.choice([3, 5, 13, 20, 60, 90, 140])))) for k in range(20)] + [(20, None), (21, ""), (22, "!?")]
     texts = []
     for k in range(80):
         own = list(rng.choice(items[:20])[1])
@@ -234,16 +235,18 @@ def test_decontamination(spark, docs, none):
         texts.append((k, noise(rng.randint(0, 60)) + ("".join(own) if k % 2 else "") + noise(rng.randint(0, 60))))
     texts += [(200, None), (201, ""), (1, texts[1][1])]
     q, rate = 6, 0.1
-    index = decontaminate.Index.of(items, q, rate)
-    own = lambda t: decontaminate.normal(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].tobytes()
+
+    def own(t):  # stated here again, on its own
+        return b" " + b" ".join(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode())) + b" "
+
     want = []
     for i, t in texts:
-        for k, x in enumerate(index.texts):
-            if len(x) < q:
-                if b" " + x + b" " in b" " + own(t) + b" ":
-                    want.append((i, index.ids[k], 0))
-            elif (d := edits(x, own(t))) <= index.budget[k]:
-                want.append((i, index.ids[k], d))
+        for k, x in items:
+            x = own(x)
+            if len(x) > 2 and (d := edits(x, own(t))) <= math.floor(rate * (len(x) - 2)):
+                want.append((i, k, d))
+    index = decontaminate.Index.of(items, q, rate)
+    assert len(index) > 1 and all((g.bound >= 1).all() for g in index)
     table, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (decontaminate.BLOCK, 300):
         assert plain(decontaminate.find_leaks(table, bench, q, rate, block), "doc_id", "item_id", "edits") == listed(want)
