@@ -2,13 +2,15 @@
 
 A fingerprint's bits are counted in ``BLOCKS`` equal blocks. If two fingerprints differ in at most ``radius`` bits, their
 block counts differ by at most ``radius`` in sum, so a tile (the distinct fingerprints with equal counts, divided into
-sub-tiles of bounded size) meets only tiles within that distance: all other pairs of tiles are skipped. Each pair
-of tiles is compared whole, exactly; of its links a spanning forest goes on (at most as many as it has fingerprints),
-so groups of near copies never turn into all their pairs. Components come from alternating large-star and small-star rounds.
+sub-tiles of bounded size) meets only tiles within that distance: all other pairs of tiles are skipped. Pairs are made of
+the tiles' names alone and dealt by both names, so the pairs of a crowded count are spread over all tasks; then each
+pair's fingerprints come by two joins. A pair is compared whole, exactly; of its links a spanning forest goes on (at most as
+many as it has fingerprints), so groups of near copies never turn into all their pairs. Components come from alternating large-star and small-star rounds.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; equal
 fingerprints are one vertex, whatever the number of copies; repeated rows get a row each; a null ``doc_id`` never
-names a component unless nothing else can; an empty table gives an empty result; other columns survive in ``one_of_each``.
+names a component unless nothing else can; an empty table gives an empty result; other columns, under any name, survive in
+``one_of_each``; a very long text is hashed whole, its bits counted 8,192 shingles at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import as_table, documents, plus
+from pairscope.llm.store import as_table, documents, numbered, plus
 
 BLOCKS = 4
 TILE = 4096
@@ -131,11 +133,15 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int
 
     tiles = as_table(packed.mapInArrow(pack, "cell array<int>, part int, blob binary"), "tiles")
     near = F.array(*(F.array(*map(F.lit, d)) for d in near_cells(blocks, radius)))
-    left = tiles.select(F.col("blob").alias("left"), F.col("part").alias("pa"), F.col("cell").alias("ca"), F.explode(near).alias("d"))
-    left = left.select("left", "pa", "ca", F.zip_with("ca", "d", lambda x, y: x + y).alias("cb"))
+    names = tiles.select(F.col("part").alias("pa"), F.col("cell").alias("ca"))
+    left = names.select("pa", "ca", F.explode(near).alias("d")).select("pa", "ca", F.zip_with("ca", "d", lambda x, y: x + y).alias("cb"))
     bounded = F.forall("cb", lambda x: x.between(0, width))
-    right = tiles.select(F.col("blob").alias("right"), F.col("part").alias("pb"), F.col("cell").alias("cb"))
-    met = left.where(bounded).join(right, "cb").where((F.col("ca") != F.col("cb")) | (F.col("pa") <= F.col("pb")))
+    met = left.where(bounded).join(tiles.select(F.col("part").alias("pb"), F.col("cell").alias("cb")), "cb")
+    met = met.where((F.col("ca") != F.col("cb")) | (F.col("pa") <= F.col("pb")))
+    met = met.join(tiles.select(F.col("blob").alias("left"), F.col("part").alias("pa"), F.col("cell").alias("ca")), ["ca", "pa"])
+    met = met.join(tiles.select(F.col("blob").alias("right"), F.col("part").alias("pb"), F.col("cell").alias("cb")), ["cb", "pb"])
+    # the work of a pair does not show in its bytes: a number of partitions of our own, which no plan merges
+    met = met.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ca", "pa", "cb", "pb")
     met = met.select("left", "right", ((F.col("ca") == F.col("cb")) & (F.col("pa") == F.col("pb"))).alias("same"))
     return met.mapInArrow(_compare(radius), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -179,16 +185,18 @@ def near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(_components_of(rows, "doc_id", radius), "fp__").select("doc_id", F.lower(F.lpad(F.hex("fp__"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row of each component, that with the smallest doc_id, and all its columns."""
-    numbered = as_table(with_fingerprint(docs.select("*", F.monotonically_increasing_id().alias("row__"))), "rows")
-    rows = numbered.select("doc_id", "row__", "fp__")
+    own, names = numbered(docs)
+    columns, text, id_column = own.columns, own.columns[names.index(text)], own.columns[names.index(id_column)]
+    rows_of = as_table(with_fingerprint(own.select("*", F.monotonically_increasing_id().alias("row")), text), "rows")
+    rows = rows_of.select(F.col(id_column).alias("id"), "row", "fp__")
     # null ids come last, repeated ids by row number
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     keys = rows.groupBy("fp__").agg(first.alias("first"))
-    comp = _components_of(rows, "row__", radius).withColumnRenamed("component_id", "group__")
-    keep = keys.join(comp, "fp__").groupBy("group__").agg(F.min("first").alias("first")).select(F.col("first.row__").alias("row__"))
-    return numbered.join(keep, "row__", "left_semi").select(*docs.columns)
+    comp = _components_of(rows, "row", radius).withColumnRenamed("component_id", "group")
+    keep = keys.join(comp, "fp__").groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows_of.join(keep, "row", "left_semi").select(*columns).toDF(*names)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
