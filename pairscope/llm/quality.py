@@ -7,7 +7,8 @@ needs one number per bucket: a fixed table of ``BUCKETS`` floats goes to the tas
 Defined cases: a null or empty text has the always present end-of-text feature only and gets a score from it; repeated
 rows are scored alike, each in a row of its own; several labels of one document count as their minimum; rows without a
 ``doc_id`` or label are never learned from; with no usable label (or one class only) every score follows from that:
-0.5 with none. Other columns, also ones named like results, are neither read nor needed.
+0.5 with none. Other columns, also ones named like results, are neither read nor needed, and ``keep_good`` keeps them. A very
+long text is a chunk for itself, its average goes over all its features.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import chunks, documents
+from pairscope.llm.store import chunks, documents, numbered
 
 BUCKETS = 1 << 18
 END_OF_TEXT = 0  # bucket of the feature that every document has
@@ -28,10 +29,6 @@ THRESHOLD = 0.3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _SHIFT = np.uint64(64 - 18)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -43,28 +40,31 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """Yields (bucket, mask, owner boundaries) per kind of feature over a chunk of texts.
+    """Yields (bucket, mask or places, starts of the texts) per kind of feature over a chunk of UTF-8 texts.
 
-    A space stands before every text and after the last, so n-grams see where words begin and end. A feature belongs
-    to the text in whose span of the padded bytes it starts.
+    Characters are code points, A to Z in lower case. A space stands before every text and after the last, so n-grams
+    see where words begin and end; inside an n-gram there is none. A feature belongs to the text in whose span of the
+    padded characters it starts.
     """
     n = len(offsets) - 1
-    padded = np.insert(_LOWER[data], offsets[:-1], 32)
-    padded = np.concatenate([padded, np.full(6, 32, np.uint8)])
-    starts = offsets[:-1] + np.arange(n)
-    size = int(offsets[-1]) + n
-    space = _SPACE[padded]
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # in characters
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    padded = np.insert(points, begins[:-1], 32)
+    padded = np.concatenate([padded, np.full(6, 32, padded.dtype)])
+    starts = begins[:-1] + np.arange(n)
+    size = int(begins[-1]) + n
+    space = (padded == 32) | ((padded >= 9) & (padded <= 13))
     spaces = np.concatenate([[0], np.cumsum(space, dtype=np.int32)])
-    code = padded.astype(np.uint64)
+    code = padded.astype(np.uint64) + np.uint64(1)
     gram = code[: size + 1].copy()
     for k in range(1, max(GRAMS)):
-        gram |= code[k : k + size + 1] << np.uint64(8 * k)
+        gram = gram * _BASE + code[k : k + size + 1]
         if k + 1 in GRAMS:
             inner = spaces[k : k + size] == spaces[1 : size + 1]
-            bucket = ((gram[:size] + np.uint64(k)) * _MIX) >> _SHIFT
-            yield bucket.astype(np.int32), inner, starts
+            yield ((gram[:size] * _MIX) >> _SHIFT).astype(np.int32), inner, starts
     power = _powers(_BASE, size + 1)
-    whole = np.concatenate([[np.uint64(0)], np.cumsum((code[:size] + np.uint64(1)) * power[:size], dtype=np.uint64)])
+    whole = np.concatenate([[np.uint64(0)], np.cumsum(code[:size] * power[:size], dtype=np.uint64)])
     first = np.flatnonzero(~space[1 : size + 1] & space[:size]) + 1
     last = np.flatnonzero(~space[:size] & space[1 : size + 1]) + 1
     first = first[first < size]
@@ -141,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, **how) -> Mode
         .limit(sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
-    rows = texts.mapInArrow(_bags, "doc_id long, label int, ids binary, counts binary").toPandas()
-    rows = rows.sort_values(["doc_id", "ids", "counts"]).drop_duplicates("doc_id")
+    bags = texts.mapInArrow(_bags, "doc_id long, label int, ids binary, counts binary")
+    # of rows with one doc_id the least, before anything goes to the driver
+    least = bags.groupBy("doc_id").agg(F.min(F.struct("ids", "counts", "label")).alias("b")).select("doc_id", "b.*")
+    rows = least.toPandas().sort_values("doc_id")  # at most ``sample``
     return fit([(int(r.label), np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32)) for r in rows.itertuples()], **how)
 
 
@@ -150,7 +152,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the probability of label 1, from the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model.table())  # BUCKETS floats
     names = docs.columns
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         table = shared.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for lo, hi, data, offsets in chunks(batch.column(names.index("text")), 2 << 20):
+            for lo, hi, data, offsets in chunks(batch.column(names.index(text)), 1 << 20):
                 total = np.full(hi - lo, float(table[END_OF_TEXT]))
                 count = np.ones(hi - lo)
                 for bucket, where, starts in features(data, offsets):
@@ -190,9 +192,10 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with the columns they have."""
-    names = docs.columns
-    spare = "score" if "score" not in names else next(f"score_{k}" for k in range(1000) if f"score_{k}" not in names)
-    return score(docs, train(docs, labels, **how), spare).where(F.col(spare) >= THRESHOLD).select(*names)
+    own, names = numbered(docs)
+    columns = own.columns
+    scored = score(own, train(docs, labels, **how), "score", columns[names.index("text")])
+    return scored.where(F.col("score") >= THRESHOLD).select(*columns).toDF(*names)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
