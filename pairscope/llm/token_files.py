@@ -1,13 +1,15 @@
 """Operator 6, token ids in flat binary files.
 
-Documents are dealt by ranges of ``doc_id``, sorted, encoded, and each partition writes three files: ids (unsigned, 16 bit
+Documents are dealt by ranges of ``doc_id`` (and a hash of the text, so that not even one id's rows need share a partition),
+as many as their bytes need, sorted, encoded, and each partition writes three files: ids (unsigned, 16 bit
 where the vocabulary allows it, else 32; little-endian), the 64-bit starts of its documents (one more than documents), and
 their 64-bit ids. A partition's base, the number of ids before it, is the prefix sum over a manifest of one row per
 partition. Readers map the files into memory. File names carry the task attempt, and the manifest names the attempt that
 counted, so a lost executor or a second attempt does no harm.
 
 Defined cases: a null or empty text is the end id alone; a null ``doc_id`` comes first and is stored as the smallest
-64-bit number; repeated rows stand one after another; an empty table gives an empty result.
+64-bit number; repeated rows, and rows of one ``doc_id`` in an order of their own that is the same each time, stand one after
+another; an empty table gives an empty result; other columns are not read; a very long text is a group for itself.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm.pretokens import split
-from pairscope.llm.store import documents, shared_path
+from pairscope.llm.store import documents, parts_for, shared_path
 
 END = 0
 CACHE = 1_200_000  # words a worker remembers, about 200 bytes each
 NO_ID = -(1 << 63)
+PART = 64 << 20  # bytes of text in a partition
 
 
 class Encoder:
@@ -107,29 +110,34 @@ def _write(tokenizer: str, folder: str, end_id: int):
         store.create_dir(base)
         name = f"{part:06d}-{attempt}"
         known, end = encoder(tokenizer), encoder(tokenizer).pack([end_id])
-        starts, ids = [0], []
-        with store.open_output_stream(f"{base}/{name}.ids") as out:
+        docs = tokens = 0
+        with store.open_output_stream(f"{base}/{name}.ids") as out, store.open_output_stream(f"{base}/{name}.starts") as begins, store.open_output_stream(f"{base}/{name}.docs") as names:
+            begins.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                ids += [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
+                ids = batch.column(0)
+                names.write(np.asarray(ids.fill_null(NO_ID), "<i8").tobytes())
+                docs += len(ids)
                 for texts in text_groups(batch.column(1).to_pylist()):
-                    for packed in known.encode(texts):
+                    found = known.encode(texts)
+                    ends = tokens + np.cumsum([len(packed) // len(end) + 1 for packed in found])
+                    for packed in found:
                         out.write(packed + end)
-                        starts.append(starts[-1] + len(packed) // len(end) + 1)
-        if ids:
-            for suffix, values in (("starts", starts), ("docs", ids)):
-                with store.open_output_stream(f"{base}/{name}.{suffix}") as out:
-                    out.write(np.array(values, "<i8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [len(ids)], "n_tokens": [starts[-1]], "width": [known.kind.itemsize]})
+                    begins.write(ends.astype("<i8").tobytes())
+                    tokens = int(ends[-1])
+        if docs:
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [docs], "n_tokens": [tokens], "width": [known.kind.itemsize]})
         else:
-            store.delete_file(f"{base}/{name}.ids")
+            for suffix in ("ids", "starts", "docs"):
+                store.delete_file(f"{base}/{name}.{suffix}")
 
     return run
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END, parts: int | None = None) -> list[dict]:
     """Writes the files below ``folder`` (a URI of a shared store) and returns the manifest, bases included, by part."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = parts or parts_for(docs, F.octet_length("text").cast("long"), PART)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spread"))
+    rows = rows.repartitionByRange(parts, "doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").select("doc_id", "text")
     manifest = rows.mapInArrow(_write(tokenizer, folder, end_id), "part long, name string, n_docs long, n_tokens long, width long")
     found = sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["part"])  # a row per partition
     bases = itertools.accumulate((r["n_tokens"] for r in found), initial=0)
