@@ -20,7 +20,8 @@ by its day like the others, so its pseudonym may also be read as m/d/Y.
 
 Defined cases: a null text stays null (no values); text without values comes back unchanged; an invalid number (wrong Luhn
 sum, octet 256, 30 February) stays; repeated rows are answered each; a null doc_id is kept; an empty table gives an empty
-result; ``pseudonymize`` keeps other columns under any name.
+result; ``pseudonymize`` keeps other columns under any name (one named like ``found`` gives way to it); a very long text is
+searched whole, in its row. The key is the caller's secret: who has it can undo the permutations.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import documents
+from pairscope.llm.store import documents, numbered
 
 ROUNDS = 10
 DAYS = 73049  # of 1900 to 2099, 17 * 4297
-KEY = "a key for tests and checks; give your own"
+TEST_KEY = "not a secret: for tests and checks"
 
 # fixed values: the forms of values
 EMAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}@(?:[0-9A-Za-z-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![0-9A-Za-z-])"
@@ -183,9 +184,12 @@ def kind_of(s: Column) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", found: str = "found__") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str = "found__") -> DataFrame:
     """All columns, with pseudonyms in ``text``; ``found``: kind and pseudonym of each value in order."""
-    spot = F.col(text)
+    if not key:
+        raise ValueError("a key is needed: without one anybody can undo the pseudonyms")
+    own, names = numbered(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != found.lower())))
+    spot = F.col(own.columns[names.index(text)])
 
     def made(s: Column, kind: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -198,16 +202,16 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", found: str
 
     maybe = spot.rlike(MAYBE)
     matches = F.when(maybe, F.regexp_extract_all(spot, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    step = docs.withColumn("m__", matches).withColumn("r__", F.transform("m__", replaced))
+    step = own.withColumn("matches", matches).withColumn("values", F.transform("matches", replaced))
     pieces = F.split(spot, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, "r__", lambda p, r: F.array(p, F.coalesce(r["new"], r["old"], F.lit(""))))), "")
-    some = F.exists("r__", lambda r: r["new"].isNotNull())
-    values = F.transform(F.filter("r__", lambda r: r["new"].isNotNull()), lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("pseudonym")))
-    out = [F.when(some, joined).otherwise(spot).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return step.select(*out, values.alias(found))
+    joined = F.array_join(F.flatten(F.zip_with(pieces, "values", lambda p, r: F.array(p, F.coalesce(r["new"], r["old"], F.lit(""))))), "")
+    some = F.exists("values", lambda r: r["new"].isNotNull())
+    values = F.transform(F.filter("values", lambda r: r["new"].isNotNull()), lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("pseudonym")))
+    out = [F.when(some, joined).otherwise(spot) if n == text else F.col(c) for c, n in zip(own.columns, names)]
+    return step.select(*out, values).toDF(*names, found)
 
 
-def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: str = KEY) -> DataFrame:
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: str = TEST_KEY) -> DataFrame:
     """doc_id, text (with pseudonyms), n_values, kinds of each document."""
     done = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found__", lambda f: f["kind"]))), ",")
