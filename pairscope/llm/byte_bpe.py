@@ -9,7 +9,8 @@ A merge may make a pair of lower rank than its own (a vocabulary need not be a l
 positions waits until that pair has been applied, which keeps the order within each word exact.
 
 Defined cases: a null or empty text has no ids, the digest of an empty string and decodes to nothing; repeated rows are
-encoded alike, each in its row; a doc_id may be null; an empty table gives an empty result.
+encoded alike, each in its row; a doc_id may be null; an empty table gives an empty result; other columns are kept under any
+name (those named like results give way to them); a very long text is a block for itself.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairscope.llm.pretokens import split
-from pairscope.llm.store import documents, plus
+from pairscope.llm.store import documents, numbered, plus
 from pairscope.llm.token_files import text_groups
 
 CACHE = 600_000  # words a worker remembers
@@ -133,9 +135,13 @@ def merge_replay(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
+RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def with_digests(docs: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     """All columns of ``docs``, and of each text its number of ids and the digests of its ids and of what they decode to."""
-    names, at = docs.columns, docs.columns.index(text)
+    own, names = numbered(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS)))
+    at, columns = names.index(text), own.columns
 
     def run(batches):
         coder = merge_replay(ranks)
@@ -146,9 +152,9 @@ def with_digests(docs: DataFrame, ranks: str, text: str = "text") -> DataFrame:
                     counts.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[*columns, *RESULTS])
 
-    return docs.mapInArrow(run, plus(docs.schema, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return own.mapInArrow(run, plus(own.schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")).toDF(*names, *RESULTS)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """The split of a text that byte-level vocabularies expect, for many texts at once.
 
-The classes of characters come from the pattern's own properties; where words start follows from neighbouring classes:
-a run of letters, numbers or other marks takes one plain space before it; of a run of white space before something
-else the last character stands alone (or goes with what follows, if a plain space); endings such as 's stand alone.
+The classes of characters are those of the library that the vocabularies are for (other libraries know other versions of
+Unicode): it is asked once which characters it takes for letters, numbers and spaces. Where words start follows from
+neighbouring classes: a run of letters, numbers or other marks takes one plain space before it; of a run of white space
+before something else the last character stands alone (or goes with what follows, if a plain space); endings such as 's
+stand alone.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import regex
+import tiktoken
 
 # fixed values: the endings that stand alone, and the classes of characters
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -19,13 +21,12 @@ OTHER, LETTER, NUMBER, SPACE, STOP = 0, 1, 2, 3, 4
 
 @functools.cache
 def _classes() -> np.ndarray:
-    table = np.zeros(0x110001, np.uint8)
+    table = np.full(0x110001, OTHER, np.uint8)
     every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            table[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
-            if m.start() < 0xD800 < m.end():
-                table[0xD800:0xE000] = OTHER
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        # an encoding of single bytes drops what its pattern does not match
+        one = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(one.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     table[0x110000] = STOP
     return table
 
