@@ -303,7 +303,7 @@ def test_licenses_in_standard_text(spark):
     assert see[900] == ("", 0) and see[901] == ("isc", 3) and see[902] == ("isc", 1) and see[903] == ("", 0)
 
 
-def feistel(x, a, b, kind, key=pseudonyms.KEY):
+def feistel(x, a, b, kind, key=pseudonyms.TEST_KEY):
     digest = lambda k, v: int(hashlib.sha256(f"{key}|{kind}|{k}|{v}".encode()).hexdigest()[:12], 16)
     left, right = divmod(x, b)
     for k in range(1, pseudonyms.ROUNDS + 1):
@@ -320,7 +320,7 @@ def luhn(digits):
 
 def test_pseudonyms(spark, none):
     rows = [(1, "card 4041894974608795, 4041 8949 7460 8795; bad 4041894974608796"), (2, "ip 42.144.35.254. not 300.1.1.1 nor 1.2.3"), (3, "+1 (988) 555-2485 and 988-555-2485"), (4, "2001-02-28 2001-02-30"), (5, None), (6, ""), (7, "a bosbt.42@mail8.example.com b"), (None, "666-12-3456 123-45-6789"), (4, "2001-02-28 2001-02-30")]
-    got = [(r["doc_id"], r["text"], len(r["found__"])) for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [(r["doc_id"], r["text"], len(r["found__"])) for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), pseudonyms.TEST_KEY).collect()]
     text = {i: t for i, t, _ in got}
     body = f"{feistel(404189497460879, 10**7, 10**8, 'card'):015d}"
     card = body + str(next(c for c in range(10) if luhn(body + str(c)) == 0))
@@ -334,7 +334,7 @@ def test_pseudonyms(spark, none):
     assert text[5] is None and text[6] == "" and "bosbt" not in text[7] and text[7].endswith("@mail8.example.com b")
     assert text[None].startswith("666-12-3456 ") and re.fullmatch(r"\d{3}-\d\d-\d{4}", text[None][12:]) and "123-45" not in text[None]
     assert sorted(n for *_, n in got) == [0, 0, 1, 1, 1, 1, 1, 2, 2]
-    assert pseudonyms.pseudonymize(none).columns[:-1] == none.columns
+    assert pseudonyms.pseudonymize(none, "k").columns[:-1] == none.columns
 
 
 ALONE = [
@@ -347,7 +347,7 @@ ALONE = [
 def test_each_form_alone_in_a_text(spark):
     rows = [(k, f"call {v} now") for k, (_, v) in enumerate(ALONE)] + [(k + 100, f"call {v} now, 2.5 at 1234") for k, (_, v) in enumerate(ALONE)]
     rows += [(200, "+45 12 34 56 78 2 items"), (201, "+3.14159265 and +2.5 100 200 300 and +12 345")]
-    got = {r["doc_id"]: (r["text"], [tuple(f) for f in r["found__"]]) for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["text"], [tuple(f) for f in r["found__"]]) for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), pseudonyms.TEST_KEY).collect()}
     for k, (kind, v) in enumerate(ALONE):
         text, found = got[k]
         assert [f[0] for f in found] == [kind] and v not in text and text == f"call {found[0][1]} now", v
@@ -375,6 +375,81 @@ def test_quality_on_held_out_rows(spark, none):
     assert quality.classify(none, labels).count() == quality.keep_good(none, labels).count() == 0
 
 
+def bag(text):
+    """The features of a text, one by one."""
+    whole = " " + re.sub("[A-Z]", lambda m: m[0].lower(), text or "") + " "
+    space, mask = " \t\n\v\f\r", (1 << 64) - 1
+    mix = lambda h: (h * 0x9E3779B97F4A7C15 & mask) >> 46
+    out = Counter([quality.END_OF_TEXT])
+    for n in quality.GRAMS:
+        for p in range(len(whole) - 1):
+            g = whole[p : p + n]
+            if len(g) == n and not any(c in space for c in g[1:-1]):
+                h = ord(g[0]) + 1
+                for c in g[1:]:
+                    h = h * 0x100000001B3 + ord(c) + 1 & mask
+                out[mix(h)] += 1
+    for word in re.findall(r"[^ \t\n\v\f\r]+", whole):
+        out[mix(sum((ord(c) + 1) * 0x100000001B3**k for k, c in enumerate(word)) & mask)] += 1
+    return out
+
+
+def test_quality_against_plain_python(spark):
+    """Features, every step of the training, and scores; nulls, empty, repeated, long and non-ASCII texts."""
+    say = random.Random(5)
+    words = "Good fine text über Straße 数据 清洗 нет spam buy now !!! click 😀 win".split()
+    rows = [(k, " ".join(say.choice(words[:9] if k % 2 else words[7:]) for _ in range(say.randint(1, 30)))) for k in range(60)]
+    rows += [(60, None), (61, ""), (62, " \n\t "), (63, "Straße " * 400_000), (1, rows[1][1]), (2, "another text of the same id"), (None, "no id")]
+    labels = [(k, k % 2, 0) for k in range(64)] + [(1, 0, 1), (None, 1, 0), (5, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = min(q, known.get(i, 1))
+    bags = {}
+    for i, t in rows:
+        if i in known:
+            c = bag(t)
+            ids = sorted(c)
+            mine = (np.array(ids, "<i4").tobytes(), np.array([c[k] for k in ids], "<f4").tobytes())
+            bags[i] = min(bags.get(i, mine), mine)
+    want = quality.fit([(known[i], np.frombuffer(bags[i][0], np.int32), np.frombuffer(bags[i][1], np.float32)) for i in sorted(known)])
+    model = quality.train(docs, marks)
+    assert np.array_equal(model.vectors, want.vectors) and np.array_equal(model.output, want.output)
+    # the training itself, with plain numbers
+    few = [(known[i], *(np.frombuffer(b, k) for b, k in zip(bags[i], (np.int32, np.float32)))) for i in sorted(known)[:7]]
+    got, rng_ = quality.fit(few, dim=3, epochs=2, rate=0.4, seed=9), np.random.default_rng(9)
+    vectors, output, step = ((rng_.random((quality.BUCKETS, 3)) - 0.5) / 3).astype(np.float32).astype(float), [[0.0] * 3, [0.0] * 3], 0
+    for _ in range(2):
+        for k in rng_.permutation(7):
+            label, ids, counts = few[k]
+            share = [float(c) / float(counts.sum()) for c in counts]
+            hidden = [sum(s * vectors[i][d] for s, i in zip(share, ids)) for d in range(3)]
+            odds = [math.exp(sum(o[d] * hidden[d] for d in range(3))) for o in output]
+            error = [o / sum(odds) - (c == label) for c, o in enumerate(odds)]
+            back = [sum(error[c] * output[c][d] for c in range(2)) for d in range(3)]
+            rate = 0.4 * (1 - step / 14)
+            for s, i in zip(share, ids):
+                for d in range(3):
+                    vectors[i][d] -= rate * min(len(ids), 64) * s * back[d]
+            for c in range(2):
+                for d in range(3):
+                    output[c][d] -= rate * error[c] * hidden[d]
+            step += 1
+    assert np.allclose(got.vectors, vectors, atol=1e-4) and np.allclose(got.output, output, atol=1e-4)
+    table = model.table().astype(float)
+    scores = Counter()
+    for r in quality.classify(docs, marks).collect():
+        scores[r["doc_id"], round(r["score"], 4)] += 1
+    for i, t in rows:
+        c = bag(t) if i != 63 else None
+        if c:
+            x = 1 / (1 + math.exp(-sum(table[k] * n for k, n in c.items()) / sum(c.values())))
+            assert any(scores[i, round(x + e, 4)] for e in (0, 1e-4, -1e-4)), (i, t, x)
+    assert sum(scores.values()) == len(rows)
+
+
 def test_quality_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(docs, empty).collect()} == {0.5}
@@ -386,16 +461,21 @@ def test_token_files(spark, docs, none, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    table = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(ROWS)] + [(900, "a <|endoftext|> b")], "doc_id long, text string")
+    rare = "".join(map(chr, (0x0CDC, 0xB8E0, 0x558, 0x58B, 0x88F, 0xC5C, 0x2028, 0x85, 0x1F600, 0x301)))
+    extra = [(900, "a <|endoftext|> b"), (901, rare), (902, " ".join(rare) + " ' 's 'S"), (None, None), (None, "no id"), (7, "one id, two texts"), (7, None), (7, TEXTS[7]), (903, noise(50_000))]
+    table = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(ROWS)] + extra, "doc_id long, text string")
     folder = f"file://{tmp_path}/ids"
     manifest = token_files.write_token_files(table, folder, path, parts=3)
     got = token_files.read_token_files(spark, folder, manifest, token_files._digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    want, start = [], 0
-    for i, t in sorted((r["doc_id"], r["text"]) for r in table.collect()):
-        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert plain(got, "doc_id", "start", "n_tokens", "ids_crc32") == listed(want)
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()))
+    want = {}
+    for r in table.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want.setdefault(r["doc_id"], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    ids = [i for _, i, *_ in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))  # null first
+    assert [s for s, *_ in got] == [0, *np.cumsum([n for _, _, n, _ in got]).tolist()][:-1]
+    assert {i: sorted((n, c) for _, j, n, c in got if j == i) for i in set(ids)} == {i: sorted(x) for i, x in want.items()}
     assert token_files.write_token_files(none, folder, path) == []
 
 
@@ -404,14 +484,77 @@ def test_byte_bpe(docs, none):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rare = "".join(map(chr, (0x0CDC, 0xB8E0, 0x558, 0x58B, 0x88F, 0xC5C, 0x2028, 0x85, 0x1F600, 0x301)))
+    more = [(900, rare), (901, " ".join(rare)), (902, "".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) + rng.choice(" a1'.\n") for _ in range(9000))), (903, noise(60_000))]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     want = []
-    for i, t in ROWS:
+    for i, t in ROWS + more:
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert plain(byte_bpe.with_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == listed(want)
     assert byte_bpe.with_digests(none, path).count() == 0
 
 
+NAMES = "row stand n sha hash kept bucket fp__ id c0 c1 matches values found__ score label k1 k2 found anchor n_tokens ids_sha256 row__ stand__ n__ sha__ hash__ kept__ m__ r__ keep_id group first Row".split()
+
+
+def test_other_columns_of_any_name(spark):
+    """Columns named as the operators name their own survive as they came, and disturb nothing."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, t) for k, t in enumerate([SENTENCE * 8, SENTENCE * 8, "a b " + SENTENCE * 8, "call +45 12 34 56 78", None, "", noise(200)])]
+    plain_ = spark.createDataFrame(rows, "doc_id long, text string")
+    case = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = plain_.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in NAMES)).repartition(2)
+        bench, labels = spark.createDataFrame([(1, "call 45 12 34 56 78")], "item_id long, text string"), spark.createDataFrame([(1, 1, 0), (3, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+        path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+        kept = {
+            "dedup": (exact_dedup.dedup, set()),
+            "near": (simhash.one_of_each, set()),
+            "clean": (lambda d: decontaminate.without_leaks(d, bench), set()),
+            "good": (lambda d: quality.keep_good(d, labels), set()),
+            "pseudonyms": (lambda d: pseudonyms.pseudonymize(d, "k"), {"found__"}),
+            "bpe": (lambda d: byte_bpe.with_digests(d, path), {"n_tokens", "ids_sha256"}),
+        }
+        for what, (f, own) in kept.items():
+            got, want = f(docs), sorted(r["doc_id"] for r in f(plain_).collect())
+            assert [c for c in got.columns if c in docs.columns and c not in own] == [c for c in docs.columns if c not in own], what
+            assert len(set(got.columns)) == len(got.columns)
+            found = got.collect()
+            assert sorted(r["doc_id"] for r in found) == want, what
+            assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in NAMES if n not in own), what
+        for f in (exact_dedup.groups_of_equal, simhash.near_copies, substring_dedup.without_repeats, suffix_dedup.without_repeats, licenses.scan, lambda d: quality.classify(d, labels), lambda d: decontaminate.find_leaks(d, bench)):
+            assert sorted(map(str, f(docs).collect())) == sorted(map(str, f(plain_).collect()))
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", case)
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns, no rows: each stage keeps columns and rows as its operator says."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    good = {f"d{k}": " ".join(rng.choice(SENTENCE.split()) for _ in range(40)) for k in range(6)}
+    rows = [(k, t) for k, t in enumerate(good.values())] + [(10, good["d0"]), (0, good["d0"]), (11, None), (12, ""), (None, good["d1"]), (13, "leaked " + SENTENCE * 2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name in "ab":
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")  # every score is 0.5: all stay
+        spark.createDataFrame([(1, SENTENCE.strip()), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        now = stage(spark, now, f"{tmp_path}/a")
+        assert now.columns == docs.columns, name
+    left = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in now.collect())
+    # d0 stays as row 10, d1 as row 1 (null is smallest), one of the two empty texts as the larger id 12
+    assert left == [1, 2, 3, 4, 5, 10, 12]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/a").select("doc_id").collect()) == left
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
