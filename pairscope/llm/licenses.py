@@ -22,12 +22,14 @@ template, and the places across ends that hold one which no block there holds (w
 The base labels come from phrases at any place of the text. Rows are numbered so that repeated rows stay apart.
 
 Defined cases: a null or empty text has no words and no labels, and score 0; first_word and last_word are null without base
-places; a null doc_id is kept; an empty table gives an empty result; other columns are not read.
+places; a null doc_id is kept; an empty table gives an empty result; other columns, under any name, are not read; a very long
+text is scanned whole, in its row.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,12 +77,14 @@ def phrase_pattern(phrase: str) -> str:
     return rf"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]){words}(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 
-def templates() -> list[dict]:
+def templates(texts: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
+    """Of each (label, text), its distinct words, how many of them are needed, and its length in words."""
     out = []
-    for k, (label, text) in enumerate(TEMPLATES):
-        words = sorted(set(text.split()))
-        out.append({"template": k, "label": label, "words": words, "need": math.ceil(THRESHOLD * len(words)), "span": len(text.split())})
-    return out
+    for k, (label, text) in enumerate(texts):
+        own = re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+        words = sorted(set(own))
+        out.append({"template": k, "label": label, "words": words, "need": math.ceil(threshold * len(words)), "span": len(own)})
+    return [t for t in out if t["words"]]
 
 
 def _literal(words) -> Column:
@@ -137,10 +141,13 @@ def _places(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks of each row."""
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks of each row.
+
+    ``texts``: (label, text) of each template, a table that is given (up to whole licenses) and does not grow with the data.
+    """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = templates()
+    known = templates(texts, threshold)
     order = word_order(docs, sorted({w for t in known for w in t["words"]}))
     rank = {w: k for k, w in enumerate(order)}
     rows = []

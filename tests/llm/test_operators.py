@@ -303,6 +303,43 @@ def test_licenses_in_standard_text(spark):
     assert see[900] == ("", 0) and see[901] == ("isc", 3) and see[902] == ("isc", 1) and see[903] == ("", 0)
 
 
+def test_licenses_against_plain_python(spark):
+    """Blocks and windows across their ends, each looked at on its own; templates and threshold as parameters, one a long text."""
+    say = random.Random(8)
+    long_text = " ".join(f"w{say.randint(0, 90)}" for _ in range(120))
+    known = [("short", "alpha beta gamma"), ("twice", "alpha beta alpha beta delta epsilon zeta"), ("long", long_text)]
+    pool = "alpha beta gamma delta epsilon zeta other word more".split()
+    rows = []
+    for k in range(120):
+        out = [say.choice(pool) + say.choice([" ", " ", " ", "\n", ". ", ", ", "\n\n"]) for _ in range(say.randint(0, 30))]
+        if k % 3 == 0:
+            own = long_text.split()
+            for _ in range(say.randint(0, 16)):
+                own[say.randrange(len(own))] = say.choice(["Xx", "x-y", ""])
+            out += textwrap.fill(" ".join(own), say.choice([30, 79, 2000])) + "\n"
+            out += [say.choice(pool) + " " for _ in range(5)]
+        rows.append((k, "".join(out)))
+    threshold = 0.9
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    want = []
+    for i, t in rows:
+        blocks = [word(b) for b in re.split(r"[\n\r]+|[.!?][ \t]", t)]
+        all_ = [(w, n) for n, b in enumerate(blocks) for w in b]
+        labels, score = set(), 0.0
+        for label, x in known:
+            mine, span = set(x.split()), len(x.split())
+            pieces = [set(b) for b in blocks]
+            pieces += [{w for w, _ in all_[k : k + span]} for k in range(max(1, len(all_) - span + 1)) if all_[k : k + span] and all_[k][1] < all_[min(len(all_), k + span) - 1][1]]
+            best = max((len(mine & p) / len(mine) for p in pieces), default=0)
+            if best >= threshold - 1e-9:
+                labels.add(label)
+                score = max(score, best)
+        want.append((i, ",".join(sorted(labels)), score))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, threshold)
+    assert plain(got, "doc_id", "labels", "score") == listed(want)
+    assert {x for _, x, _ in want} > {"", "short", "long"}
+
+
 def feistel(x, a, b, kind, key=pseudonyms.TEST_KEY):
     digest = lambda k, v: int(hashlib.sha256(f"{key}|{kind}|{k}|{v}".encode()).hexdigest()[:12], 16)
     left, right = divmod(x, b)
