@@ -199,6 +199,13 @@ def runs_of(docs: DataFrame, how: Windows) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(emit, "anchor long, run long, k1 long, k2 int, at int, n int, off int")
 
 
+def first_place(k1: str, k2: str, at: str) -> list:
+    """Aggregates for the place that is the source of others: the smallest in an order of (upper half of the key, place), so
+    what follows one another in a document has sources that follow one another, too."""
+    order = F.col("k1").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("at").cast("long"))
+    return [F.min_by("k1", order).alias(k1), F.min_by("k2", order).alias(k2), F.min_by("at", order).alias(at)]
+
+
 def with_lists(docs: DataFrame, lists: DataFrame, names: list[str], how: str) -> tuple[DataFrame, DataFrame]:
     """docs with what ``lists`` has for their key, gathered (at most a document's own runs), and the gathered table."""
     gathered = as_table(lists.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("found")), "lists")
@@ -216,8 +223,7 @@ def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame,
     again = as_table(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     some = as_table(found.join(again, "anchor"), "runs")
     free(again)
-    source = (F.first("n").alias("n"), F.first("off").alias("off"), F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min_by("at", "k1").alias("at"))
-    merged = as_table(some.groupBy("anchor", "run").agg(F.count("*").alias("places"), *source), "merged")
+    merged = as_table(some.groupBy("anchor", "run").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("off").alias("off"), *first_place("k1", "k2", "at")), "merged")
     decided = resolve(docs, merged)
     # rows of equal id and text have one key: each of its pieces once, dropped before the shuffle
     pieces = some.select("anchor", "run", "k1", "k2", "at").join(decided, ["anchor", "run"]).select("k1", "k2", "at", F.explode("pieces").alias("p"))
@@ -226,24 +232,29 @@ def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame,
     return out
 
 
+SPAN = "k1 long, k2 int, at array<int>, n int, s1 long, s2 int, sat int"
+
+
 def _spans(batches):
-    """A document's pieces in order, neighbours that are consecutive in one source as one."""
+    """A document's pieces in order, neighbours that are consecutive in one source as one; spans of one stretch together."""
     for batch in batches:
-        out = [[] for _ in range(8)]
+        out = [[] for _ in range(7)]
         for k1, k2, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("found").to_pylist()):
+            spans: dict[tuple, list[int]] = {}
             held = None
-            for p in sorted((f["at"], f["n"], f["s1"], f["s2"], f["sat"], f["path"]) for f in found):
-                if held and p[0] == held[0] + held[1] and p[2:4] == held[2:4] and p[4] == held[4] + held[1] and p[5] == held[5]:
-                    held = (held[0], held[1] + p[1], *held[2:])
-                    continue
+            for at, n, s1, s2, sat, path in sorted((f["at"], f["n"], f["s1"], f["s2"], f["sat"], f["path"]) for f in found):
                 if held:
-                    for c, v in zip(out, (k1, k2, *held)):
-                        c.append(v)
-                held = p
-            for c, v in zip(out, (k1, k2, *held)):
-                c.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k1", "k2", "at", "n", "s1", "s2", "sat", "path"])
+                    if at == held[0] + held[1] and s1 == held[2] and s2 == held[3] and sat == held[4] + held[1] and path == held[5]:
+                        held[1] += n
+                        continue
+                    spans.setdefault((held[1], *held[2:5]), []).append(held[0])
+                held = [at, n, s1, s2, sat, path]
+            spans.setdefault((held[1], *held[2:5]), []).append(held[0])
+            for (n, s1, s2, sat), at in spans.items():
+                for c, v in zip(out, (k1, k2, at, n, s1, s2, sat)):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k1", "k2", "at", "n", "s1", "s2", "sat"])
 
 
 def _stretches(cut: Callable):
@@ -264,19 +275,20 @@ def _stretches(cut: Callable):
 
 
 def checked_spans(docs: DataFrame, pieces: DataFrame, cut: Callable) -> DataFrame:
-    """docs (k1, k2, doc_id, text) and found: the document's spans (at, n) with the symbols of their source (``same``; null
-    where the document is the source itself)."""
+    """docs (k1, k2, doc_id, text) and found: of each stretch of a source that the document repeats, the places (at) where, its
+    windows (n), its place in the source (sat) and its symbols (same; null where the document is the source itself)."""
     gathered = pieces.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n", "s1", "s2", "sat", "path")).alias("found"))
-    spans = as_table(gathered.mapInArrow(_spans, "k1 long, k2 int, at int, n int, s1 long, s2 int, sat int, path int"), "spans")
-    own = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("at") == F.col("sat"))
+    spans = as_table(gathered.mapInArrow(_spans, SPAN), "spans")
+    own = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
     asked = spans.where(~own).select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "sat", "n").distinct()
     texts, lists = with_lists(docs.select("k1", "k2", "text"), asked, ["sat", "n"], "inner")
     # repeated rows of a source say the same
     sent = as_table(texts.mapInArrow(_stretches(cut), "s1 long, s2 int, sat int, n int, same binary").dropDuplicates(["s1", "s2", "sat", "n"]), "sources")
     free(lists)
-    answered = spans.where(~own).join(sent, ["s1", "s2", "sat", "n"]).select(*KEY, "at", "n", "same")
-    every = answered.unionByName(spans.where(own).select(*KEY, "at", "n", F.lit(None).cast("binary").alias("same")))
-    out, _ = with_lists(docs, every, ["at", "n", "same"], "left")
+    fields = [*KEY, "at", "n", "sat"]
+    answered = spans.where(~own).join(sent, ["s1", "s2", "sat", "n"]).select(*fields, "same")
+    every = answered.unionByName(spans.where(own).select(*fields, F.lit(None).cast("binary").alias("same")))
+    out, _ = with_lists(docs, every, ["at", "n", "sat", "same"], "left")
     free(spans, sent)
     return out
 
@@ -285,8 +297,10 @@ def covered(found: list[dict] | None, symbols: int, window: int, part: Callable)
     """Which symbols of a document its spans cover; ``part`` gives the document's own symbols, to be compared."""
     change = np.zeros(symbols + 1, np.int64)
     for f in found or ():
-        if f["same"] is not None and part(f["at"], f["n"]) != f["same"]:
-            raise RuntimeError("two different texts have equal hashes: run again with another seed")
-        change[f["at"]] += 1
-        change[f["at"] + f["n"] - 1 + window] -= 1
+        want = part(f["sat"], f["n"]) if f["same"] is None else f["same"]
+        for at in f["at"]:
+            if part(at, f["n"]) != want:
+                raise RuntimeError("two different texts have equal hashes: run again with another seed")
+            change[at] += 1
+            change[at + f["n"] - 1 + window] -= 1
     return np.cumsum(change[:-1]) > 0

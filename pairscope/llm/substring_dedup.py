@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairscope.llm.repeats import KEY, PIECES, Windows, checked_spans, covered, keyed, repeated_pieces, span, sums, with_lists, word_codes
+from pairscope.llm.repeats import KEY, PIECES, Windows, checked_spans, covered, first_place, keyed, repeated_pieces, span, sums, with_lists, word_codes
 from pairscope.llm.store import as_table, chunks, documents, free
 
 WINDOW = 35
@@ -73,9 +73,8 @@ def _strands(how: Windows):
 
 def repeated_strands(strands: DataFrame) -> DataFrame:
     """anchor, edge, n, head, tail, s1, s2, sat (the source coordinate) of each strand that occurs more than once."""
-    source = (F.min("k1").alias("s1"), F.min_by("k2", "k1").alias("s2"), F.min_by("at", "k1").alias("sat"))
     own = (F.first(c).alias(c) for c in ("n", "head", "tail"))
-    return strands.groupBy("anchor", "edge").agg(F.sum("places").alias("c"), *own, *source).where("c > 1").drop("c")
+    return strands.groupBy("anchor", "edge").agg(F.sum("places").alias("c"), *own, *first_place("s1", "s2", "sat")).where("c > 1").drop("c")
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
