@@ -83,13 +83,13 @@ def identity_stats(spark, sf_dir):
 @_query(f"""{P} SELECT is_pos, count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std, round(min(sim), 6) AS min, round(max(sim), 6) AS max,
 {', '.join(f'round(quantile_cont(sim, {q}), 6) AS p{int(q * 100):02d}' for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))} FROM p GROUP BY 1""")
 def score_summary(spark, sf_dir):
-    return profile.score_summary(strategies.hof_pairs(_samples(spark, sf_dir)))
+    return profile.score_summary(_samples(spark, sf_dir))
 
 
 @_query(f"""{P}, m AS (SELECT avg(sim) FILTER (is_pos) - avg(sim) FILTER (NOT is_pos) AS d FROM p)
 SELECT round(d, 6) AS separation, CASE WHEN d > 0.3 THEN 'excellent' WHEN d > 0.2 THEN 'good' WHEN d > 0.1 THEN 'fair' ELSE 'poor' END AS grade FROM m""")
 def separation(spark, sf_dir):
-    return profile.separation(strategies.hof_pairs(_samples(spark, sf_dir)))
+    return profile.separation(_samples(spark, sf_dir))
 
 
 @_query("SELECT count(*) AS n_rows, 0::BIGINT AS null_vectors, 0::BIGINT AS not_finite, 0::BIGINT AS zero_vectors, 0::BIGINT AS too_short, max(len(embedding)) - min(len(embedding)) AS ragged, count(*) FILTER (label IS NULL) AS null_identities, count(*) FILTER (vec_id IS NULL) AS null_ids, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings")
@@ -102,6 +102,21 @@ def compact_identities(spark, sf_dir):
     return sources.compact_identities(_samples(spark, sf_dir)).select("sample_id", "identity")
 
 
+@_query(f"WITH {E} SELECT vec_id AS sample_id, round(v[1] / sqrt(list_inner_product(v, v)), 9) AS x FROM e")
+def set_normalised(spark, sf_dir):
+    return sources.set_normalised(_samples(spark, sf_dir), 1e-9).select("sample_id", F.round(F.col("v")[0], 9).alias("x"))
+
+
+@_query(f"WITH {E} SELECT vec_id AS sample_id, round(v[1], 9) AS x FROM e")
+def set_left_alone(spark, sf_dir):
+    return sources.set_normalised(_samples(spark, sf_dir), 1e-5, 1e-10).select("sample_id", F.round(F.col("v")[0], 9).alias("x"))
+
+
+@_query('SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS identity, row_number() OVER (ORDER BY vec_id) - 1 AS "order" FROM embeddings')
+def samples_in_order(spark, sf_dir):
+    return sources.sorted_by_identity(_samples(spark, sf_dir)).select("sample_id", "identity", "order")
+
+
 @_query("SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS identity FROM embeddings WHERE vec_id < 100")
 def head_samples(spark, sf_dir):
     return sources.load(spark, f"{sf_dir}/embeddings.parquet", max_n=100).select("sample_id", "identity")
@@ -151,7 +166,7 @@ def wide_grid_histogram(spark, sf_dir):
 UNION ALL SELECT 'fine', least(65535, CAST(floor((sim - 2e-1) / (8e-1 / 65536)) AS BIGINT)), is_pos FROM p WHERE sim >= 2e-1)
 SELECT grid, bin, count(*) FILTER (is_pos) AS n_pos, count(*) FILTER (NOT is_pos) AS n_neg FROM g GROUP BY 1, 2""")
 def two_level_histogram(spark, sf_dir):
-    return histograms.two_level(strategies.hof_pairs(_samples(spark, sf_dir)))
+    return histograms.two_level(_samples(spark, sf_dir))
 
 
 @_query(f"{H}, t AS (SELECT sum(n_pos) AS tp, sum(n_neg) AS tn FROM h) SELECT bin, round((bin + 5e-1) * 1e-5 - 1, 6) AS centre, round(n_pos / tp / 1e-5, 6) AS density_pos, round(n_neg / tn / 1e-5, 6) AS density_neg FROM h, t")
@@ -291,6 +306,43 @@ def threshold_at_tpir(spark, sf_dir):
     return thresholds.threshold_at_tpir(s, tiled.histogram(s), [0.5, 0.9, 0.99])
 
 
+@_query(f"""{P}, s AS (SELECT sim, row_number() OVER (ORDER BY sim DESC) AS r FROM p WHERE NOT is_pos), n AS (SELECT count(*) AS n FROM s), f(f) AS (VALUES (0e0), (1e-2), (1e-1), (1e0)),
+k AS (SELECT f, {ORDER_SQL['order_ceil'][0]} AS r FROM f, n), t AS (SELECT f, sim AS t FROM k JOIN s ON k.r = s.r)
+SELECT f AS fpir_target, round(t, 6) AS threshold, count(*) FILTER (sim > t OR f = 1 AND sim = t) AS pos_above, round(count(*) FILTER (sim > t OR f = 1 AND sim = t) / count(*), 9) AS tpir FROM t, (SELECT sim FROM p WHERE is_pos) GROUP BY f, t""")
+def tpir_ends(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return thresholds.tpir_ends(s, tiled.histogram(s))
+
+
+LINEAR = f"""{H}, c AS (SELECT bin, n_pos, n_neg, sum(n_pos) OVER u - n_pos AS u_pos, sum(n_neg) OVER u - n_neg AS u_neg, sum(n_pos) OVER () AS tp, sum(n_neg) OVER () AS tn FROM h WINDOW u AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+f(f) AS (VALUES ({'), ('.join(f'{f:e}' for f in FS)})), x AS (SELECT f, c.*, ((1 - f) * tn - u_neg) / n_neg AS part FROM c, f WHERE n_neg > 0 AND u_neg <= (1 - f) * tn AND (1 - f) * tn < u_neg + n_neg)"""
+
+
+@_query(f"{LINEAR} SELECT f AS fpir_target, round(bin * 1e-5 - 1 + part * 1e-5, 9) AS threshold, round((tp - u_pos - part * n_pos) / tp, 9) AS tpir FROM x")
+def tpir_linear(spark, sf_dir):
+    return thresholds.tpir_linear(tiled.histogram(_samples(spark, sf_dir)))
+
+
+@_query(f"""{LINEAR}, t AS (SELECT f, bin * 1e-5 - 1 + part * 1e-5 AS t FROM x)
+SELECT f AS fpir_target, round(t, 6) AS threshold, count(*) FILTER (sim > t) AS pos_above, round(count(*) FILTER (sim > t) / count(*), 9) AS tpir FROM t, (SELECT sim FROM p WHERE is_pos) GROUP BY f, t""")
+def tpir_bisected(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return thresholds.tpir_bisected(s, tiled.histogram(s))
+
+
+@_query()
+def tpir_bisected_exact(spark, sf_dir):
+    return thresholds.tpir_bisected_exact(_samples(spark, sf_dir))
+
+
+@_query(f"""{P}, u AS (SELECT sim, count(*) FILTER (is_pos) AS a, count(*) FILTER (NOT is_pos) AS b FROM p GROUP BY sim),
+r AS (SELECT sim, row_number() OVER (ORDER BY sim) - 1 AS place, count(*) OVER () AS c, sum(a) OVER w AS ua, sum(b) OVER w AS ub, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM u WINDOW w AS (ORDER BY sim ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT DISTINCT k * (c - 1) // 63 AS place FROM range(64) AS g(k), (SELECT max(c) AS c FROM r))
+SELECT round(sim, 6) AS threshold, round((tb - ub) / tb, 9) AS fpir, round((ta - ua) / ta, 9) AS tpir FROM r JOIN k USING (place)""")
+def exact_curve(spark, sf_dir):
+    return thresholds.exact_curve(_samples(spark, sf_dir), 64)
+
+
 # extraction
 
 
@@ -364,12 +416,44 @@ def fixed_point_scores(spark, sf_dir):
     return extraction.beyond(_samples(spark, sf_dir), "pos", ">", 0.3).select("i", "j", V.fixed_point(F.col("sim")).alias("sim_fixed"))
 
 
-@_query()
+DRAWN = "((i * 48271 + j * 69621) % 2147483647) * ((i * 48271 + j * 69621) % 2147483647) % 2147483647 * 16807 % 2147483647 % {} = 0"
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos AND sim < -1e-1 AND {DRAWN.format(20)}")
 def random_low_negatives(spark, sf_dir):
-    return _shown(extraction.random_low(_samples(spark, sf_dir), -0.1, 0.05))
+    return _shown(extraction.random_low(_samples(spark, sf_dir), -0.1, 20))
 
 
-@_query()
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE {DRAWN.format(1000)}")
+def sampled_scores(spark, sf_dir):
+    return _shown(extraction.sampled_scores(_samples(spark, sf_dir), 1000))
+
+
+@_query(_tpir_sql("floor").replace("ON a.vec_id < b.vec_id", "ON a.vec_id < b.vec_id AND " + DRAWN.format(50).replace("i *", "a.vec_id *").replace("j *", "b.vec_id *")))
+def tpir_sampled(spark, sf_dir):
+    return thresholds.tpir_sampled(_samples(spark, sf_dir), 50)
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos AND sim > 2e-1 ORDER BY i, j LIMIT 100")
+def first_negatives_above(spark, sf_dir):
+    return _shown(extraction.first_beyond(_samples(spark, sf_dir), "neg", ">", 0.2, 100))
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE is_pos AND sim < -2e-1 ORDER BY i, j LIMIT 100")
+def first_positives_below(spark, sf_dir):
+    return _shown(extraction.first_beyond(_samples(spark, sf_dir), "pos", "<", -0.2, 100))
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE is_pos AND sim <= -2e-1 ORDER BY p.sim, i, j LIMIT 50")
+def low_positives_to(spark, sf_dir):
+    return _shown(extraction.top(_samples(spark, sf_dir), "pos", 50, False, "<=", -0.2))
+
+
+_SPOT = "CAST('0x' || substr(md5(k || '-{}'), 1, 12) AS BIGINT) % (SELECT count(*) FROM e)"
+
+
+@_query(f"""WITH {E}, s AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM e), d AS (SELECT k, {_SPOT.format(8)} AS x, {_SPOT.format(9)} AS y FROM range(1000) AS r(k))
+SELECT k AS id, a.vec_id AS i, b.vec_id AS j, a.label = b.label AS is_pos, round(greatest(-1e0, least(1e0, list_inner_product(a.v, b.v))), 6) AS sim FROM d JOIN s a ON a.at = x JOIN s b ON b.at = y WHERE a.vec_id <> b.vec_id""".replace(" AS at", " AS place").replace("a.at", "a.place").replace("b.at", "b.place"))
 def sampled_pairs(spark, sf_dir):
     return profile.sampled_pairs(_samples(spark, sf_dir)).select("id", "i", "j", "is_pos", F.round("sim", 6).alias("sim"))
 
@@ -409,10 +493,10 @@ def matrix_histogram(spark, sf_dir):
 # plans
 
 
-@_query("""WITH b AS (SELECT b, b * 64 AS lo, least(500, b * 64 + 64) AS hi FROM range(8) AS r(b))
+@_query("""WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT b, b * 64 AS lo, least(n, b * 64 + 64) AS hi FROM n, range(1000) AS r(b) WHERE b * 64 < n)
 SELECT i.b AS bi, j.b AS bj, i.hi - i.lo AS n_rows, j.hi - j.lo AS n_columns, CASE WHEN i.b = j.b THEN (i.hi - i.lo) * (i.hi - i.lo - 1) // 2 ELSE (i.hi - i.lo) * (j.hi - j.lo) END AS n_pairs FROM b i JOIN b j ON i.b <= j.b""")
 def tile_plan(spark, sf_dir):
-    return tile_plans.tile_plan(spark, 500, 64)
+    return tile_plans.tile_plan(spark, _samples(spark, sf_dir).count(), 64)
 
 
 @_query("SELECT DISTINCT a.vec_id // 16 AS bi, b.vec_id // 16 AS bj FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 16 <= b.vec_id // 16 AND a.vec_id <> b.vec_id")
@@ -425,14 +509,14 @@ def identity_ranges(spark, sf_dir):
     return tile_plans.identity_ranges(_samples(spark, sf_dir), 16)
 
 
-@_query("SELECT part, min(r) AS first_row FROM range(501) AS a(r), range(7) AS b(part) WHERE ((500 - r) * (500 - r - 1) // 2) * 7 <= 124750 * (7 - part) GROUP BY part")
+@_query("SELECT part, min(r) AS first_row FROM (SELECT count(*) AS n FROM embeddings), range(100000) AS a(r), range(7) AS b(part) WHERE r <= n AND ((n - r) * (n - r - 1) // 2) * 7 <= (n * (n - 1) // 2) * (7 - part) GROUP BY part")
 def row_splits(spark, sf_dir):
-    return tile_plans.row_splits(spark, 500, 7)
+    return tile_plans.row_splits(spark, _samples(spark, sf_dir).count(), 7)
 
 
-@_query("SELECT k, CAST(floor(500 * (1 - sqrt(1 - k / 7)) + 5e-1) AS BIGINT) AS bound FROM range(8) AS r(k)")
+@_query("SELECT k, CAST(floor(n * (1 - sqrt(1 - k / 7)) + 5e-1) AS BIGINT) AS bound FROM (SELECT count(*) AS n FROM embeddings), range(8) AS r(k)")
 def equal_area_bounds(spark, sf_dir):
-    return tile_plans.equal_area_bounds(spark, 500, 7)
+    return tile_plans.equal_area_bounds(spark, _samples(spark, sf_dir).count(), 7)
 
 
 # validation, comparison, reports

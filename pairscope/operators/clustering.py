@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +14,29 @@ THRESHOLD = 0.48
 
 
 def neighbours(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Ordered pairs (a, b) with a score of at least the threshold; a sample is its own neighbour."""
-    half = tiled.pairs(samples, lambda sim, pos: sim >= threshold).select("i", "j", "sim")
-    own = samples.select(F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), V.clamped(V.dot(F.col("v"), F.col("v"))).alias("sim"))
-    return half.union(half.select("j", "i", "sim")).union(own.where(F.col("sim") >= threshold))
+    """sample_id, n and s: how many samples score at least the threshold with it (itself, too), and the sum of these scores.
+    Counted inside the tiles: a tile sends a row a sample, never its pairs."""
+
+    def each(state, a, b, same):
+        sim, _ = tiled.scores(a, b, False)
+        near = np.where(sim >= threshold, sim, 0.0)
+        sides = [(a.ids, (near != 0).sum(1), near.sum(1))]
+        if not same:
+            sides.append((b.ids, (near != 0).sum(0), near.sum(0)))
+        for ids, n, s in sides:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0]), pa.array(s[n > 0])], names=["sample_id", "n", "s"])
+
+    if threshold <= 0:
+        raise ValueError("neighbours need a threshold above 0")
+    return tiled.run_tiles(samples, each, "sample_id long, n long, s double").groupBy("sample_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def density_centre(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """sample_id, cluster (0 or -1), is_centre. The centre has most neighbours, then the greatest sum of their scores, then the least id."""
-    near = neighbours(samples, threshold)
-    centre = near.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("s")).orderBy(F.col("n").desc(), F.col("s").desc(), "i").limit(1).select(F.col("i").alias("c"))
-    members = near.join(F.broadcast(centre), near.i == F.col("c")).select(F.col("j").alias("sample_id"), "c")
-    return samples.select("sample_id").join(members, "sample_id", "left").select(
-        "sample_id", F.when(F.col("c").isNull(), -1).otherwise(0).alias("cluster"), F.coalesce(F.col("sample_id") == F.col("c"), F.lit(False)).alias("is_centre")
-    )
+    first = neighbours(samples, threshold).orderBy(F.col("n").desc(), F.round("s", 6).desc(), "sample_id").limit(1).select(F.col("sample_id").alias("c"))
+    centre = samples.join(F.broadcast(first), F.col("sample_id") == F.col("c")).select("c", F.col("v").alias("cv"))  # at most one sample
+    near = V.clamped(V.dot(F.col("v"), F.col("cv"))) >= threshold
+    return samples.join(F.broadcast(centre), F.lit(True), "left").select("sample_id", F.when(near, 0).otherwise(-1).alias("cluster"), F.coalesce(F.col("sample_id") == F.col("c"), F.lit(False)).alias("is_centre"))
 
 
 def absorbed(samples: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -46,6 +57,20 @@ def absorbed(samples: DataFrame, clusters: DataFrame, threshold: float = THRESHO
 
 def matrix_histogram(samples: DataFrame, bins: int = 50, lo: float = 0.4, hi: float = 1.0) -> DataFrame:
     """Counts of scores within [lo, hi], the right edge included."""
-    found = tiled.pairs(samples, lambda sim, pos: (sim >= lo) & (sim <= hi))
-    k = F.least(F.lit(bins - 1), F.floor((F.col("sim") - lo) / ((hi - lo) / bins)).cast("long"))
-    return found.groupBy(k.alias("bin")).agg(F.count_if("is_pos").alias("n_pos"), F.count_if(~F.col("is_pos")).alias("n_neg"))
+
+    def each(state, a, b, same):
+        sim, want = tiled.scores(a, b, same)
+        pos = a.who[:, None] == b.who[None, :]
+        inside = (sim >= lo) & (sim <= hi) if want is None else want & (sim >= lo) & (sim <= hi)
+        at = np.minimum(bins - 1, np.floor((sim - lo) / ((hi - lo) / bins)).astype(np.int64))
+        for side, mask in ((True, pos), (False, ~pos)):
+            state[side] = state.get(side, 0) + np.bincount(at[inside & mask], minlength=bins)
+        return ()
+
+    def finish(state):
+        if state:
+            at = np.flatnonzero(state[True] + state[False])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state[True][at]), pa.array(state[False][at])], names=["bin", "n_pos", "n_neg"])
+
+    found = tiled.run_tiles(samples, each, "bin long, n_pos long, n_neg long", finish=finish)
+    return found.groupBy("bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))

@@ -107,7 +107,16 @@ def with_paths(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return out
 
 
-def random_low(samples: DataFrame, threshold: float, share: float, seed: int = 0) -> DataFrame:
-    """A share of the negatives below the threshold, by a hash of the pair: the same pairs on every run."""
-    low = tiled.pairs(samples, lambda sim, pos: ~pos & (sim < threshold))
-    return low.where(F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+def random_low(samples: DataFrame, threshold: float, one_of: int) -> DataFrame:
+    """About one of ``one_of`` negatives below the threshold, drawn inside the tiles: the same pairs on every run."""
+    return tiled.pairs(samples, lambda sim, pos: ~pos & (sim < threshold), sample=one_of)
+
+
+def first_beyond(samples: DataFrame, side: str, op: str, threshold: float, limit: int) -> DataFrame:
+    """The first ``limit`` pairs beyond the threshold in the order of (i, j)."""
+    return beyond(samples, side, op, threshold).orderBy("i", "j").limit(limit)
+
+
+def sampled_scores(samples: DataFrame, one_of: int = 1000) -> DataFrame:
+    """About one of ``one_of`` pairs with their scores, drawn tile by tile."""
+    return tiled.pairs(samples, lambda sim, pos: np.ones_like(pos), sample=one_of)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairscope.functions import vectors as V
+from pairscope.plans import tiled
 
 # windows over whole histograms: their rows are bounded by the number of bins
 
@@ -79,13 +82,30 @@ def above(hist: DataFrame, thresholds: list[float], bins: int = V.BINS) -> DataF
     return hist.crossJoin(t).groupBy("threshold").agg(*(F.round(F.sum(F.col(f"n_{s}") * part), 4).alias(f"{s}_above") for s in ("pos", "neg")))
 
 
-def two_level(sim: DataFrame, coarse: int = 4096, fine: int = 65536, lo: float = 0.2) -> DataFrame:
-    """From bins of scores: coarse over [-1, 1] and fine over [lo, 1]; sim has sim and is_pos."""
-    c = V.bin_of(F.col("sim"), coarse)
-    f = F.least(F.lit(fine - 1), F.floor((F.col("sim") - lo) / ((1 - lo) / fine)).cast("long"))
-    grids = F.array(F.struct(F.lit("coarse").alias("grid"), c.alias("bin")), F.struct(F.lit("fine").alias("grid"), F.when(F.col("sim") >= lo, f).alias("bin")))
-    rows = sim.select("is_pos", F.explode(grids).alias("g")).where("g.bin is not null")
-    return rows.groupBy("g.grid", "g.bin").agg(F.count_if("is_pos").alias("n_pos"), F.count_if(~F.col("is_pos")).alias("n_neg"))
+def two_level(samples: DataFrame, coarse: int = 4096, fine: int = 65536, lo: float = 0.2) -> DataFrame:
+    """grid, bin, n_pos, n_neg: coarse over [-1, 1] and fine over [lo, 1], both counted inside the tiles."""
+
+    def each(state, a, b, same):
+        sim, want = tiled.scores(a, b, same)
+        pos = a.who[:, None] == b.who[None, :]
+        want = np.ones_like(pos) if want is None else want
+        high = sim >= lo
+        grids = {
+            "coarse": (tiled.binned(sim, coarse, "floor"), want, coarse),
+            "fine": (np.minimum(fine - 1, np.floor((sim - lo) / ((1 - lo) / fine)).astype(np.int64)), want & high, fine),
+        }
+        for name, (at, mask, bins) in grids.items():
+            for side, own in ((True, pos), (False, ~pos)):
+                state[name, side] = state.get((name, side), 0) + np.bincount(at[mask & own], minlength=bins)
+        return ()
+
+    def finish(state):
+        for name in ("coarse", "fine") if state else ():
+            at = np.flatnonzero(state[name, True] + state[name, False])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), *(pa.array(state[name, side][at]) for side in (True, False))], names=["grid", "bin", "n_pos", "n_neg"])
+
+    found = tiled.run_tiles(samples, each, "grid string, bin long, n_pos long, n_neg long", finish=finish)
+    return found.groupBy("grid", "bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
 
 
 def curve(hist: DataFrame, bins: int = V.BINS) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
+from pairscope.operators import thresholds
+from pairscope.plans import tiled
+from pairscope.sources.samples import numbered_in_order
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
@@ -25,39 +28,44 @@ def identity_stats(samples: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_identities"), F.min("c").alias("size_min"), F.max("c").alias("size_max"), F.round(F.avg("c"), 6).alias("size_mean"), F.round(F.median("c"), 6).alias("size_median"))
 
 
-def score_summary(pairs: DataFrame) -> DataFrame:
-    """is_pos, n, mean, std, min, max and percentiles (linear between neighbours)."""
-    qs = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    s = F.col("sim")
-    return pairs.groupBy("is_pos").agg(
-        F.count("*").alias("n"),
-        *(F.round(f(s), 6).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))),
-        *(F.round(F.percentile(s, q), 6).alias(f"p{int(q * 100):02d}") for q in qs),
-    )
+def _moments(samples: DataFrame) -> DataFrame:
+    return tiled.summaries(samples).groupBy("is_pos").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def separation(pairs: DataFrame) -> DataFrame:
-    m = pairs.agg(F.avg(F.when(F.col("is_pos"), F.col("sim"))).alias("p"), F.avg(F.when(~F.col("is_pos"), F.col("sim"))).alias("n"))
+def score_summary(samples: DataFrame) -> DataFrame:
+    """is_pos, n, mean, std, min, max and percentiles (linear between neighbours). Moments are added up inside the tiles;
+    percentiles are order statistics, for which only the pairs of their bins are looked at again."""
+    qs = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+    hist = tiled.histogram(samples).persist()  # at most as many rows as bins
+    totals = dict(zip((True, False), hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()))
+    rows = []
+    for side, n in totals.items():
+        if n:
+            spots = [(int(q * (n - 1)), q * (n - 1) % 1) for q in qs]  # from the least score on
+            ranks = {n - k for k, _ in spots} | {max(1, n - k - 1) for k, _ in spots}
+            at = thresholds.ranked_scores(samples, hist, sorted(ranks), "pos" if side else "neg")
+            rows.append((side, *(round(at[n - k] + (at[max(1, n - k - 1)] - at[n - k]) * part, 6) for k, part in spots)))
+    hist.unpersist()
+    marks = samples.sparkSession.createDataFrame(rows, "is_pos boolean, " + ", ".join(f"p{int(q * 100):02d} double" for q in qs))
+    mean = F.col("s") / F.col("n")
+    shown = (("mean", mean), ("std", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))), ("min", F.col("least")), ("max", F.col("most")))
+    return _moments(samples).join(F.broadcast(marks), "is_pos").select("is_pos", "n", *(F.round(c, 6).alias(k) for k, c in shown), *marks.columns[1:])  # two rows
+
+
+def separation(samples: DataFrame) -> DataFrame:
+    mean = F.col("s") / F.col("n")
+    m = _moments(samples).agg(F.max(F.when(F.col("is_pos"), mean)).alias("p"), F.max(F.when(~F.col("is_pos"), mean)).alias("n"))
     d = F.col("p") - F.col("n")
     return m.select(F.round(d, 6).alias("separation"), F.when(d > 0.3, "excellent").when(d > 0.2, "good").when(d > 0.1, "fair").otherwise("poor").alias("grade"))
 
 
-def positions(samples: DataFrame, total: int, size: int = 50_000) -> DataFrame:
-    """All columns and at: each sample's own number from 0 to total - 1, without gaps. Samples are dealt by hash to buckets
-    of about ``size``; a number is the sum of the counts of the buckets before and the place in its own."""
-    buckets = max(1, -(-total // size))
-    dealt = samples.withColumn("bucket__", F.pmod(F.xxhash64("sample_id"), F.lit(buckets)))
-    before = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    bases = dealt.groupBy("bucket__").agg(F.count("*").alias("c")).select("bucket__", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base__"))
-    inside = F.row_number().over(Window.partitionBy("bucket__").orderBy("sample_id", F.xxhash64("identity", "v")))
-    return dealt.withColumn("in__", inside - 1).join(F.broadcast(bases), "bucket__").withColumn("at", F.col("base__") + F.col("in__")).drop("bucket__", "in__", "base__")
-
-
 def sampled_pairs(samples: DataFrame, n: int = 1000, seed: int = 7) -> DataFrame:
-    """n random pairs with replacement, without pairs of a sample with itself: two hash draws of positions for each number."""
+    """n random pairs with replacement, without pairs of a sample with itself: two draws of positions for each number, by
+    md5 (the same in SQL)."""
     total = samples.count()
-    spots = positions(samples.select("sample_id", "identity", "v"), total)
-    draw = lambda s, k: F.struct(F.lit(s).alias("side"), F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(max(1, total))).alias("at"))
+    spots = numbered_in_order(samples.select("sample_id", "identity", "v"), "sample_id", "at")
+    spot = lambda k: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed + k)))), 1, 12), 16, 10).cast("long") % max(1, total)
+    draw = lambda s, k: F.struct(F.lit(s).alias("side"), spot(k).alias("at"))
     draws = samples.sparkSession.range(n).select("id", F.explode(F.array(draw("a", 1), draw("b", 2))).alias("draw")).select("id", "draw.*")
     sample = F.struct("sample_id", "identity", "v")
     sides = draws.join(spots, "at").groupBy("id").agg(*(F.max(F.when(F.col("side") == s, sample)).alias(s) for s in "ab"))

@@ -18,7 +18,8 @@ and by order statistics of the negatives: see ``ORDER``. No negatives or no posi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
@@ -103,24 +104,104 @@ def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: s
     inside = sorted({r["bin"] for r in spots})
 
     def keep(sim, pos):
-        import numpy as np
-
         return np.isin(tiled.binned(sim, bins, "floor"), inside) & (pos if side == "pos" else ~pos)
 
-    from pyspark.sql.window import Window
-
     found = tiled.pairs(samples, keep, within=side == "pos").withColumn("bin", V.bin_of(F.col("sim"), bins))
     numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("bin").orderBy(F.col("sim").desc())))
     spot = F.broadcast(hist.sparkSession.createDataFrame([(r["bin"], r["rank"], r["rank"] - r["above"]) for r in spots], "bin long, rank long, at long"))
     return {r["rank"]: r["sim"] for r in numbered.join(spot, ["bin", "at"]).select("rank", "sim").collect()}
 
 
+def tpir_ends(samples: DataFrame, hist: DataFrame, fpirs=(0.0, 0.01, 0.1, 1.0)) -> DataFrame:
+    """``order_ceil`` with both ends: at 0 the greatest negative, at 1 what lies just below the least one."""
+    totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
+    rows = [(f, ORDER["order_ceil"][0](f, totals[1])) for f in V.checked_fpirs(fpirs, closed=True)]
+    scores = ranked_scores(samples, hist, [r for _, r in rows])
+    return _compared(samples, [(f, float(np.nextafter(scores[r], -np.inf)) if f == 1 else scores[r]) for f, r in rows], ">", totals[0])
+
+
+def tpir_linear(hist: DataFrame, fpirs=FPIRS, bins: int = V.BINS) -> DataFrame:
+    """fpir_target, threshold, tpir by the linear distribution function: the threshold is its inverse at 1 - f for negatives,
+    kept inside the grid, and positives above it are counted in proportion. At f = 0 it is the grid's end."""
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a histogram's rows, bounded by its bins
+    whole = Window.partitionBy()
+    c = hist.select("bin", "n_pos", "n_neg", *(F.coalesce(F.sum(f"n_{s}").over(up), F.lit(0)).alias(f"u_{s}") for s in ("pos", "neg")), F.sum("n_pos").over(whole).alias("tp"), F.sum("n_neg").over(whole).alias("tn"))
+    wanted = F.broadcast(hist.sparkSession.createDataFrame([(f,) for f in V.checked_fpirs(fpirs, closed=True)], "fpir_target double"))
+    y = (1 - F.col("fpir_target")) * F.col("tn")
+    spot = c.where("n_neg > 0").crossJoin(wanted).where((F.col("u_neg") <= y) & (y < F.col("u_neg") + F.col("n_neg")))
+    part = (y - F.col("u_neg")) / F.col("n_neg")
+    found = spot.select("fpir_target", (V.edge(F.col("bin"), bins) + part * (2.0 / bins)).alias("t"), F.try_divide(F.col("tp") - F.col("u_pos") - part * F.col("n_pos"), F.col("tp")).alias("r"))
+    ends = F.when(F.col("fpir_target") == 0, F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("r")))
+    return wanted.join(found, "fpir_target", "left").select("fpir_target", F.round(F.coalesce("t", ends["t"]), 9).alias("threshold"), F.round(F.coalesce("r", ends["r"]), 9).alias("tpir"))
+
+
+def tpir_bisected(samples: DataFrame, hist: DataFrame, fpirs=FPIRS, bins: int = V.BINS, rounds: int = 60) -> DataFrame:
+    """The threshold is found by halving [-1, 1] until the negatives above it, bins divided in proportion, are f of all;
+    positives above it are counted exactly."""
+    rows = np.array([tuple(r) for r in hist.select("bin", "n_neg").orderBy("bin").collect()] or [(0, 0)])  # at most as many rows as bins
+    at, below = rows[:, 0], np.concatenate([[0], np.cumsum(rows[:, 1])])
+    found = []
+    for f in V.checked_fpirs(fpirs):
+        lo, hi = -1.0, 1.0
+        for _ in range(rounds):
+            t = (lo + hi) / 2
+            place = (t + 1) * bins / 2
+            k = int(np.searchsorted(at, int(place)))
+            above = below[-1] - below[k] - (rows[k, 1] * (place - int(place)) if k < len(at) and at[k] == int(place) else 0)
+            lo, hi = (t, hi) if above > f * below[-1] else (lo, t)
+        found.append((f, (lo + hi) / 2))
+    return _compared(samples, found, ">", hist.agg(F.sum("n_pos")).first()[0])
+
+
+def tpir_bisected_exact(samples: DataFrame, fpirs=(1e-2,), within: float = 1e-6) -> DataFrame:
+    """Halving by exact counts, all rates together: a round is one pass over the tiles and leaves one row a rate."""
+    from pairscope.operators import extraction
+
+    fpirs = V.checked_fpirs(fpirs)
+    bounds, totals = {f: (-1.0, 1.0) for f in fpirs}, None
+    while max(hi - lo for lo, hi in bounds.values()) > within:
+        middles = {f: (lo + hi) / 2 for f, (lo, hi) in bounds.items()}
+        counts = {r["threshold"]: r for r in extraction.counts_beyond(samples, sorted({-2.0, *middles.values()})).collect()}  # a row a rate
+        totals = totals or (counts[-2.0]["pos_above"], counts[-2.0]["neg_above"])
+        bounds = {f: (t, bounds[f][1]) if counts[t]["neg_above"] > f * totals[1] else (bounds[f][0], t) for f, t in middles.items()}
+    return _compared(samples, [(f, hi) for f, (_, hi) in bounds.items()], ">", totals[0])
+
+
+def exact_curve(samples: DataFrame, points: int = 4096, bins: int = V.BINS) -> DataFrame:
+    """threshold, fpir, tpir (shares of scores greater than it) at ``points`` places in equal steps among all different scores.
+
+    Every different score is a row, as the exact curve wants it; bins are the buckets of the numbering, so no sort is global.
+    """
+    s = tiled.pairs(samples, lambda sim, pos: np.ones_like(pos)).groupBy("sim").agg(F.count_if("is_pos").alias("p"), F.count_if(~F.col("is_pos")).alias("n"))
+    s = s.withColumn("bin", V.bin_of(F.col("sim"), bins))
+    sizes = s.groupBy("bin").agg(F.count("*").alias("c"), F.sum("p").alias("cp"), F.sum("n").alias("cn"))
+    before, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row a bin
+    bases = sizes.select("bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("c", "cp", "cn")), *(F.sum(c).over(whole).alias(f"t{c}") for c in ("c", "cp", "cn")))
+    own = Window.partitionBy("bin").orderBy("sim")
+    up = own.rowsBetween(Window.unboundedPreceding, 0)
+    r = s.join(F.broadcast(bases), "bin").select("sim", (F.row_number().over(own) - 1 + F.col("bc")).alias("at"), (F.sum("p").over(up) + F.col("bcp")).alias("up"), (F.sum("n").over(up) + F.col("bcn")).alias("un"), "tc", "tcp", "tcn")
+    # place k of P is at floor(k (U - 1) / (P - 1)) of U scores; with fewer scores than places all are shown
+    k = F.ceil(F.col("at") * (points - 1) / F.greatest(F.lit(1), F.col("tc") - 1)).cast("long")
+    picked = (F.col("tc") <= points) | (F.floor(k * (F.col("tc") - 1) / (points - 1)) == F.col("at"))
+    rate = lambda u, t: F.round(F.try_divide(F.col(t) - F.col(u), F.col(t)), 9)
+    return r.where(picked).select(F.round("sim", 6).alias("threshold"), rate("un", "tcn").alias("fpir"), rate("up", "tcp").alias("tpir"))
+
+
+def tpir_sampled(samples: DataFrame, one_of: int = 100, fpirs=FPIRS, bins: int = V.BINS) -> DataFrame:
+    """``floor`` on a sample of the pairs (``tiled.drawn``): quick to see, and biased where f times the sample is small."""
+    s = tiled.pairs(samples, lambda sim, pos: np.ones_like(pos), sample=one_of)
+    b = s.select(V.bin_of(F.col("sim"), bins).alias("bin"), F.col("is_pos").cast("long").alias("p"))
+    return tpir(b.groupBy("bin").agg(F.sum("p").alias("n_pos"), F.sum(1 - F.col("p")).alias("n_neg")), "floor", fpirs, bins)
+
+
 def tpir_by_order(samples: DataFrame, hist: DataFrame, convention: str, fpirs=FPIRS) -> DataFrame:
     """fpir_target, threshold, pos_above, tpir by an order statistic of the negatives."""
     rank, op = ORDER[convention]
+    hist = hist.persist()  # at most as many rows as bins, asked several times
     totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
     rows = [(f, rank(f, totals[1])) for f in V.checked_fpirs(fpirs)]
     scores = ranked_scores(samples, hist, [r for _, r in rows])
+    hist.unpersist()
     return _compared(samples, [(f, scores[r]) for f, r in rows], op, totals[0])
 
 
@@ -134,6 +215,7 @@ def _compared(samples: DataFrame, rows: list, op: str, n_pos: int) -> DataFrame:
 
 def tpir_by_percentile(samples: DataFrame, hist: DataFrame, fpirs=FPIRS) -> DataFrame:
     """The threshold is the linear percentile 1 - f of the negatives: between two order statistics."""
+    hist = hist.persist()
     totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
     n, rows, ranks = totals[1], [], set()
     for f in V.checked_fpirs(fpirs):
@@ -142,14 +224,17 @@ def tpir_by_percentile(samples: DataFrame, hist: DataFrame, fpirs=FPIRS) -> Data
         rows.append((f, n - low, max(1, n - low - 1), spot - low))
         ranks |= {n - low, max(1, n - low - 1)}
     s = ranked_scores(samples, hist, sorted(ranks))
+    hist.unpersist()
     return _compared(samples, [(f, s[a] + (s[b] - s[a]) * part) for f, a, b, part in rows], ">", totals[0])
 
 
 def threshold_at_tpir(samples: DataFrame, hist: DataFrame, tpirs) -> DataFrame:
     """Of m positives in order, that at index round((1 - p) m), halves to even, kept inside 1 .. m - 1."""
+    hist = hist.persist()
     m = hist.agg(F.sum("n_pos")).first()[0]
     rows = [(p, m - min(max(round((1 - p) * m), 1), m - 1)) for p in tpirs]
     s = ranked_scores(samples, hist, [r for _, r in rows], "pos")
+    hist.unpersist()
     return samples.sparkSession.createDataFrame([(p, round(s[r], 6)) for p, r in rows], "tpir_target double, threshold double")
 
 

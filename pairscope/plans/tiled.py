@@ -116,16 +116,47 @@ def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: st
     return found.groupBy("bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
 
 
+def summaries(samples: DataFrame, size: int = SIZE) -> DataFrame:
+    """is_pos, n, s (sum of the scores), ss (of their squares), least, most: a row per side and task, to be added up."""
+
+    def each(state, a, b, same):
+        sim, want = scores(a, b, same)
+        pos = a.who[:, None] == b.who[None, :]
+        for side in (True, False):
+            mask = pos if side else ~pos
+            x = sim[mask if want is None else mask & want]
+            if len(x):
+                old = state.get(side, (0, 0.0, 0.0, 2.0, -2.0))
+                state[side] = (old[0] + len(x), old[1] + float(x.sum()), old[2] + float((x * x).sum()), min(old[3], float(x.min())), max(old[4], float(x.max())))
+        return ()
+
+    def finish(state):
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array(list(state)), *(pa.array(list(c)) for c in zip(*state.values()))], names=["is_pos", "n", "s", "ss", "least", "most"])
+
+    return run_tiles(samples, each, "is_pos boolean, n long, s double, ss double, least double, most double", size, finish=finish)
+
+
 PAIR = "i long, j long, id_i long, id_j long, is_pos boolean, sim double"
 
 
-def pairs(samples: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SIZE, within: bool = False) -> DataFrame:
-    """The pairs for which keep(sim, is_pos) holds, with i < j."""
+def drawn(i, j, of: int):
+    """Whether the pair i < j is in the sample that takes about one of ``of``: whole-number arithmetic, so numpy, columns and
+    SQL can state the same (ids below 2^31)."""
+    x = (i * 48271 + j * 69621) % 2147483647
+    return x * x % 2147483647 * 16807 % 2147483647 % of == 0
+
+
+def pairs(samples: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SIZE, within: bool = False, sample: int = 1) -> DataFrame:
+    """The pairs for which keep(sim, is_pos) holds, with i < j; with ``sample``, about one of so many of them."""
 
     def each(state, a, b, same):
         sim, want = scores(a, b, same)
         pos = a.who[:, None] == b.who[None, :]
         wanted = keep(sim, pos)
+        if sample > 1:
+            low, high = np.minimum(a.ids[:, None], b.ids[None, :]), np.maximum(a.ids[:, None], b.ids[None, :])
+            wanted = wanted & drawn(low, high, sample)
         x, y = np.nonzero(wanted if want is None else wanted & want)
         if len(x):
             turn = a.ids[x] > b.ids[y]

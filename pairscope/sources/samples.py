@@ -10,9 +10,6 @@ from pyspark.sql.window import Window
 
 from pairscope.functions import vectors as V
 
-PRESETS = {"quick": (500, 5), "medium": (2_000, 10), "large": (5_000, 15), "xlarge": (10_000, 20), "realistic": (20_000, 10)}
-
-
 def load(spark: SparkSession, path: str, policy: str = "raw", sample_id="vec_id", identity="label", embedding="embedding", max_n: int | None = None) -> DataFrame:
     """Reads parquet and normalises. max_n keeps the samples with sample_id < max_n; identities may be any comparable type."""
     table = spark.read.parquet(path)
@@ -57,15 +54,41 @@ def validated(samples: DataFrame, least_dim: int = 1) -> DataFrame:
     return samples
 
 
+def set_normalised(samples: DataFrame, off: float = 1e-3, eps: float | None = None) -> DataFrame:
+    """All vectors divided by their norms if any norm of the set is off 1 by more than ``off``; else as they are. A zero vector
+    is an error, or with ``eps`` stays zero (norms are at least that)."""
+    n = V.norm(F.col("v"))
+    wrong, zeros = samples.agg(F.max(F.abs(n - 1)), F.count_if(n == 0)).first()
+    if zeros and eps is None:
+        raise ValueError(f"{zeros} zero vectors have no direction")
+    if wrong is None or wrong <= off:
+        return samples
+    return samples.withColumn("v", V.normalised(F.col("v"), "raw" if eps is None else "eps", eps or 1e-10))
+
+
+def numbered_in_order(rows: DataFrame, key: str, name: str, size: int = 50_000) -> DataFrame:
+    """All columns and ``name``: the place (from 0) in the order of ``key``, a whole number that no two rows share. Rows are dealt
+    to ranges of about ``size`` by quantiles, and the counts of the ranges before are added: no sort is global."""
+    ranges = min(10_000, max(1, -(-rows.count() // size)))
+    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
+    cuts = np.array(sorted(set(cuts)), np.int64)
+    level = F.lit(0)
+    dealt = rows.withColumn("range__", level if not len(cuts) else F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c < F.col(key))))
+    before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = dealt.groupBy("range__").agg(F.count("*").alias("c__")).select("range__", F.coalesce(F.sum("c__").over(before), F.lit(0)).alias("base__"))
+    inside = F.row_number().over(Window.partitionBy("range__").orderBy(key)) - 1
+    return dealt.withColumn("in__", inside).join(F.broadcast(bases), "range__").withColumn(name, (F.col("base__") + F.col("in__")).cast("long")).drop("range__", "in__", "base__")
+
+
 def compact_identities(samples: DataFrame) -> DataFrame:
     """identity as 0 .. G-1 in its order. The distinct identities are ranked, not the samples."""
-    ids = samples.select("identity").distinct()
-    ranked = ids.select("identity", (F.row_number().over(Window.orderBy("identity")) - 1).cast("long").alias("code"))
+    ranked = numbered_in_order(samples.select("identity").distinct(), "identity", "code")
     return samples.join(ranked, "identity").select("sample_id", F.col("code").alias("identity"), "v", "path")
 
 
 def sorted_by_identity(samples: DataFrame) -> DataFrame:
-    return samples.orderBy("identity", "sample_id")
+    """Ordered by identity; ``order`` is the place that a sample had before, by sample_id."""
+    return numbered_in_order(samples, "sample_id", "order").orderBy("identity", "order")
 
 
 def generate(spark: SparkSession, identities: int, per_identity: int, dim: int = 512, noise: float = 0.15, seed: int = 42) -> DataFrame:

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAIR_COLUMNS = ["category", "similarity", "left_index", "left_id", "left_path", "right_index", "right_id", "right_path"]
-
-
 def error_pairs(pairs: DataFrame) -> DataFrame:
     """The typed form of extracted pairs, also when there is none."""
     return pairs.select(
-        F.when(F.col("is_pos"), "positive").otherwise("negative").alias("category"),
-        F.col("sim").alias("similarity"),
-        F.col("i").alias("left_index"),
-        F.col("id_i").alias("left_id"),
-        F.col("path_i").alias("left_path"),
-        F.col("j").alias("right_index"),
-        F.col("id_j").alias("right_id"),
-        F.col("path_j").alias("right_path"),
+        F.when(F.col("is_pos"), "positive").otherwise("negative").alias("side"),
+        F.col("sim").alias("score"),
+        *("i", "id_i", "path_i", "j", "id_j", "path_j"),
     )
 
 

@@ -135,11 +135,11 @@ def test_extraction_equals_numpy(spark):
 def test_sinks(spark, tmp_path):
     s = frame(spark, planted())
     got = sinks.error_pairs(extraction.with_paths(extraction.top(s, "neg", 5), s))
-    assert got.columns == sinks.PAIR_COLUMNS
+    assert got.columns == ["side", "score", "i", "id_i", "path_i", "j", "id_j", "path_j"]
     none = sinks.error_pairs(extraction.with_paths(extraction.beyond(s, "neg", ">", 2.0), s))
     for k, df in enumerate((got, none)):
         sinks.write_parquet(df, str(tmp_path / f"p{k}"))
-        assert spark.read.parquet(str(tmp_path / f"p{k}")).columns == sinks.PAIR_COLUMNS
+        assert spark.read.parquet(str(tmp_path / f"p{k}")).columns == got.columns
         sinks.write_csv(df, str(tmp_path / f"c{k}"))
         sinks.write_json(df, str(tmp_path / f"j{k}"))
         sinks.write_tsv(df, str(tmp_path / f"t{k}"), "neg")
@@ -171,11 +171,23 @@ def test_files_and_folders(spark, tmp_path):
     assert {(r["child"], r["parent"]) for r in sources.folder_parents(sources.files(spark, str(tmp_path))).collect()} == {("x", "b"), ("y", "a")}
 
 
-@pytest.mark.parametrize("size", [50_000, 7])
-def test_positions_have_no_gaps(spark, size):
-    rows = planted(shuffled=True)
-    got = profile.positions(frame(spark, rows).repartition(5), len(rows), size).collect()
-    assert sorted(r["at"] for r in got) == list(range(len(rows))) and {r["sample_id"] for r in got} == {r[0] for r in rows}
+@pytest.mark.parametrize("size", [3, 50_000])
+def test_numbers_in_order_have_no_gaps(spark, size):
+    ids = [7, -3, 100, 2**40, 5, 6, 8, 9, 10, 11, -(2**50)]
+    rows = spark.createDataFrame([(i, f"x{i}") for i in ids], "k long, x string").repartition(5)
+    got = sources.numbered_in_order(rows, "k", "at", size).collect()
+    assert sorted((r["at"], r["k"], r["x"]) for r in got) == [(n, i, f"x{i}") for n, i in enumerate(sorted(ids))]
+
+
+def test_set_normalised(spark):
+    rows = lambda *v: spark.createDataFrame([(k, 1, [float(x) for x in w], "p") for k, w in enumerate(v)], "sample_id long, identity long, v array<double>, path string")
+    see = lambda df: [r["v"] for r in df.orderBy("sample_id").collect()]
+    assert see(sources.set_normalised(rows((1, 0), (0, 1.0005)))) == [[1, 0], [0, 1.0005]]  # all are near 1: none is touched
+    assert see(sources.set_normalised(rows((1, 0), (0, 1.0005), (3, 4)))) == [[1, 0], [0, 1], [0.6, 0.8]]  # one is off: all are divided
+    with pytest.raises(ValueError):
+        sources.set_normalised(rows((1, 0), (0, 0)))
+    assert see(sources.set_normalised(rows((3, 4), (0, 0)), 1e-5, 1e-10)) == [[0.6, 0.8], [0, 0]]
+    assert see(sources.set_normalised(rows().limit(0))) == []
 
 
 def test_sampled_pairs_drop_only_pairs_of_a_sample_with_itself(spark):
