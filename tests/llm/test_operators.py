@@ -516,7 +516,7 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.write_token_files(none, folder, path) == []
 
 
-def test_byte_bpe(docs, none):
+def test_byte_bpe(docs, none, monkeypatch):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -529,6 +529,12 @@ def test_byte_bpe(docs, none):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert plain(byte_bpe.with_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == listed(want)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 500)  # many blocks that share words, chains of a few rows
+    monkeypatch.setattr(byte_bpe, "CHAIN", 100)
+    coded = byte_bpe.with_ids(docs, path)
+    texts = ROWS + more
+    assert sorted((r["doc_id"] or -1, list(r["ids"])) for r in coded.collect()) == sorted((i or -1, library.encode_ordinary(t or "")) for i, t in texts)
+    assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in byte_bpe.decoded(coded, path).collect()) == sorted((i or -1, (t or "").encode()) for i, t in texts)
     assert byte_bpe.with_digests(none, path).count() == 0
 
 
