@@ -1,10 +1,10 @@
-"""Operator 10, byte-level BPE by corpus-level merge replay, and its decoder.
+"""Operator 10, byte-level BPE by merge replay over the distinct words of blocks of the corpus, and its decoder.
 
-Texts are packed into blocks. Every block names its distinct words once; equal words of all blocks meet in one partition,
-sorted, where they become one chain of symbols, each word of the corpus once. An inverted index leads from each pair of
-neighbours that can merge to its positions; merges are applied in rank order to all their positions at once, and only the
-touched neighbours change. The ids of a block's words then go back to the block, which writes them in place of its words.
-A word is sent at most once a block, so a frequent word is no hot key, and a partition holds one block at a time.
+The distinct words of a block become one chain of symbols. An inverted index leads from each pair of neighbours that can
+merge to its positions; merges are applied in rank order to all their positions at once, and only the touched neighbours
+change. A block is a bounded part of a task's rows; words that the worker has met before are remembered (a bounded number),
+so no text or word moves between tasks. A chain over one word table of the whole corpus gives the same ids, but sending each
+block its words' ids takes several times the disk and processor time (figures in README).
 
 A merge may make a pair of lower rank than its own (a vocabulary need not be a list of merges). Then the rest of its
 positions waits until that pair has been applied, which keeps the order within each word exact.
@@ -25,16 +25,14 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm.pretokens import split
-from pairscope.llm.store import as_table, chunks, documents, numbered, parts_for, plus
+from pairscope.llm.store import chunks, documents, numbered, plus
 
 BLOCK = 4 << 20  # bytes of text in a block
-CHAIN = 8 << 20  # bytes of rows whose words are one chain
-PART = 64 << 20  # bytes of text whose blocks share a partition
+CACHE = 600_000  # words a worker remembers
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +47,7 @@ class MergeReplay:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pair_rank: dict[tuple[int, int], int | None] = {}
         self.first_rank = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+        self.known: dict[str, bytes] = {}
 
     def _rank(self, a: int, b: int) -> int | None:
         try:
@@ -116,91 +115,38 @@ class MergeReplay:
             lo = hi
         return out
 
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as 32-bit numbers."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, self.replay([w.encode() for w in new])))
+        return [self.known[w] for w in words]
+
 
 @functools.cache
 def merge_replay(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
-def _words(batch: pa.RecordBatch, at: int) -> tuple[dict[str, int], list[int], np.ndarray]:
-    """The distinct words of a block's texts with their numbers, the number of every word in order, and each text's count."""
-    words, counts = split([t or "" for t in batch.column(at).to_pylist()])
-    number: dict[str, int] = {}
-    return number, [number.setdefault(w, len(number)) for w in words], counts
-
-
-def _blocks(docs: DataFrame, at: int) -> DataFrame:
-    """Blocks of rows: a number of its own, bytes of text, the rows (packed) and their distinct words in order."""
-
-    def pack(batches):
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for lo, hi, data, _ in chunks(batch.column(at), BLOCK):
-                rows, sink = batch.slice(lo, hi - lo), pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(rows)
-                packed = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-                words = pa.array([list(_words(rows, at)[0])], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(data)]), packed, words], names=["block", "size", "data", "words"])
-                block += 1
-
-    return as_table(docs.mapInArrow(pack, "block long, size long, data binary, words array<string>"), "blocks")
-
-
-def _coded(words: DataFrame, ranks: str) -> DataFrame:
-    """Rows (block, place, word), equal words next to each other; gives (block, place, data), the ids of the word."""
-
-    def replay(batches):
-        coder, waiting, size = merge_replay(ranks), [], 0
-
-        def coded():
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            word = rows.column("word").combine_chunks().dictionary_encode()
-            ids = coder.replay([w.encode() for w in word.dictionary.to_pylist()])
-            data = pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary()).take(word.indices)
-            return pa.Table.from_arrays([rows.column("block"), rows.column("place"), data], names=["block", "place", "data"]).to_batches()
-
-        for batch in batches:
-            waiting.append(batch)
-            size += batch.nbytes
-            if size >= CHAIN:
-                yield from coded()
-                waiting, size = [], 0
-        if size:
-            yield from coded()
-
-    return words.mapInArrow(replay, "block long, place int, data binary")
-
-
 def _encoded(docs: DataFrame, at: int, ranks: str, fields: str, result) -> DataFrame:
     """``docs`` and the columns ``fields``, made by ``result(number, counts, ids)`` of each block: the number of every word
     in order, each text's count of words, and the ids of each number."""
     columns, names = docs.columns, [f.split(" ")[0] for f in fields.split(", ")]
-    blocks = _blocks(docs, at)
-    parts = parts_for(blocks, "size", PART)
-    words = blocks.select("block", F.posexplode("words").alias("place", "word")).repartition(parts, "word").sortWithinPartitions("word")
-    rows = blocks.select("block", F.lit(-1).alias("place"), "data").unionByName(_coded(words, ranks))
-
-    def attach(batches):
-        def written():
-            (batch,) = pa.ipc.open_stream(packed)
-            _, number, counts = _words(batch, at)
-            arrays = result(number, counts, [i for some in ids for i in some])
-            return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*columns, *names])
-
-        packed, ids = None, []
+
+    def run(batches):
+        coder = merge_replay(ranks)
         for batch in batches:
-            data, lo = batch.column("data"), 0
-            for at_row in np.flatnonzero(batch.column("place").to_numpy() < 0).tolist():  # a block's rows come before its words
-                ids.append(data.slice(lo, at_row - lo).to_pylist())
-                if packed is not None:
-                    yield written()
-                packed, ids, lo = data[at_row].as_py(), [], at_row + 1
-            ids.append(data.slice(lo).to_pylist())
-        if packed is not None:
-            yield written()
-
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "place").mapInArrow(attach, plus(docs.schema, fields))
+            for lo, hi, *_ in chunks(batch.column(at), BLOCK):
+                rows = batch.slice(lo, hi - lo)
+                words, counts = split([t or "" for t in rows.column(at).to_pylist()])
+                numbers: dict[str, int] = {}
+                number = [numbers.setdefault(w, len(numbers)) for w in words]
+                arrays = result(number, counts, coder.ids(list(numbers)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=[*columns, *names])
+
+    return docs.mapInArrow(run, plus(docs.schema, fields))
 
 
 def _prepared(docs: DataFrame, text: str, results: list[str]) -> tuple[DataFrame, list[str], int]:

@@ -529,8 +529,7 @@ def test_byte_bpe(docs, none, monkeypatch):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert plain(byte_bpe.with_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == listed(want)
-    monkeypatch.setattr(byte_bpe, "BLOCK", 500)  # many blocks that share words, chains of a few rows
-    monkeypatch.setattr(byte_bpe, "CHAIN", 100)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 500)  # many blocks that share words
     coded = byte_bpe.with_ids(docs, path)
     texts = ROWS + more
     assert sorted((r["doc_id"] or -1, list(r["ids"])) for r in coded.collect()) == sorted((i or -1, library.encode_ordinary(t or "")) for i, t in texts)
