@@ -33,33 +33,43 @@ from pairscope.llm.store import as_table, documents, free
 WINDOW = 200
 ANCHOR = 48
 MOST = 2000
-PIECE = 1 << 21
+PIECE = 1 << 20
 PART = "key long, anchor long, run long, o int, n int, off int, lo int, hi int, places long, same long, slice binary"
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffix array of strings in one array of bytes + 1 with a 0 at each end; ends are ordered by string."""
+    """The suffix array of strings in one array of bytes + 1 with a 0 at each end; ends are ordered by string. What is
+    alone in its group keeps its place, so each round sorts only the rest, by the ranks of as many stretches as a key holds."""
     n = len(text)
-    string = np.searchsorted(ends, np.arange(n))
-    left = ends[string] - np.arange(n)  # bytes before the string's end
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # bytes before the string's end
     wide = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = (key << 9) | np.where(left >= k, wide[k : k + n], 0)
-    order = np.lexsort((np.where(left < 7, string, 0), key))
-    tie = np.where(left < 7, string + 1, 0)[order]
-    new = np.ones(n, bool)
-    new[1:] = (np.diff(key[order]) != 0) | (np.diff(tie) != 0)
-    rank, h = np.empty(n, np.int64), 7
-    while True:
-        group = np.cumsum(new) - 1
-        rank[order] = group
-        if group[-1] == n - 1:
-            return order
-        key = rank * n + rank[np.minimum(np.arange(n) + h, n - 1)]
-        order = np.argsort(key)
-        new[1:] = np.diff(key[order]) != 0
-        h *= 2
+    order = np.argsort(key)
+    near = left[order] < 7  # these hold an end: each is a group, by string
+    at = order[near]
+    order[near] = at[np.lexsort((at, key[at]))]
+    new = near
+    new[0] = True
+    new[1:] |= np.diff(key[order]) != 0
+    rank, h, stretches = np.empty(n, np.int64), 7, 3 if n < 1 << 21 else 2
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rest = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(rest):
+        at = order[rest]
+        key = rank[at]
+        for k in range(1, stretches):
+            key = key * n + rank[np.minimum(at + k * h, n - 1)]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        new = np.ones(len(rest), bool)
+        new[1:] = np.diff(key) != 0
+        order[rest] = at
+        rank[at] = np.maximum.accumulate(np.where(new, rest, 0))
+        rest = rest[~(new & np.append(new[1:], True))]
+        h *= stretches
+    return order
 
 
 def shared_starts(strings: list[bytes], length: int) -> np.ndarray:
