@@ -238,23 +238,30 @@ SPAN = "k1 long, k2 int, at array<int>, n int, s1 long, s2 int, sat int"
 def _spans(batches):
     """A document's pieces in order, neighbours that are consecutive in one source as one; spans of one stretch together."""
     for batch in batches:
-        out = [[] for _ in range(7)]
-        for k1, k2, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("found").to_pylist()):
-            spans: dict[tuple, list[int]] = {}
-            held = None
-            for at, n, s1, s2, sat, path in sorted((f["at"], f["n"], f["s1"], f["s2"], f["sat"], f["path"]) for f in found):
-                if held:
-                    if at == held[0] + held[1] and s1 == held[2] and s2 == held[3] and sat == held[4] + held[1] and path == held[5]:
-                        held[1] += n
-                        continue
-                    spans.setdefault((held[1], *held[2:5]), []).append(held[0])
-                held = [at, n, s1, s2, sat, path]
-            spans.setdefault((held[1], *held[2:5]), []).append(held[0])
-            for (n, s1, s2, sat), at in spans.items():
-                for c, v in zip(out, (k1, k2, at, n, s1, s2, sat)):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k1", "k2", "at", "n", "s1", "s2", "sat"])
+        found = batch.column("found")
+        row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
+        flat = found.flatten()
+        at, n, s1, s2, sat, path = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "s1", "s2", "sat", "path"))
+        by = np.lexsort((path, sat, n, at, row))
+        row, at, n, s1, s2, sat, path = (x[by] for x in (row, at, n, s1, s2, sat, path))
+        new = np.ones(len(row), bool)
+        new[1:] = (at[1:] != at[:-1] + n[:-1]) | (sat[1:] != sat[:-1] + n[:-1])
+        for x in (row, s1, s2, path):
+            new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(n, first) if len(first) else n
+        row, at, s1, s2, sat = (x[first] for x in (row, at, s1, s2, sat))
+        by = np.lexsort((at, sat, s2, s1, n, row))
+        row, at, n, s1, s2, sat = (x[by] for x in (row, at, n, s1, s2, sat))
+        new = np.ones(len(row), bool)
+        new[1:] = False
+        for x in (row, n, s1, s2, sat):
+            new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(at, pa.int32()))
+        k1, k2 = (batch.column(c).take(pa.array(row[first])) for c in KEY)
+        rest = [pa.array(x[first], t) for x, t in ((n, pa.int32()), (s1, pa.int64()), (s2, pa.int32()), (sat, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([k1, k2, places, *rest], names=["k1", "k2", "at", "n", "s1", "s2", "sat"])
 
 
 def _stretches(cut: Callable):
