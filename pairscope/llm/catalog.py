@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import byte_bpe, decontaminate, exact_dedup, licenses, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
+from pairscope.llm import byte_bpe, decontaminate, exact_dedup, fill_middle, hard_negatives, language_id, licenses, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
             pseudonyms.op8_pii_pseudonyms,
             suffix_dedup.op9_suffix_dedup,
             byte_bpe.op10_byte_bpe,
+            language_id.op11_language_id,
+            hard_negatives.op12_hard_negatives,
+            fill_middle.op13_fill_middle,
         )
     }
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": licenses.OP2_SQL,
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op7_substring_dedup": substring_dedup.OP7_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_fill_middle": fill_middle.OP13_SQL,
     }
