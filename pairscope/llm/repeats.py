@@ -9,10 +9,14 @@ windows with one anchor place. Only runs are shuffled, about 2 / (window - k + 2
    smallest key.
 3. The operator's own method (``resolve``) decides which windows of the merged runs repeat, and where each of them stands
    in a source: pieces of windows that are consecutive in both.
-4. Pieces go back to the documents by a join, where neighbours that are consecutive in one source become one *span*.
-5. Each span is compared with its source, symbol by symbol: sources send the stretches that are asked for (each once) and
-   the comparison happens where the document is cut. So a hash never decides alone. If one had joined different texts
-   (two 64-bit hashes would have to agree), the job stops with an error that says so, and another ``seed`` helps.
+4. Pieces go back to the documents by a join, where neighbours that are consecutive in one source become one *span*, and what
+   spans cover is cut out.
+5. In the same pass each span is made ready for a comparison with its source: it is divided where the source's *stretches* of
+   fixed size end, and of every part the document sends (source, stretch, from, to) and the SHA-256 of its own symbols. A source
+   sends the stretches that its own places lie in, each once. Both meet by an equal join on (source, stretch), where the digest of
+   the source's symbols is made. So a 64-bit hash never decides alone. If one had joined different texts, the job stops with an
+   error that says so, and another ``seed`` helps. Equal questions are merged before they are shuffled, so a stretch is asked at
+   most for its own substrings, however many documents quote it, and no list of questions is gathered for a source.
 
 A document is found again by 96 bits of hash of id and text, so repeated rows share their decisions, which are equal anyway,
 and nothing depends on how rows are dealt out. Joins on anchors, runs and documents are equal joins of a large side with one
@@ -24,11 +28,14 @@ the document itself are held by one task when it is cut.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,14 +214,15 @@ def first_place(k1: str, k2: str, at: str) -> list:
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, names: list[str], how: str) -> tuple[DataFrame, DataFrame]:
-    """docs with what ``lists`` has for their key, gathered (at most a document's own runs), and the gathered table."""
-    gathered = as_table(lists.groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("found")), "lists")
+    """docs with what ``lists`` has for their key, gathered (a document's own runs or pieces, each once), and the gathered table."""
+    gathered = as_table(lists.groupBy(*KEY).agg(F.collect_set(F.struct(*names)).alias("found")), "lists")
     return docs.join(gathered, KEY, how), gathered
 
 
-def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """A table of pieces, once for a key however many rows it has: k1, k2, at, n (windows of the document that repeat), s1, s2,
-    sat (where the same windows stand in the source) and path (pieces of different paths never become one span).
+def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Pieces: k1, k2, at, n (windows of the document that repeat), s1, s2, sat (where the same windows stand in the source) and path
+    (pieces of different paths never become one span; below 0: the document's own place, which no other has as its source); and the
+    tables that they are made of.
 
     ``resolve`` gets the documents and the merged runs (anchor, run, places, n, off, k1, k2, at) of anchors that occur more than
     once; it returns a table of anchor, run and pieces (``PIECES``, o: windows before the piece).
@@ -225,89 +233,125 @@ def repeated_pieces(docs: DataFrame, how: Windows, resolve: Callable[[DataFrame,
     free(again)
     merged = as_table(some.groupBy("anchor", "run").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("off").alias("off"), *first_place("k1", "k2", "at")), "merged")
     decided = resolve(docs, merged)
-    # rows of equal id and text have one key: each of its pieces once, dropped before the shuffle
+    free(merged)
     pieces = some.select("anchor", "run", "k1", "k2", "at").join(decided, ["anchor", "run"]).select("k1", "k2", "at", F.explode("pieces").alias("p"))
-    out = as_table(pieces.select("k1", "k2", (F.col("at") + F.col("p.o")).alias("at"), "p.n", "p.s1", "p.s2", "p.sat", "p.path").distinct(), "pieces")
-    free(some, merged, decided)
-    return out
-
-
-SPAN = "k1 long, k2 int, at array<int>, n int, s1 long, s2 int, sat int"
-
-
-def _spans(batches):
-    """A document's pieces in order, neighbours that are consecutive in one source as one; spans of one stretch together."""
-    for batch in batches:
-        found = batch.column("found")
-        row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
-        flat = found.flatten()
-        at, n, s1, s2, sat, path = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "s1", "s2", "sat", "path"))
-        by = np.lexsort((path, sat, n, at, row))
-        row, at, n, s1, s2, sat, path = (x[by] for x in (row, at, n, s1, s2, sat, path))
-        new = np.ones(len(row), bool)
-        new[1:] = (at[1:] != at[:-1] + n[:-1]) | (sat[1:] != sat[:-1] + n[:-1])
-        for x in (row, s1, s2, path):
-            new[1:] |= x[1:] != x[:-1]
-        first = np.flatnonzero(new)
-        n = np.add.reduceat(n, first) if len(first) else n
-        row, at, s1, s2, sat = (x[first] for x in (row, at, s1, s2, sat))
-        by = np.lexsort((at, sat, s2, s1, n, row))
-        row, at, n, s1, s2, sat = (x[by] for x in (row, at, n, s1, s2, sat))
-        new = np.ones(len(row), bool)
-        new[1:] = False
-        for x in (row, n, s1, s2, sat):
-            new[1:] |= x[1:] != x[:-1]
-        first = np.flatnonzero(new)
-        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(at, pa.int32()))
-        k1, k2 = (batch.column(c).take(pa.array(row[first])) for c in KEY)
-        rest = [pa.array(x[first], t) for x, t in ((n, pa.int32()), (s1, pa.int64()), (s2, pa.int32()), (sat, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([k1, k2, places, *rest], names=["k1", "k2", "at", "n", "s1", "s2", "sat"])
-
-
-def _stretches(cut: Callable):
-    """What sources are asked for: (s1, s2, sat, n, same), same being the windows' symbols as ``cut`` gives them."""
+    return pieces.select("k1", "k2", (F.col("at") + F.col("p.o")).alias("at"), "p.n", "p.s1", "p.s2", "p.sat", "p.path"), [some, decided]
+
+
+@dataclass(frozen=True)
+class Form:
+    """A text as a sequence of symbols: ``opened`` takes its bytes, ``joined`` makes bytes of symbols again, with ``gap`` bytes
+    between them; ``stretch``: symbols of a stretch."""
+
+    opened: Callable
+    joined: Callable
+    kept: Callable
+    gap: int
+    stretch: int
+
+
+def _kept_words(words: list[bytes], gone: np.ndarray) -> bytes:
+    return b" ".join(itertools.compress(words, (~gone).tolist()))
+
+
+def _kept_bytes(data: bytes, gone: np.ndarray) -> bytes:
+    return np.frombuffer(data, np.uint8)[~gone].tobytes()
+
+
+WORDS = Form(bytes.split, b" ".join, _kept_words, 1, 512)  # at the six ASCII spaces
+BYTES = Form(bytes, bytes, _kept_bytes, 0, 4096)
+
+
+def _spans(found: pa.Array) -> tuple:
+    """Pieces of each row in order, neighbours that are consecutive in one source as one: where each row's spans begin, and
+    at, n, s1, s2, sat, path of the spans."""
+    sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(found)), sizes)
+    flat = found.flatten()
+    at, n, s1, s2, sat, path = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "s1", "s2", "sat", "path"))
+    by = np.lexsort((path, sat, n, at, row))
+    row, at, n, s1, s2, sat, path = (x[by] for x in (row, at, n, s1, s2, sat, path))
+    new = np.ones(len(row), bool)
+    new[1:] = (at[1:] != at[:-1] + n[:-1]) | (sat[1:] != sat[:-1] + n[:-1])
+    for x in (row, s1, s2, path):
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(n, first) if len(first) else n
+    row, at, s1, s2, sat, path = (x[first] for x in (row, at, s1, s2, sat, path))
+    return np.searchsorted(row, np.arange(len(found) + 1)), at, n, s1, s2, sat, path
+
+
+CHECKS = "checks array<struct<s1:long,s2:int,q:int,lo:int,hi:int,digest:binary>>, stretches array<struct<q:int,starts:array<int>,body:binary>>"
+_CHECK = pa.list_(pa.struct([("s1", pa.int64()), ("s2", pa.int32()), ("q", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("digest", pa.binary())]))
+_STRETCH = pa.list_(pa.struct([("q", pa.int32()), ("starts", pa.list_(pa.int32())), ("body", pa.binary())]))
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
+
+
+def _cut(window: int, form: Form):
+    """Of each document what stays of it, the questions about its spans, and the stretches that others ask for."""
+    size = form.stretch
+
+    def parts(sat: int, n: int):
+        return range(sat // size, (sat + n + window - 2) // size + 1)
 
     def emit(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for k1, k2, text, found in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
-                part = cut(text.as_py())
-                for f in found:
-                    for c, v in zip(out, (k1, k2, f["sat"], f["n"], part(f["sat"], f["n"]))):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["s1", "s2", "sat", "n", "same"])
+            edges, *spans = _spans(batch.column("found"))
+            spans = [x.tolist() for x in spans]
+            k1, k2, out = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), []
+            for d, text in enumerate(batch.column("text")):
+                symbols = form.opened(text.as_py().encode())
+                change, asked, own = np.zeros(len(symbols) + 1, np.int64), set(), set()
+                for at, n, s1, s2, sat, path in zip(*(x[edges[d] : edges[d + 1]] for x in spans)):
+                    change[at] += 1
+                    change[at + n - 1 + window] -= 1
+                    if s1 == k1[d] and s2 == k2[d] and at == sat:
+                        if path >= 0:
+                            own.update(parts(sat, n))
+                        continue
+                    for q in parts(sat, n):
+                        lo, hi = max(sat, q * size), min(sat + n - 1 + window, (q + 1) * size)
+                        asked.add((s1, s2, q, lo - q * size, hi - q * size, _digest(form.joined(symbols[at + lo - sat : at + hi - sat]))))
+                gone = np.cumsum(change[:-1]) > 0
+                sent = []
+                for q in sorted(own):
+                    some = symbols[q * size : (q + 1) * size]
+                    starts = np.cumsum([0, *(len(x) + form.gap for x in some)]).tolist() if form.gap else None
+                    sent.append({"q": q, "starts": starts, "body": form.joined(some)})
+                n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                checks = [dict(zip(("s1", "s2", "q", "lo", "hi", "digest"), c)) for c in asked]
+                out.append((len(symbols), int(gone.sum()), n_spans, form.kept(symbols, gone) if edges[d] < edges[d + 1] else form.joined(symbols), checks, sent))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), _CHECK, _STRETCH)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *KEY)), *columns], names=["doc_id", *KEY, "n", "n_removed", "n_spans", "kept", "checks", "stretches"])
 
     return emit
 
 
-def checked_spans(docs: DataFrame, pieces: DataFrame, cut: Callable) -> DataFrame:
-    """docs (k1, k2, doc_id, text) and found: of each stretch of a source that the document repeats, the places (at) where, its
-    windows (n), its place in the source (sat) and its symbols (same; null where the document is the source itself)."""
-    gathered = pieces.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n", "s1", "s2", "sat", "path")).alias("found"))
-    spans = as_table(gathered.mapInArrow(_spans, SPAN), "spans")
-    own = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
-    asked = spans.where(~own).select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "sat", "n").distinct()
-    texts, lists = with_lists(docs.select("k1", "k2", "text"), asked, ["sat", "n"], "inner")
-    # repeated rows of a source say the same
-    sent = as_table(texts.mapInArrow(_stretches(cut), "s1 long, s2 int, sat int, n int, same binary").dropDuplicates(["s1", "s2", "sat", "n"]), "sources")
+def differing(done: DataFrame) -> int:
+    """How many questions have no source or another answer there."""
+    fields = ["s1", "s2", "q", "lo", "hi", "digest"]
+    asked = done.select(F.explode("checks").alias("c")).select(*(F.col(f"c.{c}").alias(c) for c in fields)).distinct()
+    sent = done.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.explode("stretches").alias("s")).select("s1", "s2", "s.q", "s.starts", "s.body")
+    once = sent.groupBy("s1", "s2", "q").agg(F.first(F.struct("starts", "body")).alias("s"))  # repeated rows of a source say the same
+    place = lambda k: F.coalesce(F.get("s.starts", F.col(k)), F.col(k))
+    gap = F.when(F.col("s.starts").isNotNull(), 1).otherwise(0)
+    own = F.substring(F.unhex(F.sha2(F.substring("s.body", place("lo") + 1, place("hi") - gap - place("lo")), 256)), 1, 16)
+    equal = F.coalesce(own == F.col("digest"), F.lit(False))
+    return asked.join(once, ["s1", "s2", "q"], "left").agg(F.count_if(~equal)).first()[0]
+
+
+def without_spans(docs: DataFrame, pieces: DataFrame, made_of: list[DataFrame], window: int, form: Form) -> DataFrame:
+    """doc_id, n (symbols), n_removed, n_spans (maximal removed rows) and kept (bytes) of each document, as a table."""
+    texts, lists = with_lists(docs, pieces, ["at", "n", "s1", "s2", "sat", "path"], "left")
+    free(*made_of)
+    kind = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ", 1)
+    shape = f"{kind}, k1 long, k2 int, n long, n_removed long, n_spans long, kept binary, {CHECKS}"
+    done = as_table(texts.select("doc_id", *KEY, "text", "found").mapInArrow(_cut(window, form), shape), "cut")
     free(lists)
-    fields = [*KEY, "at", "n", "sat"]
-    answered = spans.where(~own).join(sent, ["s1", "s2", "sat", "n"]).select(*fields, "same")
-    every = answered.unionByName(spans.where(own).select(*fields, F.lit(None).cast("binary").alias("same")))
-    out, _ = with_lists(docs, every, ["at", "n", "sat", "same"], "left")
-    free(spans, sent)
-    return out
-
-
-def covered(found: list[dict] | None, symbols: int, window: int, part: Callable) -> np.ndarray:
-    """Which symbols of a document its spans cover; ``part`` gives the document's own symbols, to be compared."""
-    change = np.zeros(symbols + 1, np.int64)
-    for f in found or ():
-        want = part(f["sat"], f["n"]) if f["same"] is None else f["same"]
-        for at in f["at"]:
-            if part(at, f["n"]) != want:
-                raise RuntimeError("two different texts have equal hashes: run again with another seed")
-            change[at] += 1
-            change[at + f["n"] - 1 + window] -= 1
-    return np.cumsum(change[:-1]) > 0
+    if differing(done):
+        raise RuntimeError("two different texts have equal hashes: run again with another seed")
+    return done.select("doc_id", "n", "n_removed", "n_spans", "kept")

@@ -14,8 +14,8 @@ is a walk along edges. The graph is built of the edges that occur more than once
 4. Linked strands that follow each other at their source compact into *paths*: what starts a path is a strand without such a
    predecessor, and a window over the source's coordinates finds each strand's path. ``paths`` glues those of different sources
    into maximal ones by pointer jumping (joins of paths with paths, their number only); removal does not need it.
-5. Runs are stated as pieces of paths, go back to the documents, and every long span is compared word by word with the
-   source coordinates of its path.
+5. Runs are stated as pieces of paths, go back to the documents, and every long span is compared with the source coordinates of
+   its path, stretch by stretch, by SHA-256 (see ``repeats``).
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all; repeated rows are places of
 their own, so their long windows repeat; a null doc_id is a document like others; an empty table gives an empty result;
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairscope.llm.repeats import KEY, PIECES, Windows, checked_spans, covered, first_place, keyed, repeated_pieces, span, sums, with_lists, word_codes
+from pairscope.llm.repeats import KEY, PIECES, WORDS, Windows, first_place, keyed, repeated_pieces, span, sums, with_lists, without_spans, word_codes
 from pairscope.llm.store import as_table, chunks, documents, free
 
 WINDOW = 35
@@ -152,7 +152,7 @@ def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int
         free(strands, graph)
         return as_table(docs.sparkSession.createDataFrame([], f"anchor long, run long, pieces {PIECES}"), "decided")
 
-    free(repeated_pieces(keyed(docs), how, resolve))
+    free(*repeated_pieces(keyed(docs), how, resolve)[1])
     return out[0].select(F.col("n").alias("n_edges"), (F.col("n") + window - 1).alias("n_words"), F.col("s1").alias("doc_key"), F.col("path").alias("first_word"))
 
 
@@ -180,37 +180,10 @@ def glued(graph: DataFrame) -> DataFrame:
     return jump.select(*root, "n").groupBy(*here).agg(F.sum("n").alias("n"))
 
 
-def _part(window: int):
-    def of(text: str):
-        words = text.encode().split()  # at the six ASCII spaces
-        return lambda at, n: b" ".join(words[at : at + n + window - 1])
-
-    return of
-
-
-def _cut(window: int):
-    def emit(batches):
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text"), batch.column("found").to_pylist()):
-                words = text.as_py().encode().split()
-                gone = covered(found, len(words), window, lambda at, n, words=words: b" ".join(words[at : at + n + window - 1])) if found else None
-                kept = words if gone is None else itertools.compress(words, (~gone).tolist())
-                out.append((len(words), 0 if gone is None else int(gone.sum()), b" ".join(kept)))
-            n, removed, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return emit
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 0) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, UTF-8, joined by one space) of each row."""
+    """doc_id, n_words, n_removed, n_spans and kept (the words that stay, UTF-8, joined by one space) of each row."""
     docs, how = keyed(docs), Windows(word_codes, window, anchor, seed, True)
-    pieces = repeated_pieces(docs, how, _resolve(how))
-    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ", 1) + ", n_words long, n_removed long, kept binary"
-    spans = checked_spans(docs, pieces, _part(window)).select("doc_id", "text", "found")
-    free(pieces)
-    return spans.mapInArrow(_cut(window), shape)
+    return without_spans(docs, *repeated_pieces(docs, how, _resolve(how)), window, WORDS).withColumnRenamed("n", "n_words")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

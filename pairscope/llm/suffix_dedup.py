@@ -11,7 +11,7 @@ where their windows stand around the anchor and dealt by the text that all windo
 on; halves of one window share all their text, so they merge. Each level is a table in the shared folder.
 
 Runs of equal hash are one string of the transform with its number of places; whether their bytes are equal is seen when
-each removed span is compared with its source (see ``repeats``).
+each removed span is compared with its source, by SHA-256 (see ``repeats``).
 
 Defined cases: null or empty texts have no bytes; texts shorter than the window keep all; repeated rows are places of their
 own; a null doc_id is a document like others; an empty table gives an empty result; other columns, under any name, are not
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.repeats import KEY, PIECES, Windows, byte_codes, checked_spans, covered, keyed, repeated_pieces, with_lists
+from pairscope.llm.repeats import BYTES, KEY, PIECES, Windows, byte_codes, keyed, repeated_pieces, with_lists, without_spans
 from pairscope.llm.store import as_table, documents, free
 
 WINDOW = 200
@@ -248,7 +248,7 @@ def _resolve(window: int, anchor: int, most: int):
 
 
 def _merged(batches):
-    """Of each run, its repeated windows as pieces; the run is its own source."""
+    """Of each run, its repeated windows as pieces; the run is its own source, which no other has."""
     shape = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int32()), ("sat", pa.int32()), ("path", pa.int32())]))
     for batch in batches:
         out = []
@@ -257,47 +257,14 @@ def _merged(batches):
             for s in r["some"]:
                 bits[s["o"] + 1 : s["o"] + s["n"] + 1] |= 1 if s["bits"] is None else np.frombuffer(s["bits"], np.int8)
             starts, stops = np.flatnonzero(np.diff(bits) == 1), np.flatnonzero(np.diff(bits) == -1)
-            out.append([{"o": a, "n": b - a, "s1": r["s1"], "s2": r["s2"], "sat": r["sat"] + a, "path": 0} for a, b in zip(starts.tolist(), stops.tolist())])
+            out.append([{"o": a, "n": b - a, "s1": r["s1"], "s2": r["s2"], "sat": r["sat"] + a, "path": -1} for a, b in zip(starts.tolist(), stops.tolist())])
         yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("run"), pa.array(out, shape)], names=["anchor", "run", "pieces"])
 
 
-def _part(window: int):
-    def of(text: str):
-        data = text.encode()
-        return lambda at, n: data[at : at + n - 1 + window]
-
-    return of
-
-
-def _cut(window: int):
-    def emit(batches):
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text"), batch.column("found").to_pylist()):
-                data = text.as_py().encode()
-                if not found:
-                    out.append((len(data), 0, 0, data))
-                    continue
-                gone = covered(found, len(data), window, lambda at, n, data=data: data[at : at + n - 1 + window])
-                spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-            columns = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
-
-    return emit
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row."""
     docs = keyed(docs)
-    pieces = repeated_pieces(docs, Windows(byte_codes, window, anchor, seed), _resolve(window, anchor, most))
-    shape = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ", 1) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    spans = checked_spans(docs, pieces, _part(window)).select("doc_id", "text", "found")
-    free(pieces)
-    return spans.mapInArrow(_cut(window), shape)
+    return without_spans(docs, *repeated_pieces(docs, Windows(byte_codes, window, anchor, seed), _resolve(window, anchor, most)), window, BYTES).withColumnRenamed("n", "n_bytes")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

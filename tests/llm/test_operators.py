@@ -1,5 +1,6 @@
 """Small cases of every operator against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, no rows."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -16,6 +17,7 @@ import xxhash
 
 from pairscope.llm import byte_bpe, decontaminate, exact_dedup, licenses, pseudonyms, quality, repeats, simhash, substring_dedup, suffix_dedup, token_files
 from pairscope.llm import catalog as corpus
+from pairscope.llm.store import as_table
 
 SF = "/root/testdata/sf0.01"
 rng = random.Random(11)
@@ -144,8 +146,9 @@ def test_lists_of_equal_rows_hold_one_row_s_spans(spark, operator, monkeypatch):
     seen, gather = [], repeats.with_lists
 
     def with_lists(docs, lists, names, how):
-        seen.append((lists.count(), lists.select("k1", "k2", *names).distinct().count()))
-        return gather(docs, lists, names, how)
+        out = gather(docs, lists, names, how)
+        seen.append((out[1].selectExpr("sum(size(found))").first()[0], lists.select("k1", "k2", *names).distinct().count()))
+        return out
 
     for module in (operator, repeats):
         monkeypatch.setattr(module, "with_lists", with_lists)
@@ -197,9 +200,57 @@ def test_spans_are_compared_with_their_source(spark, monkeypatch):
     how = repeats.Windows(blind, 4, 2, visits=True)
     monkeypatch.setattr(substring_dedup, "word_codes", blind)
     keyed = repeats.keyed(docs)
-    spans = repeats.checked_spans(keyed, repeats.repeated_pieces(keyed, how, substring_dedup._resolve(how)), substring_dedup._part(4))
     with pytest.raises(Exception, match="another seed"):
-        spans.select("doc_id", "text", "found").mapInArrow(substring_dedup._cut(4), "doc_id long, n_words long, n_removed long, kept binary").collect()
+        repeats.without_spans(keyed, *repeats.repeated_pieces(keyed, how, substring_dedup._resolve(how)), 4, repeats.WORDS)
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_sources_are_asked_in_bounded_stretches(spark, operator, monkeypatch):
+    """However many documents quote stretches of one text, nothing grows in one place but what they ask, and that is merged."""
+    say = random.Random(8)
+    source = [f"w{say.randint(0, 10**6)}" for _ in range(1200)]
+    for n in (100, 400):
+        quotes = []
+        for k in range(n):
+            lo = say.randint(0, 1100)
+            quotes.append(f"own{k} " + " ".join(source[lo : lo + say.randint(60, 90)]) + f" own{k}")
+        seen = {}
+        done = repeats.differing
+        monkeypatch.setattr(repeats, "differing", lambda t: seen.update(most=max(len(r["found"]) for r in lists[-1].collect()), stretches=t.selectExpr("max(size(stretches))").first()[0], bad=done(t)) or 0)
+        lists, gather = [], repeats.with_lists
+        monkeypatch.setattr(repeats, "with_lists", lambda *a: (lambda out: lists.append(as_table(out[1], "seen")) or out)(gather(*a)))
+        rows = [(-1, " ".join(source))] + list(enumerate(quotes))
+        got = {r["doc_id"]: r["n_removed"] for r in operator.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        monkeypatch.undo()
+        form = repeats.WORDS if operator is substring_dedup else repeats.BYTES
+        assert seen["bad"] == 0 and seen["stretches"] <= -(-len(form.opened(rows[0][1].encode())) // form.stretch) and len(got) == n + 1 and min(got.values()) > 0
+        # of the source its own runs, of a quote its own
+        assert seen["most"] <= len(source)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_stretches_of_any_size(docs, stretch, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WORDS", dataclasses.replace(repeats.WORDS, stretch=stretch))
+    monkeypatch.setattr(suffix_dedup, "BYTES", dataclasses.replace(repeats.BYTES, stretch=stretch * 8))
+    monkeypatch.setattr(repeats, "BLOCK", 64)  # and texts in blocks
+    test_substring_dedup(docs, docs.where("false"))
+    test_suffix_dedup(docs, docs.where("false"), 2000)
+
+
+def test_suffix_dedup_of_the_tables(spark):
+    """The query against brute force on whole documents at its own window."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    data = [(r["text"] or "").encode() for r in rows]
+    seen = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    want = []
+    for r, d in zip(rows, data):
+        gone = np.zeros(len(d), bool)
+        for k in range(len(d) - 199):
+            if seen[d[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want.append((r["doc_id"], len(d), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = corpus.queries()["op9_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and sum(w[2] > 0 for w in want) > 20
 
 
 def test_interval_expansion_states_common_prefixes():
