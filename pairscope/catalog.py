@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
-from pairscope.operators import clustering, extraction, histograms, profile, reports, thresholds, tile_plans, validation
+from pairscope.operators import clustering, density_clusters as density_groups, extraction, histograms, profile, reports, thresholds, tile_plans, validation
 from pairscope.plans import strategies, tiled
 from pairscope.sources import samples as sources
 
@@ -490,6 +490,16 @@ def matrix_histogram(spark, sf_dir):
     return clustering.matrix_histogram(_samples(spark, sf_dir))
 
 
+@_query()
+def density_clusters(spark, sf_dir):
+    return density_groups.density_clusters(_samples(spark, sf_dir))
+
+
+@_query()
+def density_clusters_within(spark, sf_dir):
+    return density_groups.density_clusters(_samples(spark, sf_dir), within=True)
+
+
 # plans
 
 

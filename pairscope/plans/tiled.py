@@ -45,9 +45,9 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("block"), batch.column("blocks"), *kind], names=["grp", "block", "blocks", "ids", "who", "v"])
 
 
-def blocks(samples: DataFrame, size: int = SIZE, within: bool = False) -> DataFrame:
-    """grp, block (0 .. blocks - 1 of its grp), blocks, ids, who, v."""
-    grp = F.col("identity") if within else F.lit(0).cast("long")
+def blocks(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> DataFrame:
+    """grp, block (0 .. blocks - 1 of its grp), blocks, ids, who, v. ``within``: the column whose values never meet (True: identity)."""
+    grp = F.col("identity" if within is True else within) if within else F.lit(0).cast("long")
     rows = samples.select("sample_id", "identity", "v", grp.alias("grp"))
     counts = rows.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     dealt = rows.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("int"))
@@ -55,7 +55,7 @@ def blocks(samples: DataFrame, size: int = SIZE, within: bool = False) -> DataFr
     return packed.mapInArrow(_pack, "grp long, block int, blocks int, ids binary, who binary, v binary")
 
 
-def tiles(samples: DataFrame, size: int = SIZE, within: bool = False) -> DataFrame:
+def tiles(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> DataFrame:
     packed = blocks(samples, size, within)
     left = packed.select("grp", F.col("block").alias("bi"), *(F.col(c).alias(f"{c}_i") for c in ("ids", "who", "v")), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("bj"))
     right = packed.select("grp", F.col("block").alias("bj"), *(F.col(c).alias(f"{c}_j") for c in ("ids", "who", "v")))
@@ -68,7 +68,7 @@ def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | Non
     return sim, np.triu(np.ones(sim.shape, bool), 1) if same else None
 
 
-def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool = False, finish: Callable | None = None) -> DataFrame:
+def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None) -> DataFrame:
     """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up."""
 
     def run(batches):
