@@ -97,7 +97,8 @@ def _meet(anchors: DataFrame, rows: DataFrame, stripes: int) -> DataFrame:
     """Every block of anchors with every block of rows, once: by the number of the rows' stripe."""
     one = anchors.select(*(F.col(c).alias(f"{c}_a") for c in anchors.columns), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
     two = rows.select(*(F.col(c).alias(f"{c}_b") for c in rows.columns), F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int").alias("stripe"))
-    return one.join(two, "stripe").drop("stripe")
+    # the anchors' blocks are many more after they are copied to the stripes than Spark expects of their table: never broadcast
+    return one.join(two.hint("merge"), "stripe").drop("stripe")
 
 
 def _first(key: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
