@@ -32,7 +32,7 @@ from pairscope.llm.store import as_table, documents, free
 
 WINDOW = 200
 ANCHOR = 48
-MOST = 2000
+MOST = 1000
 PIECE = 1 << 20
 PART = "key long, anchor long, run long, o int, n int, off int, lo int, hi int, places long, same long, slice binary"
 

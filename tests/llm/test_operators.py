@@ -122,7 +122,7 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [2000, 3])  # the second halves the runs of common anchors
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 3])  # the second halves the runs of common anchors
 def test_suffix_dedup(docs, none, most):
     window = 40
     data = [(t or "").encode() for _, t in ROWS]
