@@ -9,6 +9,7 @@ from pairscope.functions import vectors as V
 from pairscope.operators import clustering, density_clusters as density_groups, extraction, histograms, profile, reports, thresholds, tile_plans, validation
 from pairscope.plans import strategies, tiled
 from pairscope.sources import samples as sources
+from pairscope.sources.tables import kept
 
 BINS = V.BINS
 FS = thresholds.FPIRS
@@ -240,8 +241,7 @@ SELECT f AS fpir_target, k, round({at}, 6) AS threshold, CAST(fa AS BIGINT) AS f
 def _tpir(rule: str):
     def query(spark, sf_dir):
         s = _samples(spark, sf_dir)
-        positives = strategies.positive_pairs(s) if RULES[rule][1] == "exact" else None
-        return thresholds.tpir(tiled.histogram(s), rule, positives=positives)
+        return thresholds.tpir(tiled.histogram(s), rule, samples=s)
 
     query.__name__ = "tpir_at_fpir" if rule == "canonical" else f"tpir_{rule}"
     return query
@@ -330,7 +330,12 @@ def tpir_bisected(spark, sf_dir):
     return thresholds.tpir_bisected(s, tiled.histogram(s))
 
 
-@_query()
+@_query(f"""{P}, n AS (SELECT sim FROM p WHERE NOT is_pos), r AS (
+WITH RECURSIVE h AS (SELECT 0 AS step, -1e0 AS lo, 1e0 AS hi UNION ALL
+  SELECT step + 1, CASE WHEN (SELECT count(*) FROM n WHERE sim > (lo + hi) / 2) > 1e-2 * (SELECT count(*) FROM n) THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN (SELECT count(*) FROM n WHERE sim > (lo + hi) / 2) > 1e-2 * (SELECT count(*) FROM n) THEN hi ELSE (lo + hi) / 2 END FROM h WHERE hi - lo > 1e-6)
+SELECT hi FROM h ORDER BY step DESC LIMIT 1)
+SELECT 1e-2 AS fpir_target, round(hi, 6) AS threshold, (SELECT count(*) FROM p WHERE is_pos AND sim > hi) AS pos_above, round((SELECT count(*) FROM p WHERE is_pos AND sim > hi) / (SELECT count(*) FROM p WHERE is_pos), 9) AS tpir FROM r""")
 def tpir_bisected_exact(spark, sf_dir):
     return thresholds.tpir_bisected_exact(_samples(spark, sf_dir))
 
@@ -343,6 +348,22 @@ def exact_curve(spark, sf_dir):
     return thresholds.exact_curve(_samples(spark, sf_dir), 64)
 
 
+# several results of one pass
+
+
+@_query(f"""{H} SELECT 'histogram' AS part, bin, n_pos, n_neg, NULL AS i, NULL AS j, NULL AS sim FROM h
+UNION ALL SELECT 'low positives', NULL, NULL, NULL, i, j, round(sim, 6) FROM p WHERE is_pos AND sim < -3e-1
+UNION ALL SELECT 'high negatives', NULL, NULL, NULL, i, j, round(sim, 6) FROM p WHERE NOT is_pos AND sim > 3.5e-1""")
+def histogram_with_pairs(spark, sf_dir):
+    keep = {"low positives": lambda sim, pos: pos & (sim < -0.3), "high negatives": lambda sim, pos: ~pos & (sim > 0.35)}
+    both = tiled.measured(_samples(spark, sf_dir), keep=keep)
+    shown = both.histogram().select(F.lit("histogram").alias("part"), "bin", "n_pos", "n_neg", *(F.lit(None).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("sim", "double"))))
+    for name in keep:
+        none = (F.lit(None).cast("long").alias(c) for c in ("bin", "n_pos", "n_neg"))
+        shown = shown.unionByName(both.pairs(name).select(F.lit(name).alias("part"), *none, "i", "j", F.round("sim", 6).alias("sim")))
+    return shown
+
+
 # extraction
 
 
@@ -555,7 +576,7 @@ def pair_set_difference(spark, sf_dir):
 @_query(f"""WITH a AS ({_tpir_sql('canonical')}), b AS ({_tpir_sql('plain')})
 SELECT a.fpir_target, CAST(round(abs(a.threshold - b.threshold) * 100000) AS BIGINT) AS bins_off, round(abs(a.tpir - b.tpir), 9) AS tpir_gap, round(abs(a.threshold - b.threshold) * 100000) <= 10 AND abs(a.tpir - b.tpir) < 1e-3 AS ok FROM a JOIN b ON a.fpir_target = b.fpir_target""")
 def metric_difference(spark, sf_dir):
-    h = tiled.histogram(_samples(spark, sf_dir))
+    h = kept(tiled.histogram(_samples(spark, sf_dir)))
     return validation.metric_difference(thresholds.tpir(h, "canonical"), thresholds.tpir(h, "plain"))
 
 

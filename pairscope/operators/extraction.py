@@ -19,8 +19,8 @@ def in_order(pairs: DataFrame, descending: bool) -> DataFrame:
     return pairs.orderBy(F.col("sim").desc() if descending else F.col("sim"), "i", "j")
 
 
-def top(samples: DataFrame, side: str, k: int, highest: bool = True, op: str | None = None, threshold: float | None = None) -> DataFrame:
-    """The k pairs with the greatest (least) scores of a side. Each tile sends its own best k, ties at its last score included."""
+def best_of(side: str, k: int, highest: bool = True, op: str | None = None, threshold: float | None = None) -> tiled.KEEP:
+    """Marks a tile's own k pairs with the greatest (least) scores of a side, ties at the last one included."""
     test = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, None: None}[op]
 
     def keep(sim, pos):
@@ -35,7 +35,12 @@ def top(samples: DataFrame, side: str, k: int, highest: bool = True, op: str | N
             want = want & (sim >= last if highest else sim <= last)
         return want
 
-    return in_order(tiled.pairs(samples, keep, within=side == "pos"), highest).limit(k)
+    return keep
+
+
+def top(samples: DataFrame, side: str, k: int, highest: bool = True, op: str | None = None, threshold: float | None = None) -> DataFrame:
+    """The k pairs with the greatest (least) scores of a side."""
+    return in_order(tiled.pairs(samples, best_of(side, k, highest, op, threshold), within=side == "pos"), highest).limit(k)
 
 
 def four_classes(samples: DataFrame, threshold: float) -> DataFrame:
@@ -60,9 +65,10 @@ def four_classes(samples: DataFrame, threshold: float) -> DataFrame:
 
 
 def class_examples(samples: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Of each of the four classes its k pairs nearest to the threshold."""
-    accepted, rejected = (F.col("sim") > threshold), (F.col("sim") <= threshold)
-    parts = [top(samples, side, k, highest, op, threshold).where(cond) for side in ("pos", "neg") for highest, op, cond in ((False, ">", accepted), (True, "<=", rejected))]
+    """Of each of the four classes its k pairs nearest to the threshold; one pass over the tiles."""
+    sides = {f"{side} {op}": (side, k, op == "<=", op, threshold) for side in ("pos", "neg") for op in (">", "<=")}
+    found = tiled.measured(samples, None, keep={name: best_of(*how) for name, how in sides.items()})
+    parts = [in_order(found.pairs(name), how[2]).limit(k) for name, how in sides.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -72,8 +78,9 @@ def class_examples(samples: DataFrame, threshold: float, k: int) -> DataFrame:
 
 
 def nearest(samples: DataFrame, threshold: float, k: int) -> DataFrame:
-    """False accepts just above and false rejects just below the threshold."""
-    return top(samples, "neg", k, False, ">", threshold).unionByName(top(samples, "pos", k, True, "<=", threshold))
+    """False accepts just above and false rejects just below the threshold; one pass over the tiles."""
+    found = tiled.measured(samples, None, keep={"above": best_of("neg", k, False, ">", threshold), "below": best_of("pos", k, True, "<=", threshold)})
+    return in_order(found.pairs("above"), False).limit(k).unionByName(in_order(found.pairs("below"), True).limit(k))
 
 
 def counts_beyond(samples: DataFrame, thresholds: list[float]) -> DataFrame:

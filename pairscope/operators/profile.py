@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
-from pairscope.operators import thresholds
+from pairscope.operators.selection import ranked_scores
 from pairscope.plans import tiled
 from pairscope.sources.samples import numbered_in_order
+from pairscope.sources.tables import kept
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
@@ -34,22 +35,22 @@ def _moments(samples: DataFrame) -> DataFrame:
 
 def score_summary(samples: DataFrame) -> DataFrame:
     """is_pos, n, mean, std, min, max and percentiles (linear between neighbours). Moments are added up inside the tiles;
-    percentiles are order statistics, for which only the pairs of their bins are looked at again."""
+    percentiles are order statistics, refined from the histogram of the same pass."""
     qs = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    hist = tiled.histogram(samples).persist()  # at most as many rows as bins
+    both = tiled.measured(samples, moments=True)
+    hist = kept(both.histogram())
     totals = dict(zip((True, False), hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()))
     rows = []
     for side, n in totals.items():
         if n:
             spots = [(int(q * (n - 1)), q * (n - 1) % 1) for q in qs]  # from the least score on
             ranks = {n - k for k, _ in spots} | {max(1, n - k - 1) for k, _ in spots}
-            at = thresholds.ranked_scores(samples, hist, sorted(ranks), "pos" if side else "neg")
+            at = ranked_scores(samples, hist, sorted(ranks), "pos" if side else "neg")
             rows.append((side, *(round(at[n - k] + (at[max(1, n - k - 1)] - at[n - k]) * part, 6) for k, part in spots)))
-    hist.unpersist()
     marks = samples.sparkSession.createDataFrame(rows, "is_pos boolean, " + ", ".join(f"p{int(q * 100):02d} double" for q in qs))
     mean = F.col("s") / F.col("n")
     shown = (("mean", mean), ("std", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean))), ("min", F.col("least")), ("max", F.col("most")))
-    return _moments(samples).join(F.broadcast(marks), "is_pos").select("is_pos", "n", *(F.round(c, 6).alias(k) for k, c in shown), *marks.columns[1:])  # two rows
+    return both.moments().join(F.broadcast(marks), "is_pos").select("is_pos", "n", *(F.round(c, 6).alias(k) for k, c in shown), *marks.columns[1:])  # two rows
 
 
 def separation(samples: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators.histograms import cumulated
-from pairscope.plans import strategies, tiled
+from pairscope.operators.selection import ranked_scores
+from pairscope.plans import tiled
+from pairscope.sources.tables import kept
 
 FPIRS = (1e-5, 1e-4, 1e-3, 1e-2)
 
@@ -57,8 +59,9 @@ def bins_for(hist: DataFrame, fpirs, convention: str, bins: int = V.BINS) -> Dat
     return out
 
 
-def tpir(hist: DataFrame, convention: str = "canonical", fpirs=FPIRS, bins: int = V.BINS, positives: DataFrame | None = None) -> DataFrame:
-    """fpir_target, k, threshold, false_accepts, fpir, pos_above, tpir. Exact conventions need ``positives`` (pairs)."""
+def tpir(hist: DataFrame, convention: str = "canonical", fpirs=FPIRS, bins: int = V.BINS, samples: DataFrame | None = None) -> DataFrame:
+    """fpir_target, k, threshold, false_accepts, fpir, pos_above, tpir. Exact conventions count positives of the ``samples``."""
+    hist = kept(hist)  # at most as many rows as bins; made once
     if convention == "inside":
         return _inside(hist, fpirs, bins)
     found = F.broadcast(bins_for(hist, fpirs, convention, bins))  # a row for each wanted rate
@@ -69,7 +72,9 @@ def tpir(hist: DataFrame, convention: str = "canonical", fpirs=FPIRS, bins: int
         F.sum(F.when((F.col("bin") > F.col("k")) if strict else (F.col("bin") >= F.col("k")), F.col("n_pos")).otherwise(0)).alias("pos_above"),
     )
     if convention in ("strict", "rank", "canonical_exact"):
-        exact = positives.crossJoin(found).groupBy("fpir_target").agg(F.count_if(F.col("sim") > F.round(V.edge(F.col("k"), bins), 6)).alias("pos_above"))
+        levels = {r["fpir_target"]: r["t"] for r in found.where("k is not null").select("fpir_target", F.round(V.edge(F.col("k"), bins), 6).alias("t")).collect()}  # a row a rate
+        counts = tiled.above(samples, list(levels.values())) if levels else {}
+        exact = hist.sparkSession.createDataFrame([(f, counts[t]) for f, t in levels.items()], "fpir_target double, pos_above long")
         counted = counted.drop("pos_above").join(F.broadcast(exact), "fpir_target", "left").withColumn("pos_above", F.coalesce("pos_above", F.lit(0)))
     return counted.select("fpir_target", "k", at, "false_accepts", F.round(F.try_divide("false_accepts", "tn"), 9).alias("fpir"), "pos_above", F.round(F.try_divide("pos_above", "tp"), 9).alias("tpir"))
 
@@ -96,24 +101,9 @@ ORDER = {
 }
 
 
-def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: str = "neg", bins: int = V.BINS) -> dict[int, float]:
-    """Exact scores at given ranks from the top. The histogram tells the bins; only their pairs are looked at again."""
-    n, s = F.col(f"n_{side}"), F.col(f"s_{side}")
-    want = F.broadcast(hist.sparkSession.createDataFrame([(int(r),) for r in sorted(set(ranks))], "rank long"))
-    spots = [r.asDict() for r in cumulated(hist).crossJoin(want).where((s >= F.col("rank")) & (s - n < F.col("rank"))).select("bin", "rank", (s - n).alias("above")).collect()]  # a row per rank
-    inside = sorted({r["bin"] for r in spots})
-
-    def keep(sim, pos):
-        return np.isin(tiled.binned(sim, bins, "floor"), inside) & (pos if side == "pos" else ~pos)
-
-    found = tiled.pairs(samples, keep, within=side == "pos").withColumn("bin", V.bin_of(F.col("sim"), bins))
-    numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("bin").orderBy(F.col("sim").desc())))
-    spot = F.broadcast(hist.sparkSession.createDataFrame([(r["bin"], r["rank"], r["rank"] - r["above"]) for r in spots], "bin long, rank long, at long"))
-    return {r["rank"]: r["sim"] for r in numbered.join(spot, ["bin", "at"]).select("rank", "sim").collect()}
-
-
 def tpir_ends(samples: DataFrame, hist: DataFrame, fpirs=(0.0, 0.01, 0.1, 1.0)) -> DataFrame:
     """``order_ceil`` with both ends: at 0 the greatest negative, at 1 what lies just below the least one."""
+    hist = kept(hist)
     totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
     rows = [(f, ORDER["order_ceil"][0](f, totals[1])) for f in V.checked_fpirs(fpirs, closed=True)]
     scores = ranked_scores(samples, hist, [r for _, r in rows])
@@ -138,6 +128,7 @@ def tpir_linear(hist: DataFrame, fpirs=FPIRS, bins: int = V.BINS) -> DataFrame:
 def tpir_bisected(samples: DataFrame, hist: DataFrame, fpirs=FPIRS, bins: int = V.BINS, rounds: int = 60) -> DataFrame:
     """The threshold is found by halving [-1, 1] until the negatives above it, bins divided in proportion, are f of all;
     positives above it are counted exactly."""
+    hist = kept(hist)
     rows = np.array([tuple(r) for r in hist.select("bin", "n_neg").orderBy("bin").collect()] or [(0, 0)])  # at most as many rows as bins
     at, below = rows[:, 0], np.concatenate([[0], np.cumsum(rows[:, 1])])
     found = []
@@ -197,25 +188,23 @@ def tpir_sampled(samples: DataFrame, one_of: int = 100, fpirs=FPIRS, bins: int =
 def tpir_by_order(samples: DataFrame, hist: DataFrame, convention: str, fpirs=FPIRS) -> DataFrame:
     """fpir_target, threshold, pos_above, tpir by an order statistic of the negatives."""
     rank, op = ORDER[convention]
-    hist = hist.persist()  # at most as many rows as bins, asked several times
+    hist = kept(hist)  # at most as many rows as bins, asked several times
     totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
     rows = [(f, rank(f, totals[1])) for f in V.checked_fpirs(fpirs)]
     scores = ranked_scores(samples, hist, [r for _, r in rows])
-    hist.unpersist()
     return _compared(samples, [(f, scores[r]) for f, r in rows], op, totals[0])
 
 
 def _compared(samples: DataFrame, rows: list, op: str, n_pos: int) -> DataFrame:
-    wanted = F.broadcast(samples.sparkSession.createDataFrame(rows, "fpir_target double, t double"))
-    positives = strategies.positive_pairs(samples)
-    got = positives.crossJoin(wanted).groupBy("fpir_target", "t").agg(F.count_if(V.beyond(F.col("sim"), op, F.col("t"))).alias("pos_above"))
-    out = wanted.join(got, ["fpir_target", "t"], "left").withColumn("pos_above", F.coalesce("pos_above", F.lit(0)))
-    return out.select("fpir_target", F.round("t", 6).alias("threshold"), "pos_above", F.round(F.try_divide("pos_above", F.lit(n_pos)), 9).alias("tpir"))
+    """The positives beyond each row's threshold are counted inside the tiles."""
+    counts = tiled.above(samples, [t for _, t in rows], op == ">=")
+    out = [(f, round(t, 6), counts[t], round(counts[t] / n_pos, 9) if n_pos else None) for f, t in rows]
+    return samples.sparkSession.createDataFrame(out, "fpir_target double, threshold double, pos_above long, tpir double")
 
 
 def tpir_by_percentile(samples: DataFrame, hist: DataFrame, fpirs=FPIRS) -> DataFrame:
     """The threshold is the linear percentile 1 - f of the negatives: between two order statistics."""
-    hist = hist.persist()
+    hist = kept(hist)
     totals = hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()
     n, rows, ranks = totals[1], [], set()
     for f in V.checked_fpirs(fpirs):
@@ -224,17 +213,15 @@ def tpir_by_percentile(samples: DataFrame, hist: DataFrame, fpirs=FPIRS) -> Data
         rows.append((f, n - low, max(1, n - low - 1), spot - low))
         ranks |= {n - low, max(1, n - low - 1)}
     s = ranked_scores(samples, hist, sorted(ranks))
-    hist.unpersist()
     return _compared(samples, [(f, s[a] + (s[b] - s[a]) * part) for f, a, b, part in rows], ">", totals[0])
 
 
 def threshold_at_tpir(samples: DataFrame, hist: DataFrame, tpirs) -> DataFrame:
     """Of m positives in order, that at index round((1 - p) m), halves to even, kept inside 1 .. m - 1."""
-    hist = hist.persist()
+    hist = kept(hist)
     m = hist.agg(F.sum("n_pos")).first()[0]
     rows = [(p, m - min(max(round((1 - p) * m), 1), m - 1)) for p in tpirs]
     s = ranked_scores(samples, hist, [r for _, r in rows], "pos")
-    hist.unpersist()
     return samples.sparkSession.createDataFrame([(p, round(s[r], 6)) for p, r in rows], "tpir_target double, threshold double")
 
 

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions.vectors import BINS
+from pairscope.sources.tables import kept
 
 SIZE = 1024
+COUNTED = None  # an accumulator, if tiles are to be counted
 
 
 @dataclass(frozen=True)
@@ -71,9 +73,13 @@ def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | Non
 def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None) -> DataFrame:
     """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up."""
 
+    counted = COUNTED
+
     def run(batches):
         state: dict = {}
         for batch in batches:
+            if counted is not None:
+                counted.add(batch.num_rows)
             columns = [batch.column(c) for c in ("ids_i", "who_i", "v_i", "ids_j", "who_j", "v_j")]
             bi, bj = batch.column("bi").to_pylist(), batch.column("bj").to_pylist()
             for k in range(batch.num_rows):
@@ -138,6 +144,7 @@ def summaries(samples: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 PAIR = "i long, j long, id_i long, id_j long, is_pos boolean, sim double"
+KEEP = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def drawn(i, j, of: int):
@@ -147,7 +154,16 @@ def drawn(i, j, of: int):
     return x * x % 2147483647 * 16807 % 2147483647 % of == 0
 
 
-def pairs(samples: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SIZE, within: bool = False, sample: int = 1) -> DataFrame:
+def _chosen(a: Block, b: Block, sim: np.ndarray, pos: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+    """The columns of ``PAIR`` of the marked pairs of a tile, i < j."""
+    x, y = np.nonzero(wanted)
+    turn = a.ids[x] > b.ids[y]
+    one, two = np.where(turn, b.ids[y], a.ids[x]), np.where(turn, a.ids[x], b.ids[y])
+    who1, who2 = np.where(turn, b.who[y], a.who[x]), np.where(turn, a.who[x], b.who[y])
+    return [one, two, who1, who2, pos[x, y], sim[x, y]]
+
+
+def pairs(samples: DataFrame, keep: KEEP, size: int = SIZE, within: bool = False, sample: int = 1) -> DataFrame:
     """The pairs for which keep(sim, is_pos) holds, with i < j; with ``sample``, about one of so many of them."""
 
     def each(state, a, b, same):
@@ -157,11 +173,93 @@ def pairs(samples: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarra
         if sample > 1:
             low, high = np.minimum(a.ids[:, None], b.ids[None, :]), np.maximum(a.ids[:, None], b.ids[None, :])
             wanted = wanted & drawn(low, high, sample)
-        x, y = np.nonzero(wanted if want is None else wanted & want)
-        if len(x):
-            turn = a.ids[x] > b.ids[y]
-            one, two = np.where(turn, b.ids[y], a.ids[x]), np.where(turn, a.ids[x], b.ids[y])
-            who1, who2 = np.where(turn, b.who[y], a.who[x]), np.where(turn, a.who[x], b.who[y])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (one, two, who1, who2, pos[x, y], sim[x, y])], names=["i", "j", "id_i", "id_j", "is_pos", "sim"])
+        columns = _chosen(a, b, sim, pos, wanted if want is None else wanted & want)
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "id_i", "id_j", "is_pos", "sim"])
 
     return run_tiles(samples, each, PAIR, size, within)
+
+
+# one pass over the tiles for several results: rows of all kinds in one table, told apart by ``part``
+MOMENTS = ["n", "s", "ss", "least", "most"]
+MEASURED = f"part string, bin long, n_pos long, n_neg long, n long, s double, ss double, least double, most double, {PAIR}"
+_TYPES = {"part": pa.string(), **dict.fromkeys(("bin", "n_pos", "n_neg", "n", "i", "j", "id_i", "id_j"), pa.int64()), **dict.fromkeys(("s", "ss", "least", "most", "sim"), pa.float64()), "is_pos": pa.bool_()}
+
+
+def _measured_rows(part: str, columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns = columns | {"part": [part] * n}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in ((x.split(" ")[0], _TYPES[x.split(" ")[0]]) for x in MEASURED.split(", "))], names=[x.split(" ")[0] for x in MEASURED.split(", ")])
+
+
+@dataclass(frozen=True)
+class Measured:
+    """A written table of one pass, and its parts."""
+
+    table: DataFrame
+
+    def histogram(self) -> DataFrame:
+        return self.table.where("part = 'histogram'").groupBy("bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+
+    def moments(self) -> DataFrame:
+        """is_pos, n, s, ss, least, most."""
+        own = self.table.where("part = 'moments'").groupBy("is_pos")
+        return own.agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    def pairs(self, name: str) -> DataFrame:
+        return self.table.where(F.col("part") == name).select(*(x.split(" ")[0] for x in PAIR.split(", ")))
+
+
+def measured(samples: DataFrame, bins: int | None = BINS, policy: str = "floor", moments: bool = False, keep: dict[str, KEEP] | None = None, size: int = SIZE, within: bool = False) -> Measured:
+    """Histogram (unless bins is None), moments of both sides, and any sets of pairs by name, each tile being scored once."""
+
+    def each(state, a, b, same):
+        sim, want = scores(a, b, same)
+        pos = a.who[:, None] == b.who[None, :]
+        whole = np.ones(sim.shape, bool) if want is None else want
+        if bins:
+            at = binned(sim, bins, policy)
+            for side, mask in (("pos", pos), ("neg", ~pos)):
+                state[side] = state.get(side, 0) + np.bincount(at[mask & whole], minlength=bins + 1)
+        if moments:
+            for side in (True, False):
+                x = sim[whole & pos if side else whole & ~pos]
+                if len(x):
+                    old = state.get(side, (0, 0.0, 0.0, 2.0, -2.0))
+                    state[side] = (old[0] + len(x), old[1] + float(x.sum()), old[2] + float((x * x).sum()), min(old[3], float(x.min())), max(old[4], float(x.max())))
+        for name, test in (keep or {}).items():
+            columns = _chosen(a, b, sim, pos, test(sim, pos) & whole)
+            if len(columns[0]):
+                yield _measured_rows(name, dict(zip(("i", "j", "id_i", "id_j", "is_pos", "sim"), columns)))
+
+    def finish(state):
+        if "pos" in state:
+            at = np.flatnonzero(state["pos"] + state["neg"])
+            yield _measured_rows("histogram", {"bin": at, "n_pos": state["pos"][at], "n_neg": state["neg"][at]})
+        for side in (True, False):
+            if side in state:
+                yield _measured_rows("moments", {"is_pos": [side], **{c: [v] for c, v in zip(MOMENTS, state[side])}})
+
+    if not {"histogram", "moments"}.isdisjoint(keep or {}):
+        raise ValueError("these names are taken")
+    return Measured(kept(run_tiles(samples, each, MEASURED, size, within, finish)))
+
+
+def above(samples: DataFrame, levels: list[float], closed: bool = False, size: int = SIZE) -> dict[float, int]:
+    """How many same-identity pairs score above (with ``closed``: at least) each level, counted inside the tiles."""
+    levels = sorted(set(levels))
+    edges = np.array(levels)
+
+    def each(state, a, b, same):
+        sim, want = scores(a, b, same)
+        x = sim.ravel() if want is None else sim[want]
+        below = np.searchsorted(edges, x, "right" if closed else "left")  # levels that the score passes
+        state["n"] = state.get("n", 0) + np.bincount(below, minlength=len(edges) + 1)[::-1].cumsum()[::-1][1:]
+        return ()
+
+    def finish(state):
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edges))), pa.array(state["n"])], names=["k", "n"])
+
+    found = run_tiles(samples, each, "k long, n long", size, True, finish).groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row a level
+    return dict.fromkeys(levels, 0) | {levels[r["k"]]: r["n"] for r in found}
