@@ -298,7 +298,8 @@ def _cut(window: int, form: Form):
         return range(sat // size, (sat + n + window - 2) // size + 1)
 
     def emit(batches):
-        for batch in batches:
+        # a few MB of texts at a time: what is made of them is held until it is sent
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi, *_ in chunks(whole.column("text"), 2 << 20)):
             edges, *spans = _spans(batch.column("found"))
             spans = [x.tolist() for x in spans]
             k1, k2, out = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), []
