@@ -7,11 +7,12 @@ their own format, so equal values get equal pseudonyms in all documents and diff
 kind     valid                                   permuted set
 =======  ======================================  =========================================================
 card     13 to 19 digits, Luhn sum 0             all but the last digit, which is computed anew
-phone    with area code or country code          the last 10 digits (7 after a country code other than 1)
+phone    with area code or country code (+, 00)  the last 10 digits (7 after a country code other than 1)
+iban     letters and digits, sum 1 modulo 97     its last digits (18 at most); the check digits are computed anew
 ssn      3-2-4 digits, no part that is not given all valid numbers
 ip       four octets up to 255                   all addresses
-date     Y-m-d, Y/m/d, d.m.Y, m/d/Y (d/m/Y if    the days of 1900 to 2099
-         that alone exists), 1900 to 2099
+date     Y-m-d, Y/m/d, d.m.Y, m/d/Y (d/m/Y if    the days of 1900 to 2099 that are written with as many
+         that alone exists), 1900 to 2099        digits for day and month
 email    by its form                             letters and digits of the local part become a keyed digest
 =======  ======================================  =========================================================
 
@@ -46,7 +47,11 @@ PHONE = r"(?:(?<![0-9A-Za-z+])\+1[ .-]?|(?<![0-9A-Za-z+.-]))(?:\([0-9]{3}\) ?|[0
 ABROAD = r"(?<![0-9A-Za-z+])\+(?=[2-9][0-9]{0,2}(?:[ -]|[ .-]?\(|\.[0-9]{1,5}[.-][0-9(]|\.[0-9]{2,5} [0-9(]))[2-9](?:[ .-]?\(?[0-9]\)?){7,14}(?<![ .][0-9])(?![0-9A-Za-z-])"
 PHONE = f"{PHONE}|{ABROAD}"
 MAYBE = r"[0-9]{4}|[0-9]\.[0-9]|@|\+[0-9]"  # in every text with a match of ANY: each form has one of these
-FORMS = [("email", EMAIL), ("ip", OCTETS), ("date", DATE), ("ssn", SSN), ("card", CARD), ("phone", PHONE)]
+AWAY = r"(?<![0-9A-Za-z+.-])00(?=[2-9][0-9]{0,2}[ -])[2-9](?:[ .-]?\(?[0-9]\)?){7,14}(?<![ .][0-9])(?![0-9A-Za-z-])"
+PHONE = f"{PHONE}|{AWAY}"
+STATES = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|CH|CR|CY|CZ|DE|DK|DO|EE|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IS|IT|JO|KW|KZ|LB|LI|LT|LU|LV|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PT|QA|RO|RS|SA|SE|SI|SK|SM|TN|TR|UA|VG|XK"
+IBAN = rf"(?<![0-9A-Za-z])(?:{STATES})[0-9]{{2}}(?:[0-9A-Z]{{11,30}}|(?: [0-9A-Z]{{4}}){{2,7}}(?: [0-9A-Z]{{1,3}})?)(?![0-9A-Za-z])"
+FORMS = [("iban", IBAN), ("email", EMAIL), ("ip", OCTETS), ("date", DATE), ("ssn", SSN), ("card", CARD), ("phone", PHONE)]
 ANY = "|".join(p for _, p in FORMS)
 
 
@@ -120,10 +125,10 @@ def _card(s: Column, key: str) -> Column:
 
 def _phone(s: Column, key: str) -> Column:
     digits = _digits(s)
-    home = ~s.startswith("+") | s.startswith("+1")
+    home = ~(s.startswith("+") | s.startswith("00")) | s.startswith("+1")
     n = F.when(home, F.least(F.lit(10), F.length(digits))).otherwise(7)
     tail = _long_number(F.right(digits, n), key, "phone")
-    return F.when(F.length(digits).between(8, 15), _filled(s, F.concat(F.left(digits, F.length(digits) - n), tail)))
+    return F.when((F.length(digits) - F.when(s.startswith("00"), 2).otherwise(0)).between(8, 15), _filled(s, F.concat(F.left(digits, F.length(digits) - n), tail)))
 
 
 def _ssn(s: Column, key: str) -> Column:
@@ -147,25 +152,70 @@ def _ip(s: Column, key: str) -> Column:
     return F.when(valid, _let(permuted(x, 65536, 65536, key, "ip"), shown))
 
 
+SHORT = 54649  # days of January to September in 1900 to 2099, 211 * 259
+
+
+def _year_start(year: Column) -> Column:
+    """Days of January to September before a year."""
+    return F.datediff(F.make_date(year, F.lit(1), F.lit(1)), F.lit("1900-01-01").cast("date")) - 92 * (year - 1900)
+
+
 def _date(s: Column, key: str) -> Column:
-    def as_date(form: str) -> Column:
-        return F.try_to_timestamp(s, F.lit(form)).cast("date")
-
-    def moved(form: str, out: str) -> Column:
-        days = F.datediff(as_date(form), F.lit("1900-01-01").cast("date")).cast("long")
-        y = permuted(F.when(days.between(0, DAYS - 1), days), 17, DAYS // 17, key, "date")
-        return F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), y.cast("int")), out)
-
-    forms = [
-        (r"^[0-9]{4}-", "yyyy-MM-dd", "yyyy-MM-dd"),
-        (r"^[0-9]{4}/", "yyyy/MM/dd", "yyyy/MM/dd"),
-        (r"\.", "d.M.yyyy", "dd.MM.yyyy"),
-        (r"/[0-9]{4}$", "M/d/yyyy", "MM/dd/yyyy"),
-    ]
-    out = F.lit(None).cast("string")
-    for pattern, form, shown in reversed(forms):
-        out = F.when(s.rlike(pattern), F.coalesce(moved(form, shown), moved("d/M/yyyy", "dd/MM/yyyy")) if form == "M/d/yyyy" else moved(form, shown)).otherwise(out)
-    return out
+    """A day among those that are written alike: with one digit, days (months) are 1 to 9; with two, all of them."""
+    as_date = lambda form: F.try_to_timestamp(s, F.lit(form)).cast("date")
+    iso, dotted = s.rlike("^[0-9]{4}"), s.contains(".")
+    slashed = as_date("M/d/yyyy")
+    day_first = dotted | slashed.isNull()
+    date = F.when(s.rlike("^[0-9]{4}-"), as_date("yyyy-MM-dd")).when(iso, as_date("yyyy/MM/dd")).when(dotted, as_date("d.M.yyyy")).otherwise(F.coalesce(slashed, as_date("d/M/yyyy")))
+    one, two = (F.length(F.split_part(F.translate(s, ".", "/"), F.lit("/"), F.lit(k))) for k in (1, 2))
+    short_day, short_month = (~iso & (F.when(day_first, x).otherwise(y) == 1) for x, y in ((one, two), (two, one)))
+
+    def moved(d: Column) -> Column:
+        year, month, day = F.year(d), F.month(d), F.day(d)
+        days = F.datediff(d, F.lit("1900-01-01").cast("date"))
+        months = F.when(short_month, 9).otherwise(12)
+        place = F.when(short_day, ((year - 1900) * months + month - 1) * 9 + day - 1).when(short_month, days - 92 * (year - 1900)).otherwise(days).cast("long")
+        a = F.when(short_day, 200).when(short_month, 211).otherwise(17).cast("long")
+        b = F.when(short_day, months * 9).when(short_month, SHORT // 211).otherwise(DAYS // 17).cast("long")
+        near = lambda y: (1900 + F.floor(y / 273.25)).cast("int")
+        own = lambda y: near(y) - F.when(y < _year_start(near(y)), 1).otherwise(0) + F.when(y >= _year_start(near(y) + 1), 1).otherwise(0)
+        in_short_days = lambda y: F.make_date((1900 + F.floor(y / (9 * months))).cast("int"), (F.floor(y / 9) % months + 1).cast("int"), (y % 9 + 1).cast("int"))
+        in_short_months = lambda y: F.date_add(F.make_date(own(y), F.lit(1), F.lit(1)), (y - _year_start(own(y))).cast("int"))
+        to = lambda y: F.when(short_day, in_short_days(y)).when(short_month, in_short_months(y)).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), y.cast("int")))
+        return F.when(days.between(0, DAYS - 1), _let(permuted(place, a, b, key, "date"), to))
+
+    def shown(d: Column) -> Column:
+        day, month = (_padded(x, F.when(short, 1).otherwise(2)) for x, short in ((F.day(d), short_day), (F.month(d), short_month)))
+        day, month = (F.when(short, x.cast("string")).otherwise(y) for x, y, short in ((F.day(d), day, short_day), (F.month(d), month, short_month)))
+        sign = F.when(dotted, ".").otherwise("/")
+        other = F.concat(F.when(day_first, day).otherwise(month), sign, F.when(day_first, month).otherwise(day), sign, F.year(d).cast("string"))
+        return F.when(s.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).when(iso, F.date_format(d, "yyyy/MM/dd")).otherwise(other)
+
+    return _let(_let(date, moved), shown)
+
+
+def _mod_97(s: Column) -> Column:
+    """Of digits and capital letters, which count as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    signs = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: value(F.substring(s, i, F.lit(1))))
+    return F.aggregate(signs, F.lit(0), lambda r, v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
+def _iban(s: Column, key: str) -> Column:
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+
+    def made(p: Column) -> Column:
+        state, body = F.substring(p, 1, 2), F.substring(p, 5, 40)
+        tail = F.regexp_extract(body, "[0-9]{1,18}$", 0)
+        new = F.concat(F.left(body, F.length(body) - F.length(tail)), _long_number(tail, key, "iban"))
+        whole = _let(new, lambda b: F.concat(state, _padded(98 - _mod_97(F.concat(b, state, F.lit("00"))), F.lit(2)), b))
+        ok = F.length(p).between(15, 34) & (F.length(tail) >= 6) & (_mod_97(F.concat(body, state, F.substring(p, 3, 2))) == 1)
+        # the spaces stay where they are
+        sign = lambda i: F.substring(s, i, F.lit(1))
+        put = lambda w, i: F.when(sign(i) == " ", F.lit(" ")).otherwise(F.substring(w, F.length(F.replace(F.substring(s, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))
+        return F.when(ok, _let(whole, lambda w: F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: put(w, i)), "")))
+
+    return _let(plain, made)
 
 
 def _email(s: Column, key: str) -> Column:
@@ -173,7 +223,7 @@ def _email(s: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(s)), 256), 1, 14), F.lit("@"), host)
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+MAKERS = {"iban": _iban, "email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def kind_of(s: Column) -> Column:

@@ -420,6 +420,12 @@ def test_pseudonyms(spark, none):
     day = np.datetime64("1900-01-01") + feistel(int((np.datetime64("2001-02-28") - np.datetime64("1900-01-01")).astype(int)), 17, 4297, "date")
     assert text[4] == f"{day} 2001-02-30"
     assert text[5] is None and text[6] == "" and "bosbt" not in text[7] and text[7].endswith("@mail8.example.com b")
+    area, group, serial = 123, 45, 6789
+    y = feistel(((area - 1) * 99 + group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+    a = y // (99 * 9999) + 1
+    assert text[None][12:] == f"{a + (a >= 666):03d}-{y % (99 * 9999) // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    mail = "bosbt.42@mail8.example.com"
+    assert text[7] == f"a u{hashlib.sha256(f'{pseudonyms.TEST_KEY}|email|{mail}'.encode()).hexdigest()[:14]}@mail8.example.com b"
     assert text[None].startswith("666-12-3456 ") and re.fullmatch(r"\d{3}-\d\d-\d{4}", text[None][12:]) and "123-45" not in text[None]
     assert sorted(n for *_, n in got) == [0, 0, 1, 1, 1, 1, 1, 2, 2]
     assert pseudonyms.pseudonymize(none, "k").columns[:-1] == none.columns
@@ -429,6 +435,7 @@ ALONE = [
     ("phone", "+45 12 34 56 78"), ("phone", "+49 30 123 456"), ("phone", "+33 6 12 34 56 78"), ("phone", "+33.6.12.34.56.78"), ("phone", "+55 11 9 123-45-67"), ("phone", "+44 (0)20 794 609 58"), ("phone", "+49 89 123 45-0"),
     ("phone", "+45 12345678"), ("phone", "+4512345678"), ("phone", "+1 988 555 2485"), ("phone", "(988) 555-2485"), ("phone", "988.555.2485"), ("card", "4041894974608795"), ("card", "4041 8949 7460 8795"), ("card", "4041-8949-7460-8795"),
     ("ssn", "123-45-6789"), ("ip", "1.2.3.4"), ("date", "2001-02-28"), ("date", "2001/02/28"), ("date", "1.2.2001"), ("date", "2/1/2001"), ("email", "a@b.cd"),
+    ("phone", "0041 44 668 18 00"), ("phone", "0044-20-7946-0958"), ("iban", "DE89370400440532013000"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB29NWBK60161331926819"), ("date", "10.2.2001"), ("date", "2.10.2001"), ("date", "12/5/1999"), ("date", "25/3/1999"),
 ]
 
 
@@ -446,6 +453,38 @@ def test_each_form_alone_in_a_text(spark):
     assert got[201] == (rows[-1][1], [])
 
 
+def test_dates_stay_in_their_written_form(spark):
+    """Of each form all its dates: widths of day and month, order and validity stay, and different dates stay different."""
+    first = np.datetime64("1900-01-01")
+    days = [str(first + k) for k in range(0, 73049, 3)]
+    forms = {"d.m": "{d}.{m}.{y}", "dd.mm": "{d:02d}.{m:02d}.{y}", "dd.m": "{d:02d}.{m}.{y}", "d.mm": "{d}.{m:02d}.{y}", "m/d": "{m}/{d}/{y}"}
+    rows = sorted({(name, f.format(d=int(x[8:]), m=int(x[5:7]), y=x[:4])) for name, f in forms.items() for x in days})
+    made = spark.createDataFrame([(f"{k}", v) for k, v in rows], "doc_id string, text string").withColumn("new", pseudonyms._date(pseudonyms.F.col("text"), "k")).collect()
+    seen = {}
+    for r in made:
+        a, b = (re.split(r"[./]", r[c]) for c in ("text", "new"))
+        assert [len(x) for x in a] == [len(x) for x in b], r
+        day, month = (0, 1) if "." in r["text"] else (1, 0)
+        np.datetime64(f"{b[2]}-{int(b[month]):02d}-{int(b[day]):02d}")  # is a date
+        assert 1900 <= int(b[2]) < 2100
+        seen.setdefault((len(a[0]), len(a[1]), r["text"].count(".")), {}).setdefault(r["new"], set()).add(r["text"])
+    assert all(len(old) == 1 for form in seen.values() for old in form.values()) and len(seen) >= 8
+
+
+def test_iban(spark):
+    def valid(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    texts = ["pay DE89 3704 0044 0532 0130 00, or GB29NWBK60161331926819.", "DE88370400440532013000", "DE89370400440532013000"]
+    got = {r["doc_id"]: (r["text"], [f["pseudonym"] for f in r["found__"]]) for r in pseudonyms.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pseudonyms.TEST_KEY).collect()}
+    one, two = got[0][1]
+    assert got[0][0] == f"pay {one}, or {two}." and valid(one) and valid(two) and one[:2] == "DE" and two[:2] + two[4:8] == "GBNWBK" and "3704 0044" not in one
+    body = f"{feistel(370400440532013000, 10**9, 10**9, 'iban'):018d}"
+    assert one.replace(" ", "")[4:] == body and got[2][0] == one.replace(" ", "")
+    assert got[1] == (texts[1], [])  # a wrong sum stays
+
+
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
