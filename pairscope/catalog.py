@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators import clustering, density_clusters as density_groups, extraction, histograms, profile, reports, thresholds, tile_plans, validation
 from pairscope.plans import strategies, tiled
+from pairscope.sources import records
 from pairscope.sources import samples as sources
-from pairscope.sources.tables import kept
+from pairscope.sources.tables import fresh, kept
 
 BINS = V.BINS
 FS = thresholds.FPIRS
@@ -560,6 +561,15 @@ def validated_histogram(spark, sf_dir):
     return validation.conserved(tiled.histogram(s), s)
 
 
+@_query(f"""{H}, b AS (SELECT bin - bin % 2 AS bin, CAST(sum(n_pos) AS BIGINT) AS p, CAST(sum(n_neg) AS BIGINT) AS n FROM h GROUP BY 1),
+d AS (SELECT abs(coalesce(n_pos, 0) - coalesce(p, 0)) AS dp, abs(coalesce(n_neg, 0) - coalesce(n, 0)) AS dn FROM h FULL JOIN b ON h.bin = b.bin)
+SELECT CAST(sum(dp) AS BIGINT) AS l1_pos, CAST(sum(dn) AS BIGINT) AS l1_neg, count(*) FILTER (dp + dn > 0) AS bins_differ FROM d""")
+def coarser_histogram_difference(spark, sf_dir):
+    """Against the histogram whose odd bins went to the even ones below: most bins differ."""
+    h = kept(tiled.histogram(_samples(spark, sf_dir)))
+    return validation.histogram_difference(h, histograms.added(h.withColumn("bin", F.col("bin") - F.col("bin") % 2)))
+
+
 @_query("SELECT 0::BIGINT AS l1_pos, 0::BIGINT AS l1_neg, 0::BIGINT AS bins_differ")
 def histogram_difference(spark, sf_dir):
     s = _samples(spark, sf_dir)
@@ -586,14 +596,63 @@ def expected_range(spark, sf_dir):
     return validation.expected_range(metrics, {f: f for f in FS})
 
 
-RUNS = [("small", "base", True, 10.5, 19_999_900_000, 60.0), ("small", "a", True, 6.66, 19_999_900_000, 60.0), ("small", "b", True, 61.0, 19_999_900_000, 60.0), ("small", "c", False, 9.14, 19_999_900_000, 60.0), ("large", "base", True, 47.89, 1_999_999_000_000, 1800.0), ("large", "a", True, 36.44, 1_999_999_000_000, 1800.0)]
+# run records and a ledger as files, which Spark makes of the events: an event type is a stage, a user a model
+
+RUN_SQL = """WITH r AS (SELECT event_type AS stage, 'u' || user_id AS model, count(*) * 0.5e0 + max(event_id) % 97 AS wall_s, count(*) * (count(*) - 1) // 2 * 1000000 AS pairs, min(event_id) % 11 > 0 AS success FROM events GROUP BY 1, 2),
+b AS (SELECT stage, min(model) AS model FROM r GROUP BY 1)"""
+
 
+def _run_files(spark, sf_dir) -> str:
+    n = F.count("*")
+    made = _events(spark, sf_dir).groupBy(F.col("event_type").alias("stage"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model")).agg(
+        F.when(F.min("event_id") % 11 > 0, "success").otherwise("error").alias("status"),
+        (n * 0.5 + F.max("event_id") % 97).alias("wall_s"),
+        F.struct(F.expr("count(*) * (count(*) - 1) div 2 * 1000000").alias("total")).alias("pairs"),
+        F.lit(60.0).alias("timeout_s"),
+    )
+    path = fresh(spark)
+    made.write.json(path)
+    return path
 
-@_query(f"""WITH r(stage, model, success, wall_s, pairs, timeout_s) AS (VALUES {', '.join(f"('{a}', '{b}', {c}, {d:e}, {e}, {f:e})" for a, b, c, d, e, f in RUNS)})
-SELECT r.stage, r.model, row_number() OVER (PARTITION BY r.stage ORDER BY r.success DESC, r.wall_s, r.model) AS place, round(r.pairs / r.wall_s / 1e9, 4) AS gpairs_s, round(r.wall_s / b.wall_s, 4) AS ratio, r.success AND r.wall_s <= r.timeout_s AS qualified
-FROM r LEFT JOIN r b ON b.stage = r.stage AND b.model = 'base'""")
+
+@_query(f"""{RUN_SQL} SELECT r.stage, r.model, row_number() OVER (PARTITION BY r.stage ORDER BY r.success DESC, r.wall_s, r.model) AS place, round(r.pairs / r.wall_s / 1e9, 4) AS gpairs_s, round(r.wall_s / x.wall_s, 4) AS ratio, r.success AND r.wall_s <= 60 AS qualified
+FROM r LEFT JOIN (SELECT r.* FROM r JOIN b USING (stage, model)) x ON x.stage = r.stage""")
 def stage_ranking(spark, sf_dir):
-    return reports.ranking(spark.createDataFrame(RUNS, "stage string, model string, success boolean, wall_s double, pairs long, timeout_s double"), "base")
+    runs, _ = records.runs(spark, _run_files(spark, sf_dir))
+    first = runs.groupBy("stage").agg(F.min("model").alias("model"))
+    base = runs.join(first, ["stage", "model"]).select("stage", F.lit("first").alias("model"), *(c for c in runs.columns if c not in ("stage", "model")))
+    return reports.ranking(runs.unionByName(base), "first").where("model <> 'first'").withColumn("place", F.row_number().over(Window.partitionBy("stage").orderBy("place")).cast("long"))
+
+
+def _ledger_files(spark, sf_dir) -> str:
+    e = F.col("event_id")
+    usage = F.to_json(F.struct((e % 1000).alias("input_tokens"), (e % 77).alias("output_tokens"), F.when(e % 3 > 0, e % 500).alias("cache_read_tokens")))
+    made = _events(spark, sf_dir).select(
+        e.cast("string").alias("request_id"), F.col("event_type").alias("app"), F.concat(F.lit("p, "), (F.col("user_id") % 3).cast("string")).alias("provider"),
+        F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("model"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), (e % 1000 / 8).alias("cost_usd"), usage.alias("usage"),
+    )
+    path = fresh(spark)
+    made.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+LEDGER_SQL = """WITH l AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS app, 'p, ' || user_id % 3 AS provider, 'm' || user_id % 5 AS model, event_id AS e FROM events)
+SELECT {by}, count(*) AS requests, CAST(sum(e % 1000) AS BIGINT) AS input_tokens, CAST(sum(e % 77) AS BIGINT) AS output_tokens, CAST(coalesce(sum(e % 500) FILTER (e % 3 > 0), 0) AS BIGINT) AS cache_read_tokens,
+CAST(0 AS BIGINT) AS cache_creation_tokens, round(sum(e % 1000 / 8e0), 4) AS cost_usd FROM l GROUP BY {by}"""
+
+
+def _usage(name: str, by: str):
+    def query(spark, sf_dir):
+        rows, _ = records.ledger(spark, _ledger_files(spark, sf_dir))
+        return reports.usage_rollup(rows, by.split(", "))
+
+    query.__name__ = name
+    _query(LEDGER_SQL.format(by=by))(query)
+
+
+_usage("usage_by_day_and_model", "day, app, provider, model")
+_usage("usage_by_model", "app, provider, model")
+_usage("usage_by_day", "day")
 
 
 @_query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

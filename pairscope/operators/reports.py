@@ -17,6 +17,12 @@ def ranking(runs: DataFrame, baseline: str) -> DataFrame:
     )
 
 
+def usage_rollup(ledger: DataFrame, by: list[str]) -> DataFrame:
+    """Requests, tokens and cost of a ledger by any of its columns (day, app, provider, model); unknown token counts count as none."""
+    tokens = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+    return ledger.groupBy(*by).agg(F.count("*").alias("requests"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+
+
 def _seconds(ts):
     """Also of times without a zone, which count as UTC in a session whose zone is UTC."""
     return ts.cast("timestamp").cast("double")

@@ -33,8 +33,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing has yet."""
+    return f"{_root(spark)}/{uuid.uuid4().hex[:12]}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written and read again. (A checkpoint would carry the constraints of all rounds before into the next plan.)"""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex[:12]}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
