@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators import clustering, density_clusters as density_groups, extraction, histograms, profile, reports, thresholds, tile_plans, validation
-from pairscope.plans import strategies, tiled
+from pairscope.plans import pruned, strategies, tiled
 from pairscope.sources import records
 from pairscope.sources import samples as sources
 from pairscope.sources.tables import fresh, kept
@@ -373,6 +373,16 @@ def hard_negatives(spark, sf_dir):
     return _shown(extraction.top(_samples(spark, sf_dir), "neg", 100))
 
 
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos ORDER BY p.sim DESC, i, j LIMIT 100")
+def hard_negatives_pruned(spark, sf_dir):
+    return _shown(pruned.top(_samples(spark, sf_dir), "neg", 100))
+
+
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE sim > 4e-1")
+def pairs_above_pruned(spark, sf_dir):
+    return _shown(pruned.beyond(_samples(spark, sf_dir), "all", ">", 0.4))
+
+
 @_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE is_pos ORDER BY p.sim, i, j LIMIT 100")
 def hard_positives(spark, sf_dir):
     return _shown(extraction.top(_samples(spark, sf_dir), "pos", 100, highest=False))

@@ -70,8 +70,9 @@ def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | Non
     return sim, np.triu(np.ones(sim.shape, bool), 1) if same else None
 
 
-def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None) -> DataFrame:
-    """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up."""
+def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up. ``chosen``: tiles
+    laid out already, with the columns of ``tiles``."""
 
     counted = COUNTED
 
@@ -88,7 +89,7 @@ def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE,
         if finish:
             yield from finish(state)
 
-    return tiles(samples, size, within).mapInArrow(run, schema)
+    return (tiles(samples, size, within) if chosen is None else chosen).mapInArrow(run, schema)
 
 
 def binned(sim: np.ndarray, bins: int, policy: str) -> np.ndarray:
@@ -163,7 +164,7 @@ def _chosen(a: Block, b: Block, sim: np.ndarray, pos: np.ndarray, wanted: np.nda
     return [one, two, who1, who2, pos[x, y], sim[x, y]]
 
 
-def pairs(samples: DataFrame, keep: KEEP, size: int = SIZE, within: bool = False, sample: int = 1) -> DataFrame:
+def pairs(samples: DataFrame, keep: KEEP, size: int = SIZE, within: bool = False, sample: int = 1, chosen: DataFrame | None = None) -> DataFrame:
     """The pairs for which keep(sim, is_pos) holds, with i < j; with ``sample``, about one of so many of them."""
 
     def each(state, a, b, same):
@@ -177,7 +178,7 @@ def pairs(samples: DataFrame, keep: KEEP, size: int = SIZE, within: bool = False
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "id_i", "id_j", "is_pos", "sim"])
 
-    return run_tiles(samples, each, PAIR, size, within)
+    return run_tiles(samples, each, PAIR, size, within, chosen=chosen)
 
 
 # one pass over the tiles for several results: rows of all kinds in one table, told apart by ``part``
