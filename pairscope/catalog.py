@@ -490,10 +490,11 @@ def sampled_pairs(spark, sf_dir):
     return profile.sampled_pairs(_samples(spark, sf_dir)).select("id", "i", "j", "is_pos", F.round("sim", 6).alias("sim"))
 
 
-@_query()
+@_query("""SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(64 AS BIGINT) AS dim, true AS is_unit FROM embeddings""")
 def generated_samples(spark, sf_dir):
-    made = sources.generate(spark, 50, 4, 32)
-    return made.select("vec_id", "label", "path")
+    """A made vector for each sample of the table, by its identity."""
+    made = sources.generated(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 64)
+    return made.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), (F.abs(V.norm(F.col("embedding")) - 1) < 1e-6).alias("is_unit"))
 
 
 # clustering
@@ -538,7 +539,7 @@ def density_clusters_within(spark, sf_dir):
 @_query("""WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT b, b * 64 AS lo, least(n, b * 64 + 64) AS hi FROM n, range(1000) AS r(b) WHERE b * 64 < n)
 SELECT i.b AS bi, j.b AS bj, i.hi - i.lo AS n_rows, j.hi - j.lo AS n_columns, CASE WHEN i.b = j.b THEN (i.hi - i.lo) * (i.hi - i.lo - 1) // 2 ELSE (i.hi - i.lo) * (j.hi - j.lo) END AS n_pairs FROM b i JOIN b j ON i.b <= j.b""")
 def tile_plan(spark, sf_dir):
-    return tile_plans.tile_plan(spark, _samples(spark, sf_dir).count(), 64)
+    return tile_plans.tile_plan(_samples(spark, sf_dir), 64)
 
 
 @_query("SELECT DISTINCT a.vec_id // 16 AS bi, b.vec_id // 16 AS bj FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 16 <= b.vec_id // 16 AND a.vec_id <> b.vec_id")
@@ -553,12 +554,12 @@ def identity_ranges(spark, sf_dir):
 
 @_query("SELECT part, min(r) AS first_row FROM (SELECT count(*) AS n FROM embeddings), range(100000) AS a(r), range(7) AS b(part) WHERE r <= n AND ((n - r) * (n - r - 1) // 2) * 7 <= (n * (n - 1) // 2) * (7 - part) GROUP BY part")
 def row_splits(spark, sf_dir):
-    return tile_plans.row_splits(spark, _samples(spark, sf_dir).count(), 7)
+    return tile_plans.row_splits(_samples(spark, sf_dir), 7)
 
 
 @_query("SELECT k, CAST(floor(n * (1 - sqrt(1 - k / 7)) + 5e-1) AS BIGINT) AS bound FROM (SELECT count(*) AS n FROM embeddings), range(8) AS r(k)")
 def equal_area_bounds(spark, sf_dir):
-    return tile_plans.equal_area_bounds(spark, _samples(spark, sf_dir).count(), 7)
+    return tile_plans.equal_area_bounds(_samples(spark, sf_dir), 7)
 
 
 # validation, comparison, reports

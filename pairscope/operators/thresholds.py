@@ -18,6 +18,8 @@ and by order statistics of the negatives: see ``ORDER``. No negatives or no posi
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,18 +146,36 @@ def tpir_bisected(samples: DataFrame, hist: DataFrame, fpirs=FPIRS, bins: int =
     return _compared(samples, found, ">", hist.agg(F.sum("n_pos")).first()[0])
 
 
-def tpir_bisected_exact(samples: DataFrame, fpirs=(1e-2,), within: float = 1e-6) -> DataFrame:
-    """Halving by exact counts, all rates together: a round is one pass over the tiles and leaves one row a rate."""
+def tpir_bisected_exact(samples: DataFrame, fpirs=(1e-2,), within: float = 1e-6, bins: int = V.BINS) -> DataFrame:
+    """Halving [-1, 1] by exact counts. The histogram tells all halvings but those at places in the bin that holds the wanted count
+    (or beside it); a second pass counts above all such places of all rates at once."""
     from pairscope.operators import extraction
 
     fpirs = V.checked_fpirs(fpirs)
-    bounds, totals = {f: (-1.0, 1.0) for f in fpirs}, None
-    while max(hi - lo for lo, hi in bounds.values()) > within:
-        middles = {f: (lo + hi) / 2 for f, (lo, hi) in bounds.items()}
-        counts = {r["threshold"]: r for r in extraction.counts_beyond(samples, sorted({-2.0, *middles.values()})).collect()}  # a row a rate
-        totals = totals or (counts[-2.0]["pos_above"], counts[-2.0]["neg_above"])
-        bounds = {f: (t, bounds[f][1]) if counts[t]["neg_above"] > f * totals[1] else (bounds[f][0], t) for f, t in middles.items()}
-    return _compared(samples, [(f, hi) for f, (_, hi) in bounds.items()], ">", totals[0])
+    hist = kept(tiled.histogram(samples, bins))
+    rows = np.array([tuple(r) for r in hist.select("bin", "n_neg").orderBy("bin").collect()] or [(0, 0)])  # at most as many rows as bins
+    at_least = rows[:, 1][::-1].cumsum()[::-1]  # negatives in this bin or above
+    n, n_pos = int(at_least[0]), hist.agg(F.sum("n_pos")).first()[0]
+    depth = 0
+    while 2 / 2**depth > within:
+        depth += 1
+    step = 2 / 2**depth
+    spans = {}
+    for f in fpirs:
+        above = np.flatnonzero(at_least > f * n)
+        k = int(rows[above[-1], 0]) if len(above) else 0
+        spans[f] = ((k - 1) * 2 / bins - 1, (k + 2) * 2 / bins - 1)
+    places = sorted({-1 + m * step for lo, hi in spans.values() for m in range(max(0, math.floor((lo + 1) / step)), min(2**depth, math.ceil((hi + 1) / step)) + 1)})
+    counts = {r["threshold"]: r["neg_above"] for r in extraction.counts_beyond(samples, places).collect()}  # a row a place
+    found = []
+    for f in fpirs:
+        lo, hi = -1.0, 1.0
+        while hi - lo > within:
+            t = (lo + hi) / 2
+            more = counts[t] > f * n if t in counts else t < spans[f][0]
+            lo, hi = (t, hi) if more else (lo, t)
+        found.append((f, hi))
+    return _compared(samples, found, ">", n_pos)
 
 
 def exact_curve(samples: DataFrame, points: int = 4096, bins: int = V.BINS) -> DataFrame:
@@ -227,8 +247,6 @@ def threshold_at_tpir(samples: DataFrame, hist: DataFrame, tpirs) -> DataFrame:
 
 def log_grid(hist: DataFrame, lo: float = 1e-6, hi: float = 1.0, points: int = 100, bins: int = V.BINS) -> DataFrame:
     """The plain curve at rates in equal steps of their logarithm, by number of the step."""
-    import math
-
     step = math.log10(hi / lo) / (points - 1)
     grid = F.broadcast(hist.sparkSession.range(points).select("id", F.pow(F.lit(10.0), math.log10(lo) + F.col("id") * step).alias("f")))
     c = cumulated(hist).crossJoin(grid)

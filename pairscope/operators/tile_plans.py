@@ -1,19 +1,19 @@
-"""Plans of work over sample positions: tiles, which of them hold positives, and even splits of rows."""
+"""How the pairs of a sample set fall to blocks of ids: tiles, which of them hold positives, and even splits of rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairscope.sources.samples import numbered_in_order
 
-def tile_plan(spark: SparkSession, n: int, size: int) -> DataFrame:
-    """bi <= bj, rows and columns of each tile, and its number of pairs."""
-    nb = -(-n // size)
-    b = spark.range(nb).select(F.col("id").alias("b"), (F.col("id") * size).alias("lo"), F.least(F.lit(n), (F.col("id") + 1) * size).alias("hi"))
-    left, right = (b.select(F.col("b").alias(f"b{k}"), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ij")
-    rows, columns = F.col("hi_i") - F.col("lo_i"), F.col("hi_j") - F.col("lo_j")
-    count = F.when(F.col("bi") == F.col("bj"), F.expr("(hi_i - lo_i) * (hi_i - lo_i - 1) div 2")).otherwise(rows * columns)
-    return left.join(right, F.col("bi") <= F.col("bj")).select("bi", "bj", rows.alias("n_rows"), columns.alias("n_columns"), count.alias("n_pairs"))
+
+def tile_plan(samples: DataFrame, size: int) -> DataFrame:
+    """bi <= bj of the blocks of ``size`` consecutive ids that hold samples, rows and columns of each tile, and its number of pairs."""
+    b = samples.groupBy(F.expr(f"sample_id div {size}").alias("b")).agg(F.count("*").alias("n"))
+    left, right = (b.select(F.col("b").alias(f"b{k}"), F.col("n").alias(f"n_{k}")) for k in "ij")
+    count = F.when(F.col("bi") == F.col("bj"), F.expr("n_i * (n_i - 1) div 2")).otherwise(F.col("n_i") * F.col("n_j"))
+    return left.join(right, F.col("bi") <= F.col("bj")).select("bi", "bj", F.col("n_i").alias("n_rows"), F.col("n_j").alias("n_columns"), count.alias("n_pairs"))
 
 
 def positive_tiles(samples: DataFrame, size: int) -> DataFrame:
@@ -28,14 +28,22 @@ def identity_ranges(samples: DataFrame, size: int) -> DataFrame:
     return samples.groupBy(F.expr(f"sample_id div {size}").alias("b")).agg(F.min("identity").alias("least"), F.max("identity").alias("most"))
 
 
-def row_splits(spark: SparkSession, n: int, parts: int) -> DataFrame:
-    """Least row from which at most (parts - p) / parts of the pairs are left, for p = 0 .. parts - 1."""
-    total = n * (n - 1) // 2
-    rows = spark.range(n + 1).select(F.col("id").alias("r"), F.expr(f"({n} - id) * ({n} - id - 1) div 2").alias("left"))
-    p = F.broadcast(spark.range(parts).withColumnRenamed("id", "part"))
-    return rows.crossJoin(p).where(F.col("left") * parts <= F.lit(total) * (F.lit(parts) - F.col("part"))).groupBy("part").agg(F.min("r").alias("first_row"))
+def _rows(samples: DataFrame) -> tuple[DataFrame, int]:
+    """r: the places of the samples in the order of their ids; and how many there are."""
+    return numbered_in_order(samples.select("sample_id"), "sample_id", "r").select("r"), samples.count()
 
 
-def equal_area_bounds(spark: SparkSession, n: int, parts: int) -> DataFrame:
-    k = F.col("id") / parts
-    return spark.range(parts + 1).select(F.col("id").alias("k"), F.floor(n * (1 - F.sqrt(1 - k)) + 0.5).cast("long").alias("bound"))
+def row_splits(samples: DataFrame, parts: int) -> DataFrame:
+    """Least row from which at most (parts - p) / parts of the pairs are left, for p = 0 .. parts - 1."""
+    rows, n = _rows(samples)
+    left = F.expr(f"({n} - r) * ({n} - r - 1) div 2")
+    p = F.broadcast(samples.sparkSession.range(parts).withColumnRenamed("id", "part"))  # a row a part
+    return rows.crossJoin(p).where(left * parts <= F.lit(n * (n - 1) // 2) * (F.lit(parts) - F.col("part"))).groupBy("part").agg(F.min("r").alias("first_row"))
+
+
+def equal_area_bounds(samples: DataFrame, parts: int) -> DataFrame:
+    """Rows before each bound, so that the parts between hold about as many pairs each."""
+    rows, n = _rows(samples)
+    k = F.broadcast(samples.sparkSession.range(parts + 1).select(F.col("id").alias("k")))  # a row a bound
+    before = F.col("r") + 1 <= n * (1 - F.sqrt(1 - F.col("k") / parts)) + 0.5
+    return rows.crossJoin(k).groupBy("k").agg(F.count_if(before).alias("bound"))

@@ -92,21 +92,26 @@ def sorted_by_identity(samples: DataFrame) -> DataFrame:
 
 
 def generate(spark: SparkSession, identities: int, per_identity: int, dim: int = 512, noise: float = 0.15, seed: int = 42) -> DataFrame:
-    """Centres plus noise, renormalised. Each identity has a random stream of its own for its centre and its samples."""
+    """Centres plus noise, renormalised: so many samples of so many identities."""
+    rows = spark.range(identities * per_identity).select(F.col("id").alias("vec_id"), F.expr(f"id div {per_identity}").alias("label"), (F.col("id") % per_identity).alias("at"))
+    return generated(rows, dim, noise, seed).select("vec_id", "label", "embedding", F.format_string("identity_%06d/sample_%04d.jpg", "label", F.col("vec_id") % per_identity).alias("path"))
+
+
+def generated(rows: DataFrame, dim: int = 512, noise: float = 0.15, seed: int = 42) -> DataFrame:
+    """vec_id, label, embedding: a made vector for each row (vec_id, label), a centre of the label plus noise, renormalised. Labels
+    and rows have random streams of their own, so a row's vector does not depend on which others there are or how they are dealt."""
 
     def make(parts):
         for part in parts:
-            rows = []
-            for who in part["id"]:
-                rng = np.random.default_rng([seed, int(who)])
-                mid = rng.standard_normal(dim)
+            made = []
+            for i, who in zip(part["vec_id"], part["label"]):
+                mid = np.random.default_rng([seed, int(who)]).standard_normal(dim)
                 mid /= np.linalg.norm(mid)
-                x = mid + noise * rng.standard_normal((per_identity, dim))
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                rows += [(int(who) * per_identity + k, int(who), x[k], f"identity_{who:06d}/sample_{k:04d}.jpg") for k in range(per_identity)]
-            yield pd.DataFrame(rows, columns=["vec_id", "label", "embedding", "path"])
+                x = mid + noise * np.random.default_rng([seed, int(who), int(i)]).standard_normal(dim)
+                made.append((x / np.linalg.norm(x)).astype(np.float32))
+            yield pd.DataFrame({"vec_id": part["vec_id"], "label": part["label"], "embedding": made})
 
-    return spark.range(identities).mapInPandas(make, "vec_id long, label long, embedding array<float>, path string")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label")).mapInPandas(make, "vec_id long, label long, embedding array<float>")
 
 
 def files(spark: SparkSession, root: str, extension: str | None = None) -> DataFrame:
