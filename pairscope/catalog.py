@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
-from pairscope.operators import clustering, density_clusters as density_groups, extraction, histograms, profile, reports, thresholds, tile_plans, validation
+from pairscope.operators import clustering, density_clusters as density_groups, extraction, growing, histograms, profile, reports, thresholds, tile_plans, validation
 from pairscope.plans import pruned, strategies, tiled
 from pairscope.sources import records
 from pairscope.sources import samples as sources
@@ -349,6 +349,25 @@ def exact_curve(spark, sf_dir):
     return thresholds.exact_curve(_samples(spark, sf_dir), 64)
 
 
+@_query(f"{H} {HIST_OUT}")
+def growing_histogram(spark, sf_dir):
+    """Three versions of one set, each adding its own pairs and those with the versions before."""
+    s, store = _samples(spark, sf_dir), growing.Store(spark, fresh(spark))
+    for version in range(3):
+        store.add(s.where(F.col("sample_id") % 3 == version), version)
+    return store.histogram()
+
+
+@_query(f"""{P}, h AS (SELECT {GRID} AS bin, CAST(count(*) FILTER (is_pos) AS BIGINT) AS n_pos, CAST(count(*) FILTER (NOT is_pos) AS BIGINT) AS n_neg FROM p WHERE (i % 5 = 0) <> (j % 5 = 0) GROUP BY 1) {HIST_OUT}""")
+def streamed_histogram(spark, sf_dir):
+    """A fifth of the samples come as a stream of files against the others."""
+    s, store, files = _samples(spark, sf_dir), growing.Store(spark, fresh(spark)), fresh(spark)
+    s.where("sample_id % 5 = 0").repartition(3).write.parquet(files)
+    probes = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(files)
+    store.follow(probes, s.where("sample_id % 5 <> 0"), fresh(spark), availableNow=True).awaitTermination()
+    return store.histogram()
+
+
 # several results of one pass
 
 

@@ -64,6 +64,16 @@ def tiles(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> D
     return left.join(right, ["grp", "bj"]).repartition("bi", "bj")
 
 
+def cross_tiles(one: DataFrame, two: DataFrame, size: int = SIZE) -> DataFrame:
+    """Tiles of every sample of ``one`` with every sample of ``two``: sets without a common sample, the smaller one better first."""
+    a, b = blocks(one, size), blocks(two, size)
+    parts = ("ids", "who", "v")
+    count = b.select(F.max("blocks").alias("n"))  # one row
+    left = a.crossJoin(F.broadcast(count)).where("n is not null").select((-1 - F.col("block")).alias("bi"), *(F.col(c).alias(f"{c}_i") for c in parts), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bj"))
+    right = b.select(F.col("block").alias("bj"), *(F.col(c).alias(f"{c}_j") for c in parts))
+    return left.join(right, "bj").repartition("bi", "bj")
+
+
 def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Clamped scores of all pairs of a tile, and which are wanted (None: all)."""
     sim = np.clip(a.v @ b.v.T, -1.0, 1.0)
@@ -100,8 +110,8 @@ def binned(sim: np.ndarray, bins: int, policy: str) -> np.ndarray:
     return np.minimum(bins - 1, np.floor((sim + 1) * (bins / 2)).astype(np.int64))
 
 
-def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: str = "floor", within: bool = False) -> DataFrame:
-    """bin, n_pos, n_neg of all pairs i < j. Tiles without a common identity skip the comparison of identities."""
+def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: str = "floor", within: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """bin, n_pos, n_neg of all pairs i < j (of the ``chosen`` tiles). Tiles without a common identity skip the comparison of identities."""
 
     def each(state, a, b, same):
         sim, want = scores(a, b, same)
@@ -119,7 +129,7 @@ def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: st
             at = np.flatnonzero(state["all"])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state["pos"][at]), pa.array(state["all"][at] - state["pos"][at])], names=["bin", "n_pos", "n_neg"])
 
-    found = run_tiles(samples, each, "bin long, n_pos long, n_neg long", size, within, finish)
+    found = run_tiles(samples, each, "bin long, n_pos long, n_neg long", size, within, finish, chosen)
     return found.groupBy("bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
 
 
