@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators import clustering, density_clusters as density_groups, extraction, growing, histograms, profile, reports, thresholds, tile_plans, validation
-from pairscope.plans import pruned, strategies, tiled
+from pairscope.plans import certified, pruned, strategies, tiled
 from pairscope.sources import records
 from pairscope.sources import samples as sources
 from pairscope.sources.tables import fresh, kept
@@ -137,6 +137,11 @@ def pair_histogram_joined(spark, sf_dir):
     return strategies.pair_histogram(_samples(spark, sf_dir), "hof")
 
 
+@_query(f"{_hist('least(1999, CAST(floor((sim + 1) * 1000) AS BIGINT))')} {HIST_OUT}")
+def certified_histogram(spark, sf_dir):
+    return certified.histogram(_samples(spark, sf_dir), 2000)
+
+
 @_query(f"{H} SELECT bin, n_pos FROM h WHERE n_pos > 0")
 def positive_histogram(spark, sf_dir):
     return strategies.pair_histogram(_samples(spark, sf_dir), "group").select("bin", "n_pos")
@@ -397,6 +402,11 @@ def hard_negatives_pruned(spark, sf_dir):
     return _shown(pruned.top(_samples(spark, sf_dir), "neg", 100))
 
 
+@_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE NOT is_pos AND sim > 3e-1")
+def pairs_above_certified(spark, sf_dir):
+    return _shown(certified.beyond(_samples(spark, sf_dir), "neg", ">", 0.3))
+
+
 @_query(f"{P} SELECT {PAIR_OUT} FROM p WHERE sim > 4e-1")
 def pairs_above_pruned(spark, sf_dir):
     return _shown(pruned.beyond(_samples(spark, sf_dir), "all", ">", 0.4))
