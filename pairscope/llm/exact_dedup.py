@@ -3,13 +3,16 @@
 1. Every input task merges equal texts among its own rows in an open-addressing table (flushed when ``budget`` bytes of
    distinct texts are held) and writes each row with the row that stands for it. So a group that holds a third of all
    rows sends at most one text per flush of a task.
+   A content that more than ``hot`` tasks or flushes have sent is merged once more before it goes to one place: its c rows are
+   dealt by hash and by row to the square root of c groups, and each group's table sends one row on.
 2. The standing rows are partitioned by hash bits into buckets of about half ``budget``; each bucket streams through an
    open-addressing table that compares complete content. What a bucket holds beyond ``budget`` bytes of distinct content
    is spilled; of each such bucket the spilled bytes are counted and it is partitioned again, by other hash bits, into
    as many buckets as these need, and so on until all fit: the depth grows with the logarithm of the data at most. A
    content is held or spilled as a whole, so no group is ever divided. Spill files are tables in the shared folder,
    so a lost executor costs a task and nothing else.
-3. Rows find their group by the row that stands for them, a key with no more rows than one input task has.
+3. Rows find their group by the row that stands for them (a hot content's by that of its group), a key with no more rows than
+   one input task or group has.
 
 Defined cases: a null text equals an empty one; of equal texts the row with the largest ``doc_id`` (of any type with an
 order) stays, null being smallest; of repeated rows with that id exactly one; a text longer than ``budget`` has a bucket's
@@ -28,9 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.store import as_table, documents, numbered, parts_for, plus
+from pairscope.llm.store import as_table, documents, free, numbered, parts_for, plus
 
 BUDGET = 128 << 20
+HOT = 512  # standing rows of one content
 OVERHEAD = 200  # bytes of a content's entry, beside the content
 
 
@@ -186,6 +190,18 @@ def _levels(standing: DataFrame, text: str, parts: int, budget: int, match, sche
         dealt = _deal_again(left, text, len(out), budget)
 
 
+def _hot(standing: DataFrame, hot: int) -> DataFrame:
+    """hash, fan: contents that many rows stand for, and into how many groups these are dealt."""
+    return as_table(standing.groupBy("hash").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("hash", F.ceil(F.sqrt("c")).cast("int").alias("fan")), "hot")
+
+
+def _in_groups(standing: DataFrame, hot: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Standing rows of other contents, and those of the hot ones dealt by content and group."""
+    marked = standing.join(hot, "hash", "left")
+    group = F.pmod(F.xxhash64("row"), F.col("fan"))
+    return marked.where("fan is null").select(*standing.columns), marked.where("fan is not null").repartition(parts, "hash", group).select(*standing.columns)
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -193,7 +209,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def groups_of_equal(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
+def groups_of_equal(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row."""
     df = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     id_kind = df.schema["id"].dataType.simpleString()
@@ -201,8 +217,17 @@ def groups_of_equal(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     standing = rows.where("n > 0").select("id", "row", "n", F.coalesce("text", F.lit("")).alias("text"), "hash")
     shape = f"id {id_kind}, row long, n long, text string, hash long, keep_row long, keep_id {id_kind}, size long, bucket int"
     parts = parts_for(standing, _size("text"), max(1, budget // 2))
-    levels = _levels(standing, "text", parts, budget, _match(_arrow(df, "id"), budget), shape, "keep_row is not null")
+    match, moved = _match(_arrow(df, "id"), budget), None
+    if not (often := _hot(standing, hot)).isEmpty():
+        others, dealt = _in_groups(standing, often, parts)
+        merged = as_table(dealt.mapInArrow(match, shape), "merged")
+        on = merged.where("keep_row is null or keep_row = row").select("row", "size")  # what did not fit goes on as it is
+        standing = others.unionByName(standing.join(on, "row").select("id", "row", F.coalesce("size", "n").alias("n"), "text", "hash"))
+        moved = merged.where("keep_row <> row").select(F.col("row").alias("from"), F.col("keep_row").alias("stand"))
+    levels = _levels(standing, "text", parts, budget, match, shape, "keep_row is not null")
     found = _union([done.where("keep_row is not null").select(F.col("row").alias("stand"), "keep_row", "keep_id", "size") for done in levels])
+    if moved is not None:
+        found = found.unionByName(moved.join(found, "stand").select(F.col("from").alias("stand"), "keep_row", "keep_id", "size"))
     return (
         rows.select("id", "row", "stand", "sha")
         .join(found, "stand")
@@ -253,21 +278,28 @@ def _keep(names: list[str], text: str, id_column: str, budget: int):
             part = others.take(pa.array([place[k] for k in some])).combine_chunks() if rest else None
             texts = pa.array([None if none[k] else table.contents[k].decode() for k in some], pa.string())
             columns = [texts if n == text else part.column(str(k)).combine_chunks() for k, n in enumerate(names)]
-            zero = pa.array(np.zeros(len(some), np.int64))
-            yield pa.RecordBatch.from_arrays([*columns, zero, zero, pa.array([True] * len(some)), pa.nulls(len(some), pa.int32())], names=[*names, "row", "hash", "kept", "bucket"])
+            own = [pa.array([best[k][-1] for k in some]), pa.array(np.array([table.hashes[k] for k in some], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, *own, pa.array([True] * len(some)), pa.nulls(len(some), pa.int32())], names=[*names, "row", "hash", "kept", "bucket"])
 
     return run
 
 
-def dedup(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """One row of each group of equal texts, with all columns as they came. Texts are shuffled once a level."""
     own, names = numbered(df)
     text, id_column, columns = own.columns[names.index(text)], own.columns[names.index(id_column)], own.columns
     schema = plus(own.schema, "row long, stand long, n long, sha binary, hash long")
     # of a task's equal rows the one that stands for them is the one that would stay
     standing = own.mapInArrow(_merge_in_task(columns, columns.index(text), columns.index(id_column), budget), schema).where("n > 0").select(*columns, "row", "hash")
+    standing = as_table(standing, "standing")
     parts = parts_for(own, _size(text), max(1, budget // 2))
-    levels = _levels(standing, text, parts, budget, _keep(columns, text, id_column, budget), plus(own.schema, "row long, hash long, kept boolean, bucket int"), "kept")
+    keep, shape = _keep(columns, text, id_column, budget), plus(own.schema, "row long, hash long, kept boolean, bucket int")
+    first = standing
+    if not (often := _hot(standing, hot)).isEmpty():
+        others, dealt = _in_groups(standing, often, parts)
+        first = others.unionByName(as_table(dealt.mapInArrow(keep, shape), "merged").select(*standing.columns))
+    levels = _levels(first, text, parts, budget, keep, shape, "kept")
+    free(standing)
     return _union([done.where("kept").select(*columns) for done in levels]).toDF(*names)
 
 

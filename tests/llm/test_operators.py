@@ -86,6 +86,25 @@ def test_depth_of_exact_dedup(spark, monkeypatch):
         assert len(levels) <= 4
 
 
+def test_a_text_of_many_tasks_is_merged_before_it_meets(spark, monkeypatch):
+    """One text in every one of 60 tasks: the square root of them arrives, and the results are the same."""
+    rows = [(k, "the same text" if k % 3 else f"text {k}") for k in range(600)] + [(7, None), (8, ""), (9, None)] + [(10, "the same text")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60, "doc_id")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    want = listed([(i, max(groups[t or ""]), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows])
+    arrived, levels = [], exact_dedup._levels
+    monkeypatch.setattr(exact_dedup, "_levels", lambda standing, text, *a: arrived.append(standing.groupBy("hash").count().agg({"count": "max"}).first()[0]) or levels(standing, text, *a))
+    for hot in (1000, 5):
+        got = exact_dedup.groups_of_equal(docs, hot=hot)
+        assert plain(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+        assert got.where("kept").count() == len(groups)
+        left = exact_dedup.dedup(docs, hot=hot)
+        assert plain(left, "doc_id") == listed([(max(g),) for g in groups.values()])
+    assert min(arrived[:2]) >= 40 and max(arrived[2:]) <= 8
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
