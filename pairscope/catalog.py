@@ -132,6 +132,13 @@ def pair_histogram(spark, sf_dir):
     return tiled.histogram(_samples(spark, sf_dir))
 
 
+@_query(f"{H} {HIST_OUT}")
+def pair_histogram_fitted(spark, sf_dir):
+    """Blocks as high as dimension, rows and memory allow."""
+    s = _samples(spark, sf_dir)
+    return tiled.histogram(s, size=tiled.fitted_size(s))
+
+
 @_query(f"{H} {HIST_OUT}")
 def pair_histogram_joined(spark, sf_dir):
     return strategies.pair_histogram(_samples(spark, sf_dir), "hof")

@@ -8,6 +8,7 @@ blocks of one identity meet, however many samples that identity has.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Callable
 
@@ -57,6 +58,16 @@ def blocks(samples: DataFrame, size: int = SIZE, within: bool | str = False) ->
     return packed.mapInArrow(_pack, "grp long, block int, blocks int, ids binary, who binary, v binary")
 
 
+def fitted_size(samples: DataFrame, memory: int = 128 << 20) -> int:
+    """Rows of a block, by the vectors' dimension and the set's size: a task's tile (two blocks, their scores and what is made of
+    them) takes at most about ``memory`` bytes, and there are several tiles for each partition of a shuffle."""
+    n, dim = samples.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    linear, square = 32.0 * max(1, dim), 32.0  # bytes for a row and for a pair
+    size = int((math.sqrt(linear * linear + 4 * square * memory) - linear) / (2 * square))
+    wanted = math.ceil(math.sqrt(8 * int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # blocks for four tiles a partition
+    return max(32, min(size, math.ceil(n / wanted)))
+
+
 def tiles(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> DataFrame:
     packed = blocks(samples, size, within)
     left = packed.select("grp", F.col("block").alias("bi"), *(F.col(c).alias(f"{c}_i") for c in ("ids", "who", "v")), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("bj"))

@@ -112,3 +112,18 @@ def test_passes(spark, monkeypatch, query):
 def test_summary_of_nothing(spark):
     none = frame(spark, *tied()).where("false")
     assert profile.score_summary(none).count() == 0
+
+
+def test_fitted_blocks(spark):
+    """Less memory or longer vectors: lower blocks; few rows: several tiles a partition; the counts are the same."""
+    x, who = tied()
+    s = frame(spark, x, who)
+    large = spark.range(1_000_000).selectExpr("id as sample_id", "id as identity", "array(1.0D, 0.0D) as v")
+    wide = large.withColumn("v", selection.F.expr("array_repeat(0.5D, 2048)"))
+    sizes = [tiled.fitted_size(large), tiled.fitted_size(large, 8 << 20), tiled.fitted_size(wide, 8 << 20)]
+    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == 3 and sizes[0] > 1500
+    for n, size in zip((2, 2, 2048), sizes):
+        assert 32 * n * size + 32 * size * size <= (128 << 20 if size == sizes[0] else 8 << 20)
+    assert tiled.fitted_size(s) == 32 and tiled.fitted_size(s.where("false")) == 32
+    got, want = ({r["bin"]: (r["n_pos"], r["n_neg"]) for r in tiled.histogram(s, size=k).collect()} for k in (tiled.fitted_size(s), 1024))
+    assert got == want
