@@ -10,6 +10,7 @@ from pairscope.operators import clustering, density_clusters as density_groups,
 from pairscope.plans import certified, pruned, strategies, tiled
 from pairscope.sources import records
 from pairscope.sources import samples as sources
+from pairscope.sources import sinks
 from pairscope.sources.tables import fresh, kept
 
 BINS = V.BINS
@@ -380,6 +381,61 @@ def streamed_histogram(spark, sf_dir):
     return store.histogram()
 
 
+# folders, files and sinks
+
+
+@_query("SELECT 'c' || label AS child, max('g' || vec_id % 3) AS parent FROM embeddings GROUP BY 1")
+def folder_parents(spark, sf_dir):
+    paths = _samples(spark, sf_dir).select(F.format_string("g%d/c%d/%d.jpg", F.col("sample_id") % 3, "identity", "sample_id").alias("path"))
+    return sources.folder_parents(paths)
+
+
+@_query("SELECT CAST(label AS BIGINT) AS identity, count(*) AS n FROM embeddings GROUP BY 1")
+def scanned_files(spark, sf_dir):
+    """The table written into a folder for each identity and sample, and the files found there again."""
+    path = fresh(spark)
+    _samples(spark, sf_dir).select("identity", F.col("sample_id").alias("sample"), "path").write.partitionBy("identity", "sample").parquet(path)
+    found = sources.files(spark, path, ".parquet").select(F.regexp_extract("path", "identity=([0-9]+)/", 1).cast("long").alias("identity"))
+    return found.groupBy("identity").agg(F.count("*").alias("n"))
+
+
+@_query(f"{H} {HIST_OUT}")
+def stored_histogram(spark, sf_dir):
+    path = fresh(spark)
+    sinks.write_histogram(tiled.histogram(_samples(spark, sf_dir)), path)
+    return sinks.read_histogram(spark, path)
+
+
+@_query(f"{H} SELECT bin // 100 AS bin, CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg FROM h GROUP BY 1")
+def displayed_histogram(spark, sf_dir):
+    return histograms.displayed(tiled.histogram(_samples(spark, sf_dir)))
+
+
+WRITTEN_SQL = f"{P} SELECT CASE WHEN is_pos THEN 'positive' ELSE 'negative' END AS side, round(sim, 6) AS score, i, id_i, 'vec_' || i AS path_i, j, id_j, 'vec_' || j AS path_j FROM p WHERE sim > 3.5e-1"
+
+
+def _written(form: str):
+    def query(spark, sf_dir):
+        s, path = _samples(spark, sf_dir), fresh(spark)
+        typed = sinks.error_pairs(extraction.with_paths(extraction.beyond(s, "all", ">", 0.35), s))
+        shape = typed.schema
+        if form == "tsv":
+            sinks.write_tsv(typed, path, "all")
+            back = spark.read.schema(shape).option("header", True).option("sep", "\t").csv(f"{path}/rows")
+        else:
+            {"csv": sinks.write_csv, "json": sinks.write_json, "parquet": sinks.write_parquet}[form](typed, path)
+            reader = spark.read.schema(shape)
+            back = reader.option("header", True).csv(path) if form == "csv" else getattr(reader, form)(path)
+        return back.withColumn("score", F.round("score", 6)).select("side", "score", "i", F.col("id_i").cast("int").alias("id_i"), "path_i", "j", F.col("id_j").cast("int").alias("id_j"), "path_j")
+
+    query.__name__ = f"error_pairs_{form}"
+    _query(WRITTEN_SQL)(query)
+
+
+for _form in ("csv", "tsv", "json", "parquet"):
+    _written(_form)
+
+
 # several results of one pass
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pairscope.functions import vectors as V
 from pairscope.operators import extraction, profile, selection, thresholds
 from pairscope.plans import tiled
 
@@ -127,3 +128,12 @@ def test_fitted_blocks(spark):
     assert tiled.fitted_size(s) == 32 and tiled.fitted_size(s.where("false")) == 32
     got, want = ({r["bin"]: (r["n_pos"], r["n_neg"]) for r in tiled.histogram(s, size=k).collect()} for k in (tiled.fitted_size(s), 1024))
     assert got == want
+
+
+def test_rates_are_checked():
+    assert V.checked_fpirs([0.1, 0.01, 0.1]) == [0.01, 0.1] and V.checked_fpirs([0, 1], closed=True) == [0.0, 1.0]
+    for bad in ([], [0.0], [1.0], [0.5, 2.0], [-0.1]):
+        with pytest.raises(ValueError):
+            V.checked_fpirs(bad)
+    with pytest.raises(ValueError):
+        V.checked_fpirs([1.5], closed=True)
