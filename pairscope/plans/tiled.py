@@ -171,8 +171,8 @@ KEEP = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def drawn(i, j, of: int):
     """Whether the pair i < j is in the sample that takes about one of ``of``: whole-number arithmetic, so numpy, columns and
-    SQL can state the same (ids below 2^31)."""
-    x = (i * 48271 + j * 69621) % 2147483647
+    SQL can state the same."""
+    x = (i % 2147483647 * 48271 + j % 2147483647 * 69621) % 2147483647
     return x * x % 2147483647 * 16807 % 2147483647 % of == 0
 
 

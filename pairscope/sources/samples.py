@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairscope.functions import vectors as V
+from pairscope.sources.tables import kept
 
 def load(spark: SparkSession, path: str, policy: str = "raw", sample_id="vec_id", identity="label", embedding="embedding", max_n: int | None = None) -> DataFrame:
     """Reads parquet and normalises. max_n keeps the samples with sample_id < max_n; identities may be any comparable type."""
@@ -68,16 +69,15 @@ def set_normalised(samples: DataFrame, off: float = 1e-3, eps: float | None = No
 
 def numbered_in_order(rows: DataFrame, key: str, name: str, size: int = 50_000) -> DataFrame:
     """All columns and ``name``: the place (from 0) in the order of ``key``, a whole number that no two rows share. Rows are dealt
-    to ranges of about ``size`` by quantiles, and the counts of the ranges before are added: no sort is global."""
+    to ranges of about ``size`` and sorted there; a row's number is its place in its range after the sizes of the ranges before."""
     ranges = min(10_000, max(1, -(-rows.count() // size)))
-    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
-    cuts = np.array(sorted(set(cuts)), np.int64)
-    level = F.lit(0)
-    dealt = rows.withColumn("range__", level if not len(cuts) else F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c < F.col(key))))
+    dealt = rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("at__", F.monotonically_increasing_id())
+    dealt = kept(dealt)  # the range is the upper part of the number, the place in it the lower one
     before = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    bases = dealt.groupBy("range__").agg(F.count("*").alias("c__")).select("range__", F.coalesce(F.sum("c__").over(before), F.lit(0)).alias("base__"))
-    inside = F.row_number().over(Window.partitionBy("range__").orderBy(key)) - 1
-    return dealt.withColumn("in__", inside).join(F.broadcast(bases), "range__").withColumn(name, (F.col("base__") + F.col("in__")).cast("long")).drop("range__", "in__", "base__")
+    sizes = dealt.groupBy(F.shiftright("at__", 33).alias("range__")).agg(F.count("*").alias("c__"))
+    bases = sizes.select("range__", F.coalesce(F.sum("c__").over(before), F.lit(0)).alias("base__"))
+    placed = dealt.withColumn("range__", F.shiftright("at__", 33)).join(F.broadcast(bases), "range__")  # at most 10,000 rows
+    return placed.withColumn(name, (F.col("base__") + F.col("at__").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("range__", "at__", "base__")
 
 
 def compact_identities(samples: DataFrame) -> DataFrame:

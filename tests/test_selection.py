@@ -6,6 +6,7 @@ import pytest
 from pairscope.functions import vectors as V
 from pairscope.operators import extraction, profile, selection, thresholds
 from pairscope.plans import tiled
+from pairscope.sources.samples import numbered_in_order
 
 SCHEMA = "sample_id long, identity long, v array<double>, path string"
 
@@ -137,3 +138,15 @@ def test_rates_are_checked():
             V.checked_fpirs(bad)
     with pytest.raises(ValueError):
         V.checked_fpirs([1.5], closed=True)
+
+
+def test_numbers_follow_the_order(spark):
+    """Several ranges, in any layout; and draws of pairs with large ids are the same as in whole-number arithmetic."""
+    ids = np.random.default_rng(1).choice(10**12, 5000, replace=False).tolist()
+    rows = spark.createDataFrame([(k, f"r{k}") for k in ids], "id long, name string").repartition(7)
+    got = {r["id"]: (r["at"], r["name"]) for r in numbered_in_order(rows, "id", "at", 300).collect()}
+    assert got == {k: (n, f"r{k}") for n, k in enumerate(sorted(ids))}
+    assert numbered_in_order(rows.where("false"), "id", "at").count() == 0
+    i, j = np.array(ids[:2000]), np.array(ids[2000:4000])
+    want = [tiled.drawn(a, b, 10) for a, b in zip(i.tolist(), j.tolist())]  # without a limit of size
+    assert tiled.drawn(i, j, 10).tolist() == want and 100 < sum(want) < 300
