@@ -71,7 +71,7 @@ class Store:
         if again:
             raise ValueError(f"{again} samples are there already")
         own = tiled.histogram(new, self.bins, self.size)
-        with_old = tiled.histogram(new, self.bins, self.size, chosen=tiled.cross_tiles(new, old, self.size))
+        with_old = tiled.histogram(new, self.bins, self.size, chosen=tiled.cross_cells(new, old, self.size))
         self._put(histograms.added(own, with_old), version)
 
     def _put(self, hist: DataFrame, version: int) -> None:
@@ -80,7 +80,7 @@ class Store:
     def add_probes(self, probes: DataFrame, gallery: DataFrame, version: int) -> None:
         """Pairs of the probes with the gallery alone."""
         probes = kept(probes.select("sample_id", "identity", "v"))
-        self._put(tiled.histogram(probes, self.bins, self.size, chosen=tiled.cross_tiles(probes, gallery, self.size)), version)
+        self._put(tiled.histogram(probes, self.bins, self.size, chosen=tiled.cross_cells(probes, gallery, self.size)), version)
 
     def follow(self, probes: DataFrame, gallery: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Runs the stream of probes (sample_id, identity, v) against the gallery; ``trigger`` as Spark takes it."""

@@ -1,9 +1,11 @@
 """The tiled pair plan: samples are packed into blocks, and every pair of blocks is one matrix product in a task.
 
-A block is a row of bytes (ids, identities, vectors). Blocks meet by an equal join, each pair of blocks once, so half
-of the square is never computed; the join moves N / size copies of the samples. Of a tile only what is asked for leaves
-the task: counts by bin (summed over all tiles of the task), or the pairs that pass a predicate. With ``within``, only
-blocks of one identity meet, however many samples that identity has.
+A block is a row of bytes (ids, identities, vectors). Blocks are dealt to bands, and each pair of bands x <= y is a cell: its
+blocks of x wait in the task while those of y pass by, so each pair of blocks is a tile once and half of the square is never
+computed. A block is sent to as many cells as there are bands, a number that follows from the partitions and from what a task may
+hold, and not once for each other block: with g bands g copies of the samples move. Of a tile only what is asked for leaves the
+task: counts by bin (summed over all tiles of the task), or the pairs that pass a predicate. With ``within``, only blocks of one
+identity meet, however many samples that identity has.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions.vectors import BINS
 from pairscope.sources.tables import kept
 
 SIZE = 1024
+HELD = 64 << 20  # bytes of the vectors that a task keeps while others pass by
+HOLD, MEET, BOTH = 0, 1, 2  # what a block does in a cell: waits, meets those that wait, or meets them and itself and waits
 COUNTED = None  # an accumulator, if tiles are to be counted
 
 
@@ -68,21 +72,39 @@ def fitted_size(samples: DataFrame, memory: int = 128 << 20) -> int:
     return max(32, min(size, math.ceil(n / wanted)))
 
 
-def tiles(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> DataFrame:
-    packed = blocks(samples, size, within)
-    left = packed.select("grp", F.col("block").alias("bi"), *(F.col(c).alias(f"{c}_i") for c in ("ids", "who", "v")), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("bj"))
-    right = packed.select("grp", F.col("block").alias("bj"), *(F.col(c).alias(f"{c}_j") for c in ("ids", "who", "v")))
-    return left.join(right, ["grp", "bj"]).repartition("bi", "bj")
+def _bands(most: int, size: int) -> Column:
+    """How many bands the blocks of a row's set are dealt to: enough to give each of ``most`` partitions several cells, and so
+    many that a band's vectors take at most about ``HELD`` bytes."""
+    row = F.octet_length("v") * 8 / F.octet_length("ids")  # bytes of a vector, the same for all blocks of a set
+    fit = F.greatest(F.lit(1), F.floor(HELD / (row * size)))
+    return F.least("blocks", F.greatest(F.ceil(F.col("blocks") / fit), F.lit(math.ceil(math.sqrt(8 * most))))).cast("int")
 
 
-def cross_tiles(one: DataFrame, two: DataFrame, size: int = SIZE) -> DataFrame:
-    """Tiles of every sample of ``one`` with every sample of ``two``: sets without a common sample, the smaller one better first."""
-    a, b = blocks(one, size), blocks(two, size)
-    parts = ("ids", "who", "v")
-    count = b.select(F.max("blocks").alias("n"))  # one row
-    left = a.crossJoin(F.broadcast(count)).where("n is not null").select((-1 - F.col("block")).alias("bi"), *(F.col(c).alias(f"{c}_i") for c in parts), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bj"))
-    right = b.select(F.col("block").alias("bj"), *(F.col(c).alias(f"{c}_j") for c in parts))
-    return left.join(right, "bj").repartition("bi", "bj")
+def _together(rows: DataFrame, most: int) -> DataFrame:
+    """Cells in partitions of a fixed number (small tables of much work are not coalesced), blocks to be held first."""
+    return rows.repartition(most, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "role", "block")
+
+
+def cells(samples: DataFrame, size: int = SIZE, within: bool | str = False) -> DataFrame:
+    """grp, x, y, role, block, ids, who, v: the blocks of each cell of a triangle of bands, x <= y."""
+    most = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = blocks(samples, size, within).withColumn("bands", _bands(most, size))
+    band = F.floor(F.col("block").cast("long") * F.col("bands") / F.col("blocks")).cast("int")
+    dealt = packed.withColumn("band", band).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+    role = F.when(F.col("band") == F.col("other"), BOTH).when(F.col("band") < F.col("other"), HOLD).otherwise(MEET)
+    return _together(dealt.select("grp", F.least("band", "other").alias("x"), F.greatest("band", "other").alias("y"), role.alias("role"), "block", "ids", "who", "v"), most)
+
+
+def cross_cells(one: DataFrame, two: DataFrame, size: int = SIZE) -> DataFrame:
+    """Cells of every sample of ``one`` with every sample of ``two``: sets without a common sample, the smaller one better first."""
+    most = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (blocks(s, size).withColumn("bands", _bands(most, size)) for s in (one, two))
+    count = lambda t: F.broadcast(t.select("grp", F.col("bands").alias("others")).distinct())  # noqa: E731, one row
+    band = F.floor(F.col("block").cast("long") * F.col("bands") / F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    left = a.join(count(b), "grp").select("grp", band.alias("x"), each.alias("y"), F.lit(HOLD).alias("role"), "block", "ids", "who", "v")
+    right = b.join(count(a), "grp").select("grp", each.alias("x"), band.alias("y"), F.lit(MEET).alias("role"), "block", "ids", "who", "v")
+    return _together(left.unionByName(right), most)
 
 
 def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -91,26 +113,49 @@ def scores(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray | Non
     return sim, np.triu(np.ones(sim.shape, bool), 1) if same else None
 
 
-def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None, chosen: DataFrame | None = None) -> DataFrame:
-    """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up. ``chosen``: tiles
-    laid out already, with the columns of ``tiles``."""
+def _met(batches):
+    """Number of tiles, and the tiles, of rows of ``cells``: the held blocks of a cell with each that comes."""
+    cell, held = None, []
+    for batch in batches:
+        where = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "x", "y"))))
+        roles, columns = batch.column("role").to_pylist(), [batch.column(c) for c in ("ids", "who", "v")]
+        for k, role in enumerate(roles):
+            if where[k] != cell:
+                cell, held = where[k], []
+            now = Block.of(*(c[k].as_buffer() for c in columns))
+            yield [(old, now, False) for old in held if role != HOLD] + [(now, now, True)] * (role == BOTH)
+            if role != MEET:
+                held.append(now)
+
+
+def _laid_out(batches):
+    """The same of rows that are tiles."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("ids_i", "who_i", "v_i", "ids_j", "who_j", "v_j")]
+        bi, bj = batch.column("bi").to_pylist(), batch.column("bj").to_pylist()
+        for k in range(batch.num_rows):
+            parts = [c[k].as_buffer() for c in columns]
+            yield [(Block.of(*parts[:3]), Block.of(*parts[3:]), bi[k] == bj[k])]
+
 
+def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """``each(state, a, b, same)`` yields record batches of a tile; ``finish(state)`` what the task has summed up. ``chosen``: cells
+    (as ``cells`` gives them) or tiles (bi, ids_i, who_i, v_i, bj, ids_j, who_j, v_j) laid out already."""
     counted = COUNTED
+    layout = cells(samples, size, within) if chosen is None else chosen
+    read = _met if "role" in layout.columns else _laid_out
 
     def run(batches):
         state: dict = {}
-        for batch in batches:
+        for some in read(batches):
             if counted is not None:
-                counted.add(batch.num_rows)
-            columns = [batch.column(c) for c in ("ids_i", "who_i", "v_i", "ids_j", "who_j", "v_j")]
-            bi, bj = batch.column("bi").to_pylist(), batch.column("bj").to_pylist()
-            for k in range(batch.num_rows):
-                parts = [c[k].as_buffer() for c in columns]
-                yield from each(state, Block.of(*parts[:3]), Block.of(*parts[3:]), bi[k] == bj[k])
+                counted.add(len(some))
+            for a, b, same in some:
+                yield from each(state, a, b, same)
         if finish:
             yield from finish(state)
 
-    return (tiles(samples, size, within) if chosen is None else chosen).mapInArrow(run, schema)
+    return layout.mapInArrow(run, schema)
 
 
 def binned(sim: np.ndarray, bins: int, policy: str) -> np.ndarray:
@@ -126,18 +171,25 @@ def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: st
 
     def each(state, a, b, same):
         sim, want = scores(a, b, same)
-        if "all" not in state:
-            state["all"], state["pos"] = np.zeros(bins + 1, np.int64), np.zeros(bins + 1, np.int64)
         at = binned(sim, bins, policy)
-        state["all"] += np.bincount(at.ravel() if want is None else at[want], minlength=bins + 1)
-        if len(np.intersect1d(a.who, b.who)):
+        count(state, "all", at.ravel() if want is None else at[want])
+        if same or np.isin(a.who, b.who).any():
             pos = a.who[:, None] == b.who[None, :]
-            state["pos"] += np.bincount(at[pos if want is None else pos & want], minlength=bins + 1)
+            count(state, "pos", at[pos if want is None else pos & want])
         return ()
 
+    def count(state, kind, at):
+        if kind not in state:
+            state[kind] = np.zeros(bins + 1, np.int64)
+        if len(at):  # only as many slots as the tile's bins span
+            low = int(at.min())
+            found = np.bincount(at - low)
+            state[kind][low : low + len(found)] += found
+
     def finish(state):
         if state:
             at = np.flatnonzero(state["all"])
+            state.setdefault("pos", np.zeros(bins + 1, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state["pos"][at]), pa.array(state["all"][at] - state["pos"][at])], names=["bin", "n_pos", "n_neg"])
 
     found = run_tiles(samples, each, "bin long, n_pos long, n_neg long", size, within, finish, chosen)

@@ -57,7 +57,7 @@ def test_stream_equals_the_batch_after_a_restart(spark, tmp_path):
     # a batch that is repeated replaces itself
     store.add_probes(spark.createDataFrame(rows[75:], SCHEMA), gallery, 2)
     probes = spark.createDataFrame(rows[50:], SCHEMA)
-    want = collected(tiled.histogram(probes, chosen=tiled.cross_tiles(probes, gallery)))
+    want = collected(tiled.histogram(probes, chosen=tiled.cross_cells(probes, gallery)))
     x, who = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
     assert sum(a + b for a, b in want.values()) == 50 * 40 and sum(a for a, _ in want.values()) == int((who[:50, None] == who[50:]).sum())
     assert collected(store.histogram()) == want
