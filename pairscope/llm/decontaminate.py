@@ -10,8 +10,9 @@ q is ``Q``, or for an item too short for that the largest that leaves a bound of
 the edits are the same at every length.
 
 The benchmark goes to the tasks in blocks of about ``BLOCK`` bytes (its hash decides a row's block), each against all
-documents, and no document is shuffled. A block's broadcast is released before the next one is made, so what tasks hold has a
-bound whatever the benchmark's size; a benchmark of n blocks costs n passes.
+documents, and no document is shuffled. A block's index is made once, with the bits that pass over most q-grams, and a worker
+reads it once. Its broadcast is released before the next one is made, so what tasks hold has a bound whatever the benchmark's
+size; a benchmark of n blocks costs n passes.
 
 Defined cases: null and empty texts and items match nothing; repeated rows are answered each; other columns, under any name,
 are neither read nor lost (``without_leaks``); an empty benchmark finds nothing; a very long text is a chunk for itself, and is
@@ -33,7 +34,7 @@ from pairscope.llm.store import as_table, chunks, documents, free
 
 Q = 10
 RATE = 0.07
-BLOCK = 8 << 20
+BLOCK = 16 << 20  # a worker holds about 20 bytes of index for each byte of a block
 CELLS = 1 << 21  # of the tables that are aligned together
 _MAP = np.array([c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -72,6 +73,7 @@ class Index:
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    marks: np.ndarray  # bits, by a q-gram's first bits: most q-grams of no item have none
     sizes: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
@@ -93,24 +95,25 @@ class Index:
         ids, texts, budget = zip(*group)
         sizes, budget = np.array([len(t) for t in texts], np.int64), np.array(budget, np.int64)
         found = [grams(np.frombuffer(t, np.uint8), q) for t in texts]
-        item = np.repeat(np.arange(len(texts)), [len(g) for g in found])
-        place = np.concatenate([np.arange(len(g)) for g in found])
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g in found])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in found])
         gram = np.concatenate(found)
         by = np.argsort(gram, kind="stable")
-        return cls(list(ids), list(texts), q, gram[by], item[by], place[by], sizes, budget, sizes - q + 1 - q * budget)
+        bits = max(20, math.ceil(math.log2(len(gram) * 16 + 1)))
+        marks = np.zeros(1 << bits, bool)
+        marks[gram >> np.uint64(64 - bits)] = True
+        return cls(list(ids), list(texts), q, gram[by], item[by], place[by], np.packbits(marks, bitorder="little"), sizes, budget, sizes - q + 1 - q * budget)
 
-    def marks(self) -> np.ndarray:
-        """A table of bits that tells most q-grams which are in no item."""
-        size = max(20, math.ceil(math.log2(len(self.gram) * 16 + 1)))
-        table = np.zeros(1 << size, bool)
-        table[self.gram >> np.uint64(64 - size)] = True
-        return table
+    def marked(self, gram: np.ndarray) -> np.ndarray:
+        """Places of the q-grams that have a mark."""
+        slot = gram >> np.uint64(61 - int(math.log2(len(self.marks))))
+        return np.flatnonzero(self.marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
 
 
-def _bands(index: Index, table: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+def _bands(index: Index, data: np.ndarray, offsets: np.ndarray):
     """(document, item, first diagonal, shared q-grams) of bands that reach the bound."""
     gram = grams(data, index.q)
-    at = np.flatnonzero(table[gram >> np.uint64(64 - int(math.log2(len(table))))])
+    at = index.marked(gram)
     lo, hi = np.searchsorted(index.gram, gram[at], "left"), np.searchsorted(index.gram, gram[at], "right")
     some = hi > lo
     at, lo, many = at[some], lo[some], (hi - lo)[some]
@@ -172,15 +175,15 @@ def distances(items: list[bytes], data: np.ndarray, starts: np.ndarray, stops: n
     return out
 
 
-def leaks(indexes: list[tuple[Index, np.ndarray]], data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+def leaks(indexes: list[Index], data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """(document, item_id, edits, shared q-grams) for a chunk of texts."""
     data, offsets = normal(data, offsets)
-    return [(d, index.ids[k], x, c) for index, table in indexes for d, k, x, c in _leaks(index, table, data, offsets)]
+    return [(d, index.ids[k], x, c) for index in indexes for d, k, x, c in _leaks(index, data, offsets)]
 
 
-def _leaks(index: Index, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _leaks(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    if len(found := _bands(index, table, data, offsets)):
+    if len(found := _bands(index, data, offsets)):
         doc, item, first, count = found
         exact = np.zeros(len(doc), bool)
         for j, (d, k, f) in enumerate(zip(doc.tolist(), item.tolist(), first.tolist())):
@@ -220,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     for shared, _ in _blocks(benchmark, q, rate, block):
 
         def run(batches, shared=shared):
-            indexes = [(index, index.marks()) for index in shared.value]
+            indexes = shared.value  # kept by the worker for all its tasks
             for batch in batches:
                 rows = []
                 for lo, _, data, offsets in chunks(batch.column("text"), 1 << 19):
@@ -241,7 +244,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     for shared, last in _blocks(benchmark, q, rate, block):
 
         def run(batches, shared=shared):
-            indexes = [(index, index.marks()) for index in shared.value]
+            indexes = shared.value  # kept by the worker for all its tasks
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in chunks(batch.column(at), 1 << 19):
