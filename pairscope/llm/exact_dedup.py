@@ -35,6 +35,7 @@ from pairscope.llm.store import as_table, documents, free, numbered, parts_for,
 
 BUDGET = 128 << 20
 HOT = 512  # standing rows of one content
+SPARE = 10_000  # rows of other columns that may be held for winners that lost since
 OVERHEAD = 200  # bytes of a content's entry, beside the content
 
 
@@ -272,6 +273,9 @@ def _keep(names: list[str], text: str, id_column: str, budget: int):
                 held.append(pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=[str(k) for k in rest]).take(pa.array(list(won.values()))))
                 for k in won:
                     place[k], base = base, base + 1
+                if base > 2 * len(best) + SPARE:  # what has been superseded is let go
+                    held = pa.Table.from_batches(held).take(pa.array(place)).combine_chunks().to_batches() if rest else []
+                    place, base = list(range(len(best))), len(best)
         others = pa.Table.from_batches(held) if held else None
         for lo in range(0, len(best), 5_000):
             some = range(lo, min(lo + 5_000, len(best)))

@@ -8,10 +8,12 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -86,6 +88,19 @@ def test_depth_of_exact_dedup(spark, monkeypatch):
         assert len(levels) <= 4
 
 
+def test_superseded_winners_are_let_go(monkeypatch):
+    """Ever larger ids of three texts: the last ones stay with their own columns, and few rows are held meanwhile."""
+    monkeypatch.setattr(exact_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(exact_dedup, "SPARE", 4)
+    taken = []
+    table = SimpleNamespace(from_batches=lambda held: taken.append(sum(b.num_rows for b in held)) or pa.Table.from_batches(held))
+    monkeypatch.setattr(exact_dedup, "pa", SimpleNamespace(**(vars(pa) | {"Table": table})))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["abc"[k % 3]], "more": [f"m{k}"], "row": [k], "hash": [k % 3]}) for k in range(300)]
+    out = pa.Table.from_batches(exact_dedup._keep(["doc_id", "text", "more"], "text", "doc_id", 1 << 20)(iter(batches))).to_pylist()
+    assert sorted((r["doc_id"], r["text"], r["more"]) for r in out if r["kept"]) == [(297, "a", "m297"), (298, "b", "m298"), (299, "c", "m299")]
+    assert len(taken) > 10 and max(taken) <= 2 * 3 + 4 + 1
+
+
 def test_a_text_of_many_tasks_is_merged_before_it_meets(spark, monkeypatch):
     """One text in every one of 60 tasks: the square root of them arrives, and the results are the same."""
     rows = [(k, "the same text" if k % 3 else f"text {k}") for k in range(600)] + [(7, None), (8, ""), (9, None)] + [(10, "the same text")] * 3
@@ -128,6 +143,18 @@ def test_simhash(docs, none):
     assert simhash.near_copies(none).count() == simhash.one_of_each(none).count() == 0
 
 
+def test_simhash_of_a_very_long_text():
+    """More shingles than are counted at a time."""
+    say = random.Random(3)
+    text = " ".join(f"W{say.randrange(5000)}" for _ in range(30_000))
+    words, ones = text.lower().split(), [0] * 64
+    for k in range(len(words) - 2):
+        h = xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * ones[b] > len(words) - 2)
+
+
 def test_substring_dedup(docs, none):
     window = 12
     words = [(t or "").encode().split() for _, t in ROWS]
@@ -323,6 +350,11 @@ def test_decontamination(spark, docs, none):
     assert len(want) > 10
     held = {i for i, *_ in want}
     assert plain(decontaminate.without_leaks(table, bench, q, rate, 300), "doc_id") == listed([(i,) for i, _ in texts if i not in held])
+    assert all(g.place.dtype == np.int32 and len(g.marked(g.gram)) == len(g.gram) for g in index)  # no q-gram of an item is passed over
+    far = [(1, "filler words that say nothing " * 40_000 + (items[10][1] + " ") * 2), (2, "filler words that say nothing " * 40_000)]  # over 1 MB, the item at the end
+    long_item = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    far = [(i, t + (" one two three four fife six seven eight nine ten eleven." if i == 1 else "")) for i, t in far]
+    assert plain(decontaminate.find_leaks(spark.createDataFrame(far, "doc_id long, text string"), long_item), "doc_id", "item_id", "edits") == listed([(1, 7, 1)])
     assert decontaminate.find_leaks(none, bench).count() == decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
