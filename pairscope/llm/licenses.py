@@ -15,9 +15,11 @@ sentence ends, that has them (wrapped lines, "v. 2.0"). The join:
 5. The remaining pairs are counted exactly.
 
 Stretches go the same way: around each of the rarest words, the words that a window with it can reach are a block of their
-own if they cross a block's end, and of those that pass, each window is counted. ``n_blocks`` has the blocks that hold a
-template, and the places across ends that hold one which no block there holds (windows that overlap are one place).
-``OP2_SQL`` states the blocks alone; it is equal where no template stands across ends.
+own if they cross a block's end, and of those that pass, each window is counted. A word reaches as far as the longest template
+that has it among its rarest, so whole licenses beside one-line wordings do not widen what stands around the wordings' words.
+``n_blocks`` has the blocks that hold a template, and the places across ends that hold one which no block there holds (windows
+that overlap the first of a place belong to it).
+``OP2_SQL`` looks at every block and at every window across ends.
 
 The base labels come from phrases at any place of the text. Rows are numbered so that repeated rows stay apart.
 
@@ -34,32 +36,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairscope.llm.license_texts import TEXTS, WORDINGS
 from pairscope.llm.store import documents
 
 THRESHOLD = 0.9
 
-# fixed values: the phrases of the contract, and usual wordings of licenses
+# fixed values: the phrases of the contract
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "creative commons attribution sharealike"),
-    ("cc0", "dedicated to the public domain under the cc0 waiver"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("rights-reserved", "all rights reserved"),
-]
+TEMPLATES = WORDINGS + TEXTS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of a text in lower case
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of a text as it came
@@ -114,16 +98,26 @@ def _blocks(text: Column, any_rare: str) -> Column:
     return F.filter(each, lambda x: x["block"].rlike(any_rare))
 
 
-def _stretches(text: Column, rare: list[str], reach: int) -> Column:
-    """Around each rare word, what windows of up to ``reach`` words can hold, if that crosses a block's end: at (the first
-    word's place in the text), own (word and number of the block of each)."""
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, grouped by the first letter so that few of them are tried at a place."""
+    by = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
+def _stretches(text: Column, reach: dict[str, int]) -> Column:
+    """Around each rare word, what windows of up to its ``reach`` can hold, if that crosses a block's end: at (the first
+    word's place in the text), reach, own (word and number of the block of each)."""
+    far = F.create_map(*(F.lit(x) for pair in reach.items() for x in pair))
     words = lambda b, i: F.transform(F.regexp_extract_all(lowered(b), F.lit(WORD), 0), lambda w: F.struct(w.alias("w"), i.alias("i")))
-    spots = lambda all_: F.filter(F.transform(all_, lambda x, k: F.when(x["w"].isin(rare), k)), lambda k: k.isNotNull())
+    spots = lambda all_: F.filter(F.transform(all_, lambda x, k: F.when(x["w"].isin(list(reach)), F.struct(k.alias("k"), x["w"].alias("w")))), lambda s: s.isNotNull())
 
     def around(all_: Column) -> Column:
-        def cut(k: Column) -> Column:
-            at = F.greatest(k - (reach - 1), F.lit(0))
-            return F.struct(at.alias("at"), F.slice(all_, at + 1, k - at + reach).alias("own"))
+        def cut(spot: Column) -> Column:
+            k, own = spot["k"], F.element_at(far, spot["w"])
+            at = F.greatest(k - (own - 1), F.lit(0))
+            return F.struct(at.alias("at"), own.alias("reach"), F.slice(all_, at + 1, k - at + own).alias("own"))
 
         return F.filter(F.transform(spots(all_), cut), lambda s: F.element_at(s["own"], 1)["i"] < F.element_at(s["own"], -1)["i"])
 
@@ -155,20 +149,23 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, threshold: f
         words = sorted(t["words"], key=rank.get)
         rows += [(words[p], t["template"], t["label"], p, words, t["need"], t["span"]) for p in range(len(words) - t["need"] + 1)]
     table = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, p int, words array<string>, need int, span int")
-    rare = sorted({r[0] for r in rows})
+    reach = {}
+    for word, *_, span in rows:
+        reach[word] = max(span, reach.get(word, 0))
+    rare = sorted(reach)
 
     text = F.col("text")
     every = "|".join(map(phrase_pattern, PHRASES))
     pieces, places = F.split(text, every), F.regexp_extract_all(text, F.lit(every), 0)
     count = lambda x: F.regexp_count(x, F.lit(ANY_WORD)).cast("long")
-    any_rare = "(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])(?:" + "|".join(rare) + ")(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
+    any_rare = "(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])" + any_of(rare) + "(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
     base = docs.select(
         F.monotonically_increasing_id().alias("row__"),
         "doc_id",
         count(text).alias("n_words"),
         F.when(text.rlike("(?i)license|cc" + GAP + "by"), places).otherwise(F.array().cast("array<string>")).alias("places"),
         F.when(text.rlike(any_rare), _blocks(text, any_rare)).alias("blocks"),
-        F.when(text.rlike(any_rare), _stretches(text, rare, max(t["span"] for t in known))).alias("stretches"),
+        F.when(text.rlike(any_rare), _stretches(text, reach)).alias("stretches"),
         F.when(text.rlike("(?i)license|cc" + GAP + "by"), pieces).alias("pieces"),
     )
     some = F.size("places") > 0
@@ -182,8 +179,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, threshold: f
         F.array_compact(F.array(*(F.when(_any_like("places", phrase_pattern(p)), label) for p, label in PHRASES.items()))).alias("base"),
         F.explode_outer(
             F.concat(
-                F.transform("blocks", lambda b: F.struct(b["lo"].alias("lo"), b["block"].alias("block"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<struct<w:string,i:int>>").alias("seen"))),
-                F.transform("stretches", lambda s: F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("string").alias("block"), s["at"].alias("at"), s["own"].alias("seen"))),
+                F.transform("blocks", lambda b: F.struct(b["lo"].alias("lo"), b["block"].alias("block"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("reach"), F.lit(None).cast("array<struct<w:string,i:int>>").alias("seen"))),
+                F.transform("stretches", lambda s: F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("string").alias("block"), s["at"].alias("at"), s["reach"].alias("reach"), s["own"].alias("seen"))),
             )
         ).alias("piece"),
     ).select("*", "piece.*").drop("piece")
@@ -193,7 +190,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, threshold: f
     pairs = met.join(F.broadcast(table), "word", "left")  # a row per word of a template's prefix
     follow = F.least(F.size("words") - F.col("p"), F.size("common") - F.array_position("common", F.col("word")) + 1)
     first = F.forall(F.slice("words", 1, F.col("p")), lambda w: ~F.array_contains("common", w))
-    passed = (F.size("own") >= F.col("need")) & (follow >= F.col("need")) & first
+    fits = F.col("reach").isNull() | (F.col("reach") >= F.col("span"))  # a longer template is looked for around its own words
+    passed = fits & (F.size("own") >= F.col("need")) & (follow >= F.col("need")) & first
     shared = F.when(passed, F.size(F.array_intersect("words", "common")))
     shape = "array<struct<template:int,start:int,lo:int,hi:int,span:int,label:string,share:double>>"
 
@@ -230,20 +228,32 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
-def _sql() -> str:
-    values = ", ".join(f"({t['template']}, '{t['label']}', {t['words']!r}, {t['need']})" for t in templates())
+def sql(texts: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same rows from every block and every window across block ends; only texts that have enough of a template's words
+    at all are looked into."""
+    values = ", ".join(f"({t['template']}, '{t['label']}', {t['words']!r}, {t['need']}, {t['span']})" for t in templates(texts, threshold))
     hits = " UNION ALL ".join(
         f"SELECT r, i - 1 AS spot, '{label}' AS label FROM w, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] = '{p.split()[0]}' AND list_slice(w, i, i + {len(p.split()) - 1}) = {p.split()!r}" for p, label in PHRASES.items()
     )
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '{WORD}') AS w FROM d),
 hits AS ({hits}),
 base AS (SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY r),
-tpl(template, label, words, need) AS (VALUES {values}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{WORD}')) AS own FROM (SELECT r, unnest(string_split_regex(t, '[\n\r]+|[.!?][ \t]')) AS b FROM d)),
-found AS (SELECT r, label, len(list_intersect(own, words)) / len(words) AS share FROM blocks, tpl WHERE len(own) >= need AND len(list_intersect(own, words)) >= need),
-added AS (SELECT r, list(DISTINCT label) AS added, max(share) AS share, count(*) AS n_blocks FROM found GROUP BY r)
+tpl(template, label, words, need, span) AS (VALUES {values}),
+near AS (SELECT r, template, label, words, need, span FROM (SELECT r, list_distinct(w) AS own FROM w), tpl WHERE len(own) >= need AND len(list_intersect(own, words)) >= need),
+parts AS (SELECT r, string_split_regex(t, '[\n\r]+|[.!?][ \t]') AS b FROM d WHERE r IN (SELECT r FROM near)),
+blocks AS (SELECT r, i AS lo, regexp_extract_all(b[i], '{WORD}') AS own FROM parts, unnest(range(1, len(b) + 1)) AS u(i)),
+whole AS (SELECT r, template, label, lo, len(list_intersect(list_distinct(own), words)) / len(words) AS share FROM blocks JOIN near USING (r) WHERE len(list_intersect(list_distinct(own), words)) >= need),
+line AS (SELECT r, flatten(list(list_transform(own, lambda x: {{'w': x, 'i': lo}}) ORDER BY lo)) AS line FROM blocks GROUP BY r),
+windows AS (SELECT r, template, label, words, need, span, start, list_slice(line, start + 1, start + span) AS part FROM line JOIN near USING (r), unnest(range(0, greatest(len(line) - span, 0) + 1)) AS u(start)),
+crossing AS (SELECT r, template, label, span, start, part[1].i AS lo, part[-1].i AS hi, len(list_intersect(list_distinct(list_transform(part, lambda x: x.w)), words)) / len(words) AS share FROM windows
+             WHERE part[1].i < part[-1].i AND len(list_intersect(list_distinct(list_transform(part, lambda x: x.w)), words)) >= need),
+apart AS (SELECT * FROM crossing c WHERE NOT EXISTS (SELECT 1 FROM whole b WHERE b.r = c.r AND b.template = c.template AND b.lo BETWEEN c.lo AND c.hi)),
+places AS (SELECT r, template, span, min(start) AS start FROM apart GROUP BY r, template, span
+           UNION ALL SELECT p.r, p.template, p.span, min(a.start) FROM places p JOIN apart a ON a.r = p.r AND a.template = p.template AND a.start >= p.start + p.span GROUP BY p.r, p.template, p.span, p.start),
+found AS (SELECT r, label, share, 1 AS one FROM whole UNION ALL SELECT r, label, share, 0 FROM apart UNION ALL SELECT r, NULL, NULL, 1 FROM places),
+added AS (SELECT r, list(DISTINCT label) FILTER (label IS NOT NULL) AS added, max(share) AS share, sum(one) AS n_blocks FROM found GROUP BY r)
 SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(added, [])))), ','), '') AS labels,
@@ -252,4 +262,4 @@ FROM d JOIN w USING (r) LEFT JOIN base USING (r) LEFT JOIN added USING (r)
 """
 
 
-OP2_SQL = _sql()
+OP2_SQL = sql()

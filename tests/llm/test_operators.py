@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import oracle
 import public_tokenizers
@@ -437,9 +438,51 @@ def test_licenses_against_plain_python(spark):
                 labels.add(label)
                 score = max(score, best)
         want.append((i, ",".join(sorted(labels)), score))
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known, threshold)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, known, threshold)
     assert plain(got, "doc_id", "labels", "score") == listed(want)
     assert {x for _, x, _ in want} > {"", "short", "long"}
+    assert same_as_sql(docs, known) == len(rows)
+
+
+def same_as_sql(docs, known):
+    """All columns, places across ends included; the number of rows."""
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cur = con.execute(licenses.sql(known))
+    want, got = oracle.rows([d[0] for d in cur.description], cur.fetchall()), licenses.scan(docs, known)
+    assert oracle.rows(got.columns, got.collect()) == want
+    return len(want)
+
+
+def test_whole_licenses(spark):
+    """Each text wrapped, in comments, with other words in it and in one line is found; half of it is not; SQL says the same."""
+    say, rows, wanted = random.Random(4), [], {}
+    for label, text in licenses.TEXTS:
+        words = text.split()
+        changed = [w if k % 40 else "foo" for k, w in enumerate(words)]
+        forms = ["\n".join(textwrap.wrap(text, 72)), "\n".join(" * " + x for x in textwrap.wrap(text, 60)), " ".join(words), text + "\n\n" + text, "Copyright 2001 A. B.\n\n" + "\n".join(textwrap.wrap(" ".join(changed), 72))]
+        for f in forms:
+            wanted[len(rows)] = label
+            rows.append((len(rows), "# notice\n" + f + "\n\nimport os\n" + noise(say.randint(0, 80))))
+        rows.append((len(rows), " ".join(words[: len(words) // 2])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in licenses.scan(docs).collect():
+        found = set(r["labels"].split(","))
+        if r["doc_id"] in wanted:
+            assert wanted[r["doc_id"]] in found and r["score"] >= 0.9, r
+        else:
+            assert not found & {label for label, _ in licenses.TEXTS}, r
+    assert same_as_sql(docs, licenses.TEMPLATES) == len(rows)
+
+
+def test_reach_follows_the_template(spark):
+    """Only the words of a long template gather its length around them."""
+    from pyspark.sql import functions as F
+
+    text = "a. near b c d e f g. " * 3 + "far h i j k l m n. o p q"
+    row = spark.createDataFrame([(text,)], "text string").select(licenses._stretches(F.col("text"), {"near": 2, "far": 9}).alias("s")).first()
+    assert sorted({(s["reach"], len(s["own"])) for s in row["s"]}) == [(2, 3), (9, 17)]
 
 
 def feistel(x, a, b, kind, key=pseudonyms.TEST_KEY):
