@@ -26,6 +26,11 @@ SAMPLE = "sample_id long, identity long, v array<double>, path string"
 HISTOGRAM = "bin long, n_pos long, n_neg long"
 
 
+def in_one_file(hist: DataFrame) -> DataFrame:
+    """At most as many rows as bins go to one task, which does not add them up: the tasks before it do."""
+    return hist.repartition(1)
+
+
 @dataclass(frozen=True)
 class Store:
     """``path``: a folder that the driver and all executors share. Versions are whole numbers; one writer at a time."""
@@ -75,7 +80,7 @@ class Store:
         self._put(histograms.added(own, with_old), version)
 
     def _put(self, hist: DataFrame, version: int) -> None:
-        hist.coalesce(1).write.mode("overwrite").parquet(self._at("histogram", version))  # at most as many rows as bins
+        in_one_file(hist).write.mode("overwrite").parquet(self._at("histogram", version))
 
     def add_probes(self, probes: DataFrame, gallery: DataFrame, version: int) -> None:
         """Pairs of the probes with the gallery alone."""
