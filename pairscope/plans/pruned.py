@@ -47,10 +47,11 @@ class Blocks:
         return tiled.run_tiles(self.centroids, each, "bi long, bj long")
 
     def tiles(self, meeting: DataFrame) -> DataFrame:
-        parts = ("ids", "who", "v")
-        left = self.packed.select(F.col("number").alias("bi"), *(F.col(c).alias(f"{c}_i") for c in parts))
-        right = self.packed.select(F.col("number").alias("bj"), *(F.col(c).alias(f"{c}_j") for c in parts))
-        return meeting.join(left, "bi").join(right, "bj").repartition("bi", "bj")
+        """The blocks with the numbers of those they meet, written once, each file with each other one: no tile is shuffled."""
+        met = meeting.groupBy(F.col("bi").alias("number")).agg(F.collect_set("bj").alias("met"))
+        left = kept(self.packed.join(met, "number").repartition(tiled.files(self.packed), "number"))
+        on = F.array_contains("met", F.col("bj"))
+        return tiled.every_two(tiled.side_of(left, "number", "i", "met"), tiled.side_of(self.packed, "number", "j"), on).drop("met")
 
 
 def _cells(pivots: np.ndarray):
@@ -80,7 +81,7 @@ def near_blocks(samples: DataFrame, size: int = tiled.SIZE, pivots: int = PIVOTS
     if not some:
         return Blocks(kept(samples.sparkSession.createDataFrame([], "number long, ids binary, who binary, v binary")), rows.where("false"))
     dealt = rows.mapInArrow(_cells(np.array([r["v"] for r in some])), "sample_id long, identity long, v array<double>, cell long")
-    packed = tiled.blocks(dealt, size, "cell").select((F.col("grp") * (1 << 32) + F.col("block")).alias("number"), "ids", "who", "v")
+    packed = tiled.blocks(dealt, size, "cell", tiled.files(samples)).select((F.col("grp") * (1 << 32) + F.col("block")).alias("number"), "ids", "who", "v")
     packed = kept(packed)
     return Blocks(packed, kept(packed.mapInArrow(_centroids, "sample_id long, identity long, v array<double>")))
 
