@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 from pairscope.functions import vectors as V
 from pairscope.plans import strategies, tiled
 
+ROUNDING = 1e-12  # more than two sums of one score can differ by
+
 
 def beyond(samples: DataFrame, side: str, op: str, threshold: float) -> DataFrame:
     return strategies.pairs_beyond(samples, side, op, threshold)
@@ -64,17 +66,33 @@ def four_classes(samples: DataFrame, threshold: float) -> DataFrame:
     return tiled.run_tiles(samples, each, "pair_type string, n long", finish=finish).groupBy("pair_type").agg(F.sum("n").alias("n"))
 
 
+def nearest_of(side: str, k: int, above: bool, threshold: float) -> tiled.KEEP:
+    """Marks a tile's own k pairs of a side that are nearest to the threshold above (not above) it, ties at the last one included, and
+    those that only the rounding of a matrix product could keep apart from them."""
+
+    def keep(sim, pos):
+        want = (pos if side == "pos" else ~pos) & (sim > threshold - ROUNDING if above else sim <= threshold + ROUNDING)
+        far = np.abs(sim - threshold)
+        room = 2 * k + len(sim) + 1  # as in ``best_of``
+        some = far[want]
+        if len(some) > room:
+            want = want & (far <= np.partition(some, room - 1)[room - 1] + ROUNDING)
+        return want
+
+    return keep
+
+
 def class_examples(samples: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Of each of the four classes its k pairs nearest to the threshold; one pass over the tiles."""
-    sides = {f"{side} {op}": (side, k, op == "<=", op, threshold) for side in ("pos", "neg") for op in (">", "<=")}
-    found = tiled.measured(samples, None, keep={name: best_of(*how) for name, how in sides.items()})
-    parts = [in_order(found.pairs(name), how[2]).limit(k) for name, how in sides.items()]
+    """Of each of the four classes its k pairs nearest to the threshold, by (distance, i, j); one pass over the tiles."""
+    sides = {f"{side} {op}": (side, k, op == ">", threshold) for side in ("pos", "neg") for op in (">", "<=")}
+    found = tiled.measured(samples, None, keep={name: nearest_of(*how) for name, how in sides.items()}, ordered=True)
+    far = F.abs(F.col("sim") - threshold)
+    parts = [found.pairs(name).where((F.col("sim") > threshold) == F.lit(how[2])).orderBy(far, "i", "j").limit(k) for name, how in sides.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.withColumn("pair_type", V.pair_type(F.col("is_pos"), F.col("sim"), threshold)).withColumn(
-        "at", F.row_number().over(Window.partitionBy("pair_type").orderBy(F.abs(F.round(F.col("sim") - threshold, 9)), "i", "j"))
-    )
+    place = F.row_number().over(Window.partitionBy("pair_type").orderBy(far, "i", "j"))
+    return every.withColumn("pair_type", V.pair_type(F.col("is_pos"), F.col("sim"), threshold)).withColumn("at", place)
 
 
 def nearest(samples: DataFrame, threshold: float, k: int) -> DataFrame:
