@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairscope.plans import tiled
 from pairscope.sources.samples import numbered_in_order
 
 
@@ -17,10 +20,27 @@ def tile_plan(samples: DataFrame, size: int) -> DataFrame:
 
 
 def positive_tiles(samples: DataFrame, size: int) -> DataFrame:
-    """Tiles (of blocks of ``size`` consecutive ids) that hold a pair of one identity, by the distinct blocks of each identity."""
+    """Tiles (of blocks of ``size`` consecutive ids) that hold a pair of one identity. The identities of the blocks are dealt as
+    samples are, all of a block to one place, so a tile is found by one task only: nothing is made distinct afterwards."""
     own = samples.groupBy("identity", F.expr(f"sample_id div {size}").alias("b")).agg(F.count("*").alias("c"))
-    a, b = (own.select("identity", F.col("b").alias(f"b{k}"), F.col("c").alias(f"c{k}")) for k in "ij")
-    return a.join(b, "identity").where("bi < bj or (bi = bj and ci > 1)").select("bi", "bj").distinct()
+    rows = own.where("identity is not null").select(F.col("b").alias("sample_id"), "identity", F.array(F.col("c").cast("double")).alias("v"))
+
+    def each(state, a, b, same):
+        left, right = np.unique(a.ids), np.unique(b.ids)
+        hit = np.zeros((len(left), len(right)), bool)
+        x, y = np.searchsorted(left, a.ids), np.searchsorted(right, b.ids)
+        for who in np.intersect1d(a.who, b.who):
+            hit[np.ix_(x[a.who == who], y[b.who == who])] = True
+        if same:  # a block with itself: two samples of one identity
+            hit = np.triu(hit, 1)
+            alone = x[a.v[:, 0] > 1]
+            hit[alone, alone] = True
+        for lo in range(0, len(left), 64):
+            i, j = np.nonzero(hit[lo : lo + 64])
+            one, two = left[lo + i], right[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["bi", "bj"])
+
+    return tiled.run_tiles(rows, each, "bi long, bj long", 4096)
 
 
 def identity_ranges(samples: DataFrame, size: int) -> DataFrame:
