@@ -1,7 +1,8 @@
 """Pair plans by name; each gives the same rows.
 
 ``hof``: a self-join on i < j with the dot product as a column, for small sets (every pair is evaluated in the JVM).
-``tiled``: blocks and matrix products, for large sets. ``group``: pairs of one identity only, tiled inside identities.
+``tiled``: blocks and matrix products, for large sets. ``joined``: the same from a join of blocks on bi <= bj, ``banded``: from cells
+of bands, in which blocks wait for others. ``group``: pairs of one identity only, tiled inside identities.
 """
 
 from __future__ import annotations
@@ -29,7 +30,15 @@ def group_histogram(samples: DataFrame, bins: int = V.BINS, policy: str = "floor
     return tiled.histogram(samples, bins, policy=policy, within=True, **how)
 
 
-HISTOGRAMS = {"hof": hof_histogram, "tiled": tiled.histogram, "group": group_histogram}
+def joined_histogram(samples: DataFrame, bins: int = V.BINS, policy: str = "floor", size: int = tiled.SIZE) -> DataFrame:
+    return tiled.histogram(samples, bins, size, policy, chosen=tiled.tiles(samples, size))
+
+
+def banded_histogram(samples: DataFrame, bins: int = V.BINS, policy: str = "floor", size: int = tiled.SIZE) -> DataFrame:
+    return tiled.histogram(samples, bins, size, policy, chosen=tiled.cells(samples, size))
+
+
+HISTOGRAMS = {"hof": hof_histogram, "tiled": tiled.histogram, "joined": joined_histogram, "banded": banded_histogram, "group": group_histogram}
 
 
 def pair_histogram(samples: DataFrame, strategy: str = "tiled", **how) -> DataFrame:
