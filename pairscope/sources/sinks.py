@@ -1,4 +1,4 @@
-"""Sinks: every result is a table; these give it the usual file forms."""
+"""Sinks: every result is a table; these give it the usual file forms. Text forms are compressed, as pairs grow with the square of the samples."""
 
 from __future__ import annotations
 
@@ -19,18 +19,20 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    df.write.mode("overwrite").option("header", "true").option("compression", "gzip").csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, kind: str) -> None:
-    """Tab-separated parts below path/rows, and a one-line head file ``# kind= count=`` below path/head."""
-    df.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(f"{path}/rows")
-    head = df.agg(F.format_string("# kind=%s count=%d", F.lit(kind), F.count("*")).alias("value"))
+    """Tab-separated parts below path/rows, and a one-line head file ``# kind= count=`` below path/head: the rows written are counted,
+    not made again."""
+    df.write.mode("overwrite").option("header", "true").option("sep", "\t").option("compression", "gzip").csv(f"{path}/rows")
+    written = df.sparkSession.read.schema(df.schema).option("header", True).option("sep", "\t").csv(f"{path}/rows")
+    head = written.agg(F.format_string("# kind=%s count=%d", F.lit(kind), F.count("*")).alias("value"))
     head.coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def write_histogram(hist: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import numpy as np
 from pairscope import catalog
 from pairscope.operators import density_clusters, extraction, growing, tile_plans
 from pairscope.plans import pruned, strategies, tiled
+from pairscope.sources import sinks
 
 SCHEMA = "sample_id long, identity long, v array<double>, path string"
 
@@ -94,3 +95,19 @@ def test_tiles_with_positives_are_found_once(spark):
         df = tile_plans.positive_tiles(s, 16)
         assert sorted(map(tuple, df.collect())) == want
         assert "Aggregate" not in plan(df)
+
+
+def test_text_forms_are_compressed_and_rows_made_once(spark, tmp_path, monkeypatch):
+    s = made(spark, 60)
+    counted = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(tiled, "COUNTED", counted)
+    df = sinks.error_pairs(extraction.with_paths(extraction.beyond(s, "all", ">", 0.1), s))
+    sinks.write_tsv(df, str(tmp_path / "t"), "all")
+    assert counted.value == 1
+    n = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t/rows")).count()
+    assert n > 0 and spark.read.text(str(tmp_path / "t/head")).first()[0] == f"# kind=all count={n}"
+    sinks.write_csv(df, str(tmp_path / "c"))
+    sinks.write_json(df, str(tmp_path / "j"))
+    for form in ("t/rows", "c", "j"):
+        parts = [p.name for p in (tmp_path / form).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.endswith(".gz") for p in parts)
