@@ -42,6 +42,9 @@ class Block:
         n = len(ids) // 8
         return cls(np.frombuffer(ids, np.int64), np.frombuffer(who, np.int64), np.frombuffer(v, np.float64).reshape(n, -1))
 
+    def part(self, rows: slice) -> Block:
+        return Block(self.ids[rows], self.who[rows], self.v[rows])
+
 
 def _pack(batches):
     for batch in batches:
@@ -166,8 +169,23 @@ def _laid_out(batches):
         columns = [batch.column(c) for c in ("ids_i", "who_i", "v_i", "ids_j", "who_j", "v_j")]
         bi, bj = batch.column("bi").to_pylist(), batch.column("bj").to_pylist()
         for k in range(batch.num_rows):
-            parts = [c[k].as_buffer() for c in columns]
-            yield [(Block.of(*parts[:3]), Block.of(*parts[3:]), bi[k] == bj[k])]
+            yield [(Block.of(*(c[k].as_buffer() for c in columns[:3])), Block.of(*(c[k].as_buffer() for c in columns[3:])), bi[k] == bj[k])]
+        del batch, columns  # else it waits until the next one is there
+
+
+def parts_of(a: Block, b: Block, same: bool):
+    """A tile as tiles of at most ``SIZE`` * ``SIZE`` pairs: what a task makes of pairs at a time follows from that, not from the blocks."""
+    rows = max(1, SIZE * SIZE // max(1, len(b.ids)))
+    if len(a.ids) <= rows:
+        yield a, b, same
+        return
+    for k in range(0, len(a.ids), rows):
+        some = a.part(slice(k, k + rows))
+        if same:
+            yield some, some, True
+        rest = b.part(slice(k + rows, None)) if same else b
+        if len(rest.ids):
+            yield some, rest, False
 
 
 def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE, within: bool | str = False, finish: Callable | None = None, chosen: DataFrame | None = None) -> DataFrame:
@@ -177,13 +195,17 @@ def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE,
     layout = chosen if chosen is not None else cells(samples, size, within) if within else tiles(samples, size)
     read = _met if "role" in layout.columns else _laid_out
 
+    def tile_by_tile(state, some):
+        for a, b, same in some:
+            yield from each(state, a, b, same)
+
     def run(batches):
         state: dict = {}
         for some in read(batches):
             if counted is not None:
                 counted.add(len(some))
-            for a, b, same in some:
-                yield from each(state, a, b, same)
+            yield from tile_by_tile(state, some)
+            del some
         if finish:
             yield from finish(state)
 
@@ -201,13 +223,14 @@ def binned(sim: np.ndarray, bins: int, policy: str) -> np.ndarray:
 def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: str = "floor", within: bool = False, chosen: DataFrame | None = None) -> DataFrame:
     """bin, n_pos, n_neg of all pairs i < j (of the ``chosen`` tiles). Tiles without a common identity skip the comparison of identities."""
 
-    def each(state, a, b, same):
-        sim, want = scores(a, b, same)
-        at = binned(sim, bins, policy)
-        count(state, "all", at.ravel() if want is None else at[want])
-        if same or np.isin(a.who, b.who).any():
-            pos = a.who[:, None] == b.who[None, :]
-            count(state, "pos", at[pos if want is None else pos & want])
+    def each(state, *tile):
+        for a, b, same in parts_of(*tile):
+            sim, want = scores(a, b, same)
+            at = binned(sim, bins, policy)
+            count(state, "all", at.ravel() if want is None else at[want])
+            if same or np.isin(a.who, b.who).any():
+                pos = a.who[:, None] == b.who[None, :]
+                count(state, "pos", at[pos if want is None else pos & want])
         return ()
 
     def count(state, kind, at):

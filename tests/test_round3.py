@@ -123,3 +123,13 @@ def test_a_file_for_each_row_whatever_its_identity(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, e.groupBy(F.col("label").cast("long").alias("identity")).agg(F.count("*").alias("n")).collect()))
     e.limit(0).write.parquet(str(tmp_path / "none/embeddings.parquet"))
     assert catalog.queries()["scanned_files"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_what_a_histogram_makes_of_pairs_does_not_follow_the_blocks(monkeypatch):
+    """A tile of large blocks is met in parts of bounded size, each pair once."""
+    monkeypatch.setattr(tiled, "SIZE", 16)
+    one, two = (tiled.Block(np.arange(n) + k, np.zeros(n, np.int64), np.ones((n, 2))) for n, k in ((70, 0), (50, 100)))
+    for a, b, same, want in ((one, two, False, 70 * 50), (one, one, True, 70 * 69 // 2)):
+        met = [(int(i), int(j)) for x, y, again in tiled.parts_of(a, b, same) for i in x.ids for j in y.ids if not again or i < j]
+        assert len(met) == len(set(met)) == want
+        assert max(len(x.ids) * len(y.ids) for x, y, _ in tiled.parts_of(a, b, same)) <= 16 * 16
