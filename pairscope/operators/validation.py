@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators.profile import pair_counts
+from pairscope.plans import tiled
 
 
 def conserved(hist: DataFrame, samples: DataFrame, bins: int = V.BINS, rel: float = 0.0, absolute: int = 0) -> DataFrame:
@@ -44,6 +47,37 @@ def pair_set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def beyond_difference(samples: DataFrame, every: float, positive: float, size: int = tiled.SIZE) -> DataFrame:
+    """``pair_set_difference`` of the pairs that score above ``every`` and the same-identity pairs above ``positive``, each set with
+    scores of its own: products of whole blocks, and products of the samples of one identity. Both are made of the same two blocks and
+    compared there, so no pair leaves a task."""
+
+    def each(state, a, b, same):
+        sim, want = tiled.scores(a, b, same)
+        one = sim > every if want is None else (sim > every) & want
+        state["only_a"] = state.get("only_a", 0) + int(np.count_nonzero(one))
+        for who in np.intersect1d(a.who, b.who):
+            x, y = np.flatnonzero(a.who == who), np.flatnonzero(b.who == who)
+            own, at = tiled.scores(a.part(x), b.part(y), False)[0], np.ix_(x, y)
+            two = own > positive if want is None else (own > positive) & want[at]
+            both = two & one[at]
+            n = int(np.count_nonzero(both))
+            state["in_both"] = state.get("in_both", 0) + n
+            state["only_a"] -= n
+            state["only_b"] = state.get("only_b", 0) + int(np.count_nonzero(two)) - n
+            if n:
+                state["gap"] = max(state.get("gap", 0.0), float(np.abs(own - sim[at])[both].max()))
+        return ()
+
+    def finish(state):
+        if state:
+            counts = [pa.array([state.get(c, 0)], pa.int64()) for c in ("in_both", "only_a", "only_b")]
+            yield pa.RecordBatch.from_arrays([*counts, pa.array([state.get("gap")], pa.float64())], names=["in_both", "only_a", "only_b", "gap"])
+
+    found = tiled.run_tiles(samples, each, "in_both long, only_a long, only_b long, gap double", size, finish=finish)
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_both", "only_a", "only_b")), F.round(F.max("gap"), 6).alias("score_gap"))
+
+
 def expected_range(metrics: DataFrame, expected: dict[float, float], slack: float = 0.05) -> DataFrame:
     rows = F.broadcast(metrics.sparkSession.createDataFrame(list(expected.items()), "fpir_target double, expected double"))
     return metrics.join(rows, "fpir_target").select("fpir_target", "tpir", "expected", (F.abs(F.col("tpir") - F.col("expected")) <= slack).alias("in_range"))

@@ -42,7 +42,7 @@ class Block:
         n = len(ids) // 8
         return cls(np.frombuffer(ids, np.int64), np.frombuffer(who, np.int64), np.frombuffer(v, np.float64).reshape(n, -1))
 
-    def part(self, rows: slice) -> Block:
+    def part(self, rows: slice | np.ndarray) -> Block:
         return Block(self.ids[rows], self.who[rows], self.v[rows])
 
 

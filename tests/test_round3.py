@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairscope import catalog
-from pairscope.operators import density_clusters, extraction, growing, tile_plans
+from pairscope.operators import density_clusters, extraction, growing, tile_plans, validation
 from pairscope.plans import pruned, strategies, tiled
 from pairscope.sources import sinks
 
@@ -133,3 +133,13 @@ def test_what_a_histogram_makes_of_pairs_does_not_follow_the_blocks(monkeypatch)
         met = [(int(i), int(j)) for x, y, again in tiled.parts_of(a, b, same) for i in x.ids for j in y.ids if not again or i < j]
         assert len(met) == len(set(met)) == want
         assert max(len(x.ids) * len(y.ids) for x, y, _ in tiled.parts_of(a, b, same)) <= 16 * 16
+
+
+def test_sets_of_pairs_are_compared_in_the_tasks(spark):
+    """The same row as a join of both sets gives, and only counts are shuffled; either set may be the larger one."""
+    s = made(spark)
+    for every, positive in ((0.3, 0.32), (0.5, 0.1), (2.0, 0.2), (0.2, 2.0), (2.0, 2.0)):
+        want = validation.pair_set_difference(extraction.beyond(s, "all", ">", every), extraction.beyond(s, "pos", ">", positive)).first()
+        assert validation.beyond_difference(s, every, positive, 37).first() == want
+    assert "Join" not in plan(catalog.queries()["pair_set_difference"](spark, "/root/testdata/sf0.001"))
+    assert validation.beyond_difference(s.limit(0), 0.3, 0.32).first() == (0, 0, 0, None)
