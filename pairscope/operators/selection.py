@@ -129,3 +129,105 @@ def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: s
             shift = shifts[intervals.index((lo, hi))]
             lo += sub << shift
             open_[r] = (lo, min(hi, lo + (1 << shift) - 1), inside - above, n)
+
+
+# different scores of all pairs, counted without a row for every pair
+
+RANGE = 2_000_000  # pairs of a range of bins, which is merged at a time
+CHUNK = 4_000_000  # scores that a task sorts before it sends them
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted whole numbers as their steps, byte by byte: the upper bytes of near numbers are zeros, which the shuffle's codec removes."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel().cumsum()
+
+
+def ranges_of(hist: DataFrame, most: int) -> list[int]:
+    """The first bins of ranges that hold about ``most`` pairs each (or a single bin)."""
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    n = F.col("n_pos") + F.col("n_neg")
+    number = F.floor(F.coalesce(F.sum(n).over(up), F.lit(0)) / most)
+    return [r["bin"] for r in hist.select("bin", number.alias("r")).groupBy("r").agg(F.min("bin").alias("bin")).orderBy("bin").collect()]  # a row a range
+
+
+def _sent(layout: DataFrame, firsts: list[int], bins: int, only: list[int] | None) -> DataFrame:
+    """r (range of bins), pos, keys, counts: the sorted different scores of a chunk of a task's pairs in a range, packed."""
+    edges, asked = np.array(firsts, np.int64), None if only is None else np.array(sorted(only), np.int64)
+
+    def each(state, a, b, same):
+        sim, want = tiled.scores(a, b, same)
+        pos = a.who[:, None] == b.who[None, :]
+        for side, mask in ((True, pos), (False, ~pos)):
+            x = sim[mask if want is None else mask & want]
+            if asked is not None:
+                at = tiled.binned(x, bins, "floor")
+                x = x[asked[np.minimum(np.searchsorted(asked, at), len(asked) - 1)] == at]
+            state.setdefault(side, []).append(x)
+            state["n"] = state.get("n", 0) + len(x)
+        if state["n"] >= CHUNK:
+            yield from finish(state)
+
+    def finish(state):
+        for side in (True, False):
+            x = np.concatenate(state.pop(side, None) or [np.zeros(0)])
+            if len(x):
+                keys, counts = np.unique(ordinals(x), return_counts=True)
+                r = np.searchsorted(edges, tiled.binned(scores_of(keys), bins, "floor"), "right") - 1
+                cut = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+                parts = list(zip(cut, cut[1:]))
+                rows = [pa.array(r[cut[:-1]]), pa.array([side] * len(parts)), pa.array([_packed(keys[u:v]) for u, v in parts], pa.binary())]
+                rows.append(pa.array([_packed(counts[u:v]) if (counts[u:v] > 1).any() else None for u, v in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(rows, names=["r", "pos", "keys", "counts"])
+        state["n"] = 0
+
+    return tiled.run_tiles(layout, each, "r long, pos boolean, keys binary, counts binary", finish=finish, chosen=layout)
+
+
+def _merged(batches):
+    """Sorted different ordinals with their positive and negative pairs, range by range, of rows of ``_sent`` in the order of r."""
+
+    def together(parts):
+        keys, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+        sums = []
+        for side in (1, 2):
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, at, np.concatenate([x[side] for x in parts]))
+            sums.append(n)
+        return keys, *sums
+
+    now, parts, size, least = None, [], 0, 0
+    for batch in batches:
+        for r, pos, data, counts in zip(*(batch.column(c) for c in ("r", "pos", "keys", "counts"))):
+            if r.as_py() != now and parts:
+                yield together(parts)
+                parts, size, least = [], 0, 0
+            now = r.as_py()
+            keys = _unpacked(data.as_buffer())
+            n = _unpacked(counts.as_buffer()) if counts.is_valid else np.ones(len(keys), np.int64)
+            none = np.zeros(len(keys), np.int64)
+            parts.append((keys, n, none) if pos.as_py() else (keys, none, n))
+            size += len(keys)
+            if size > max(RANGE, 2 * least):  # scores that many chunks share are kept once
+                parts = [together(parts)]
+                size = least = len(parts[0][0])
+    if parts:
+        yield together(parts)
+
+
+def different_scores(layout: DataFrame, hist: DataFrame, pairs: int, each, schema: str, bins: int = V.BINS, only: list[int] | None = None) -> DataFrame:
+    """What each(bin, scores, n_pos, n_neg) yields (record batches) of ranges of whole bins (or of the bins ``only``) of the tiles
+    ``layout``: for every different score, in order, its bin and its pairs. A task holds a range of about ``RANGE`` pairs; partitions
+    follow the pairs."""
+    most = max(int(layout.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // (8 * RANGE)))
+
+    def run(batches):
+        for keys, p, n in _merged(batches):
+            sim = scores_of(keys)
+            yield from each(tiled.binned(sim, bins, "floor"), sim, p, n)
+
+    sent = _sent(layout, ranges_of(hist, RANGE), bins, only)
+    return sent.repartition(most, "r").sortWithinPartitions("r").mapInArrow(run, schema)

@@ -21,12 +21,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators.histograms import cumulated
-from pairscope.operators.selection import ranked_scores
+from pairscope.operators.selection import different_scores, ranked_scores
 from pairscope.plans import tiled
 from pairscope.sources.tables import kept
 
@@ -181,21 +182,40 @@ def tpir_bisected_exact(samples: DataFrame, fpirs=(1e-2,), within: float = 1e-6,
 def exact_curve(samples: DataFrame, points: int = 4096, bins: int = V.BINS) -> DataFrame:
     """threshold, fpir, tpir (shares of scores greater than it) at ``points`` places in equal steps among all different scores.
 
-    Every different score is a row, as the exact curve wants it; bins are the buckets of the numbering, so no sort is global.
+    Every different score is counted, so all of them meet once, packed (``selection.different_scores``); what comes back is a row a bin.
+    A second pass over the tiles lists the bins that hold a place; all passes read the same blocks, so a score has the same bits in each.
     """
-    s = tiled.pairs(samples, lambda sim, pos: np.ones_like(pos)).groupBy("sim").agg(F.count_if("is_pos").alias("p"), F.count_if(~F.col("is_pos")).alias("n"))
-    s = s.withColumn("bin", V.bin_of(F.col("sim"), bins))
-    sizes = s.groupBy("bin").agg(F.count("*").alias("c"), F.sum("p").alias("cp"), F.sum("n").alias("cn"))
+    spark, layout = samples.sparkSession, tiled.tiles(samples)
+    hist = kept(tiled.histogram(samples, bins, chosen=layout))  # at most as many rows as bins
+    pairs = hist.agg(F.coalesce(F.sum(F.col("n_pos") + F.col("n_neg")), F.lit(0))).first()[0]
+
+    def sizes(at, sim, p, n):
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        columns = (at[first], np.diff(first, append=len(at)), np.add.reduceat(p, first), np.add.reduceat(n, first))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bin", "c", "cp", "cn"])
+
+    found = kept(different_scores(layout, hist, pairs, sizes, "bin long, c long, cp long, cn long", bins))
     before, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row a bin
-    bases = sizes.select("bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("c", "cp", "cn")), *(F.sum(c).over(whole).alias(f"t{c}") for c in ("c", "cp", "cn")))
-    own = Window.partitionBy("bin").orderBy("sim")
-    up = own.rowsBetween(Window.unboundedPreceding, 0)
-    r = s.join(F.broadcast(bases), "bin").select("sim", (F.row_number().over(own) - 1 + F.col("bc")).alias("at"), (F.sum("p").over(up) + F.col("bcp")).alias("up"), (F.sum("n").over(up) + F.col("bcn")).alias("un"), "tc", "tcp", "tcn")
+    bases = found.select("bin", "c", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("c", "cp", "cn")), *(F.sum(c).over(whole).alias(f"t{c}") for c in ("c", "cp", "cn")))
     # place k of P is at floor(k (U - 1) / (P - 1)) of U scores; with fewer scores than places all are shown
-    k = F.ceil(F.col("at") * (points - 1) / F.greatest(F.lit(1), F.col("tc") - 1)).cast("long")
-    picked = (F.col("tc") <= points) | (F.floor(k * (F.col("tc") - 1) / (points - 1)) == F.col("at"))
-    rate = lambda u, t: F.round(F.try_divide(F.col(t) - F.col(u), F.col(t)), 9)
-    return r.where(picked).select(F.round("sim", 6).alias("threshold"), rate("un", "tcn").alias("fpir"), rate("up", "tcp").alias("tpir"))
+    steps = F.broadcast(spark.range(points).select(F.col("id").alias("k")))
+    at = F.floor(F.col("k") * (F.col("tc") - 1) / max(1, points - 1)).cast("long")
+    held = bases.crossJoin(steps).withColumn("at", at).where((F.col("at") >= F.col("bc")) & (F.col("at") < F.col("bc") + F.col("c")))
+    places = held.select("bin", (F.col("at") - F.col("bc")).alias("inside"), "bcp", "bcn", "tcp", "tcn").distinct().collect()  # a row a place
+    inside = {b: np.array(sorted(r["inside"] for r in places if r["bin"] == b)) for b in {r["bin"] for r in places}}
+
+    def picked(at, sim, p, n):
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        for u, v in zip(first, [*first[1:], len(at)]):
+            k = np.minimum(inside[int(at[u])], v - u - 1)
+            columns = (at[u + k], inside[int(at[u])], sim[u + k], np.cumsum(p[u:v])[k], np.cumsum(n[u:v])[k])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bin", "inside", "sim", "up", "un"])
+
+    rows = spark.createDataFrame(places, "bin long, inside long, bcp long, bcn long, tcp long, tcn long")
+    own = "bin long, inside long, sim double, up long, un long"
+    shown = different_scores(layout, hist, pairs, picked, own, bins, list(inside)) if places else spark.createDataFrame([], own)
+    rate = lambda u, t: F.round(F.try_divide(F.col(f"tc{t}") - F.col(f"bc{t}") - F.col(u), F.col(f"tc{t}")), 9)
+    return shown.join(F.broadcast(rows), ["bin", "inside"]).select(F.round("sim", 6).alias("threshold"), rate("un", "n").alias("fpir"), rate("up", "p").alias("tpir"))
 
 
 def tpir_sampled(samples: DataFrame, one_of: int = 100, fpirs=FPIRS, bins: int = V.BINS) -> DataFrame:

@@ -150,3 +150,32 @@ def test_numbers_follow_the_order(spark):
     i, j = np.array(ids[:2000]), np.array(ids[2000:4000])
     want = [tiled.drawn(a, b, 10) for a, b in zip(i.tolist(), j.tolist())]  # without a limit of size
     assert tiled.drawn(i, j, 10).tolist() == want and 100 < sum(want) < 300
+
+
+@pytest.mark.parametrize("points", [7, 64, 100_000])
+def test_exact_curve_equals_a_sort_and_sends_no_row_for_a_pair(spark, monkeypatch, points):
+    """A third of the vectors are equal; scores are exact, so that equal ones are equal in any layout. Ranges and chunks are small."""
+    monkeypatch.setattr(selection, "RANGE", 700)
+    monkeypatch.setattr(selection, "CHUNK", 3000)
+    rng = np.random.default_rng(4)
+    x, who = rng.integers(-4, 5, (200, 6)) / 16, rng.integers(0, 3, 200)
+    x[:60] = x[0]
+    x[100:, 5] += rng.integers(0, 1000, 100) / 2.0**20
+    sent = []
+    run = tiled.run_tiles
+    monkeypatch.setattr(tiled, "run_tiles", lambda *a, **k: (lambda d: sent.append(d.count()) or d)(run(*a, **k)))
+    got = sorted(map(tuple, thresholds.exact_curve(frame(spark, x, who), points).collect()))
+    a, b = np.triu_indices(len(x), 1)
+    s, pos = np.clip((x @ x.T)[a, b], -1, 1), who[a] == who[b]
+    u = np.unique(s)
+    places = sorted({k * (len(u) - 1) // (points - 1) for k in range(points)})
+    want = sorted((round(float(u[k]), 6), round(int((s[~pos] > u[k]).sum()) / int((~pos).sum()), 9), round(int((s[pos] > u[k]).sum()) / int(pos.sum()), 9)) for k in places)
+    assert len(u) > 500 and len(got) == len(want) == min(points, len(u))
+    by = lambda r: (-r[1], -r[2])  # noqa: E731, the order of the scores, which six places may not tell
+    assert all(abs(p - q) < 2e-6 for g, w in zip(sorted(got, key=by), sorted(want, key=by)) for p, q in zip(g, w))
+    assert len(sent) == 3 and max(sent[1:]) < len(s) / 20  # packed chunks; the first is the histogram
+
+
+def test_exact_curve_without_pairs(spark):
+    x, who = tied()
+    assert thresholds.exact_curve(frame(spark, x[:1], who[:1]), 5).count() == 0
