@@ -1,6 +1,6 @@
 """Operator 10, byte-level BPE by merge replay over the distinct words of blocks of the corpus, and its decoder.
 
-The distinct words of some blocks become one chain of symbols. An inverted index leads from each merge to the positions of
+The distinct words of a few blocks (a bounded number of new ones) become one chain of symbols. An inverted index leads from each merge to the positions of
 its pair; merges are applied in rank order to all their positions at once (as arrays, so the steps of the interpreter grow
 with the different merges and not with the positions), and only the touched neighbours change. A block is a bounded part of
 a task's rows; words that the worker has met before are remembered with their ids (a bounded number), so no text or word
@@ -36,7 +36,8 @@ from pairscope.llm.pretokens import split
 from pairscope.llm.store import chunks, documents, numbered, plus
 
 BLOCK = 4 << 20  # bytes of text in a block
-TOGETHER = 4  # blocks whose new words are replayed at once
+TOGETHER = 4  # blocks, at most, whose new words are replayed at once
+NEW = 100_000  # new words that no further block is waited for
 CACHE = 600_000  # words a worker remembers
 STEP = 1 << 18  # ids that are stated and decoded at a time
 NONE = 1 << 40  # above every rank: no merge
@@ -185,6 +186,9 @@ class MergeReplay:
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def unlearnt(self) -> int:
+        return len(self.known) - len(self.sizes)
+
     def learn(self) -> None:
         """Finds the ids of the words that have a number only."""
         if new := [w.encode() for w in itertools.islice(self.known, len(self.sizes), None)]:
@@ -202,6 +206,24 @@ def merge_replay(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
+def pooled(coder: MergeReplay, texts: pa.Array):
+    """Yields lists of blocks whose words the coder has learnt: first row, last row + 1, the words' numbers, each text's bounds."""
+    read = []
+    for lo, hi, *_ in chunks(texts, BLOCK):
+        if not read and len(coder.known) > CACHE:
+            coder.forget()
+        words, counts = split([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+        read.append((lo, hi, coder.numbers(words), np.append(0, np.cumsum(counts))))
+        del words
+        if len(read) == TOGETHER or coder.unlearnt() > NEW:
+            coder.learn()
+            yield read
+            read = []
+    if read:
+        coder.learn()
+        yield read
+
+
 def _encoded(docs: DataFrame, at: int, ranks: str, fields: str, result) -> DataFrame:
     """``docs`` and the columns ``fields``, made by ``result(ids, ends)`` of each block: the ids of its texts one after
     another, and where each text's begin (one more: the end)."""
@@ -210,16 +232,9 @@ def _encoded(docs: DataFrame, at: int, ranks: str, fields: str, result) -> DataF
     def run(batches):
         coder = merge_replay(ranks)
         for batch in batches:
-            for blocks in itertools.batched(chunks(batch.column(at), BLOCK), TOGETHER):
-                if len(coder.known) > CACHE:
-                    coder.forget()
-                read = []
-                for lo, hi, *_ in blocks:
+            for read in pooled(coder, batch.column(at)):
+                for lo, hi, number, bounds in read:
                     rows = batch.slice(lo, hi - lo)
-                    words, counts = split([t or "" for t in rows.column(at).to_pylist()])
-                    read.append((rows, coder.numbers(words), np.append(0, np.cumsum(counts))))
-                coder.learn()
-                for rows, number, bounds in read:
                     ids, ends = coder.ids(number)
                     yield pa.RecordBatch.from_arrays([*rows.columns, *result(ids, ends[bounds])], names=[*columns, *names])
 

@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from pairscope.llm import byte_bpe
 
@@ -70,3 +71,14 @@ def test_byte_bpe_digests_of_texts_longer_than_a_step(monkeypatch):
         monkeypatch.setattr(byte_bpe, "STEP", step)
         assert pieces.digests(ids, ends, left_out=1) == want
     assert byte_bpe.Pieces([b"a"]).digests(np.zeros(0, np.int64), np.zeros(3, np.int64)) == [hashlib.sha256().hexdigest()] * 2
+
+
+def test_byte_bpe_new_words_wait_for_a_bounded_number(monkeypatch):
+    coder = byte_bpe.MergeReplay({bytes([b]): b for b in range(256)})
+    texts = pa.array([f"w{k} " * 3 if k < 20 else "w1 w2 " * 3 for k in range(40)])
+    monkeypatch.setattr(byte_bpe, "BLOCK", 40)
+    monkeypatch.setattr(byte_bpe, "NEW", 5)
+    waited, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda: (waited.append(coder.unlearnt()), learn()))
+    rows = [(lo, hi, len(bounds) - 1) for read in byte_bpe.pooled(coder, texts) for lo, hi, _, bounds in read]
+    assert max(waited) < 20 and len(waited) < len(rows) and rows[-1][1] == 40 and all(hi - lo == n for lo, hi, n in rows)
