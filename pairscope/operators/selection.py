@@ -10,6 +10,8 @@ has 64 bits; on scores without large ties it is one, and the list.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pairscope.functions import vectors as V
 from pairscope.operators.histograms import cumulated
 from pairscope.plans import tiled
+from pairscope.sources.tables import fresh, released
 
 PARTS = 1 << 16
 FEW = 50_000
@@ -35,20 +38,21 @@ def scores_of(k: np.ndarray) -> np.ndarray:
     return (k ^ ((k >> 63) & _SIGN)).view(np.float64)
 
 
-def bin_interval(k: int, bins: int) -> tuple[int, int]:
-    """The first and last ordinal of a bin, by the rule that fills it."""
+def first_ordinals(ks, bins: int) -> np.ndarray:
+    """The first ordinals of bins, by the rule that fills them (of ``bins`` itself: the one after the last)."""
+    ks = np.asarray(ks, np.int64)
+    lo, hi = np.full(ks.shape, ordinals(-1.0)), np.full(ks.shape, ordinals(1.0) + 1)
+    while (lo < hi).any():
+        mid = lo + (hi - lo) // 2
+        there = tiled.binned(scores_of(mid), bins, "floor") >= ks
+        lo, hi = np.where(there | (lo == hi), lo, mid + 1), np.where(there, mid, hi)
+    return lo
 
-    def first(k: int) -> int:
-        lo, hi = int(ordinals(-1.0)), int(ordinals(1.0)) + 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if tiled.binned(scores_of(mid), bins, "floor") >= k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
 
-    return first(k), first(k + 1) - 1 if k < bins - 1 else int(ordinals(1.0))
+def bin_interval(k: int, bins: int) -> tuple[int, int]:
+    """The first and last ordinal of a bin."""
+    first, after = first_ordinals([k, k + 1], bins).tolist()
+    return first, after - 1
 
 
 def _inside(a, b, same, side: str, los: np.ndarray, his: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,41 +139,70 @@ def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: s
 
 RANGE = 2_000_000  # pairs of a range of bins, which is merged at a time
 CHUNK = 4_000_000  # scores that a task sorts before it sends them
+ROUND = 2000  # pairs that are sent in a round for each sample, so that their files grow as the samples do; a bin is sent in one round
+LEAST_ROUND = 20_000_000
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted whole numbers as their steps, byte by byte: the upper bytes of near numbers are zeros, which the shuffle's codec removes."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted whole numbers: how many, the first one, and the steps byte by byte, as many bytes of each as the greatest one has."""
+    steps = np.diff(keys)
+    most = -(-int(steps.max(initial=0)).bit_length() // 8)
+    return np.array([len(keys), keys[0]]).tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :most].T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel().cumsum()
+    n, first = np.frombuffer(data, np.int64, 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n > 1:
+        for k, part in enumerate(np.frombuffer(data, np.uint8, offset=16).reshape(-1, n - 1)):
+            out[1:, k] = part
+    out = out.view(np.int64).ravel()
+    out[0] = first
+    return out.cumsum()
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    """The different ones, sorted."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def ranges_of(hist: DataFrame, most: int) -> list[int]:
-    """The first bins of ranges that hold about ``most`` pairs each (or a single bin)."""
+def ranges_of(hist: DataFrame, most: int) -> list[tuple[int, int]]:
+    """The first bins of ranges that hold about ``most`` pairs each (or a single bin), and their pairs."""
     up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
     n = F.col("n_pos") + F.col("n_neg")
     number = F.floor(F.coalesce(F.sum(n).over(up), F.lit(0)) / most)
-    return [r["bin"] for r in hist.select("bin", number.alias("r")).groupBy("r").agg(F.min("bin").alias("bin")).orderBy("bin").collect()]  # a row a range
+    ranges = hist.select("bin", n.alias("n"), number.alias("r")).groupBy("r").agg(F.min("bin").alias("bin"), F.sum("n").alias("n")).orderBy("bin")
+    return [(r["bin"], r["n"]) for r in ranges.collect()]  # a row a range
 
 
-def _sent(layout: DataFrame, firsts: list[int], bins: int, only: list[int] | None) -> DataFrame:
-    """r (range of bins), pos, keys, counts: the sorted different scores of a chunk of a task's pairs in a range, packed."""
-    edges, asked = np.array(firsts, np.int64), None if only is None else np.array(sorted(only), np.int64)
+def _rounds(ranges: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """The first bins of ranges, in groups that hold about ``most`` pairs each (or a single range)."""
+    out, size = [], 0
+    for first, n in ranges:
+        if not out or size + n > most:
+            out, size = [*out, []], 0
+        out[-1].append(first)
+        size += n
+    return out
 
-    def each(state, a, b, same):
-        sim, want = tiled.scores(a, b, same)
-        pos = a.who[:, None] == b.who[None, :]
-        for side, mask in ((True, pos), (False, ~pos)):
-            x = sim[mask if want is None else mask & want]
-            if asked is not None:
-                at = tiled.binned(x, bins, "floor")
-                x = x[asked[np.minimum(np.searchsorted(asked, at), len(asked) - 1)] == at]
-            state.setdefault(side, []).append(x)
+
+def _sent(layout: DataFrame, firsts: list[int], bins: int, only: list[int]) -> DataFrame:
+    """r (range of bins), pos, keys, counts: the sorted different scores of a chunk of a task's pairs in a range, packed."""
+    edges, asked = np.array(firsts, np.int64), np.zeros(bins, bool)
+    asked[only] = True
+
+    def each(state, *tile):
+        for a, b, same in tiled.parts_of(*tile):
+            sim, want = tiled.scores(a, b, same)
+            hit = asked[tiled.binned(sim, bins, "floor")]
+            x, y = np.nonzero(hit if want is None else hit & want)
+            pos = a.who[x] == b.who[y]
+            for side, some in ((True, pos), (False, ~pos)):
+                state.setdefault(side, []).append(sim[x[some], y[some]])
             state["n"] = state.get("n", 0) + len(x)
-        if state["n"] >= CHUNK:
-            yield from finish(state)
+            if state["n"] >= CHUNK:
+                yield from finish(state)
 
     def finish(state):
         for side in (True, False):
@@ -180,37 +213,51 @@ def _sent(layout: DataFrame, firsts: list[int], bins: int, only: list[int] | Non
                 cut = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
                 parts = list(zip(cut, cut[1:]))
                 rows = [pa.array(r[cut[:-1]]), pa.array([side] * len(parts)), pa.array([_packed(keys[u:v]) for u, v in parts], pa.binary())]
-                rows.append(pa.array([_packed(counts[u:v]) if (counts[u:v] > 1).any() else None for u, v in parts], pa.binary()))
+                rows.append(pa.array([counts[u:v].tobytes() if (counts[u:v] > 1).any() else None for u, v in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(rows, names=["r", "pos", "keys", "counts"])
         state["n"] = 0
 
     return tiled.run_tiles(layout, each, "r long, pos boolean, keys binary, counts binary", finish=finish, chosen=layout)
 
 
-def _merged(batches):
-    """Sorted different ordinals with their positive and negative pairs, range by range, of rows of ``_sent`` in the order of r."""
+def _sent_once(layout: DataFrame, firsts: list[int], after: int, bins: int) -> DataFrame:
+    """r (range of bins), keys: the same of all pairs from the first range's first bin up to the bin ``after``, without counts and sides."""
+    edges = first_ordinals([*firsts, after], bins)
+    lo, hi = scores_of(edges[[0, -1]] - [0, 1]).tolist()
+    lo, hi = -math.inf if lo == -1 else lo, math.inf if hi == 1 else hi  # what is beyond is clamped
 
-    def together(parts):
-        keys, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
-        sums = []
-        for side in (1, 2):
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, at, np.concatenate([x[side] for x in parts]))
-            sums.append(n)
-        return keys, *sums
+    def each(state, *tile):
+        for a, b, same in tiled.parts_of(*tile):
+            sim = a.v @ b.v.T
+            inside = (sim >= lo) & (sim <= hi)
+            x = np.clip(sim[np.triu(inside, 1) if same else inside], -1.0, 1.0)
+            state.setdefault("scores", []).append(x)
+            state["n"] = state.get("n", 0) + len(x)
+            if state["n"] >= CHUNK:
+                yield from finish(state)
 
+    def finish(state):
+        if state.get("n"):
+            keys = _once(ordinals(np.concatenate(state["scores"])))
+            cut = np.searchsorted(keys, edges).tolist()
+            parts = [(r, u, v) for r, (u, v) in enumerate(zip(cut, cut[1:])) if u < v]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in parts]), pa.array([_packed(keys[u:v]) for _, u, v in parts], pa.binary())], names=["r", "keys"])
+        state.clear()
+
+    return tiled.run_tiles(layout, each, "r long, keys binary", finish=finish, chosen=layout)
+
+
+def _merged(batches, columns: list[str], read, together):
+    """``together`` of what ``read`` makes of the rows of each range, which come in the order of r. Parts begin with their keys."""
     now, parts, size, least = None, [], 0, 0
     for batch in batches:
-        for r, pos, data, counts in zip(*(batch.column(c) for c in ("r", "pos", "keys", "counts"))):
+        for r, *row in zip(*(batch.column(c) for c in ("r", *columns))):
             if r.as_py() != now and parts:
                 yield together(parts)
                 parts, size, least = [], 0, 0
             now = r.as_py()
-            keys = _unpacked(data.as_buffer())
-            n = _unpacked(counts.as_buffer()) if counts.is_valid else np.ones(len(keys), np.int64)
-            none = np.zeros(len(keys), np.int64)
-            parts.append((keys, n, none) if pos.as_py() else (keys, none, n))
-            size += len(keys)
+            parts.append(read(*row))
+            size += len(parts[-1][0])
             if size > max(RANGE, 2 * least):  # scores that many chunks share are kept once
                 parts = [together(parts)]
                 size = least = len(parts[0][0])
@@ -218,16 +265,61 @@ def _merged(batches):
         yield together(parts)
 
 
-def different_scores(layout: DataFrame, hist: DataFrame, pairs: int, each, schema: str, bins: int = V.BINS, only: list[int] | None = None) -> DataFrame:
-    """What each(bin, scores, n_pos, n_neg) yields (record batches) of ranges of whole bins (or of the bins ``only``) of the tiles
+def counted_scores(layout: DataFrame, hist: DataFrame, pairs: int, bins: int = V.BINS) -> DataFrame:
+    """bin, c: the different scores in each bin of the tiles ``layout``. Equal scores must meet, so nearly every pair is sent, but in
+    rounds of about ``ROUND`` pairs for each sample: a round is a pass over the tiles for its bins, and Spark removes its files before the
+    next one begins."""
+
+    def read(keys):
+        return (_unpacked(keys.as_buffer()),)
+
+    def together(parts):
+        return (_once(np.concatenate([k for k, in parts])),)
+
+    def run(batches):
+        for (keys,) in _merged(batches, ["keys"], read, together):
+            first, last = tiled.binned(scores_of(keys[[0, -1]]), bins, "floor").tolist()
+            c = np.diff(np.searchsorted(keys, first_ordinals(np.arange(first, last + 2), bins)))
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(c[at])], names=["bin", "c"])
+
+    spark = layout.sparkSession
+    rounds = _rounds(ranges_of(hist, RANGE), max(LEAST_ROUND, ROUND * math.isqrt(2 * pairs)))
+    folder, parts = fresh(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for some, after in zip(rounds, [*(x[0] for x in rounds[1:]), bins]):
+        sent = _sent_once(layout, some, after, bins).repartition(min(parts, len(some)), "r").sortWithinPartitions("r")
+        with released(spark):
+            sent.mapInArrow(run, "bin long, c long").write.mode("append").parquet(folder)
+    own = "bin long, c long"
+    return spark.read.schema(own).parquet(folder) if rounds else spark.createDataFrame([], own)
+
+
+def listed_scores(layout: DataFrame, hist: DataFrame, each, schema: str, only: list[int], bins: int = V.BINS) -> DataFrame:
+    """What each(bin, scores, n_pos, n_neg) yields (record batches) of ranges of whole bins, of the bins ``only`` of the tiles
     ``layout``: for every different score, in order, its bin and its pairs. A task holds a range of about ``RANGE`` pairs; partitions
     follow the pairs."""
-    most = max(int(layout.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // (8 * RANGE)))
+
+    def read(pos, data, counts):
+        keys = _unpacked(data.as_buffer())
+        n, none = np.frombuffer(counts.as_buffer(), np.int64) if counts.is_valid else np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        return (keys, n, none) if pos.as_py() else (keys, none, n)
+
+    def together(parts):
+        keys, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+        sums = []
+        for side in (1, 2):
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, at, np.concatenate([x[side] for x in parts]))
+            sums.append(n)
+        return keys, *sums
 
     def run(batches):
-        for keys, p, n in _merged(batches):
+        for keys, p, n in _merged(batches, ["pos", "keys", "counts"], read, together):
             sim = scores_of(keys)
             yield from each(tiled.binned(sim, bins, "floor"), sim, p, n)
 
-    sent = _sent(layout, ranges_of(hist, RANGE), bins, only)
-    return sent.repartition(most, "r").sortWithinPartitions("r").mapInArrow(run, schema)
+    spark = layout.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(b,) for b in only], "bin long"))  # at most as many rows as bins
+    ranges = ranges_of(hist.join(asked, "bin"), RANGE)
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for _, n in ranges) // (8 * RANGE)))
+    return _sent(layout, [b for b, _ in ranges], bins, only).repartition(most, "r").sortWithinPartitions("r").mapInArrow(run, schema)

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import vectors as V
 from pairscope.operators.histograms import cumulated
-from pairscope.operators.selection import different_scores, ranked_scores
+from pairscope.operators.selection import counted_scores, listed_scores, ranked_scores
 from pairscope.plans import tiled
-from pairscope.sources.tables import kept
+from pairscope.sources.tables import kept, released
 
 FPIRS = (1e-5, 1e-4, 1e-3, 1e-2)
 
@@ -182,19 +182,15 @@ def tpir_bisected_exact(samples: DataFrame, fpirs=(1e-2,), within: float = 1e-6,
 def exact_curve(samples: DataFrame, points: int = 4096, bins: int = V.BINS) -> DataFrame:
     """threshold, fpir, tpir (shares of scores greater than it) at ``points`` places in equal steps among all different scores.
 
-    Every different score is counted, so all of them meet once, packed (``selection.different_scores``); what comes back is a row a bin.
-    A second pass over the tiles lists the bins that hold a place; all passes read the same blocks, so a score has the same bits in each.
+    Every different score is counted, so all of them meet once, packed and in rounds (``selection.counted_scores``); what comes back is
+    a row a bin. A last pass over the tiles lists the bins that hold a place; all passes read the same blocks in the same parts, so a
+    score has the same bits in each.
     """
-    spark, layout = samples.sparkSession, tiled.tiles(samples)
-    hist = kept(tiled.histogram(samples, bins, chosen=layout))  # at most as many rows as bins
+    spark, layout = samples.sparkSession, tiled.tiles(samples, max(tiled.SIZE, tiled.fitted_size(samples)))
+    with released(spark):
+        hist = kept(tiled.histogram(samples, bins, chosen=layout))  # at most as many rows as bins
     pairs = hist.agg(F.coalesce(F.sum(F.col("n_pos") + F.col("n_neg")), F.lit(0))).first()[0]
-
-    def sizes(at, sim, p, n):
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        columns = (at[first], np.diff(first, append=len(at)), np.add.reduceat(p, first), np.add.reduceat(n, first))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bin", "c", "cp", "cn"])
-
-    found = kept(different_scores(layout, hist, pairs, sizes, "bin long, c long, cp long, cn long", bins))
+    found = kept(counted_scores(layout, hist, pairs, bins).join(hist, "bin").select("bin", "c", F.col("n_pos").alias("cp"), F.col("n_neg").alias("cn")))
     before, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row a bin
     bases = found.select("bin", "c", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("c", "cp", "cn")), *(F.sum(c).over(whole).alias(f"t{c}") for c in ("c", "cp", "cn")))
     # place k of P is at floor(k (U - 1) / (P - 1)) of U scores; with fewer scores than places all are shown
@@ -213,7 +209,7 @@ def exact_curve(samples: DataFrame, points: int = 4096, bins: int = V.BINS) -> D
 
     rows = spark.createDataFrame(places, "bin long, inside long, bcp long, bcn long, tcp long, tcn long")
     own = "bin long, inside long, sim double, up long, un long"
-    shown = different_scores(layout, hist, pairs, picked, own, bins, list(inside)) if places else spark.createDataFrame([], own)
+    shown = listed_scores(layout, hist, picked, own, list(inside), bins) if places else spark.createDataFrame([], own)
     rate = lambda u, t: F.round(F.try_divide(F.col(f"tc{t}") - F.col(f"bc{t}") - F.col(u), F.col(f"tc{t}")), 9)
     return shown.join(F.broadcast(rows), ["bin", "inside"]).select(F.round("sim", 6).alias("threshold"), rate("un", "n").alias("fpir"), rate("up", "p").alias("tpir"))
 

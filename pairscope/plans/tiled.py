@@ -174,8 +174,9 @@ def _laid_out(batches):
 
 
 def parts_of(a: Block, b: Block, same: bool):
-    """A tile as tiles of at most ``SIZE`` * ``SIZE`` pairs: what a task makes of pairs at a time follows from that, not from the blocks."""
-    rows = max(1, SIZE * SIZE // max(1, len(b.ids)))
+    """A tile as tiles of at most a quarter of ``SIZE`` * ``SIZE`` pairs (2 MB of scores, which a cache holds): what a task makes of
+    pairs at a time follows from that, not from the blocks."""
+    rows = max(1, SIZE * SIZE // 4 // max(1, len(b.ids)))
     if len(a.ids) <= rows:
         yield a, b, same
         return
