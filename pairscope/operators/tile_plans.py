@@ -12,8 +12,10 @@ from pairscope.sources.samples import numbered_in_order
 
 
 def tile_plan(samples: DataFrame, size: int) -> DataFrame:
-    """bi <= bj of the blocks of ``size`` consecutive ids that hold samples, rows and columns of each tile, and its number of pairs."""
-    b = samples.groupBy(F.expr(f"sample_id div {size}").alias("b")).agg(F.count("*").alias("n"))
+    """bi <= bj of the blocks of ``size`` consecutive samples in the order of their ids, rows and columns of each tile, and its number
+    of pairs."""
+    placed = numbered_in_order(samples.select("sample_id"), "sample_id", "r")
+    b = placed.groupBy(F.expr(f"r div {size}").alias("b")).agg(F.count("*").alias("n"))
     left, right = (b.select(F.col("b").alias(f"b{k}"), F.col("n").alias(f"n_{k}")) for k in "ij")
     count = F.when(F.col("bi") == F.col("bj"), F.expr("n_i * (n_i - 1) div 2")).otherwise(F.col("n_i") * F.col("n_j"))
     return left.join(right, F.col("bi") <= F.col("bj")).select("bi", "bj", F.col("n_i").alias("n_rows"), F.col("n_j").alias("n_columns"), count.alias("n_pairs"))
