@@ -6,8 +6,10 @@ import oracle
 from pyspark.sql import functions as F
 
 from pairscope import catalog
+from pairscope.operators import density_clusters as D
 from pairscope.operators import selection, thresholds
 from pairscope.plans import tiled
+from test_density_clusters import plain_tree
 
 SCHEMA = "sample_id long, identity long, v array<double>, path string"
 
@@ -76,3 +78,62 @@ def test_tile_plan_has_the_tiles_beyond_the_numbers_of_its_sql(spark):
 
     got = tile_plan(spark.range(64_130).withColumnRenamed("id", "sample_id"), 64)
     assert got.count() == 1003 * 1004 // 2 and got.agg(F.sum("n_pairs")).first()[0] == 64_130 * 64_129 // 2
+
+
+def test_few_pairs_of_a_tile_are_looked_at_again(monkeypatch):
+    """Near squares tell which pairs can matter; least edges and k least distances are those of all pairs, copies included."""
+    rng = np.random.default_rng(6)
+    x, n, k = rng.standard_normal((1200, 16)), 300, 5
+    x[900:930] = x[3]
+    looked = []
+    run = D._squares
+    monkeypatch.setattr(D, "_squares", lambda a, i, b, j: looked.append(len(i)) or run(a, i, b, j))
+    ids, who, core = rng.permutation(1200), rng.integers(0, 40, 1200), rng.uniform(1, 3, 1200)
+    core[:400], who[600:] = 0.5, 7
+    blocks = [tiled.Block(*(c[u : u + n].copy() for c in (ids, who, np.concatenate([x, core[:, None]], 1)))) for u in range(0, 1200, n)]
+    state: dict = {}
+    for a in range(4):
+        for b in range(a, 4):
+            D._least_edges(state, blocks[a], blocks[b], a == b)
+    assert sum(looked) < 1200 * 1200 / 2 / 20
+    w = np.maximum(np.maximum(D.distances(x, x), core[:, None]), core[None, :])
+    i, j = np.nonzero(who[:, None] != who[None, :])
+    for c, got in zip(state["comp"], zip(*(state[e] for e in D.EDGE))):
+        own = who[i] == c
+        want = min(zip(w[i[own], j[own]].round(9), np.minimum(ids[i[own]], ids[j[own]]), np.maximum(ids[i[own]], ids[j[own]]), who[j[own]]))
+        assert (round(got[0], 9), *got[1:]) == want
+
+    made: dict = {}
+
+    def caught(samples, each, schema, size, within, finish):
+        made.update(each=each, finish=finish)
+        raise InterruptedError
+
+    monkeypatch.setattr(tiled, "run_tiles", caught)
+    try:
+        D.core_distances(None, k)
+    except InterruptedError:
+        pass
+    looked.clear()
+    state, plain = {}, [tiled.Block(b.ids, b.who, b.v[:, :-1]) for b in blocks]
+    for a in range(4):
+        for b in range(a, 4):
+            made["each"](state, plain[a], plain[b], a == b)
+    assert sum(looked) < 1200 * 1200 / 2 / 5
+    d = D.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = dict(zip(ids.tolist(), np.sort(d, 1)[:, k - 1]))
+    got = {i: near[-1] for batch in made["finish"](state) for i, near in zip(*(batch.column(c).to_pylist() for c in ("sample_id", "near")))}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_a_component_of_most_samples_does_not_meet_itself(spark, monkeypatch):
+    """The tree is that of all pairs though later rounds leave out the greatest component's own tiles."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((150, 4)) * 0.1, rng.standard_normal((40, 4)) * 3 + 4])
+    ids = rng.permutation(190).tolist()
+    met, run = [], tiled.cross_cells
+    monkeypatch.setattr(tiled, "cross_cells", lambda one, two, size: met.append((one.count(), two.count())) or run(one, two, size))
+    got = sorted((round(r["w"], 9), r["i"], r["j"]) for r in D.spanning_tree(frame(spark, x, np.zeros(190), ids), size=16).collect())
+    assert got == sorted((round(w, 9), i, j) for w, i, j in plain_tree(ids, x, 5))
+    assert met and all(one < two and one + two == 190 for one, two in met)
