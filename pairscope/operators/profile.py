@@ -35,9 +35,10 @@ def _moments(samples: DataFrame) -> DataFrame:
 
 def score_summary(samples: DataFrame) -> DataFrame:
     """is_pos, n, mean, std, min, max and percentiles (linear between neighbours). Moments are added up inside the tiles;
-    percentiles are order statistics, refined from the histogram of the same pass."""
+    percentiles are order statistics, refined from the histogram of the same pass; passes over all pairs read the same blocks."""
     qs = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    both = tiled.measured(samples, moments=True)
+    layout = tiled.tiles(samples, tiled.large_size(samples))
+    both = tiled.measured(samples, moments=True, chosen=layout)
     hist = kept(both.histogram())
     totals = dict(zip((True, False), hist.agg(F.sum("n_pos"), F.sum("n_neg")).first()))
     rows = []
@@ -45,7 +46,7 @@ def score_summary(samples: DataFrame) -> DataFrame:
         if n:
             spots = [(int(q * (n - 1)), q * (n - 1) % 1) for q in qs]  # from the least score on
             ranks = {n - k for k, _ in spots} | {max(1, n - k - 1) for k, _ in spots}
-            at = ranked_scores(samples, hist, sorted(ranks), "pos" if side else "neg")
+            at = ranked_scores(samples, hist, sorted(ranks), "pos" if side else "neg", chosen=None if side else layout)
             rows.append((side, *(round(at[n - k] + (at[max(1, n - k - 1)] - at[n - k]) * part, 6) for k, part in spots)))
     marks = samples.sparkSession.createDataFrame(rows, "is_pos boolean, " + ", ".join(f"p{int(q * 100):02d} double" for q in qs))
     mean = F.col("s") / F.col("n")

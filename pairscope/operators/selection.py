@@ -55,24 +55,39 @@ def bin_interval(k: int, bins: int) -> tuple[int, int]:
     return first, after - 1
 
 
-def _inside(a, b, same, side: str, los: np.ndarray, his: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinals of a tile's pairs that lie in one of the intervals, and in which."""
-    sim, want = tiled.scores(a, b, same)
-    pos = a.who[:, None] == b.who[None, :]
-    mask = pos if side == "pos" else ~pos
-    key = ordinals(sim[mask if want is None else mask & want])
+GRID = 1 << 18
+
+
+def _inside(a, b, same, side: str, los: np.ndarray, his: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinals of a tile's pairs that lie in one of the intervals, and in which. Only pairs in bins of a coarse grid that the intervals
+    touch (``near``) are looked at."""
+    keys = [np.zeros(0, np.int64)]
+    for p, q, same in tiled.parts_of(a, b, same):
+        sim, want = tiled.scores(p, q, same)
+        hit = near[tiled.binned(sim, GRID, "floor")]
+        at = np.flatnonzero(hit if want is None else hit & want)
+        x, y = np.divmod(at, len(q.ids))
+        keys.append(ordinals(sim.ravel()[at[(p.who[x] == q.who[y]) == (side == "pos")]]))
+    key = np.concatenate(keys)
     at = np.searchsorted(los, key, "right") - 1
     good = (at >= 0) & (key <= his[at])
     return key[good], at[good]
 
 
-def _counts(samples: DataFrame, side: str, intervals: list[tuple[int, int]], shifts: list[int]) -> DataFrame:
+def _touched(los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    near = np.zeros(GRID, bool)
+    for u, v in zip(*(tiled.binned(scores_of(k), GRID, "floor") for k in (los, his))):
+        near[u : v + 1] = True
+    return near
+
+
+def _counts(samples: DataFrame, side: str, intervals: list[tuple[int, int]], shifts: list[int], chosen: DataFrame | None = None) -> DataFrame:
     """k (interval), sub (range), n."""
     los, his = (np.array(c, np.int64) for c in zip(*intervals))
-    by = np.array(shifts, np.int64)
+    by, near = np.array(shifts, np.int64), _touched(los, his)
 
     def each(state, a, b, same):
-        key, at = _inside(a, b, same, side, los, his)
+        key, at = _inside(a, b, same, side, los, his, near)
         for k in np.unique(at):
             state[k] = state.get(k, 0) + np.bincount((key[at == k] - los[k]) >> by[k], minlength=PARTS)
         return ()
@@ -82,20 +97,21 @@ def _counts(samples: DataFrame, side: str, intervals: list[tuple[int, int]], shi
             sub = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), k)), pa.array(sub), pa.array(n[sub])], names=["k", "sub", "n"])
 
-    return tiled.run_tiles(samples, each, "k long, sub long, n long", within=side == "pos", finish=finish)
+    return tiled.run_tiles(samples, each, "k long, sub long, n long", within=side == "pos", finish=finish, chosen=chosen)
 
 
-def _listed(samples: DataFrame, side: str, intervals: list[tuple[int, int]]) -> DataFrame:
+def _listed(samples: DataFrame, side: str, intervals: list[tuple[int, int]], chosen: DataFrame | None = None) -> DataFrame:
     """k (interval), sub (ordinal of a score), n: the different scores of intervals with few pairs."""
     los, his = (np.array(c, np.int64) for c in zip(*intervals))
+    near = _touched(los, his)
 
     def each(state, a, b, same):
-        key, at = _inside(a, b, same, side, los, his)
+        key, at = _inside(a, b, same, side, los, his, near)
         if len(key):
             key, where, n = np.unique(key, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at[where]), pa.array(key), pa.array(n)], names=["k", "sub", "n"])
 
-    return tiled.run_tiles(samples, each, "k long, sub long, n long", within=side == "pos")
+    return tiled.run_tiles(samples, each, "k long, sub long, n long", within=side == "pos", chosen=chosen)
 
 
 def _holding(found: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
@@ -107,8 +123,8 @@ def _holding(found: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[int,
     return {r["rank"]: (r["sub"], r["above"], r["n"]) for r in rows}
 
 
-def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: str = "neg", bins: int = V.BINS) -> dict[int, float]:
-    """Exact scores at given ranks from the top (1: the greatest)."""
+def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: str = "neg", bins: int = V.BINS, chosen: DataFrame | None = None) -> dict[int, float]:
+    """Exact scores at given ranks from the top (1: the greatest). ``chosen``: tiles laid out already."""
     n, s = F.col(f"n_{side}"), F.col(f"s_{side}")
     want = F.broadcast(hist.sparkSession.createDataFrame([(int(r),) for r in sorted(set(ranks))], "rank long"))
     spots = cumulated(hist).crossJoin(want).where((s >= F.col("rank")) & (s - n < F.col("rank"))).select("bin", "rank", (s - n).alias("above"), n.alias("n")).collect()  # a row a rank
@@ -125,10 +141,10 @@ def ranked_scores(samples: DataFrame, hist: DataFrame, ranks: list[int], side: s
         intervals = sorted({x[:2] for x in some.values()})
         wanted = [(r, intervals.index(x[:2]), x[2]) for r, x in some.items()]
         if not large:
-            listed = _holding(_listed(samples, side, intervals), wanted)
+            listed = _holding(_listed(samples, side, intervals, chosen), wanted)
             return out | {r: float(scores_of(sub)) for r, (sub, _, _) in listed.items()}
         shifts = [max(0, (hi - lo).bit_length() - 16) for lo, hi in intervals]
-        for r, (sub, above, n) in _holding(_counts(samples, side, intervals, shifts), wanted).items():
+        for r, (sub, above, n) in _holding(_counts(samples, side, intervals, shifts, chosen), wanted).items():
             lo, hi, inside, _ = some[r]
             shift = shifts[intervals.index((lo, hi))]
             lo += sub << shift

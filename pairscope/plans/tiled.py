@@ -222,11 +222,37 @@ def run_tiles(samples: DataFrame, each: Callable, schema: str, size: int = SIZE,
 
 
 def binned(sim: np.ndarray, bins: int, policy: str) -> np.ndarray:
+    small = np.int32 if bins < 1 << 30 else np.int64  # doubles become short numbers several times faster
     if policy == "nearest":
-        return np.rint((sim + 1) * (bins / 2)).astype(np.int64)
+        return np.rint((sim + 1) * (bins / 2)).astype(small).astype(np.int64)
     if policy == "wide":
-        return np.floor((sim + 1) / 2 * (bins - 1)).astype(np.int64)
-    return np.minimum(bins - 1, np.floor((sim + 1) * (bins / 2)).astype(np.int64))
+        return np.floor((sim + 1) / 2 * (bins - 1)).astype(small).astype(np.int64)
+    return np.minimum(bins - 1, np.floor((sim + 1) * (bins / 2)).astype(small)).astype(np.int64)
+
+
+def _counted(state: dict, kind: str, at: np.ndarray, bins: int) -> None:
+    if kind not in state:
+        state[kind] = np.zeros(bins + 1, np.int64)
+    if len(at):  # only as many slots as the tile's bins span
+        low = int(at.min())
+        found = np.bincount(at - low)
+        state[kind][low : low + len(found)] += found
+
+
+def _moments(state: dict, x: np.ndarray, pos: np.ndarray) -> None:
+    """Adds to the moments of both sides (n, s, ss, least, most) the scores x, of which those at ``pos`` are of one identity. What is
+    not of one identity is the rest of the sums; its ends are looked for only where the ends of all are new."""
+    p = x[pos]
+    sums = {True: (len(p), float(p.sum()), float(np.vdot(p, p)))}
+    sums[False] = tuple(u - v for u, v in zip((len(x), float(x.sum()), float(np.vdot(x, x))), sums[True]))
+    for side, (n, total, squares) in sums.items():
+        if n:
+            old = state.get(side, (0, 0.0, 0.0, 2.0, -2.0))
+            ends = (float(p.min()), float(p.max())) if side else (float(x.min()), float(x.max()))
+            if not side and len(p) and (ends[0] < old[3] or ends[1] > old[4]):
+                rest = np.delete(x, pos)
+                ends = float(rest.min()), float(rest.max())
+            state[side] = (old[0] + n, old[1] + total, old[2] + squares, min(old[3], ends[0]), max(old[4], ends[1]))
 
 
 def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: str = "floor", within: bool = False, chosen: DataFrame | None = None) -> DataFrame:
@@ -236,20 +262,12 @@ def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: st
         for a, b, same in parts_of(*tile):
             sim, want = scores(a, b, same)
             at = binned(sim, bins, policy)
-            count(state, "all", at.ravel() if want is None else at[want])
+            _counted(state, "all", at.ravel() if want is None else at[want], bins)
             if same or np.isin(a.who, b.who).any():
                 pos = a.who[:, None] == b.who[None, :]
-                count(state, "pos", at[pos if want is None else pos & want])
+                _counted(state, "pos", at[pos if want is None else pos & want], bins)
         return ()
 
-    def count(state, kind, at):
-        if kind not in state:
-            state[kind] = np.zeros(bins + 1, np.int64)
-        if len(at):  # only as many slots as the tile's bins span
-            low = int(at.min())
-            found = np.bincount(at - low)
-            state[kind][low : low + len(found)] += found
-
     def finish(state):
         if state:
             at = np.flatnonzero(state["all"])
@@ -263,15 +281,11 @@ def histogram(samples: DataFrame, bins: int = BINS, size: int = SIZE, policy: st
 def summaries(samples: DataFrame, size: int = SIZE) -> DataFrame:
     """is_pos, n, s (sum of the scores), ss (of their squares), least, most: a row per side and task, to be added up."""
 
-    def each(state, a, b, same):
-        sim, want = scores(a, b, same)
-        pos = a.who[:, None] == b.who[None, :]
-        for side in (True, False):
-            mask = pos if side else ~pos
-            x = sim[mask if want is None else mask & want]
-            if len(x):
-                old = state.get(side, (0, 0.0, 0.0, 2.0, -2.0))
-                state[side] = (old[0] + len(x), old[1] + float(x.sum()), old[2] + float((x * x).sum()), min(old[3], float(x.min())), max(old[4], float(x.max())))
+    def each(state, *tile):
+        for a, b, same in parts_of(*tile):
+            sim, want = scores(a, b, same)
+            pos = a.who[:, None] == b.who[None, :]
+            _moments(state, *((sim.ravel(), np.flatnonzero(pos)) if want is None else (sim[want], np.flatnonzero(pos[want]))))
         return ()
 
     def finish(state):
@@ -354,43 +368,41 @@ def in_element_order(a: Block, b: Block, x: np.ndarray, y: np.ndarray) -> np.nda
     return np.clip(np.concatenate(parts or [np.zeros(0)]), -1.0, 1.0)
 
 
-def measured(samples: DataFrame, bins: int | None = BINS, policy: str = "floor", moments: bool = False, keep: dict[str, KEEP] | None = None, size: int = SIZE, within: bool = False, ordered: bool = False) -> Measured:
+def measured(samples: DataFrame, bins: int | None = BINS, policy: str = "floor", moments: bool = False, keep: dict[str, KEEP] | None = None, size: int = SIZE, within: bool = False, ordered: bool = False, chosen: DataFrame | None = None) -> Measured:
     """Histogram (unless bins is None), moments of both sides, and any sets of pairs by name, each tile being scored once. ``ordered``:
-    the scores of the pairs are those of ``in_element_order``."""
+    the scores of the pairs are those of ``in_element_order``. Tiles are met in parts, unless there are sets of pairs: these may be the
+    best pairs of a tile."""
 
-    def each(state, a, b, same):
-        sim, want = scores(a, b, same)
-        pos = a.who[:, None] == b.who[None, :]
-        whole = np.ones(sim.shape, bool) if want is None else want
-        if bins:
-            at = binned(sim, bins, policy)
-            for side, mask in (("pos", pos), ("neg", ~pos)):
-                state[side] = state.get(side, 0) + np.bincount(at[mask & whole], minlength=bins + 1)
-        if moments:
-            for side in (True, False):
-                x = sim[whole & pos if side else whole & ~pos]
-                if len(x):
-                    old = state.get(side, (0, 0.0, 0.0, 2.0, -2.0))
-                    state[side] = (old[0] + len(x), old[1] + float(x.sum()), old[2] + float((x * x).sum()), min(old[3], float(x.min())), max(old[4], float(x.max())))
-        for name, test in (keep or {}).items():
-            wanted = test(sim, pos) & whole
-            columns = _chosen(a, b, sim, pos, wanted)
-            if len(columns[0]):
-                if ordered:
-                    columns[-1] = in_element_order(a, b, *np.nonzero(wanted))
-                yield _measured_rows(name, dict(zip(("i", "j", "id_i", "id_j", "is_pos", "sim"), columns)))
+    def each(state, *tile):
+        for a, b, same in [tile] if keep else parts_of(*tile):
+            sim, want = scores(a, b, same)
+            pos = a.who[:, None] == b.who[None, :]
+            for name, test in (keep or {}).items():
+                wanted = test(sim, pos) if want is None else test(sim, pos) & want
+                columns = _chosen(a, b, sim, pos, wanted)
+                if len(columns[0]):
+                    if ordered:
+                        columns[-1] = in_element_order(a, b, *np.nonzero(wanted))
+                    yield _measured_rows(name, dict(zip(("i", "j", "id_i", "id_j", "is_pos", "sim"), columns)))
+            x, own = (sim.ravel(), np.flatnonzero(pos)) if want is None else (sim[want], np.flatnonzero(pos[want]))
+            if bins:
+                at = binned(x, bins, policy)
+                _counted(state, "all", at, bins)
+                _counted(state, "pos", at[own], bins)
+            if moments:
+                _moments(state, x, own)
 
     def finish(state):
         if "pos" in state:
-            at = np.flatnonzero(state["pos"] + state["neg"])
-            yield _measured_rows("histogram", {"bin": at, "n_pos": state["pos"][at], "n_neg": state["neg"][at]})
+            at = np.flatnonzero(state["all"])
+            yield _measured_rows("histogram", {"bin": at, "n_pos": state["pos"][at], "n_neg": state["all"][at] - state["pos"][at]})
         for side in (True, False):
             if side in state:
                 yield _measured_rows("moments", {"is_pos": [side], **{c: [v] for c, v in zip(MOMENTS, state[side])}})
 
     if not {"histogram", "moments"}.isdisjoint(keep or {}):
         raise ValueError("these names are taken")
-    return Measured(kept(run_tiles(samples, each, MEASURED, size, within, finish)))
+    return Measured(kept(run_tiles(samples, each, MEASURED, size, within, finish, chosen)))
 
 
 def above(samples: DataFrame, levels: list[float], closed: bool = False, size: int = SIZE) -> dict[float, int]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairscope import catalog
 from pairscope.operators import density_clusters as D
-from pairscope.operators import selection, thresholds
+from pairscope.operators import profile, selection, thresholds
 from pairscope.plans import tiled
 from test_density_clusters import plain_tree
 
@@ -137,3 +137,59 @@ def test_a_component_of_most_samples_does_not_meet_itself(spark, monkeypatch):
     got = sorted((round(r["w"], 9), r["i"], r["j"]) for r in D.spanning_tree(frame(spark, x, np.zeros(190), ids), size=16).collect())
     assert got == sorted((round(w, 9), i, j) for w, i, j in plain_tree(ids, x, 5))
     assert met and all(one < two and one + two == 190 for one, two in met)
+
+
+def test_moments_of_the_rest_and_ends_of_both_sides():
+    """Sides are told apart without a copy of the greater one; also where all pairs or none are of one identity."""
+    rng = np.random.default_rng(3)
+    state, xs, ps = {}, [], []
+    for share in (0.0, 0.2, 1.0, 0.9, 0.5):
+        x = rng.uniform(-1, 1, 500)
+        pos = rng.random(500) < share
+        tiled._moments(state, x, np.flatnonzero(pos))
+        xs, ps = [*xs, x], [*ps, pos]
+        every, own = np.concatenate(xs), np.concatenate(ps)
+        for side in set(own.tolist()):
+            y = every[own == side]
+            n, s, ss, least, most = state[side]
+            assert (n, least, most) == (len(y), y.min(), y.max()) and abs(s - y.sum()) < 1e-9 and abs(ss - (y * y).sum()) < 1e-9
+
+
+def test_only_pairs_near_an_interval_become_ordinals(monkeypatch):
+    """The same ordinals and intervals as of all pairs; of all others none is made."""
+    rng = np.random.default_rng(9)
+    x, who = rng.standard_normal((500, 8)), rng.integers(0, 4, 500)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = (tiled.Block(np.arange(250) + k, who[k : k + 250], x[k : k + 250].copy()) for k in (0, 250))
+    los, his = (np.array(c) for c in zip(*(selection.bin_interval(k, 200) for k in (0, 60, 100, 101, 199))))
+    made, run = [], selection.ordinals
+    near = selection._touched(los, his)
+    for p, q, same in ((a, b, False), (a, a, True)):
+        for side in ("pos", "neg"):
+            s = np.clip(p.v @ q.v.T, -1, 1)[np.triu_indices(250, 1) if same else (slice(None), slice(None))]
+            own = (p.who[:, None] == q.who[None, :])[np.triu_indices(250, 1) if same else (slice(None), slice(None))]
+            s = s[own == (side == "pos")].ravel()
+            k = tiled.binned(s, 200, "floor")
+            want = np.sort(s[np.isin(k, (0, 60, 100, 101, 199))])
+            made.clear()
+            monkeypatch.setattr(selection, "ordinals", lambda v: made.append(len(v)) or run(v))
+            key, at = selection._inside(p, q, same, side, los, his, near)
+            monkeypatch.setattr(selection, "ordinals", run)
+            assert len(key) == len(want) and np.abs(np.sort(selection.scores_of(key)) - want).max(initial=0) < 1e-12
+            assert (key >= los[at]).all() and (key <= his[at]).all() and sum(made) <= len(want) * 1.2 + 5 < len(s) / 4
+
+
+def test_summary_packs_its_blocks_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, who = rng.standard_normal((120, 5)), rng.integers(0, 5, 120)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    laid, run = [], tiled.tiles
+    monkeypatch.setattr(tiled, "tiles", lambda *a: laid.append(1) or run(*a))
+    got = {r["is_pos"]: r for r in profile.score_summary(frame(spark, x, who)).collect()}
+    i, j = np.triu_indices(120, 1)
+    s, pos = (x @ x.T)[i, j], who[i] == who[j]
+    for side in (True, False):
+        y, r = s[pos == side], got[side]
+        want = [y.mean(), y.std(), y.min(), y.max(), *np.quantile(y, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))]
+        assert r["n"] == len(y) and all(abs(u - v) < 2e-6 for u, v in zip(tuple(r)[2:], want))
+    assert len(laid) == 1
